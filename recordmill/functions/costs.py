@@ -9,25 +9,24 @@ from recordmill.fixed import DEFAULT_PROVIDER, FALLBACK_PROVIDER, PROVIDERS
 from recordmill.functions.text import py_round
 from recordmill.session import small_table
 
-_MILLION = 1_000_000.0
 
+def priced(prompt: str, completion: str, input_price: str, output_price: str) -> Column:
+    """USD for a token count at prices per million, 6 digits."""
+    return py_round(
+        f"((cast({prompt} as double) / 1000000.0D) * {input_price} + (cast({completion} as double) / 1000000.0D)"
+        f" * {output_price})", 6)
 
-def priced(prompt: Column, completion: Column, input_price: Column, output_price: Column) -> Column:
-    """USD for a token count, 6 digits."""
-    usd = (prompt.cast("double") / F.lit(_MILLION)) * input_price + (
-        completion.cast("double") / F.lit(_MILLION)) * output_price
-    return py_round(usd, 6)
 
-
-def _price_of(key: str) -> tuple[float, float]:
+def price_of(key: str) -> tuple[float, float]:
+    """Input and output price; unknown names have the fallback provider's."""
     prices = {p[0]: (p[3], p[4]) for p in PROVIDERS}
     return prices.get(key, prices[FALLBACK_PROVIDER])
 
 
-def cost(prompt: Column, completion: Column, provider: str = DEFAULT_PROVIDER) -> Column:
-    """Cost at one provider named when the plan is built; unknown names are free."""
-    input_price, output_price = _price_of(provider)
-    return priced(prompt, completion, F.lit(input_price), F.lit(output_price))
+def cost(prompt: str, completion: str, provider: str = DEFAULT_PROVIDER) -> Column:
+    """Cost at one provider named when the plan is built."""
+    input_price, output_price = price_of(provider)
+    return priced(prompt, completion, f"{input_price}D", f"{output_price}D")
 
 
 def providers(spark: SparkSession, active: str = DEFAULT_PROVIDER) -> DataFrame:
@@ -39,12 +38,10 @@ def providers(spark: SparkSession, active: str = DEFAULT_PROVIDER) -> DataFrame:
 
 def cost_by_provider_column(rows: DataFrame, provider_column: str) -> DataFrame:
     """Add ``cost_usd`` at the provider each row names; unknown names use the fallback price."""
-    spark = rows.sparkSession
-    prices = providers(spark).select(
+    prices = providers(rows.sparkSession).select(
         F.col("key").alias(provider_column), F.col("input").alias("_in"), F.col("output").alias("_out")
     )
-    fallback_in, fallback_out = _price_of(FALLBACK_PROVIDER)
+    free_in, free_out = price_of(FALLBACK_PROVIDER)
     return rows.join(prices, provider_column, "left").withColumn("cost_usd", priced(
-        F.col("prompt_tokens"), F.col("completion_tokens"),
-        F.coalesce("_in", F.lit(fallback_in)), F.coalesce("_out", F.lit(fallback_out)),
+        "prompt_tokens", "completion_tokens", f"coalesce(_in, {free_in}D)", f"coalesce(_out, {free_out}D)",
     )).drop("_in", "_out")

@@ -5,125 +5,152 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recordmill.functions.text import let, strip
-from recordmill.schemas import NESTED, RECORDS, Field, record_type, spark_type, struct_type
+from recordmill.functions.text import let_sql, quote, strip_sql
+from recordmill.schemas import NESTED, RECORDS, Field, record_type, spark_type
 
-_NUMBER_TEXT = r"^\s*[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?\s*$"
-_SPECIAL_NUMBER = r"(?i)^\s*[+-]?(nan|inf|infinity)\s*$"
-_INTEGER_TEXT = r"^\s*[+-]?\d+(_\d+)*(\.0*)?\s*$"
-_BLANK_AND_UNDERSCORE = r"^(?=.*\s)(?=.*_)"
+_NUMBER_TEXT = quote(r"^\s*[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?\s*$")
+_SPECIAL_NUMBER = quote(r"(?i)^\s*[+-]?(nan|inf|infinity)\s*$")
+_INTEGER_TEXT = quote(r"^\s*[+-]?\d+(_\d+)*(\.0*)?\s*$")
+_BLANK_AND_UNDERSCORE = quote(r"^(?=.*\s)(?=.*_)")
+_FRACTION_ZEROS = quote(r"\.0*$")
 
 
-def clean_output(raw: Column) -> Column:
+def clean_output_sql(raw: str) -> str:
     """Drop reasoning blocks and code fences, then strip."""
-    thought = strip(F.regexp_replace(raw, r"(?s)<think>.*?</think>", ""))
-    return strip(F.replace(F.regexp_replace(thought, r"```(?:json)?\n?", ""), F.lit("```"), F.lit("")))
+    # most outputs have neither, and a plain search is much cheaper than a pattern
+    answer = strip_sql(f"if(contains({raw}, '<think>'), regexp_replace({raw}, {quote('(?s)<think>.*?</think>')}, ''), {raw})")
+    fence = quote(r"```(?:json)?\n?")
+    return let_sql(answer, lambda a: strip_sql(f"if(contains({a}, '```'), replace(regexp_replace({a}, {fence}, ''), '```', ''), {a})"))
 
 
-def parse_strict(cleaned: Column) -> Column:
+def parse_strict_sql(cleaned: str) -> str:
     """VARIANT of a text that is exactly one JSON value; null otherwise.
 
     The parser stops after the first value, so each wrapper alone lets some trailing
     text through. A text passing both, as a member and as the only array element,
     is a single value.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit('{"r":'), cleaned, F.lit("}")))
-    single = F.json_array_length(F.concat(F.lit("["), cleaned, F.lit("]"))) == 1
-    return F.when(single, F.try_variant_get(wrapped, "$.r", "variant"))
+    return let_sql(cleaned, lambda c: (
+        f"if(json_array_length(concat('[', {c}, ']')) = 1,"
+        f" try_variant_get(try_parse_json(concat('{{\"r\":', {c}, '}}')), '$.r', 'variant'), null)"))
 
 
-def kind_of(value: Column) -> Column:
-    """Kind name of a VARIANT: MISSING, VOID, STRING, BIGINT, ARRAY<..>, OBJECT<..>, ..."""
-    return F.coalesce(F.schema_of_variant(value), F.lit("MISSING"))
+def is_object_sql(value: str) -> str:
+    return f"coalesce(startswith(schema_of_variant({value}), 'OBJECT'), false)"
 
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+def _kind(value: str) -> str:
+    """MISSING, VOID, STRING, BIGINT, ARRAY<..>, OBJECT<..>, ..."""
+    return f"coalesce(schema_of_variant({value}), 'MISSING')"
 
 
-def _get(value: Column, name: str) -> Column:
-    return F.try_variant_get(value, f"$.{name}", "variant")
+def _as(value: str, type_name: str) -> str:
+    return f"try_variant_get({value}, '$', '{type_name}')"
 
 
-def _as(value: Column, type_name: str) -> Column:
-    return F.try_variant_get(value, "$", type_name)
-
-
-def _scalar(value: Column, kind: str) -> Column:
+def _coerced(value: str, name: str, kind: str) -> str:
     """Coerced scalar or null. Lax in the same way as the record models: numbers may
-    come as text or booleans, text only as text."""
-    name = kind_of(value)
-    text = F.when(name == "STRING", _as(value, "string"))
+    come as text or booleans, text only as text. ``value`` and its kind are bound."""
     if kind == "str":
-        return text
-    numeric = name.startswith("DECIMAL") | name.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN")
-    tidy = F.replace(F.trim(text), F.lit("_"), F.lit(""))
-    allowed = ~text.rlike(_BLANK_AND_UNDERSCORE)
-    if kind == "float":
-        readable = (text.rlike(_NUMBER_TEXT) | text.rlike(_SPECIAL_NUMBER)) & allowed
-        return F.when(numeric, _as(value, "double")).when(readable, tidy.try_cast("double"))
+        return f"if({name} = 'STRING', {_as(value, 'string')}, null)"
+    numeric = f"(startswith({name}, 'DECIMAL') or {name} in ('BIGINT', 'DOUBLE', 'FLOAT', 'BOOLEAN'))"
+
+    def from_text(t: str) -> str:
+        tidy = f"replace(trim({t}), '_', '')"
+        allowed = f"not {t} rlike {_BLANK_AND_UNDERSCORE}"
+        if kind == "float":
+            return (f"if(({t} rlike {_NUMBER_TEXT} or {t} rlike {_SPECIAL_NUMBER}) and {allowed},"
+                    f" try_cast({tidy} as double), null)")
+        return (f"if({t} rlike {_INTEGER_TEXT} and {allowed},"
+                f" try_cast(regexp_replace({tidy}, {_FRACTION_ZEROS}, '') as bigint), null)")
+
+    written = f"when {name} = 'STRING' then {let_sql(_as(value, 'string'), from_text)}"
     number = _as(value, "double")
-    whole = name.isin("BIGINT", "BOOLEAN") | (numeric & (number == F.floor(number)))
-    digits = F.regexp_replace(tidy, r"\.0*$", "")
-    return F.when(whole, _as(value, "bigint")).when(
-        text.rlike(_INTEGER_TEXT) & allowed, digits.try_cast("bigint")
-    )
-
-
-def _nested(value: Column, fields: list[Field]) -> tuple[Column, Column]:
-    """(struct, ok) of an object VARIANT."""
-    parts = [(f, _scalar(_get(value, f.name), f.kind), kind_of(_get(value, f.name))) for f in fields]
-    ok = is_object(value)
-    for f, coerced, name in parts:
-        good = coerced.isNotNull()
-        if f.presence == "opt":
-            good = good | name.isin("MISSING", "VOID")
-        ok = ok & good
-    return F.struct(*[coerced.alias(f.name) for f, coerced, _ in parts]), ok
-
-
-def _list(value: Column, kind: str) -> Column:
+    if kind == "float":
+        return f"case when {numeric} then {number} {written} end"
+    whole = f"({name} in ('BIGINT', 'BOOLEAN') or ({numeric} and {number} = floor({number})))"
+    return f"case when {whole} then {_as(value, 'bigint')} {written} end"
+
+
+def _members(value: str, fields: list[Field]) -> str:
+    """``struct<field: struct<value, error>>`` of an object VARIANT."""
+
+    def judged(f: Field) -> str:
+        absent = "null" if f.presence == "opt" else "'missing'"
+        null = "null" if f.presence == "opt" else "'null'"
+
+        def result(child: str, name: str) -> str:
+            coerced = _list(child, f.kind) if f.kind.startswith("list<") else _coerced(child, name, f.kind)
+            if f.presence == "list":
+                empty = f"cast(array() as {spark_type(f.kind).simpleString()})"
+                coerced = f"if({name} = 'MISSING', {empty}, {coerced})"
+            return let_sql(coerced, lambda x: (
+                f"named_struct('value', {x}, 'error', cast(case when {x} is not null then null"
+                f" when {name} = 'MISSING' then {absent} when {name} = 'VOID' then {null} else 'type' end as string))"))
+
+        child = f"try_variant_get({value}, '$.{f.name}', 'variant')"
+        return let_sql(child, lambda c: let_sql(_kind(c), lambda k: result(c, k)))
+
+    return "named_struct(" + ", ".join(f"'{f.name}', {judged(f)}" for f in fields) + ")"
+
+
+def _values(members: str, fields: list[Field]) -> str:
+    return "named_struct(" + ", ".join(f"'{f.name}', {members}.{f.name}.value" for f in fields) + ")"
+
+
+def _all_fit(members: str, fields: list[Field]) -> str:
+    return " and ".join(f"{members}.{f.name}.error is null" for f in fields)
+
+
+def _element(value: str, inner: str) -> str:
+    """Typed list element, null where it does not fit."""
+    if inner not in NESTED:
+        return let_sql(_kind(value), lambda k: _coerced(value, k, inner))
+    fields = NESTED[inner]
+    members = let_sql(_members(value, fields), lambda m: f"if({_all_fit(m, fields)}, {_values(m, fields)}, null)")
+    return f"if({is_object_sql(value)}, {members}, null)"
+
+
+def _list(value: str, kind: str) -> str:
     """Typed array when ``value`` is an array whose every element fits; null otherwise."""
     inner = kind[len("list<"):-1]
-    items = _as(value, "array<variant>")
-    if inner in NESTED:
-        fields = NESTED[inner]
-        target = struct_type(fields)
-        # an element that does not fit becomes null and spoils the list
-        typed = F.transform(items, lambda e: let(e, lambda x: F.when(
-            F.coalesce(_nested(x, fields)[1], F.lit(False)), _nested(x, fields)[0].cast(target)
-        )))
-    else:
-        typed = F.transform(items, lambda e: _scalar(e, inner))
-    return let(typed, lambda t: F.when(F.forall(t, lambda x: x.isNotNull()), t))
-
-
-def gate(value: Column, doc_type: str) -> Column:
+    typed = f"transform({_as(value, 'array<variant>')}, e -> {_element('e', inner)})"
+    # an element that does not fit is null and spoils the list
+    return let_sql(typed, lambda t: f"if(forall({t}, y -> y is not null), {t}, null)")
+
+
+def gate_sql(value: str, doc_type: str) -> str:
     """Check a VARIANT object against a record type.
 
-    Returns ``struct<record, errors array<struct<field, error>>>``; ``record`` is null
-    when there is any error. Fields not in the type are ignored.
+    Gives ``struct<record, errors array<struct<field, error>>>``; ``record`` is null
+    when there is any error. Fields not in the type are ignored. Every member is read
+    and judged once; the bindings keep the expression from repeating itself.
     """
-    columns: list[Column] = []
-    errors: list[Column] = []
-    for f in RECORDS[doc_type]:
-        child = _get(value, f.name)
-        name = kind_of(child)
-        coerced = _list(child, f.kind) if f.kind.startswith("list<") else _scalar(child, f.kind)
-        if f.presence == "list":
-            coerced = F.when(name == "MISSING", F.array().cast(spark_type(f.kind))).otherwise(coerced)
-        columns.append(coerced.alias(f.name))
-        allowed_null = name.isin("MISSING", "VOID") if f.presence == "opt" else F.lit(False)
-        error = (
-            F.when(name == "MISSING", F.lit("missing")).when(name == "VOID", F.lit("null")).otherwise(F.lit("type"))
+    fields = RECORDS[doc_type]
+    target = record_type(doc_type).simpleString()
+
+    def fold(m: str) -> str:
+        errors = ", ".join(
+            f"if({m}.{f.name}.error is not null, named_struct('field', '{f.name}', 'error', {m}.{f.name}.error), null)"
+            for f in fields
         )
-        errors.append(F.when(
-            coerced.isNull() & ~allowed_null, F.struct(F.lit(f.name).alias("field"), error.alias("error"))
-        ))
-    target = record_type(doc_type)
-    return let(
-        F.struct(F.struct(*columns).cast(target).alias("record"), F.array_compact(F.array(*errors)).alias("errors")),
-        lambda g: F.struct(
-            F.when(F.size(g["errors"]) == 0, g["record"]).alias("record"), g["errors"].alias("errors")
-        ),
-    )
+        return (f"named_struct('record', if({_all_fit(m, fields)}, cast({_values(m, fields)} as {target}), null),"
+                f" 'errors', array_compact(array({errors})))")
+
+    return let_sql(value, lambda v: let_sql(_members(v, fields), fold))
+
+
+def clean_output(raw: str) -> Column:
+    return F.expr(clean_output_sql(raw))
+
+
+def parse_strict(cleaned: str) -> Column:
+    return F.expr(parse_strict_sql(cleaned))
+
+
+def is_object(value: str) -> Column:
+    return F.expr(is_object_sql(value))
+
+
+def gate(value: str, doc_type: str) -> Column:
+    return F.expr(gate_sql(value, doc_type))

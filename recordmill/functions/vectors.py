@@ -1,4 +1,4 @@
-"""Hashed bag-of-words vectors and cosine similarity as column expressions.
+"""Hashed bag-of-words vectors and cosine similarity.
 
 The default embedding counts the words of a chunk per hash bucket. Counts are
 left unscaled: cosine does not depend on the length of a vector, and whole
@@ -9,104 +9,141 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from recordmill.fixed import EMBEDDING_DIM
-from recordmill.functions.text import let, words
+from recordmill.functions.text import let_sql
 
+# scores closer than this many digits count as tied, so that units in the last
+# place never decide an order
 RANK_DIGITS = 9
+# words whose buckets a task remembers before it starts over
+_KNOWN_WORDS = 1_000_000
 
 
-def word_buckets(word_array: Column, dim: int = EMBEDDING_DIM) -> Column:
+def word_buckets_sql(words: str, dim: int = EMBEDDING_DIM) -> str:
     """Bucket of every word: first 32 bits of the md5 of its lower case, modulo ``dim``."""
-    return F.transform(
-        word_array,
-        lambda w: (F.conv(F.substring(F.md5(F.lower(w)), 1, 8), 16, 10).cast("bigint") % dim).cast("int"),
-    )
+    return f"transform({words}, w -> cast(cast(conv(substr(md5(lower(w)), 1, 8), 16, 10) as bigint) % {dim} as int))"
 
 
-def bucket_counts(buckets: Column) -> Column:
+def bucket_counts_sql(buckets: str) -> str:
     """``map<bucket, count>`` from run lengths of the sorted buckets, linear after the sort."""
 
-    def from_sorted(s: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(s) - 1),
-            lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)),
-        )
-        return let(starts, lambda p: F.map_from_arrays(
-            F.transform(p, lambda at: F.get(s, at)),
-            F.transform(p, lambda at, j: (F.coalesce(F.get(p, j + 1), F.size(s)) - at).cast("int")),
+    def from_sorted(s: str) -> str:
+        starts = f"filter(sequence(0, size({s}) - 1), i -> not (get({s}, i) <=> get({s}, i - 1)))"
+        return let_sql(starts, lambda p: (
+            f"map_from_arrays(transform({p}, at -> get({s}, at)),"
+            f" transform({p}, (at, j) -> coalesce(get({p}, j + 1), size({s})) - at))"
         ))
 
-    empty = F.expr("cast(map() as map<int,int>)")
-    return F.when(F.size(buckets) == 0, empty).otherwise(let(F.sort_array(buckets), from_sorted))
+    return let_sql(buckets, lambda b: (
+        f"if(size({b}) = 0, cast(map() as map<int,int>), {let_sql(f'sort_array({b})', from_sorted)})"))
+
+
+def _bucket(word: str, dim: int) -> int:
+    return int(hashlib.md5(word.lower().encode()).hexdigest()[:8], 16) % dim
+
+
+def hashed_matrix(texts: list[str | None], dim: int, known: dict[str, int]) -> np.ndarray:
+    """Word counts per bucket, one row per text. ``known`` remembers the buckets of words."""
+    matrix = np.zeros((len(texts), dim), dtype=np.float32)
+    for row, text in zip(matrix, texts):
+        buckets = []
+        for word in (text or "").split():
+            at = known.get(word)
+            if at is None:
+                if len(known) >= _KNOWN_WORDS:
+                    known.clear()
+                at = known[word] = _bucket(word, dim)
+            buckets.append(at)
+        if buckets:
+            row += np.bincount(buckets, minlength=dim)
+    return matrix
+
+
+def list_array(matrix: np.ndarray) -> pa.Array:
+    offsets = np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.reshape(-1)))
+
+
+def embed_hashed(text: str, dim: int = EMBEDDING_DIM) -> Column:
+    """``array<float>`` of length ``dim`` with the word counts of a text.
 
+    An Arrow UDF: hashing word by word in lambdas costs twenty times as much.
+    """
 
-def dense(counts: Column, dim: int = EMBEDDING_DIM) -> Column:
-    """``array<float>`` of length ``dim`` from bucket counts."""
-    return let(counts, lambda m: F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0)).cast("float"),
-    ))
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            yield list_array(hashed_matrix(batch.to_pylist(), dim, known))
 
+    udf = F.arrow_udf(vectors, "array<float>", F.ArrowUDFType.SCALAR_ITER)
+    return udf(F.expr(text))
 
-def embed_hashed(text: Column, dim: int = EMBEDDING_DIM) -> Column:
-    return dense(bucket_counts(word_buckets(words(text), dim)), dim)
 
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """Rows of a list column as a matrix of doubles; a null row becomes zeros."""
+    if column.null_count:
+        width = len(next((v for v in column if v.is_valid), []))
+        column = pa.array([v if v is not None else [0.0] * width for v in column.to_pylist()], type=column.type)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-        F.lit(0.0), lambda acc, x: acc + x,
-    )
 
+def cosine_matrix(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Cosine of every row with every query, NaN where either is zero."""
+    scale = np.outer(np.linalg.norm(rows, axis=1), np.linalg.norm(queries, axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(scale > 0, (rows @ queries.T) / scale, np.nan)
 
-def norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(
-        a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")
-    ))
 
+def norm_sql(a: str) -> str:
+    return f"sqrt(aggregate({a}, 0D, (acc, x) -> acc + cast(x as double) * cast(x as double)))"
 
-def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
-    """Cosine similarity in doubles; null when either vector is zero."""
-    na = norm(a) if norm_a is None else norm_a
-    nb = norm(b) if norm_b is None else norm_b
-    return F.try_divide(dot(a, b), na * nb)
+
+def norm(a: str) -> Column:
+    return F.expr(norm_sql(a))
+
+
+def cosine(a: str, b: str) -> Column:
+    """Cosine similarity of two vector columns in doubles; null when either is zero."""
+
+    def pairs(left: pa.Array, right: pa.Array) -> pa.Array:
+        x, y = matrix_of(left), matrix_of(right)
+        scale = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scores = np.einsum("ij,ij->i", x, y) / scale
+        return pa.array(scores, mask=scale == 0)
+
+    return F.arrow_udf(pairs, "double")(F.expr(a), F.expr(b))
 
 
 def query_counts(text: str, dim: int = EMBEDDING_DIM) -> Counter:
     """Bucket counts of a query text known when the plan is built."""
-    return Counter(
-        int(hashlib.md5(w.lower().encode()).hexdigest()[:8], 16) % dim for w in text.split()
-    )
+    return Counter(_bucket(w, dim) for w in text.split())
 
 
-def query_literal(texts: list[str], dim: int = EMBEDDING_DIM) -> Column:
+def query_literal_sql(texts: list[str], dim: int = EMBEDDING_DIM) -> str:
     """Queries as a constant ``array<struct<buckets, counts, norm>>``."""
     rows = []
     for text in texts:
         counts = query_counts(text, dim)
         keys = sorted(counts)
-        rows.append(F.struct(
-            F.array(*[F.lit(k) for k in keys]).alias("buckets"),
-            F.array(*[F.lit(counts[k]) for k in keys]).alias("counts"),
-            F.sqrt(F.lit(float(sum(c * c for c in counts.values())))).alias("norm"),
-        ))
-    return F.array(*rows)
-
-
-def sparse_scores(counts: Column, queries: Column) -> Column:
-    """Cosine of one chunk's bucket counts with each query of ``query_literal``."""
-    own = F.sqrt(F.aggregate(
-        F.map_values(counts), F.lit(0.0), lambda acc, c: acc + c.cast("double") * c.cast("double")
-    ))
-    return let(own, lambda n: F.transform(queries, lambda q: F.aggregate(
-        F.zip_with(
-            q["buckets"], q["counts"],
-            lambda b, c: F.coalesce(F.try_element_at(counts, b), F.lit(0)).cast("double") * c.cast("double"),
-        ),
-        F.lit(0.0), lambda acc, x: acc + x,
-        lambda acc: F.round(F.try_divide(acc, n * q["norm"]), RANK_DIGITS),
-    )))
+        squares = float(sum(c * c for c in counts.values()))
+        rows.append(
+            f"named_struct('buckets', array({', '.join(map(str, keys))}),"
+            f" 'counts', array({', '.join(str(counts[k]) for k in keys)}), 'norm', sqrt({squares}D))"
+        )
+    return f"array({', '.join(rows)})"
+
+
+def sparse_scores_sql(counts: str, queries: str) -> str:
+    """Cosine of one chunk's bucket counts with each query, to ``RANK_DIGITS`` digits."""
+    dot = (f"aggregate(zip_with(q.buckets, q.counts, (b, c) -> cast(coalesce(try_element_at({counts}, b), 0) as double)"
+           f" * cast(c as double)), 0D, (acc, x) -> acc + x)")
+    return let_sql(norm_sql(f"map_values({counts})"), lambda own: (
+        f"transform({queries}, q -> round(try_divide({dot}, {own} * q.norm), {RANK_DIGITS}))"))

@@ -6,38 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordmill.fixed import CHUNK_OVERLAP, CHUNK_WORDS, LONG_DOCUMENT_WORDS
-from recordmill.functions.text import let, py_round, word_count, words
+from recordmill.functions.text import let_sql, py_round, word_count, words_sql
 
 
-def chunk_total(n_words: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> Column:
+def chunk_total_sql(n_words: str, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> str:
     """Number of chunks of a text with ``n_words`` words; none for no words."""
     step = size - overlap
-    return (
-        F.when(n_words == 0, F.lit(0))
-        .when(n_words <= size, F.lit(1))
-        .otherwise(F.ceil((n_words - size) / F.lit(step)) + 1)
-        .cast("int")
-    )
+    return (f"cast(case when {n_words} = 0 then 0 when {n_words} <= {size} then 1"
+            f" else ceil(({n_words} - {size}) / {step}D) + 1 end as int)")
 
 
-def slice_words(word_array: Column, index: Column, size: int, overlap: int) -> Column:
-    return F.slice(word_array, index * F.lit(size - overlap) + 1, F.lit(size))
+def slice_sql(word_array: str, index: str, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> str:
+    """Words of chunk ``index``, counted from 0."""
+    return f"slice({word_array}, {index} * {size - overlap} + 1, {size})"
 
 
-def chunk_array(text: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> Column:
+def chunk_array(text: str, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> Column:
     """All chunks of a text as ``array<struct<text, word_count>>``; the text is split once."""
 
-    def cut(w: Column) -> Column:
-        total = chunk_total(F.size(w), size, overlap)
-        return F.when(F.size(w) > 0, F.transform(
-            F.sequence(F.lit(0), total - 1),
-            lambda i: F.struct(
-                F.array_join(slice_words(w, i, size, overlap), " ").alias("text"),
-                F.least(F.lit(size), F.size(w) - i * F.lit(size - overlap)).cast("bigint").alias("word_count"),
-            ),
-        ))
+    def cut(w: str) -> str:
+        total = chunk_total_sql(f"size({w})", size, overlap)
+        length = f"cast(least({size}, size({w}) - i * {size - overlap}) as bigint)"
+        return (f"if(size({w}) > 0, transform(sequence(0, {total} - 1), i -> named_struct("
+                f"'text', array_join({slice_sql(w, 'i', size, overlap)}, ' '), 'word_count', {length})), null)")
 
-    return let(words(text), cut)
+    return F.expr(let_sql(words_sql(text), cut))
 
 
 def chunk_documents(
@@ -51,13 +44,14 @@ def chunk_documents(
         raise ValueError("overlap must be at least 0 and below size")
     cut = docs.select(
         *[F.coalesce(F.col("filename"), F.lit("unknown")).alias("filename")], *keep,
-        chunk_array(F.col("text"), size, overlap).alias("_chunks"),
+        chunk_array("text", size, overlap).alias("_chunks"),
     )
-    # posexplode drops the null arrays of blank documents
+    # the outer form, since for the inner one the optimizer adds a size filter that
+    # would cut every document a second time; blank documents give a null position
     exploded = cut.select(
         "filename", *keep, F.size("_chunks").cast("bigint").alias("total_chunks"),
-        F.posexplode("_chunks").alias("_pos", "_chunk"),
-    )
+        F.posexplode_outer("_chunks").alias("_pos", "_chunk"),
+    ).filter("_pos is not null")
     return exploded.select(
         F.concat("filename", F.lit("_chunk_"), F.col("_pos").cast("string")).alias("chunk_id"),
         "filename", *keep, F.col("_pos").cast("bigint").alias("chunk_index"), "total_chunks",
@@ -80,9 +74,9 @@ def chunk_summary(chunks: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHU
 def route(docs: DataFrame, threshold: int = LONG_DOCUMENT_WORDS, override: bool | None = None) -> DataFrame:
     """Add ``word_count`` and ``use_retrieval`` (strictly above the threshold, unless overridden)."""
     long = F.col("word_count") > threshold if override is None else F.lit(override)
-    return docs.withColumn("word_count", word_count(F.col("text"))).withColumn("use_retrieval", long)
+    return docs.withColumn("word_count", word_count("text")).withColumn("use_retrieval", long)
 
 
-def reduction_percent(before: Column, after: Column) -> Column:
-    share = F.lit(1.0) - after / F.greatest(before, F.lit(1))
-    return py_round(share * 100, 0).cast("bigint")
+def reduction_percent(before: str, after: str) -> Column:
+    """Whole percent of words saved."""
+    return py_round(f"((1.0D - {after} / greatest({before}, 1)) * 100)", 0).cast("bigint")

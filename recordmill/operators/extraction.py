@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordmill import fixed
-from recordmill.functions.record_json import clean_output, gate, is_object, parse_strict
-from recordmill.schemas import DOC_TYPES, RECORDS, record_type, type_label
+from recordmill.functions.record_json import clean_output_sql, gate, is_object, parse_strict
+from recordmill.schemas import DOC_TYPES, RECORDS, type_label
 
 # takes the prompts of one batch, returns (output, prompt tokens, completion tokens) for each
 Model = Callable[[list[tuple[str, str]]], list[tuple[str, int, int]]]
@@ -87,11 +87,11 @@ def with_outcome(responses: DataFrame) -> DataFrame:
     record type (set for ok rows of that type), ``schema_errors`` and ``token_usage``.
     A failed call, a failed gate and JSON that is no object count no tokens.
     """
-    parsed = responses.withColumn("_json", parse_strict(clean_output(F.col("raw_output"))))
-    parsed = parsed.withColumn("_object", is_object(F.col("_json")))
+    parsed = responses.withColumn("_json", parse_strict(clean_output_sql("raw_output")))
+    parsed = parsed.withColumn("_object", is_object("_json"))
     json_null = F.coalesce(F.schema_of_variant("_json") == "VOID", F.lit(False))
     gated = parsed.withColumns({
-        f"_{t}": F.when((F.col("doc_type") == t) & F.col("_object"), gate(F.col("_json"), t)) for t in DOC_TYPES
+        f"_{t}": F.when((F.col("doc_type") == t) & F.col("_object"), gate("_json", t)) for t in DOC_TYPES
     })
     errors = F.coalesce(*[F.col(f"_{t}.errors") for t in DOC_TYPES])
     any_record = F.coalesce(*[F.col(f"_{t}.record").isNotNull() for t in DOC_TYPES], F.lit(False))
@@ -119,12 +119,6 @@ def with_outcome(responses: DataFrame) -> DataFrame:
     )
 
 
-def extraction_json(row_types: tuple[str, ...] = DOC_TYPES) -> Column:
+def extraction_json() -> Column:
     """The record of the row as JSON text, nulls kept."""
-    options = {"ignoreNullFields": "false"}
-    return F.coalesce(*[F.to_json(F.col(t), options) for t in row_types])
-
-
-__all__ = [
-    "schema_text", "user_prompt", "with_prompts", "infer", "replay", "with_outcome", "extraction_json", "record_type",
-]
+    return F.coalesce(*[F.to_json(F.col(t), {"ignoreNullFields": "false"}) for t in DOC_TYPES])

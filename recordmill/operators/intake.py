@@ -34,10 +34,10 @@ def canonical_type(doc_type: Column) -> Column:
     return result
 
 
-def reject_reason(filename: Column, text: Column, doc_type: Column, content: Column | None = None) -> Column:
+def reject_reason(filename: Column, text: str, doc_type: Column, content: Column | None = None) -> Column:
     """First reason to reject a document, null to take it. Order: extension, encoding, blank, type.
 
-    A null ``filename`` means the text was submitted directly.
+    A null ``filename`` means the text was submitted directly. ``text`` names a column.
     """
     readable = F.lit(True) if content is None else valid_utf8(content)
     return (

@@ -14,11 +14,12 @@ from recordmill.fixed import (
     CATALOGS, CHUNK_OVERLAP, CHUNK_WORDS, CONTEXT_SEPARATOR, CONTEXT_TOP_K, EMBEDDING_DIM,
     RUN_SEPARATOR, RUN_TOP_K,
 )
-from recordmill.functions.text import let, words
+from recordmill.functions.text import let_sql, quote, words_sql
 from recordmill.functions.vectors import (
-    RANK_DIGITS, bucket_counts, cosine, embed_hashed, norm, query_literal, sparse_scores, word_buckets,
+    RANK_DIGITS, bucket_counts_sql, cosine, cosine_matrix, embed_hashed, matrix_of, query_literal_sql,
+    sparse_scores_sql, word_buckets_sql,
 )
-from recordmill.operators.chunking import chunk_total, slice_words
+from recordmill.operators.chunking import chunk_total_sql, slice_sql
 from recordmill.session import scratch_path, small_table
 
 # queries held by one task at a time: 1,024 x 384 doubles are 3 MB
@@ -30,7 +31,7 @@ Embedder = Callable[[Column], Column]
 def embed(rows: DataFrame, embedder: Embedder | None = None, text: str = "text",
           dim: int = EMBEDDING_DIM) -> DataFrame:
     """Add ``embedding``. ``embedder`` may be a scalar pandas UDF around a real model."""
-    vector = embed_hashed(F.col(text), dim) if embedder is None else embedder(F.col(text))
+    vector = embed_hashed(text, dim) if embedder is None else embedder(F.col(text))
     return rows.withColumn("embedding", vector)
 
 
@@ -72,26 +73,50 @@ def _keep_top(scored: DataFrame, keys: list[str], k: int, tie: str) -> DataFrame
     )
 
 
+def _collect_queries(queries: DataFrame, block: int) -> list | None:
+    """The queries when there are at most ``block``, else None."""
+    rows = queries.limit(block + 1).collect()
+    return rows if len(rows) <= block else None
+
+
 def search_within(
     vectors: DataFrame, queries: DataFrame, k: int = CONTEXT_TOP_K, on: str = "filename",
-    embedder: Embedder | None = None, carry: tuple[str, ...] = ("text", "word_count"),
+    embedder: Embedder | None = None, carry: tuple[str, ...] = ("text", "word_count"), block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Best ``k`` chunks per document and query of the document's type.
 
     ``vectors``: ``filename, doc_type, chunk_id, chunk_index, embedding`` and ``carry``.
-    ``queries``: ``doc_type, query_no, query_text``.
+    ``queries``: ``doc_type, query_no, query_text``. Up to ``block`` queries travel with
+    the tasks, which score a chunk against its type's queries at once; beyond that the
+    queries are joined on the type.
     """
-    q = embed(queries, embedder, "query_text").select(
-        F.col("doc_type"), "query_no", F.col("embedding").alias("_query"),
-    ).withColumn("_query_norm", norm(F.col("_query")))
-    v = vectors.withColumn("_norm", norm(F.col("embedding")))
-    score = cosine(F.col("embedding"), F.col("_query"), F.col("_norm"), F.col("_query_norm"))
-    scored = v.join(q, "doc_type").select(
-        on, "doc_type", "query_no", "chunk_id", "chunk_index", *carry, score.alias("_score"),
-    )
+    asked = embed(queries, embedder, "query_text").select("doc_type", "query_no", "embedding")
+    kept = [on, "doc_type", "chunk_id", "chunk_index", *carry]
+    small = _collect_queries(asked, block)
+    if small is None:
+        pairs = vectors.join(asked.withColumnRenamed("embedding", "_query"), "doc_type")
+        scored = pairs.select(*kept, "query_no", cosine("embedding", "_query").alias("_score"))
+    else:
+        by_type: dict[str, tuple[list[int], np.ndarray]] = {}
+        for doc_type in {r["doc_type"] for r in small}:
+            own = [r for r in small if r["doc_type"] == doc_type]
+            by_type[doc_type] = (
+                [r["query_no"] for r in own], np.array([r["embedding"] for r in own], dtype=np.float64))
+
+        def score(embedding: pa.Array, doc_type: pa.Array) -> pa.Array:
+            matrix, types = matrix_of(embedding), np.array(doc_type.to_pylist(), dtype=object)
+            cells: list[list | None] = [None] * len(types)
+            for name, (numbers, wanted) in by_type.items():
+                at = np.flatnonzero(types == name)
+                for row, scores in zip(at, cosine_matrix(matrix[at], wanted).tolist()):
+                    cells[row] = [{"query_no": n, "score": s} for n, s in zip(numbers, scores)]
+            return pa.array(cells, type=pa.list_(pa.struct([("query_no", pa.int64()), ("score", pa.float64())])))
+
+        scorer = F.arrow_udf(score, "array<struct<query_no: bigint, score: double>>")
+        hits = vectors.select(*kept, F.inline_outer(scorer("embedding", "doc_type")).alias("query_no", "_score"))
+        scored = hits.withColumn("_score", F.when(~F.isnan("_score"), F.col("_score")))
     scored = scored.select(
-        *[c for c in scored.columns if c != "_score"],
-        F.round("_score", 4).alias("score"), _rank_key(F.col("_score")).alias("_key"),
+        *kept, "query_no", F.round("_score", 4).alias("score"), _rank_key(F.col("_score")).alias("_key"),
     )
     return _keep_top(scored, [on, "query_no"], k, "chunk_index")
 
@@ -100,17 +125,12 @@ def _best_in_task(ids: list, matrix: np.ndarray, k: int, id_column: str) -> Call
     """Running best ``k`` per query over the Arrow batches of one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_norm = np.linalg.norm(matrix, axis=1)
         best: list[list] = [[] for _ in ids]
         for batch in batches:
             column = batch.column("embedding")
             if not len(column):
                 continue
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            block = flat.reshape(len(column), -1)
-            scale = np.outer(np.linalg.norm(block, axis=1), query_norm)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scores = np.where(scale > 0, (block @ matrix.T) / scale, np.nan)
+            scores = cosine_matrix(matrix_of(column), matrix)
             keys = np.round(scores, RANK_DIGITS)
             names = batch.column(id_column)
             for q in range(len(ids)):
@@ -204,40 +224,35 @@ def relevant_context(
 
 
 def context_of(
-    text: Column, doc_type: Column, catalog: str = "run", k: int = RUN_TOP_K,
+    text: str, doc_type: str, catalog: str = "run", k: int = RUN_TOP_K,
     separator: str = RUN_SEPARATOR, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP,
     dim: int = EMBEDDING_DIM,
 ) -> Column:
     """``relevant_context`` (deduped by text) with the hashed embedding, within the row.
 
     A document's chunks all come from its own row, so chunking, scoring, top-k and
-    joining need neither a join nor an exchange.
+    joining need neither a join nor an exchange. ``text`` and ``doc_type`` name columns.
     """
     lists = CATALOGS[catalog]
-    queries = F.lit(None)
-    for name, texts in lists.items():
-        if name != "unknown":
-            queries = F.when(doc_type == name, query_literal(texts, dim)).otherwise(queries)
-    queries = F.coalesce(queries, query_literal(lists["unknown"], dim))
-
-    def pick(w: Column, b: Column, q: Column) -> Column:
-        total = chunk_total(F.size(w), size, overlap)
-        scored = F.transform(
-            F.sequence(F.lit(0), total - 1),
-            lambda i: let(bucket_counts(slice_words(b, i, size, overlap)), lambda m: sparse_scores(m, q)),
-        )
+    branches = " ".join(
+        f"when '{name}' then {query_literal_sql(texts, dim)}" for name, texts in lists.items() if name != "unknown"
+    )
+    queries = f"case {doc_type} {branches} else {query_literal_sql(lists['unknown'], dim)} end"
+
+    def pick(w: str, b: str, q: str) -> str:
+        counts = bucket_counts_sql(slice_sql(b, "i", size, overlap))
+        scored = (f"transform(sequence(0, {chunk_total_sql(f'size({w})', size, overlap)} - 1),"
+                  f" i -> {let_sql(counts, lambda m: sparse_scores_sql(m, q))})")
 
-        def best(scores: Column) -> Column:
-            per_query = F.transform(F.sequence(F.lit(0), F.size(q) - 1), lambda n: F.slice(
-                F.array_sort(F.filter(
-                    F.transform(scores, lambda s, i: F.struct((-F.get(s, n)).alias("key"), i.alias("at"))),
-                    lambda c: c["key"].isNotNull(),
-                )), 1, k,
-            ))
-            chosen = F.array_sort(F.array_distinct(F.transform(F.flatten(per_query), lambda c: c["at"])))
-            texts = F.transform(chosen, lambda i: F.array_join(slice_words(w, i, size, overlap), " "))
-            return F.array_join(F.array_distinct(texts), separator)
+        def best(scores: str) -> str:
+            ranked = (f"array_sort(filter(transform({scores}, (s, at) -> named_struct('key', -get(s, n), 'at', at)),"
+                      f" c -> c.key is not null))")
+            per_query = f"transform(sequence(0, size({q}) - 1), n -> slice({ranked}, 1, {k}))"
+            chosen = f"array_sort(array_distinct(transform(flatten({per_query}), c -> c.at)))"
+            texts = f"transform({chosen}, i -> array_join({slice_sql(w, 'i', size, overlap)}, ' '))"
+            return f"array_join(array_distinct({texts}), {quote(separator)})"
 
-        return F.when(F.size(w) == 0, F.lit("")).otherwise(let(scored, best))
+        return f"if(size({w}) = 0, '', {let_sql(scored, best)})"
 
-    return let(words(text), lambda w: let(word_buckets(w, dim), lambda b: let(queries, lambda q: pick(w, b, q))))
+    return F.expr(let_sql(words_sql(text), lambda w: let_sql(
+        word_buckets_sql(w, dim), lambda b: let_sql(queries, lambda q: pick(w, b, q)))))

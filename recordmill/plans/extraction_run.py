@@ -27,7 +27,7 @@ def with_context(docs: DataFrame, threshold: int = fixed.LONG_DOCUMENT_WORDS, ov
     """
     routed = route(docs, threshold, override)
     if embedder is None:
-        found = context_of(F.col("text"), F.col("doc_type"))
+        found = context_of("text", "doc_type")
         return routed.withColumn("context", F.when(F.col("use_retrieval"), found).otherwise(F.col("text")))
     long = routed.filter("use_retrieval").select(F.col("doc_id").alias("filename"), "doc_type", "text")
     vectors = embed(chunk_documents(long, keep=("doc_type",)), embedder)
@@ -57,10 +57,10 @@ def run(
         raise ValueError("give either responses or make_model")
     content = F.col("content") if "content" in docs.columns else None
     taken = docs.withColumn(
-        "_reason", reject_reason(F.col("filename"), F.col("text"), F.col("doc_type"), content)
+        "_reason", reject_reason(F.col("filename"), "text", F.col("doc_type"), content)
     )
     ready = with_context(taken, threshold, None, embedder).withColumn(
-        "context_words", F.when(F.col("use_retrieval"), word_count(F.col("context"))).otherwise(F.col("word_count"))
+        "context_words", F.when(F.col("use_retrieval"), word_count("context")).otherwise(F.col("word_count"))
     )
     if make_model is not None:
         prompts = with_prompts(ready.filter("_reason is null").select("doc_id", "doc_type", "context"))
@@ -77,7 +77,7 @@ def run(
 def envelope(judged: DataFrame, run_id: str, timestamp: str, provider: str = fixed.DEFAULT_PROVIDER) -> DataFrame:
     """Validate, score and price gated rows and lay them out as results."""
     ok = (F.col("outcome") == "ok") & F.col("_reason").isNull()
-    records = {t: F.col(t) for t in DOC_TYPES}
+    records = {t: t for t in DOC_TYPES}
     tokens = F.when(F.col("_reason").isNull(), F.col("token_usage")).otherwise(F.struct(
         *[F.lit(0).cast("bigint").alias(n) for n in ("prompt_tokens", "completion_tokens", "total_tokens")]
     ))
@@ -91,10 +91,10 @@ def envelope(judged: DataFrame, run_id: str, timestamp: str, provider: str = fix
         F.when(ok, F.lit("success")).otherwise(F.lit("failed")).alias("status"),
         F.when(F.col("_reason").isNotNull(), reason).when(~ok, F.lit(fixed.EXTRACTION_FAILED)).alias("error"),
         F.when(ok, extraction_json()).alias("extraction"),
-        F.when(ok, validate_any(F.col("doc_type"), records)).alias("validation"),
-        F.when(ok, score_any(F.col("doc_type"), records)).alias("confidence"),
+        F.when(ok, validate_any("doc_type", records)).alias("validation"),
+        F.when(ok, score_any("doc_type", records)).alias("confidence"),
         "token_usage",
-        cost(F.col("token_usage.prompt_tokens"), F.col("token_usage.completion_tokens"), provider).alias("cost_usd"),
+        cost("token_usage.prompt_tokens", "token_usage.completion_tokens", provider).alias("cost_usd"),
         "use_retrieval", "context_words", F.lit(run_id).alias("run_id"),
     )
 
@@ -105,5 +105,5 @@ def reprice(results: DataFrame, run_id: str, timestamp: str, provider: str) -> D
     return results.withColumns({
         "run_id": F.lit(run_id), "ts": F.to_timestamp(F.lit(timestamp)), "provider": F.lit(provider),
         "model": F.lit(model),
-        "cost_usd": cost(F.col("token_usage.prompt_tokens"), F.col("token_usage.completion_tokens"), provider),
+        "cost_usd": cost("token_usage.prompt_tokens", "token_usage.completion_tokens", provider),
     })

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from recordmill import fixed
 from recordmill.functions.costs import priced, providers
-from recordmill.functions.rules import failed_check_names
-from recordmill.functions.scoring import bar
-from recordmill.functions.text import py_float, py_round
+from recordmill.functions.rules import failed_check_names, failed_check_names_sql
+from recordmill.functions.scoring import bar, bar_sql
+from recordmill.functions.text import py_float, py_float_sql, py_round, quote
 
 # averages have one decimal and costs six: whole tenths and micros add up to the
 # same total in every task order
@@ -41,10 +41,9 @@ def batch_summary(results: DataFrame) -> DataFrame:
         _whole(F.sum("token_usage.total_tokens")).alias("total_tokens"),
         _total_micros().alias("_micros"),
     )
-    mean = (F.col("_tenths") / F.lit(10.0)) / F.greatest("successful", F.lit(1))
     return row.select(
         "total", "successful", (F.col("total") - F.col("successful")).alias("failed"), "validation_passed",
-        "needs_review", py_round(mean, 1).alias("avg_confidence"), "prompt_tokens", "completion_tokens",
+        "needs_review", py_round("((_tenths / 10D) / greatest(successful, 1))", 1).alias("avg_confidence"), "prompt_tokens", "completion_tokens",
         "total_tokens", (F.col("_micros") / F.lit(_MILLION)).alias("total_cost"),
     )
 
@@ -58,19 +57,18 @@ def report_summary(results: DataFrame) -> DataFrame:
         F.count_if(F.col("confidence.needs_human_review")).alias("needs_review"),
         _total_tenths().alias("_tenths"), F.count("confidence.avg_confidence").alias("_scored"),
     )
-    mean = F.when(F.col("_scored") > 0, py_round((F.col("_tenths") / F.lit(10.0)) / F.col("_scored"), 1))
     ratio = lambda c: F.concat(F.col(c).cast("string"), F.lit("/"), F.col("total").cast("string"))
     return row.select(
         "total", "successful", (F.col("total") - F.col("successful")).alias("failed"),
         ratio("validation_passed").alias("validation_ratio"), ratio("needs_review").alias("review_ratio"),
-        F.coalesce(mean, F.lit(0.0)).alias("avg_confidence"),
+        py_round("((_tenths / 10D) / greatest(_scored, 1))", 1).alias("avg_confidence"),
     )
 
 
 def per_document(results: DataFrame) -> DataFrame:
     failed = F.col("status") != "success"
     yes_no = lambda c: F.when(F.coalesce(F.col(c), F.lit(False)), F.lit("Yes")).otherwise(F.lit("No"))
-    shown = F.concat(py_float(F.col("confidence.avg_confidence")), F.lit("%"))
+    shown = F.concat(py_float("confidence.avg_confidence"), F.lit("%"))
     return results.select(
         "filename", "doc_type", yes_no("validation.passed").alias("valid"),
         F.coalesce(shown, F.lit("N/A")).alias("confidence"),
@@ -105,7 +103,7 @@ def field_score_rows(results: DataFrame) -> DataFrame:
     return rows.select(
         "filename", "doc_type", F.col("_pos").cast("bigint").alias("field_no"), "field",
         F.col("score").cast("bigint").alias("score"),
-        (F.col("score") < fixed.REVIEW_BELOW).alias("flagged"), bar(F.col("score")).alias("bar"),
+        (F.col("score") < fixed.REVIEW_BELOW).alias("flagged"), bar("score").alias("bar"),
     )
 
 
@@ -118,38 +116,32 @@ def review_queue(results: DataFrame) -> DataFrame:
 
 def failed_checks(results: DataFrame) -> DataFrame:
     return results.filter("not validation.passed").select(
-        "filename", "doc_type", failed_check_names(F.col("validation")).alias("failed_checks")
+        "filename", "doc_type", failed_check_names("validation").alias("failed_checks")
     )
 
 
-def _advice() -> Column:
+def _advice_sql() -> str:
     """Recommendations of one result row, in rule order."""
-    flagged = lambda f: F.coalesce(
-        F.map_contains_key("confidence.flagged_fields", F.lit(f)), F.lit(False))
-    name = F.col("filename")
-    mean = F.col("confidence.avg_confidence")
-    return F.array_compact(F.array(
-        F.when((F.col("doc_type") == "invoice") & flagged("invoice_number"), F.concat(
-            F.lit("[WARN] "), name, F.lit(": No invoice number found. "
-                                          "Ask sender to include invoice number for tracking."))),
-        F.when(flagged("date"), F.concat(
-            F.lit("[WARN] "), name, F.lit(": No date found. "
-                                          "Date is important for payment tracking and compliance."))),
-        F.when(mean < 60, F.concat(
-            F.lit("[CRIT] "), name, F.lit(": Low confidence ("), py_float(mean),
-            F.lit("%). Manual review strongly recommended."))),
-        F.when(~F.col("validation.passed"), F.concat(
-            F.lit("[FIX] "), name, F.lit(": Validation failed on: "), failed_check_names(F.col("validation")))),
-        F.when((F.col("doc_type") == "email") & flagged("body"), F.concat(
-            F.lit("[FIX] "), name, F.lit(": Email body not extracted. "
-                                         "Consider improving extraction prompt for emails."))),
-    ))
+    flagged = lambda f: f"coalesce(map_contains_key(confidence.flagged_fields, '{f}'), false)"
+    mean = "confidence.avg_confidence"
+    rules = [
+        (f"doc_type = 'invoice' and {flagged('invoice_number')}",
+         "'[WARN] ', filename, ': No invoice number found. Ask sender to include invoice number for tracking.'"),
+        (flagged("date"), "'[WARN] ', filename, ': No date found. Date is important for payment tracking and compliance.'"),
+        (f"{mean} < 60",
+         f"'[CRIT] ', filename, ': Low confidence (', {py_float_sql(mean)}, '%). Manual review strongly recommended.'"),
+        ("not validation.passed",
+         f"'[FIX] ', filename, ': Validation failed on: ', {failed_check_names_sql('validation')}"),
+        (f"doc_type = 'email' and {flagged('body')}",
+         "'[FIX] ', filename, ': Email body not extracted. Consider improving extraction prompt for emails.'"),
+    ]
+    return "array_compact(array(" + ", ".join(f"if({test}, concat({text}), null)" for test, text in rules) + "))"
 
 
 def recommendations(results: DataFrame) -> DataFrame:
     """What to do about each document, numbered in rule order."""
     return results.filter("confidence is not null").select(
-        "filename", F.posexplode(_advice()).alias("_pos", "recommendation")
+        "filename", F.posexplode(F.expr(_advice_sql())).alias("_pos", "recommendation")
     ).select("filename", (F.col("_pos") + 1).cast("bigint").alias("rule_order"), "recommendation")
 
 
@@ -159,21 +151,21 @@ def cost_compare(results: DataFrame) -> DataFrame:
     paid = providers(results.sparkSession).filter((~F.col("free")) & (F.col("key") != fixed.FALLBACK_PROVIDER))
     # both sides are tiny by construction: a global aggregate and the price list
     rows = paid.withColumn("_one", F.lit(1)).join(summary.withColumn("_one", F.lit(1)), "_one")
-    run_cost = priced(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("input"), F.col("output"))
+    run_cost = priced("prompt_tokens", "completion_tokens", "input", "output")
     return rows.withColumn("run_cost", run_cost).select(
         "position", "key", "name", "run_cost",
-        py_round(F.col("run_cost") / F.greatest("successful", F.lit(1)), 6).alias("cost_per_doc"),
+        py_round("(run_cost / greatest(successful, 1))", 6).alias("cost_per_doc"),
     )
 
 
 def cost_projection(results: DataFrame) -> DataFrame:
     """Cost per document, per 1,000 and per 10,000, each from the rounded cost per document."""
     summary = batch_summary(results)
-    each = py_round(F.col("total_cost") / F.greatest("successful", F.lit(1)), 6)
+    each = py_round("(total_cost / greatest(successful, 1))", 6)
     return summary.select("successful", "total_cost", each.alias("cost_per_doc")).select(
         "total_cost", "cost_per_doc",
-        py_round(F.col("cost_per_doc") * 1000, 4).alias("cost_per_1000"),
-        py_round(F.col("cost_per_doc") * 10000, 2).alias("cost_per_10000"),
+        py_round("(cost_per_doc * 1000)", 4).alias("cost_per_1000"),
+        py_round("(cost_per_doc * 10000)", 2).alias("cost_per_10000"),
     )
 
 
@@ -187,6 +179,7 @@ def cost_flat_estimate(results: DataFrame) -> DataFrame:
 
 
 _RULE = "─" * 65
+_LINE = "struct<section:int,line_no:int,line:string>"
 SECTIONS = {
     1: "OVERALL STATISTICS", 2: "PER-DOCUMENT BREAKDOWN", 3: "FIELD-LEVEL CONFIDENCE SCORES",
     4: "FIELDS FLAGGED FOR HUMAN REVIEW", 5: "RECOMMENDATIONS", 6: "COST ANALYSIS",
@@ -199,65 +192,53 @@ def report_lines(results: DataFrame) -> DataFrame:
     All lines of a document come from one pass over its row. Sorting by the first
     three columns gives the report; headings have an empty ``filename``.
     """
-    line = lambda section, n, text: F.struct(
-        F.lit(section).alias("section"), F.lit(n).cast("int").alias("line_no") if isinstance(n, int)
-        else n.cast("int").alias("line_no"), text.alias("line"))
-    name, mean = F.col("filename"), F.col("confidence.avg_confidence")
-    mark = lambda c: F.when(F.coalesce(F.col(c), F.lit(False)), F.lit("Yes")).otherwise(F.lit("No"))
-    row = F.concat(
-        F.rpad(name, F.greatest(F.length(name), F.lit(25)), F.lit(" ")), F.lit(" "), F.rpad("doc_type", 10, " "),
-        F.lit(" "), F.rpad(mark("validation.passed"), 8, " "), F.lit(" "),
-        F.rpad(F.coalesce(F.concat(py_float(mean), F.lit("%")), F.lit("N/A")), 8, " "), F.lit(" "),
-        mark("confidence.needs_human_review"),
-        F.when(F.col("status") == "success", F.lit("")).otherwise(F.lit(" [FAILED]")),
-    )
-    scores = F.transform(F.map_entries("confidence.field_scores"), lambda e, i: line(3, i + 2, F.concat(
-        F.lit("   "), F.when(e["value"] < fixed.REVIEW_BELOW, F.lit("! ")).otherwise(F.lit("  ")),
-        F.rpad(e["key"], 20, " "), F.lit(" "), bar(e["value"]), F.lit(" "), e["value"].cast("string"), F.lit("%"),
-    )))
-    flags = F.transform(F.map_entries("confidence.flagged_fields"), lambda e, i: line(4, i + 2, F.concat(
-        F.lit("   "), e["key"], F.lit(": "), e["value"].cast("string"),
-        F.lit("% confidence — needs manual verification"),
-    )))
-    advice = F.transform(_advice(), lambda a, i: line(5, i + 1, F.concat(F.lit("  "), a)))
-    scored = F.col("confidence").isNotNull()
-    head = lambda section, text, keep: F.when(keep, F.array(line(section, 1, text)))
+    mean = "confidence.avg_confidence"
+    mark = lambda c: f"if(coalesce({c}, false), 'Yes', 'No')"
+    line = lambda section, n, text: f"named_struct('section', {section}, 'line_no', cast({n} as int), 'line', {text})"
+    row = (f"concat(rpad(filename, greatest(length(filename), 25), ' '), ' ', rpad(doc_type, 10, ' '), ' ',"
+           f" rpad({mark('validation.passed')}, 8, ' '), ' ', rpad(coalesce(concat({py_float_sql(mean)}, '%'), 'N/A'), 8, ' '),"
+           f" ' ', {mark('confidence.needs_human_review')}, if(status = 'success', '', ' [FAILED]'))")
+    score = (f"concat('   ', if(e.value < {fixed.REVIEW_BELOW}, '! ', '  '), rpad(e.key, 20, ' '), ' ',"
+             f" {bar_sql('e.value')}, ' ', cast(e.value as string), '%')")
+    flag = "concat('   ', e.key, ': ', cast(e.value as string), '% confidence — needs manual verification')"
+    numbered = lambda items, section, first, text: (
+        f"transform({items}, (e, i) -> {line(section, f'i + {first}', text)})")
+    only_if = lambda test, array: f"if({test}, {array}, cast(array() as array<{_LINE}>))"
+    scored = "confidence is not null"
     parts = [
-        F.array(line(2, 1, row)),
-        head(3, F.concat(name, F.lit(" ("), F.col("doc_type"), F.lit(")")), scored), F.when(scored, scores),
-        head(4, F.concat(name, F.lit(":")), scored & (F.size("confidence.flagged_fields") > 0)),
-        F.when(scored, flags), F.when(scored, advice),
+        f"array({line(2, 1, row)})",
+        only_if(scored, f"array({line(3, 1, "concat(filename, ' (', doc_type, ')')")})"),
+        only_if(scored, numbered("map_entries(confidence.field_scores)", 3, 2, score)),
+        only_if(f"{scored} and size(confidence.flagged_fields) > 0", "array(" + line(4, 1, "concat(filename, ':')") + ")"),
+        only_if(scored, numbered("map_entries(confidence.flagged_fields)", 4, 2, flag)),
+        only_if(scored, numbered(_advice_sql(), 5, 1, "concat('  ', e)")),
     ]
-    empty = F.expr("cast(array() as array<struct<section:int,line_no:int,line:string>>)")
-    body = results.select(
-        "filename", F.inline(F.concat(*[F.coalesce(p, empty) for p in parts]))
-    ).select("section", "filename", "line_no", "line")
-
-    facts = _report_facts(results, scored)
-    text = lambda label, value: F.concat(F.lit(f"  {label:<26}: "), value.cast("string"))
-    heads = [line(s, n, F.lit(t)) for s, title in SECTIONS.items()
+    body = results.select("filename", F.inline(F.expr(f"concat({', '.join(parts)})"))).select(
+        "section", "filename", "line_no", "line")
+
+    facts = _report_facts(results)
+    fact = lambda label, value: f"concat('  {label:<26}: ', {value})"
+    heads = [line(s, n, quote(t)) for s, title in SECTIONS.items()
              for n, t in ((-9, _RULE), (-8, title), (-7, _RULE))]
     stats = [
-        line(1, 1, text("Total documents processed", F.col("total"))),
-        line(1, 2, text("Successfully extracted", F.col("successful"))),
-        line(1, 3, text("Failed extractions", F.col("failed"))),
-        line(1, 4, text("Validation passed", F.col("validation_ratio"))),
-        line(1, 5, text("Flagged for human review", F.col("review_ratio"))),
-        line(1, 6, F.concat(F.lit(f"  {'Average confidence':<26}: "), py_float(F.col("avg_confidence")), F.lit("%"))),
-        F.when(F.col("_flagged") == 0, line(4, 0, F.lit("   No fields flagged for review!"))),
-        F.when(F.col("_advised") == 0, line(
-            5, 0, F.lit("  No recommendations — all documents processed cleanly!"))),
-        line(6, 1, text("Documents processed", F.col("documents"))),
-        line(6, 2, F.concat(F.lit(f"  {'Estimated tokens used':<26}: ~"), F.format_number("estimated_tokens", 0))),
-        line(6, 3, F.concat(F.lit(f"  {'Estimated cost':<26}: $"), F.format_string("%.4f", F.col("estimated_cost")))),
+        line(1, 1, fact("Total documents processed", "total")),
+        line(1, 2, fact("Successfully extracted", "successful")),
+        line(1, 3, fact("Failed extractions", "failed")),
+        line(1, 4, fact("Validation passed", "validation_ratio")),
+        line(1, 5, fact("Flagged for human review", "review_ratio")),
+        line(1, 6, fact("Average confidence", f"{py_float_sql('avg_confidence')}, '%'")),
+        f"if(_flagged = 0, {line(4, 0, quote('   No fields flagged for review!'))}, null)",
+        f"if(_advised = 0, {line(5, 0, quote('  No recommendations — all documents processed cleanly!'))}, null)",
+        line(6, 1, fact("Documents processed", "documents")),
+        line(6, 2, fact("Estimated tokens used", "'~', format_number(estimated_tokens, 0)")),
+        line(6, 3, fact("Estimated cost", "'$', format_string('%.4f', estimated_cost)")),
     ]
-    frame = facts.select(F.inline(F.array_compact(F.array(*heads, *stats)))).select(
-        "section", F.lit("").alias("filename"), "line_no", "line"
-    )
+    frame = facts.select(F.inline(F.expr(f"array_compact(array({', '.join(heads + stats)}))"))).select(
+        "section", F.lit("").alias("filename"), "line_no", "line")
     return frame.unionByName(body)
 
 
-def _report_facts(results: DataFrame, scored: Column) -> DataFrame:
+def _report_facts(results: DataFrame) -> DataFrame:
     """Everything the headings need, from one aggregate."""
     row = results.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "success").alias("successful"),
@@ -265,11 +246,11 @@ def _report_facts(results: DataFrame, scored: Column) -> DataFrame:
         F.count_if(F.col("confidence.needs_human_review")).alias("_review"),
         _total_tenths().alias("_tenths"), F.count("confidence.avg_confidence").alias("documents"),
         F.count_if(F.size("confidence.flagged_fields") > 0).alias("_flagged"),
-        F.count_if(scored & (F.size(_advice()) > 0)).alias("_advised"),
+        F.count_if(F.expr(f"confidence is not null and size({_advice_sql()}) > 0")).alias("_advised"),
     )
     ratio = lambda c: F.concat(F.col(c).cast("string"), F.lit("/"), F.col("total").cast("string"))
     tokens = F.col("documents") * fixed.ESTIMATE_TOKENS_PER_DOCUMENT
-    mean = py_round((F.col("_tenths") / F.lit(10.0)) / F.greatest("documents", F.lit(1)), 1)
+    mean = py_round("((_tenths / 10D) / greatest(documents, 1))", 1)
     return row.select(
         "total", "successful", (F.col("total") - F.col("successful")).alias("failed"),
         ratio("_valid").alias("validation_ratio"), ratio("_review").alias("review_ratio"),

@@ -85,21 +85,18 @@ def batch_csv(results: DataFrame) -> DataFrame:
 
     flagged = F.array_join(F.map_keys("confidence.flagged_fields"), ", ")
     values = {
-        "validation_passed": shown(py_bool(F.col("validation.passed"))),
+        "validation_passed": shown(py_bool("validation.passed")),
         "checks_passed": shown(F.col("validation.passed_checks").cast("string")),
         "total_checks": shown(F.col("validation.total_checks").cast("string")),
-        "avg_confidence": shown(py_float(F.col("confidence.avg_confidence"))),
-        "needs_human_review": shown(py_bool(F.col("confidence.needs_human_review"))),
+        "avg_confidence": shown(py_float("confidence.avg_confidence")),
+        "needs_human_review": shown(py_bool("confidence.needs_human_review")),
         "flagged_fields": F.coalesce(flagged, F.lit("")),
         "prompt_tokens": F.coalesce("token_usage.prompt_tokens", F.lit(0)).cast("string"),
         "completion_tokens": F.coalesce("token_usage.completion_tokens", F.lit(0)).cast("string"),
         "total_tokens": F.coalesce("token_usage.total_tokens", F.lit(0)).cast("string"),
-        "cost_usd": py_float(F.coalesce("cost_usd", F.lit(0.0))),
+        "cost_usd": py_float("coalesce(cost_usd, 0D)"),
         "timestamp": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"),
     }
-    # null tests keep py_bool from printing False for an absent report
-    for name, source in (("validation_passed", "validation"), ("needs_human_review", "confidence")):
-        values[name] = F.when(F.col(source).isNull(), F.lit("N/A")).otherwise(values[name])
     return results.select(*[values.get(c, F.col(c)).alias(c) for c in BATCH_CSV_COLUMNS])
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordmill.schemas import record_type
+from recordmill.session import spread
 
 RUNS = [
     ("20240101_000000", "2024-01-01 00:00:00", "openai_gpt4o_mini"),
@@ -21,7 +22,7 @@ RUNS = [
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def spark_layers(base: DataFrame, layers: list[list[str]]) -> DataFrame:

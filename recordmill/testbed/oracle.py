@@ -98,8 +98,8 @@ def _run_context(source: str) -> str:
     """CTEs ending in ``contexts(filename, context)`` as a run assembles them."""
     return _scored("run", _OWN_TYPE, _chunks(source, "doc_type")) + ", " + _top(
         "filename, query_no", "chunk_index", fixed.RUN_TOP_K) + f""",
-      distinct_texts AS (SELECT filename, min(chunk_index) AS at, text FROM top GROUP BY filename, text),
-      contexts AS (SELECT filename, string_agg(text, {_sep(fixed.RUN_SEPARATOR)} ORDER BY at) AS context
+      distinct_texts AS (SELECT filename, min(chunk_index) AS first_at, text FROM top GROUP BY filename, text),
+      contexts AS (SELECT filename, string_agg(text, {_sep(fixed.RUN_SEPARATOR)} ORDER BY first_at) AS context
                    FROM distinct_texts GROUP BY filename)"""
 
 
@@ -262,14 +262,14 @@ _FLOAT_TEXT = "'[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?'"
 
 def _fits(doc: str, path: str, kind: str) -> str:
     t = f"json_type({doc}, '{path}')"
-    text = f"trim({doc}->>'{path}')"
+    text = f"trim(json_extract_string({doc}, '{path}'))"
     if kind == "str":
         return f"{t} = 'VARCHAR'"
     numeric = "'BIGINT', 'UBIGINT', 'BOOLEAN'"
     if kind == "float":
         return f"({t} IN ({numeric}, 'DOUBLE') OR ({t} = 'VARCHAR' AND regexp_full_match({text}, {_FLOAT_TEXT})))"
     if kind == "int":
-        return (f"({t} IN ({numeric}) OR ({t} = 'DOUBLE' AND CAST({doc}->>'{path}' AS DOUBLE) = floor(CAST({doc}->>'{path}' AS DOUBLE)))"
+        return (f"({t} IN ({numeric}) OR ({t} = 'DOUBLE' AND CAST(json_extract_string({doc}, '{path}') AS DOUBLE) = floor(CAST(json_extract_string({doc}, '{path}') AS DOUBLE)))"
                 f" OR ({t} = 'VARCHAR' AND regexp_full_match({text}, '[+-]?[0-9]+([.]0*)?')))")
     inner = kind[len("list<"):-1]
     if inner in NESTED:
@@ -282,7 +282,7 @@ def _fits(doc: str, path: str, kind: str) -> str:
         element = " AND ".join(parts)
     else:
         element = "json_type(x) = 'VARCHAR'"
-    return f"({t} = 'ARRAY' AND len(list_filter({doc}->'{path}[*]', lambda x: NOT ({element}))) = 0)"
+    return f"({t} = 'ARRAY' AND len(list_filter(json_extract({doc}, '{path}[*]'), lambda x: NOT ({element}))) = 0)"
 
 
 def _gate_errors(doc_type: str) -> str:
@@ -300,15 +300,15 @@ def _gate_errors(doc_type: str) -> str:
 
 def _objects(doc_type: str) -> str:
     source = "(" + fx.duck_layers(fx.FLAT[doc_type][0], fx.RESPONSES[doc_type]) + ")"
-    return f"SELECT *, {_gate_errors(doc_type)} AS errors FROM ({_parsed(source)}) WHERE json_type(j) = 'OBJECT'"
+    return (f"SELECT *, coalesce(json_type(j), '') = 'OBJECT' AS is_object, {_gate_errors(doc_type)} AS faults FROM ({_parsed(source)})")
 
 
 def _text(name: str) -> str:
-    return f"j->>'$.{name}'"
+    return f"json_extract_string(j, '$.{name}')"
 
 
 def _number(name: str) -> str:
-    return f"TRY_CAST(trim(j->>'$.{name}') AS DOUBLE)"
+    return f"TRY_CAST(trim(json_extract_string(j, '$.{name}')) AS DOUBLE)"
 
 
 def _size(name: str) -> str:
@@ -316,12 +316,13 @@ def _size(name: str) -> str:
 
 
 def _gate_sql(doc_type: str, shown: dict[str, str]) -> str:
-    columns = ", ".join(f"CASE WHEN errors = '' THEN {sql} END AS {name}" for name, sql in shown.items())
-    return f"SELECT doc_id, errors = '' AS accepted, errors, {columns} FROM ({_objects(doc_type)})"
+    columns = ", ".join(f"CASE WHEN is_object AND faults = '' THEN {sql} END AS {name}" for name, sql in shown.items())
+    return (f"SELECT doc_id, is_object AND faults = '' AS accepted, CASE WHEN is_object THEN faults ELSE '' END AS errors, {columns}"
+            f" FROM ({_objects(doc_type)})")
 
 
 def _item_sum(name: str, cast: str) -> str:
-    return f"coalesce(list_sum(list_transform(j->'$.line_items[*].{name}', lambda x: coalesce(TRY_CAST(x AS {cast}), 0))), 0)::{cast}"
+    return f"coalesce(list_sum(list_transform(json_extract(j, '$.line_items[*].{name}'), lambda x: coalesce(TRY_CAST(x AS {cast}), 0))), 0)::{cast}"
 
 
 ORACLE["schema_gate_invoice"] = _gate_sql("invoice", {
@@ -331,12 +332,12 @@ ORACLE["schema_gate_invoice"] = _gate_sql("invoice", {
 })
 ORACLE["schema_gate_resume"] = _gate_sql("resume", {
     "name": _text("name"), "phone": _text("phone"), "n_technical": _size("technical_skills"), "n_soft": _size("soft_skills"),
-    "schools": "array_to_string(list_transform(j->'$.education[*]', lambda x: x->>'$.institution'), '|')",
+    "schools": "array_to_string(list_transform(json_extract(j, '$.education[*]'), lambda x: json_extract_string(x, '$.institution')), '|')",
     "n_work": _size("work_experience"), "summary": _text("summary"),
 })
 ORACLE["schema_gate_email"] = _gate_sql("email", {
     "sender_name": _text("sender_name"), "subject": _text("subject"), "date": _text("date"), "body": _text("body"),
-    "points": "array_to_string(j->>'$.key_points[*]', '|')", "n_actions": _size("action_items"),
+    "points": "array_to_string(json_extract_string(j, '$.key_points[*]'), '|')", "n_actions": _size("action_items"),
 })
 
 _OUTCOMES = f"""
@@ -497,7 +498,7 @@ _FROM_JSON = {
                                          "phone", "email", "due_date")],
         *[f"{_number(n)} AS {n}" for n in ("subtotal", "total_amount", "gst", "cgst", "sgst", "igst")],
         f"{_size('line_items')} AS n_items",
-        "len(list_filter(j->'$.line_items[*].amount', lambda x: CAST(x AS DOUBLE) <= 0)) > 0 AS bad_item",
+        "len(list_filter(json_extract(j, '$.line_items[*].amount'), lambda x: CAST(x AS DOUBLE) <= 0)) > 0 AS bad_item",
     ],
     "resume": [
         *[f"{_text(n)} AS {n}" for n in ("name", "email", "phone")],

@@ -100,7 +100,7 @@ def _(spark, sf):
     path = scratch_path(spark, "folder")
     files.write_text_folder(documents(spark, sf), path)
     return files.read_text_folder(spark, path).select(
-        "doc_type", F.md5("text").alias("text_md5"), text.word_count(F.col("text")).alias("words"))
+        "doc_type", F.md5("text").alias("text_md5"), text.word_count("text").alias("words"))
 
 
 @query("src_utf8_gate")
@@ -118,7 +118,7 @@ def _(spark, sf):
     rows = submitted(spark, sf)
     content = F.when(F.col("readable"), F.encode("text", "UTF-8")).otherwise(
         F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF"))))
-    reason = intake.reject_reason(F.col("filename"), F.col("text"), F.col("doc_type"), content)
+    reason = intake.reject_reason(F.col("filename"), "text", F.col("doc_type"), content)
     return rows.select("k", reason.isNull().alias("accepted"), F.coalesce(reason, F.lit("")).alias("reason"))
 
 
@@ -155,7 +155,7 @@ def _(spark, sf):
     listed = costs.providers(spark, "openai_gpt4o_mini").withColumn("_one", F.lit(1))
     return listed.join(used.withColumn("_one", F.lit(1)), "_one").select(
         "position", "key", "name", "model", "input", "output", "free", "active",
-        costs.priced(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("input"), F.col("output"))
+        costs.priced("prompt_tokens", "completion_tokens", "input", "output")
         .alias("cost_usd"))
 
 
@@ -170,15 +170,15 @@ def _(spark, sf):
 
 @query("word_count")
 def _(spark, sf):
-    return documents(spark, sf).select("doc_id", text.word_count(F.col("text")).alias("words"))
+    return documents(spark, sf).select("doc_id", text.word_count("text").alias("words"))
 
 
 @query("strip_len")
 def _(spark, sf):
-    padded = F.concat(F.lit(" \n\t"), F.col("text"), F.lit("\r\n  "))
-    return documents(spark, sf).select(
-        "doc_id", F.length(padded).cast("bigint").alias("padded"),
-        F.length(text.strip(padded)).cast("bigint").alias("stripped"))
+    padded = F.concat(F.lit(" \n\t"), F.col("text"), F.lit("\r\n  ")).alias("padded")
+    return documents(spark, sf).select("doc_id", padded).select(
+        "doc_id", F.length("padded").cast("bigint").alias("padded"),
+        F.length(text.strip("padded")).cast("bigint").alias("stripped"))
 
 
 @query("chunks")
@@ -199,10 +199,9 @@ def _(spark, sf):
 @query("context_reduction")
 def _(spark, sf):
     rows = runs.with_context(documents(spark, sf), threshold=fixed.CHUNK_WORDS)
-    after = text.word_count(F.col("context"))
-    return rows.select(
-        "doc_id", F.col("word_count").alias("words_before"), after.alias("words_after"),
-        chunking.reduction_percent(F.col("word_count"), after).alias("reduction"))
+    counted = rows.select("doc_id", F.col("word_count").alias("words_before"),
+                          text.word_count("context").alias("words_after"))
+    return counted.withColumn("reduction", chunking.reduction_percent("words_before", "words_after"))
 
 
 @query("prompts")
@@ -225,7 +224,7 @@ def _(spark, sf):
         "chunk_id", F.size("embedding").cast("bigint").alias("dim"),
         total(lambda i: F.lit(1)).alias("words"), total(lambda i: i).alias("moment_1"),
         total(lambda i: i * i).alias("moment_2"),
-        F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+        F.round(vectors.norm("embedding"), 6).alias("norm"))
 
 
 @query("vector_upsert")
@@ -259,7 +258,7 @@ def label_centroids(spark, sf):
 def _(spark, sf):
     rows = fx.read(spark, sf, "embeddings").join(label_centroids(spark, sf), "label")
     return rows.select("vec_id", "label", F.round(
-        vectors.cosine(F.col("embedding"), F.col("centroid")), 4).alias("score"))
+        vectors.cosine("embedding", "centroid"), 4).alias("score"))
 
 
 @query("search_topk")
@@ -324,12 +323,12 @@ def _(spark, sf):
 @query("clean_output")
 def _(spark, sf):
     return fx.responses(spark, sf).select(
-        "doc_id", record_json.clean_output(F.col("raw_output")).alias("cleaned"))
+        "doc_id", record_json.clean_output("raw_output").alias("cleaned"))
 
 
 @query("parse_json_strict")
 def _(spark, sf):
-    parsed = record_json.parse_strict(record_json.clean_output(F.col("raw_output")))
+    parsed = record_json.parse_strict(record_json.clean_output_sql("raw_output"))
     rows = fx.responses(spark, sf).select("doc_id", parsed.alias("j"))
     kind = F.schema_of_variant("j")
     return rows.select(
@@ -340,12 +339,12 @@ def _(spark, sf):
 
 def _gate_query(doc_type, shown):
     def run(spark, sf):
-        rows = fx.responses_of(spark, sf, doc_type).select("doc_id", record_json.parse_strict(
-            record_json.clean_output(F.col("raw_output"))).alias("j")).filter(record_json.is_object(F.col("j")))
-        gated = rows.select("doc_id", record_json.gate(F.col("j"), doc_type).alias("g"))
+        parsed = record_json.parse_strict(record_json.clean_output_sql("raw_output"))
+        rows = fx.responses_of(spark, sf, doc_type).select("doc_id", parsed.alias("j"))
+        gated = rows.select("doc_id", F.when(
+            record_json.is_object("j"), record_json.gate("j", doc_type)).alias("g"))
         errors = F.array_join(F.transform("g.errors", lambda e: F.concat(e["field"], F.lit(":"), e["error"])), ",")
-        return gated.select("doc_id", F.col("g.record").isNotNull().alias("accepted"), errors.alias("errors"),
-                            *[c.alias(n) for n, c in shown(F.col("g.record")).items()])
+        return gated.select("doc_id", F.col("g.record").isNotNull().alias("accepted"), F.coalesce(errors, F.lit("")).alias("errors"), *[c.alias(n) for n, c in shown(F.col("g.record")).items()])
 
     return run
 
@@ -384,7 +383,7 @@ def _report_columns(report):
 
 def _validation_query(doc_type):
     def run(spark, sf):
-        rows = fx.records(spark, sf, doc_type).select("doc_id", rules.validate(F.col("record"), doc_type).alias("v"))
+        rows = fx.records(spark, sf, doc_type).select("doc_id", rules.validate("record", doc_type).alias("v"))
         return rows.select("doc_id", *_report_columns("v"), list_text(F.col("v.checks"), "check").alias("checks"),
                            list_text(F.col("v.checks"), "passed").alias("verdicts"))
 
@@ -400,7 +399,7 @@ def _validated(spark, sf):
     # a type without rules is routed as well
     kind = F.when(F.length("doc_id") % 7 == 0, F.lit("memo")).otherwise(F.col("doc_type"))
     return rows.withColumn("doc_type", kind).select(
-        "doc_id", "doc_type", rules.validate_any(F.col("doc_type"), {t: F.col(t) for t in fx.FLAT}).alias("v"))
+        "doc_id", "doc_type", rules.validate_any("doc_type", {t: t for t in fx.FLAT}).alias("v"))
 
 
 @query("validation_report")
@@ -418,7 +417,7 @@ def _(spark, sf):
 
 @query("validation_messages")
 def _(spark, sf):
-    return _validated(spark, sf).select("doc_id", F.posexplode("v.checks").alias("_n", "_c")).select(
+    return _validated(spark, sf).select("doc_id", F.posexplode_outer("v.checks").alias("_n", "_c")).select(
         "doc_id", F.col("_n").cast("bigint").alias("check_no"), F.col("_c.check").alias("check_name"),
         F.col("_c.message").alias("message"))
 
@@ -430,7 +429,7 @@ def _(spark, sf):
 
 def _scores_query(doc_type):
     def run(spark, sf):
-        rows = fx.records(spark, sf, doc_type).select("doc_id", scoring.score(F.col("record"), doc_type).alias("s"))
+        rows = fx.records(spark, sf, doc_type).select("doc_id", scoring.score("record", doc_type).alias("s"))
         return rows.select("doc_id", F.col("s.avg_confidence").alias("avg_confidence"),
                            F.col("s.needs_human_review").alias("needs_human_review"),
                            pairs_text("s.field_scores").alias("scores"), pairs_text("s.flagged_fields").alias("flagged"))
@@ -446,13 +445,13 @@ def _scored(spark, sf):
     rows = fx.all_records(spark, sf)
     kind = F.when(F.length("doc_id") % 7 == 0, F.lit("memo")).otherwise(F.col("doc_type"))
     return rows.withColumn("doc_type", kind).select(
-        "doc_id", "doc_type", scoring.score_any(F.col("doc_type"), {t: F.col(t) for t in fx.FLAT}).alias("s"))
+        "doc_id", "doc_type", scoring.score_any("doc_type", {t: t for t in fx.FLAT}).alias("s"))
 
 
 @query("field_scores")
 def _(spark, sf):
-    return _scored(spark, sf).select("doc_id", F.explode("s.field_scores").alias("field", "_v")).select(
-        "doc_id", "field", F.col("_v").cast("bigint").alias("score"))
+    return _scored(spark, sf).select("doc_id", F.explode_outer("s.field_scores").alias("field", "_v")).filter(
+        "field is not null").select("doc_id", "field", F.col("_v").cast("bigint").alias("score"))
 
 
 @query("confidence_report")
@@ -486,7 +485,7 @@ def _(spark, sf):
 @query("cost_active")
 def _(spark, sf):
     return fx.responses(spark, sf).select("doc_id", costs.cost(
-        F.col("prompt_tokens"), F.col("completion_tokens"), "openai_gpt4o_mini").alias("cost_usd"))
+        "prompt_tokens", "completion_tokens", "openai_gpt4o_mini").alias("cost_usd"))
 
 
 @query("cost_for_provider")

@@ -64,9 +64,9 @@ def main() -> int:
             else:
                 verdict = f"rows only: {QUERIES[name](spark, sf_dir).count()}"
         except Exception as error:  # keep going, report all
-            verdict = f"ERROR {str(error)[:1500]}"
+            verdict = f"ERROR {str(error)[:500]}"
         bad += verdict.startswith(("DIFF", "ERROR"))
-        print(f"{name:24} {time.time() - start:6.1f}s {verdict[:1800]}", flush=True)
+        print(f"{name:24} {time.time() - start:6.1f}s {verdict[:600]}", flush=True)
     print("bad:", bad)
     return 1 if bad else 0
 
