@@ -82,8 +82,7 @@ def embed_hashed(text: str, dim: int = EMBEDDING_DIM) -> Column:
         for batch in batches:
             yield list_array(hashed_matrix(batch.to_pylist(), dim, known))
 
-    udf = F.arrow_udf(vectors, "array<float>", F.ArrowUDFType.SCALAR_ITER)
-    return udf(F.expr(text))
+    return F.arrow_udf(vectors, "array<float>")(F.expr(text))
 
 
 def matrix_of(column: pa.Array) -> np.ndarray:

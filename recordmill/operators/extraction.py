@@ -39,33 +39,41 @@ def with_prompts(docs: DataFrame) -> DataFrame:
     })
 
 
-def infer(prompts: DataFrame, make_model: Callable[[], Model], batch: int = 64) -> DataFrame:
+def infer(prompts: DataFrame, make_model: Callable[[], Model], batch: int = 64,
+          carry: tuple[str, ...] = ()) -> DataFrame:
     """Call a model on every prompt: ``doc_id`` to output, tokens and ``call_error``.
 
     ``make_model`` runs once per task, so each task owns one client. A failing batch is
-    tried again row by row, so one bad prompt costs its own row only.
+    tried again row by row, so one bad prompt costs its own row only. Columns in
+    ``carry`` pass through, which saves joining the answers back to their documents.
     """
-    schema = "doc_id string, raw_output string, prompt_tokens bigint, completion_tokens bigint, call_error string"
+    kept = ["doc_id", *carry]
+    answer = ["raw_output", "prompt_tokens", "completion_tokens", "call_error"]
+    types = dict(prompts.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in kept) + (
+        ", raw_output string, prompt_tokens bigint, completion_tokens bigint, call_error string")
 
-    def call(model: Model, ids: list[str], texts: list[tuple[str, str]]) -> list[tuple]:
+    def call(model: Model, texts: list[tuple[str, str]]) -> list[tuple]:
         try:
-            return [(i, *out, None) for i, out in zip(ids, model(texts), strict=True)]
+            answers = model(texts)
+            if len(answers) != len(texts):
+                raise ValueError("the model must answer every prompt of a batch")
+            return [(*out, None) for out in answers]
         except Exception as failure:
-            if len(ids) == 1:
-                return [(ids[0], None, 0, 0, str(failure) or type(failure).__name__)]
-            return [row for i, t in zip(ids, texts) for row in call(model, [i], [t])]
+            if len(texts) == 1:
+                return [(None, 0, 0, str(failure) or type(failure).__name__)]
+            return [row for t in texts for row in call(model, [t])]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
-        names = ["doc_id", "raw_output", "prompt_tokens", "completion_tokens", "call_error"]
         for frame in frames:
             model = model or make_model()
             for start in range(0, len(frame), batch):
-                part = frame.iloc[start:start + batch]
-                rows = call(model, part["doc_id"].tolist(), list(zip(part["system_prompt"], part["user_prompt"])))
-                yield pd.DataFrame(rows, columns=names)
+                part = frame.iloc[start:start + batch].reset_index(drop=True)
+                rows = call(model, list(zip(part["system_prompt"], part["user_prompt"])))
+                yield pd.concat([part[kept], pd.DataFrame(rows, columns=answer)], axis=1)
 
-    return prompts.select("doc_id", "system_prompt", "user_prompt").mapInPandas(run, schema)
+    return prompts.select(*kept, "system_prompt", "user_prompt").mapInPandas(run, schema)
 
 
 def replay(docs: DataFrame, responses: DataFrame) -> DataFrame:

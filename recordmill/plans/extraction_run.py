@@ -62,15 +62,18 @@ def run(
     ready = with_context(taken, threshold, None, embedder).withColumn(
         "context_words", F.when(F.col("use_retrieval"), word_count("context")).otherwise(F.col("word_count"))
     )
-    if make_model is not None:
-        prompts = with_prompts(ready.filter("_reason is null").select("doc_id", "doc_type", "context"))
+    kept = ["doc_id", "doc_type", "filename", "_reason", "use_retrieval", "context_words"]
+    if responses is not None:
+        answered = replay(ready.select(*kept), responses)
+    else:
+        prompts = with_prompts(ready.filter("_reason is null"))
         # calls are dear: store the answers before anything reads them twice
-        path = scratch_path(docs.sparkSession, "responses")
-        infer(prompts, make_model).write.parquet(path)
-        responses = docs.sparkSession.read.parquet(path)
-    answered = replay(
-        ready.select("doc_id", "doc_type", "filename", "_reason", "use_retrieval", "context_words"), responses
-    )
+        path = scratch_path(docs.sparkSession, "answers")
+        infer(prompts, make_model, carry=tuple(kept[1:])).write.parquet(path)
+        rejected = ready.filter("_reason is not null").select(
+            *kept, F.lit(None).cast("string").alias("raw_output"), F.lit(0).cast("bigint").alias("prompt_tokens"),
+            F.lit(0).cast("bigint").alias("completion_tokens"), F.lit("rejected").alias("call_error"))
+        answered = docs.sparkSession.read.parquet(path).unionByName(rejected)
     return envelope(with_outcome(answered), run_id, timestamp, provider)
 
 

@@ -62,10 +62,10 @@ def small_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> Dat
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a table that is read in fewer tasks than there are cores.
+    """Use every core on a table that is read in far fewer tasks than there are cores.
 
-    A file with one row group is one task whatever its size. Tables read in more
-    tasks than cores, as any large one is, are left alone and not exchanged.
+    A file with one row group is one task whatever its size. Tables with at least half
+    as many tasks as cores, as any large one has, are left alone and not exchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
