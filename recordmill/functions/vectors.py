@@ -71,7 +71,7 @@ def list_array(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.reshape(-1)))
 
 
-def embed_hashed(text: str, dim: int = EMBEDDING_DIM) -> Column:
+def embed_hashed(text: Column | str, dim: int = EMBEDDING_DIM) -> Column:
     """``array<float>`` of length ``dim`` with the word counts of a text.
 
     An Arrow UDF: hashing word by word in lambdas costs twenty times as much.
@@ -82,7 +82,7 @@ def embed_hashed(text: str, dim: int = EMBEDDING_DIM) -> Column:
         for batch in batches:
             yield list_array(hashed_matrix(batch.to_pylist(), dim, known))
 
-    return F.arrow_udf(vectors, "array<float>")(F.expr(text))
+    return F.arrow_udf(vectors, "array<float>")(text)
 
 
 def matrix_of(column: pa.Array) -> np.ndarray:

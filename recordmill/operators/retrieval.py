@@ -31,7 +31,7 @@ Embedder = Callable[[Column], Column]
 def embed(rows: DataFrame, embedder: Embedder | None = None, text: str = "text",
           dim: int = EMBEDDING_DIM) -> DataFrame:
     """Add ``embedding``. ``embedder`` may be a scalar pandas UDF around a real model."""
-    vector = embed_hashed(text, dim) if embedder is None else embedder(F.col(text))
+    vector = (embedder or (lambda column: embed_hashed(column, dim)))(F.col(text))
     return rows.withColumn("embedding", vector)
 
 
