@@ -72,34 +72,38 @@ def _coerced(value: str, name: str, kind: str) -> str:
     return f"case when {whole} then {_as(value, 'bigint')} {written} end"
 
 
-def _members(value: str, fields: list[Field]) -> str:
-    """``struct<field: struct<value, error>>`` of an object VARIANT."""
+def _judged(value: str, fields: list[Field], fold) -> str:
+    """Read every member of an object VARIANT once and fold the outcome.
 
-    def judged(f: Field) -> str:
-        absent = "null" if f.presence == "opt" else "'missing'"
-        null = "null" if f.presence == "opt" else "'null'"
+    ``fold`` gets the kinds and the coerced values of the members, each bound as one
+    struct, so the expression grows with the number of fields only.
+    """
 
-        def result(child: str, name: str) -> str:
-            coerced = _list(child, f.kind) if f.kind.startswith("list<") else _coerced(child, name, f.kind)
-            if f.presence == "list":
-                empty = f"cast(array() as {spark_type(f.kind).simpleString()})"
-                coerced = f"if({name} = 'MISSING', {empty}, {coerced})"
-            return let_sql(coerced, lambda x: (
-                f"named_struct('value', {x}, 'error', cast(case when {x} is not null then null"
-                f" when {name} = 'MISSING' then {absent} when {name} = 'VOID' then {null} else 'type' end as string))"))
+    def struct(cells: list[str]) -> str:
+        return "named_struct(" + ", ".join(f"'{f.name}', {cell}" for f, cell in zip(fields, cells)) + ")"
 
-        child = f"try_variant_get({value}, '$.{f.name}', 'variant')"
-        return let_sql(child, lambda c: let_sql(_kind(c), lambda k: result(c, k)))
+    def coerced(f: Field, c: str, k: str) -> str:
+        if not f.kind.startswith("list<"):
+            return _coerced(f"{c}.{f.name}", f"{k}.{f.name}", f.kind)
+        items = _list(f"{c}.{f.name}", f.kind)
+        if f.presence != "list":
+            return items
+        return f"if({k}.{f.name} = 'MISSING', cast(array() as {spark_type(f.kind).simpleString()}), {items})"
 
-    return "named_struct(" + ", ".join(f"'{f.name}', {judged(f)}" for f in fields) + ")"
+    children = struct([f"try_variant_get({value}, '$.{f.name}', 'variant')" for f in fields])
+    return let_sql(children, lambda c: let_sql(
+        struct([_kind(f"{c}.{f.name}") for f in fields]),
+        lambda k: let_sql(struct([coerced(f, c, k) for f in fields]), lambda x: fold(k, x))))
 
 
-def _values(members: str, fields: list[Field]) -> str:
-    return "named_struct(" + ", ".join(f"'{f.name}', {members}.{f.name}.value" for f in fields) + ")"
+def _fits(f: Field, k: str, x: str) -> str:
+    if f.presence == "opt":
+        return f"({x}.{f.name} is not null or {k}.{f.name} in ('MISSING', 'VOID'))"
+    return f"{x}.{f.name} is not null"
 
 
-def _all_fit(members: str, fields: list[Field]) -> str:
-    return " and ".join(f"{members}.{f.name}.error is null" for f in fields)
+def _all_fit(fields: list[Field], k: str, x: str) -> str:
+    return " and ".join(_fits(f, k, x) for f in fields)
 
 
 def _element(value: str, inner: str) -> str:
@@ -107,7 +111,7 @@ def _element(value: str, inner: str) -> str:
     if inner not in NESTED:
         return let_sql(_kind(value), lambda k: _coerced(value, k, inner))
     fields = NESTED[inner]
-    members = let_sql(_members(value, fields), lambda m: f"if({_all_fit(m, fields)}, {_values(m, fields)}, null)")
+    members = _judged(value, fields, lambda k, x: f"if({_all_fit(fields, k, x)}, {x}, null)")
     return f"if({is_object_sql(value)}, {members}, null)"
 
 
@@ -129,15 +133,17 @@ def gate_sql(value: str, doc_type: str) -> str:
     fields = RECORDS[doc_type]
     target = record_type(doc_type).simpleString()
 
-    def fold(m: str) -> str:
+    def fold(k: str, x: str) -> str:
         errors = ", ".join(
-            f"if({m}.{f.name}.error is not null, named_struct('field', '{f.name}', 'error', {m}.{f.name}.error), null)"
-            for f in fields
+            f"if({_fits(f, k, x)}, null, named_struct('field', '{f.name}', 'error',"
+            f" case {k}.{f.name} when 'MISSING' then 'missing' when 'VOID' then 'null' else 'type' end))" for f in fields
         )
-        return (f"named_struct('record', if({_all_fit(m, fields)}, cast({_values(m, fields)} as {target}), null),"
-                f" 'errors', array_compact(array({errors})))")
+        none = "cast(array() as array<struct<field:string,error:string>>)"
+        return let_sql(_all_fit(fields, k, x), lambda ok: (
+            f"named_struct('record', if({ok}, cast({x} as {target}), null),"
+            f" 'errors', if({ok}, {none}, array_compact(array({errors}))))"))
 
-    return let_sql(value, lambda v: let_sql(_members(v, fields), fold))
+    return let_sql(value, lambda v: _judged(v, fields, fold))
 
 
 def clean_output(raw: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordmill import fixed
-from recordmill.functions.record_json import clean_output_sql, gate, is_object, parse_strict
+from recordmill.functions.record_json import clean_output, gate, parse_strict
 from recordmill.schemas import DOC_TYPES, RECORDS, type_label
 
 # takes the prompts of one batch, returns (output, prompt tokens, completion tokens) for each
@@ -95,9 +95,10 @@ def with_outcome(responses: DataFrame) -> DataFrame:
     record type (set for ok rows of that type), ``schema_errors`` and ``token_usage``.
     A failed call, a failed gate and JSON that is no object count no tokens.
     """
-    parsed = responses.withColumn("_json", parse_strict(clean_output_sql("raw_output")))
-    parsed = parsed.withColumn("_object", is_object("_json"))
-    json_null = F.coalesce(F.schema_of_variant("_json") == "VOID", F.lit(False))
+    parsed = responses.withColumn("_cleaned", clean_output("raw_output")).withColumn("_json", parse_strict("_cleaned"))
+    # the text is one valid value by now, so its first character tells its kind
+    parsed = parsed.withColumn("_object", F.col("_json").isNotNull() & F.col("_cleaned").startswith("{"))
+    json_null = F.col("_cleaned") == "null"
     gated = parsed.withColumns({
         f"_{t}": F.when((F.col("doc_type") == t) & F.col("_object"), gate("_json", t)) for t in DOC_TYPES
     })

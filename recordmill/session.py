@@ -15,6 +15,9 @@ _RUNTIME_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the JVM interprets methods above 8,000 bytes of code; wide expressions are faster
+    # as many small compiled methods than fused into a stage that is too big to compile
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # only the partitions present in the written data are replaced
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from recordmill import fixed
 from recordmill.operators.extraction import schema_text
+from recordmill.plans import reports
 from recordmill.schemas import NESTED, RECORDS
 from recordmill.testbed import fixtures as fx
 
@@ -627,3 +628,45 @@ ORACLE["batch_csv"] = f"""
 ORACLE["run_history"] = f"""
   WITH {_RES} SELECT run_id, provider, count(*) AS documents, count_if(ok) AS successful,
     sum(cost_usd::DECIMAL(18, 6))::DOUBLE AS total_cost FROM res GROUP BY 1, 2"""
+
+# the report line by line; headings have an empty filename
+_HEADINGS = ", ".join(
+    f"({s}, {n}, {_q(t)})" for s, title in reports.SECTIONS.items() for n, t in ((-9, "─" * 65), (-8, title), (-7, "─" * 65)))
+
+
+def _fact(section: int, n: int, label: str, value: str) -> str:
+    return f"SELECT {section}, {n}, '  {label:<26}: ' || {value} FROM totals"
+
+
+_AVERAGE = f"CAST({_rounded('conf::DOUBLE / greatest(scored, 1)', 1)} AS VARCHAR) || '%'"
+_FACTS = " UNION ALL ".join([
+    _fact(1, 1, "Total documents processed", "total"), _fact(1, 2, "Successfully extracted", "successful"),
+    _fact(1, 3, "Failed extractions", "total - successful"), _fact(1, 4, "Validation passed", "validation_passed || '/' || total"),
+    _fact(1, 5, "Flagged for human review", "needs_review || '/' || total"), _fact(1, 6, "Average confidence", _AVERAGE),
+    _fact(6, 1, "Documents processed", "scored"),
+    _fact(6, 2, "Estimated tokens used", "'~' || format('{:,}', scored * 800)"),
+    _fact(6, 3, "Estimated cost", "'$' || format('{:.4f}', ((scored * 800)::DOUBLE / 1000000.0::DOUBLE) * 0.15::DOUBLE)"),
+    "SELECT 4, 0, '   No fields flagged for review!' FROM totals WHERE needs_review = 0",
+    "SELECT 5, 0, '  No recommendations — all documents processed cleanly!' FROM totals"
+    f" WHERE NOT EXISTS (SELECT 1 FROM latest WHERE ok AND len({_ADVICE}) > 0)",
+])
+_SHOWN = "CASE WHEN ok THEN CAST(avg_confidence AS VARCHAR) || '%' ELSE 'N/A' END"
+_DOC_LINE = (f"rpad(filename, greatest(length(filename), 25)::INTEGER, ' ') || ' ' || rpad(doc_type, 10, ' ') || ' '"
+             f" || rpad({_YES.format('passed')}, 8, ' ') || ' ' || rpad({_SHOWN}, 8, ' ') || ' ' || {_YES.format('review')}"
+             f" || CASE WHEN ok THEN '' ELSE ' [FAILED]' END")
+ORACLE["report_lines"] = f"""
+  WITH {_TOTALS}, facts(section, line_no, line) AS ({_FACTS} UNION ALL SELECT * FROM (VALUES {_HEADINGS})),
+  docs(section, filename, line_no, line) AS (
+    SELECT 2, filename, 1, {_DOC_LINE} FROM latest
+    UNION ALL SELECT 3, filename, 1, filename || ' (' || doc_type || ')' FROM latest WHERE ok
+    UNION ALL SELECT 3, filename, n + 1, '   ' || CASE WHEN scores[n].score < 70 THEN '! ' ELSE '  ' END
+      || rpad(scores[n].field, 20, ' ') || ' ' || repeat('█', scores[n].score // 10) || repeat('░', 10 - scores[n].score // 10)
+      || ' ' || scores[n].score || '%'
+      FROM (SELECT filename, scores, unnest(range(1, len(scores) + 1)) AS n FROM latest WHERE ok)
+    UNION ALL SELECT 4, filename, 1, filename || ':' FROM latest WHERE review
+    UNION ALL SELECT 4, filename, n + 1, '   ' || low[n].field || ': ' || low[n].score || '% confidence — needs manual verification'
+      FROM (SELECT filename, low, unnest(range(1, len(low) + 1)) AS n FROM (SELECT filename, {_LOW} AS low FROM latest WHERE ok))
+    UNION ALL SELECT 5, filename, n, '  ' || advice[n]
+      FROM (SELECT filename, advice, unnest(range(1, len(advice) + 1)) AS n FROM (SELECT filename, {_ADVICE} AS advice FROM latest WHERE ok)))
+  SELECT section::BIGINT AS section, '' AS filename, line_no::BIGINT AS line_no, line FROM facts
+  UNION ALL SELECT section::BIGINT, filename, line_no::BIGINT, line FROM docs"""
