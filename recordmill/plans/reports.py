@@ -140,9 +140,10 @@ def _advice_sql() -> str:
 
 def recommendations(results: DataFrame) -> DataFrame:
     """What to do about each document, numbered in rule order."""
+    # the outer form, since the inner one would evaluate every rule again in a size filter
     return results.filter("confidence is not null").select(
-        "filename", F.posexplode(F.expr(_advice_sql())).alias("_pos", "recommendation")
-    ).select("filename", (F.col("_pos") + 1).cast("bigint").alias("rule_order"), "recommendation")
+        "filename", F.posexplode_outer(F.expr(_advice_sql())).alias("_pos", "recommendation")
+    ).filter("_pos is not null").select("filename", (F.col("_pos") + 1).cast("bigint").alias("rule_order"), "recommendation")
 
 
 def cost_compare(results: DataFrame) -> DataFrame:
@@ -213,7 +214,8 @@ def report_lines(results: DataFrame) -> DataFrame:
         only_if(scored, numbered("map_entries(confidence.flagged_fields)", 4, 2, flag)),
         only_if(scored, numbered(_advice_sql(), 5, 1, "concat('  ', e)")),
     ]
-    body = results.select("filename", F.inline(F.expr(f"concat({', '.join(parts)})"))).select(
+    # every document has at least its table line, so the outer form adds no empty rows
+    body = results.select("filename", F.inline_outer(F.expr(f"concat({', '.join(parts)})"))).select(
         "section", "filename", "line_no", "line")
 
     facts = _report_facts(results)
