@@ -89,7 +89,8 @@ def envelope(judged: DataFrame, run_id: str, timestamp: str, provider: str = fix
         reason = F.when(F.col("_reason") == name, F.lit(text)).otherwise(reason)
     model = {p[0]: p[2] for p in fixed.PROVIDERS}.get(provider, provider)
     return judged.withColumn("token_usage", tokens).select(
-        "doc_id", "filename", "doc_type", F.to_timestamp(F.lit(timestamp)).alias("ts"),
+        # a document submitted without a file is listed under its id
+        "doc_id", F.coalesce("filename", "doc_id").alias("filename"), "doc_type", F.to_timestamp(F.lit(timestamp)).alias("ts"),
         F.lit(model).alias("model"), F.lit(provider).alias("provider"),
         F.when(ok, F.lit("success")).otherwise(F.lit("failed")).alias("status"),
         F.when(F.col("_reason").isNotNull(), reason).when(~ok, F.lit(fixed.EXTRACTION_FAILED)).alias("error"),

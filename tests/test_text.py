@@ -90,7 +90,8 @@ def test_chunks(spark, size, overlap):
 
 
 def test_chunks_are_cut_once_and_without_exchange(spark):
-    plan = chunk_documents(table(spark, ["a b"]).select(F.lit("f").alias("filename"), "text"))
+    docs = spark.range(5).select(F.col("id").cast("string").alias("filename"), F.concat("id", F.lit(" b")).alias("text"))
+    plan = chunk_documents(docs)
     text_plan = plan._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text_plan
     assert text_plan.count("regexp_extract_all") == 1
