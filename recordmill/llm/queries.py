@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import bpe, packing
-from recordmill.llm.common import table
+from recordmill.llm import bpe, packing, secrets, simhash
+from recordmill.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,3 +40,22 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     parts = packing.pieces(docs, bpe.Vocabulary(spark, VOCABULARY), payload="ids_crc32")
     return packing.pack(parts)
+
+
+@query
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every text and the component it belongs to, links within three bits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    prints = written(simhash.fingerprints(docs).drop("text"), "simhash")
+    return simhash.group(prints, "doc_id").select(
+        "doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text: counts and digest of the fixed kinds, and all spans."""
+    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    count = "cast(size(filter(spans, x -> x.rank = {})) as long)"
+    return found.select(
+        "doc_id", *(F.expr(count.format(i)).alias(f"n_{k}") for i, k in enumerate(secrets.KINDS[:3])),
+        F.sha2(secrets.listing(base_only=True), 256).alias("base_sha256"), secrets.listing().alias("spans"))
