@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import bpe, packing, secrets, simhash
+from recordmill.llm import bpe, packing, quality_classifier, rule_forest, secrets, simhash
 from recordmill.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,21 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *(F.expr(count.format(i)).alias(f"n_{k}") for i, k in enumerate(secrets.KINDS[:3])),
         F.sha2(secrets.listing(base_only=True), 256).alias("base_sha256"), secrets.listing().alias("spans"))
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality score of every text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    features = written(quality_classifier.featurize(docs).drop("text"), "features")
+    rows = written(quality_classifier.labelled(features, table(spark, sf_dir, "labels")), "labelled")
+    scored = quality_classifier.score(features, quality_classifier.fit(rows))
+    return scored.select("doc_id", (quality_classifier.remainder() == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics of every text, the base rules and the forest's verdict."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = written(rule_forest.count(docs).drop("text"), "rules")
+    return rule_forest.judge(counted, table(spark, sf_dir, "labels")).select("doc_id", *rule_forest.COUNTS, "base_failed", "kept", "anomaly")
