@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import bpe, packing, quality_classifier, rule_forest, secrets, simhash
+from recordmill.llm import bpe, packing, quality_classifier, rule_forest, secrets, simhash, suffix_dedup
 from recordmill.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,13 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = written(rule_forest.count(docs).drop("text"), "rules")
     return rule_forest.judge(counted, table(spark, sf_dir, "labels")).select("doc_id", *rule_forest.COUNTS, "base_failed", "kept", "anomaly")
+
+
+@query
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the bytes of passages that repeat, as counts and a digest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove(docs).select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.expr("aggregate(removed, 0L, (n, s) -> n + s.end - s.start)").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
