@@ -12,6 +12,10 @@ from recordmill.llm.common import table, written
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", stages.good_quality),
+    ("simhash_near_dedup", stages.one_of_each),
+    ("suffix_array_dedup", stages.without_repeats),
+    ("secret_scans", stages.without_secrets),
     ("best_fit_packing", stages.packed),
 ]
 

@@ -119,6 +119,8 @@ def repeated_in_shards(pieces: DataFrame, match: int = MATCH, shard_bytes: int =
             key, content, bounds = np.concatenate(keys), np.concatenate(contents), np.concatenate(ends)
             text = np.memmap(path, np.uint8, "r") if bounds[-1] > induced_sort.IN_MEMORY else np.fromfile(path, np.uint8)
             again = induced_sort.repeated_starts(text, match)
+            for a in range(1, len(bounds), 4096):  # what would reach over the end of a fragment
+                again[(bounds[a : a + 4096, None] - np.arange(1, match + 1)).ravel()] = False
         first = np.flatnonzero(again & ~np.append(False, again[:-1]))
         last = np.flatnonzero(again & ~np.append(again[1:], False))
         owner = np.searchsorted(bounds, first, "right") - 1
@@ -156,8 +158,11 @@ def repeats(df: DataFrame, match: int = MATCH) -> DataFrame:
     return spans.groupBy("_a", "_b").agg(F.collect_set("s").alias("_spans"))  # bounded by a text's length
 
 
-def remove(df: DataFrame, text: str = "text", match: int = MATCH) -> DataFrame:
-    """Adds ``kept``, the bytes that remain, and ``removed``, the maximal byte ranges that went."""
+def remove(df: DataFrame, text: str = "text", match: int = MATCH, decoded: str | None = None) -> DataFrame:
+    """Adds ``kept``, the bytes that remain, and ``removed``, the maximal byte ranges that went.
+
+    ``decoded`` names a column for the remaining text without characters that a cut has split.
+    """
     keyed = df.drop("kept", "removed").withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumns({"_a": F.xxhash64("_t"), "_b": F.hash("_t")})
     spans = repeats(keyed.select("_t", "_a", "_b"), match)
 
@@ -177,7 +182,9 @@ def remove(df: DataFrame, text: str = "text", match: int = MATCH) -> DataFrame:
                 at = s["end"]
             kept.append(b"".join([*parts, data[at:]]))
             removed.append(merged)
-        return {"kept": pa.array(kept, pa.binary()), "removed": pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
+        out = {"kept": pa.array(kept, pa.binary()), "removed": pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
+        return out | ({decoded: pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())} if decoded else {})
 
     joined = keyed.join(spans, ["_a", "_b"], "left").drop("_a", "_b")
-    return add_in_arrow(joined, "kept binary, removed array<struct<start: int, end: int>>", run).drop("_t", "_spans")
+    schema = "kept binary, removed array<struct<start: int, end: int>>" + (f", `{decoded}` string" if decoded else "")
+    return add_in_arrow(joined, schema, run).drop("_t", "_spans")
