@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recordmill.session import configure, scratch_path
 
@@ -40,6 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def smallest_hashes(df: DataFrame, most: int, *columns: str) -> DataFrame:
+    """The ``most`` rows with the smallest hashes of ``columns``: a sample that does not depend on the order of rows.
+
+    Rows that can hardly be among them are left out first, so that few enough meet in the end.
+    """
+    share = min(1.0, (2 * most + 1000) / max(df.count(), 1))
+    hashed = df.withColumn("_hash", F.xxhash64(*columns))
+    near = hashed.filter(F.col("_hash") <= F.lit(min(int(-(2**63) + share * 2**64), 2**63 - 1)))
+    return near.orderBy("_hash", *columns).limit(most).drop("_hash")
+
+
 def worker_state(key: str, make: Callable[[], object]) -> object:
     """An object that a Python worker keeps between its tasks, made once per ``key``."""
     kept = sys.modules.setdefault("_recordmill_worker", types.ModuleType("_recordmill_worker")).__dict__

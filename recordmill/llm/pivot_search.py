@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordmill.llm.common import written
+from recordmill.llm.common import smallest_hashes, written
 
 SCALE, K = 1024.0, 10
 PIVOTS, SAMPLE = 64, 4096
@@ -92,7 +92,7 @@ def best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
 def spaces(stored: DataFrame, sample: int = SAMPLE) -> dict[int, Space]:
     """From one row per dimension and the sample."""
     tops = {r.dim: r.top for r in stored.groupBy("dim").agg(F.max("square").alias("top")).collect()}
-    rows = stored.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    rows = smallest_hashes(stored, sample, "id").collect()
     found = {}
     for dim, top in tops.items():
         own = [r for r in rows if r.dim == dim]

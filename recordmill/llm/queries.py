@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import bpe, packing, pivot_search, quality_classifier, rule_forest, secrets, simhash, suffix_dedup
+from recordmill.llm import bpe, licences, packing, pivot_search, quality_classifier, rule_forest, secrets, simhash, suffix_dedup
 from recordmill.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +106,13 @@ with v as (
 ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10
 """
+
+
+@query
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every text: how many, how many of unknown family, and the families confirmed."""
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.size("notices").cast("long").alias("n_notices"),
+        F.expr(f"cast(size(filter(notices, x -> x.family = '{licences.UNKNOWN}')) as long)").alias("n_unknown"),
+        F.expr(f"array_join(array_sort(array_distinct(filter(transform(notices, x -> x.family), f -> f <> '{licences.UNKNOWN}'))), ',')").alias("families"))

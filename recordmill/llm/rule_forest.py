@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordmill.llm.common import add_in_arrow
+from recordmill.llm.common import add_in_arrow, smallest_hashes
 from recordmill.llm.text_stats import rule_counts
 
 TREES, SAMPLE, SEED = 100, 256, 20240102
@@ -93,7 +93,7 @@ def _average_path(n: int) -> float:
 
 def fit(counted: DataFrame, key: str = "doc_id") -> Forest | None:
     """A forest from the rows with the smallest hashes."""
-    sample = counted.select(*COUNTS, F.xxhash64(key, *COUNTS).alias("_h")).orderBy("_h", *COUNTS).limit(TREES * SAMPLE).toArrow()
+    sample = smallest_hashes(counted.select(key, *COUNTS), TREES * SAMPLE, key, *COUNTS).toArrow()
     if not sample.num_rows:
         return None
     return Forest(statistics([sample.column(c).to_numpy() for c in COUNTS]))
