@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import codecs
 import json
+import re
 from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,10 @@ PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: Pre-tokens of more bytes are streamed.
 STREAM_FROM = 96
 #: Chunks remembered by a worker; results do not depend on it.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 _NONE = 1 << 60
+#: Stands for a chunk still to be encoded; ids take four bytes each, so no encoding equals it.
+_OPEN = b"?"
 
 
 def byte_letters() -> dict[str, int]:
@@ -218,7 +221,7 @@ class Encoder:
         self.pretokens = regex.compile(PRETOKEN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True))) + ")") if merges.special else None
         #: White space, a space, and white space or the end: cuts at single spaces would be wrong there.
-        self.unsafe = regex.compile(r"\s (?:\s|$)")
+        self.unsafe = re.compile(r"\s (?:\s|$)")
         self.words: dict[str, bytes] = {}  # chunks that follow a space, without it
         self.pieces: dict[str, bytes] = {}
 
@@ -263,13 +266,13 @@ class Encoder:
         else:
             first, *rest = text.split(" ")
             head = self.pretokens.findall(first)
-        for found, wanted, still in ((map(self.pieces.get, head), head, open_pieces), (map(self.words.get, rest), rest, open_words)):
+        for known, wanted, still in ((self.pieces, head, open_pieces), (self.words, rest, open_words)):
             base = len(plan)
-            plan += found
+            plan += map(known.get, wanted, repeat(_OPEN))
             at = base - 1
             try:
                 while True:
-                    at = plan.index(None, at + 1)
+                    at = plan.index(_OPEN, at + 1)
                     still.setdefault(wanted[at - base], []).append((plan, at))
             except ValueError:
                 pass
