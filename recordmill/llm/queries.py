@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import bpe, licences, packing, pivot_search, quality_classifier, rule_forest, secrets, simhash, suffix_dedup
+from recordmill.llm import bpe, licences, packing, pivot_search, quality_classifier, quotations, rule_forest, secrets, simhash, suffix_dedup
 from recordmill.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +116,54 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("notices").cast("long").alias("n_notices"),
         F.expr(f"cast(size(filter(notices, x -> x.family = '{licences.UNKNOWN}')) as long)").alias("n_unknown"),
         F.expr(f"array_join(array_sort(array_distinct(filter(transform(notices, x -> x.family), f -> f <> '{licences.UNKNOWN}'))), ',')").alias("families"))
+
+
+@query
+def op6_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message in its place in the conversation, without quotes, in the order of replies."""
+    linked = quotations.link(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return linked.select(
+        "conv_id", "turn", "role", F.size("quote_levels").alias("n_levels"), "parent_turn", "root_turn", "depth", F.md5("own_text").alias("own_md5"),
+    ).orderBy("conv_id", "root_turn", "turn")
+
+
+ORACLE["op6_quotations"] = r"""
+with recursive lines as (
+    select conv_id, turn, text, unnest(range(len(string_split(text, chr(10))))) as n, unnest(string_split(text, chr(10))) as raw from (select distinct conv_id, turn, text from conversations)
+), marked as (
+    select conv_id, turn, text, n, rtrim(raw, chr(13)) as l from lines
+), leveled as (
+    select conv_id, turn, text, n, len(replace(regexp_extract(l, '^(?: ?>)+'), ' ', '')) as level, regexp_replace(l, '^(?: ?>)+ ?', '') as line from marked
+), levels as (
+    select distinct conv_id, turn, text, level from leveled
+), layers as (
+    select v.conv_id, v.turn, v.text, v.level,
+        string_agg(case when l.level = v.level then l.line when v.level > 0 then '' end, chr(10) order by l.n) as layer
+    from levels v join leveled l using (conv_id, turn, text) group by all
+), units as (
+    select conv_id, turn, text, level, unnest(regexp_split_to_array(layer, '\n[ \t]*\n')) as passage from layers
+    union all
+    select conv_id, turn, text, 0, string_agg(line, chr(10) order by n) from leveled where level = 0 group by all
+), hashed as (
+    select conv_id, turn, level, trim(lower(regexp_replace(passage, '[\x20\x09-\x0D\xA0]+', ' ', 'g'))) as passage from units
+), firsts as (
+    select conv_id, passage, min(turn) as origin from hashed where level = 0 and passage <> '' group by all
+), found as (
+    select h.conv_id, h.turn, h.level, max(f.origin) as origin from hashed h join firsts f using (conv_id, passage) where h.level > 0 and f.origin < h.turn group by all
+), parents as (
+    select conv_id, turn, arg_min(origin, level) as parent from found group by all
+), walk as (
+    select conv_id, turn, parent, parent as root, 1 as depth from parents
+    union all
+    select w.conv_id, w.turn, w.parent, p.parent, w.depth + 1 from walk w join parents p on p.conv_id = w.conv_id and p.turn = w.root
+), places as (
+    select conv_id, turn, any_value(parent) as parent, arg_max(root, depth) as root, max(depth) as depth from walk group by all
+), own as (
+    select conv_id, turn, text, string_agg(line, chr(10) order by n) filter (level = 0) as own_text, count(distinct level) filter (level > 0) as n_levels,
+        bool_or(level > 0) as quoted from leveled group by all
+)
+select c.conv_id, c.turn, c.role, cast(coalesce(o.n_levels, 0) as integer) as n_levels, p.parent as parent_turn, coalesce(p.root, c.turn) as root_turn,
+    cast(coalesce(p.depth, 0) as integer) as depth, md5(case when o.quoted then coalesce(o.own_text, '') else c.text end) as own_md5
+from conversations c left join own o on o.conv_id is not distinct from c.conv_id and o.turn is not distinct from c.turn and o.text = c.text
+left join places p on p.conv_id = c.conv_id and p.turn = c.turn
+"""
