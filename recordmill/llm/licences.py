@@ -26,8 +26,8 @@ from recordmill.llm.common import smallest_hashes, written
 
 #: Sentences of ordinary writing that train and calibrate, at most.
 SAMPLE = 4000
-#: Share of word pairs a sentence has in common with a template that confirms it, and that keeps it out of the sample.
-CONFIRMED, SUSPECT = 0.5, 0.2
+#: Share of a template's word pairs in a sentence that confirms it, and that keeps it out of the sample.
+CONFIRMED, SUSPECT = 0.6, 0.3
 #: Least probability of a family among the families; share of ordinary sentences below the threshold.
 CLEAR, ORDINARY_SHARE = 0.5, 0.9995
 ORDINARY, UNKNOWN = "ordinary", "unknown"
@@ -92,8 +92,8 @@ def _examples() -> list[tuple[str, str]]:
 
 
 def _agreement(pairs: str, template: Column) -> Column:
-    shared = F.size(F.array_intersect(F.col(pairs), template))
-    return shared / (F.size(pairs) + F.size(template) - shared)
+    """Share of a template's word pairs that a sentence has; what else the sentence says does not matter."""
+    return F.size(F.array_intersect(F.col(pairs), template)) / F.size(template)
 
 
 class Model:
@@ -161,7 +161,7 @@ def train(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
         intercepts[0] = min(intercepts[1:])  # nothing is known of ordinary writing
     model = Model(weights, intercepts, templates)
     model.weight_table = written(model.table(spark), "weights")
-    held = ordinary.filter("_part = 1").select(F.xxhash64("_sentence").alias("_row"), F.lit(0).alias("_place"), "_sentence", "_grams")
+    held = ordinary.filter("_part = 1").dropDuplicates(["_sentence"]).select(F.xxhash64("_sentence").alias("_row"), F.lit(0).alias("_place"), "_sentence", "_grams")
     quantile = model.classify(held, ["_row"]).select(F.percentile_approx("p_notice", F.lit(ORDINARY_SHARE), F.lit(10000)).alias("q")).first()["q"]
     model.threshold = max(0.5, quantile or 0.0)
     return model
