@@ -142,7 +142,8 @@ def repeats(df: DataFrame, match: int = MATCH) -> DataFrame:
     """
     found = written(fragments(df, match), "fragments")
     keys = found.groupBy("key").agg(F.count("*").alias("c"), F.min("content").alias("x"), F.max("content").alias("y"))
-    keys = keys.filter("c > 1").select("key", (F.col("x") != F.col("y")).alias("mixed"))
+    # stored, as a join can split the rows of a hot key only if no aggregate shares its exchange
+    keys = written(keys.filter("c > 1").select("key", (F.col("x") != F.col("y")).alias("mixed")), "keys")
     found = written(found.join(keys, "key"), "candidates")
     mixed = found.filter("mixed")
     distinct = written(mixed.groupBy("key", "content").agg(F.count("*").alias("c"), F.min(F.struct("_a", "_b", "at", "n")).alias("r")), "distinct")
