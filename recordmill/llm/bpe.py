@@ -32,7 +32,7 @@ PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: Pre-tokens of more bytes are streamed.
 STREAM_FROM = 96
 #: Chunks remembered by a worker; results do not depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _NONE = 1 << 60
 #: Stands for a chunk still to be encoded; ids take four bytes each, so no encoding equals it.
 _OPEN = b"?"
@@ -255,7 +255,7 @@ class Encoder:
         done = [b"".join(plan) for plan in plans]
         for memory in (self.words, self.pieces):
             if len(memory) > REMEMBERED:  # what came first is what is common
-                for key in list(islice(reversed(memory), len(memory) - REMEMBERED // 2)):
+                for key in list(islice(reversed(memory), len(memory) - REMEMBERED * 3 // 4)):
                     del memory[key]
         return done
 

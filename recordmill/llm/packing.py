@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordmill.llm.bpe import Vocabulary
-from recordmill.llm.common import written
+from recordmill.llm.common import int_list, written
 from recordmill.session import small_table
 
 CAPACITY, END = 1024, 2
+#: Texts encoded at a time.
+ROWS = 1024
 #: Pieces numbered by one task.
 ROWS_PER_BUCKET = 1 << 20
 
@@ -45,22 +47,24 @@ def pieces(df: DataFrame, vocabulary: Vocabulary, text: str = "text", capacity:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocabulary.encoder()
-        for batch in batches:
-            row, piece, start, length, load = [], [], [], [], []
-            for i, coded in enumerate(encoder([t or "" for t in batch.column(text).to_pylist()])):
-                coded += tail
-                n = len(coded) // 4
+        for batch in (part.slice(a, ROWS) for part in batches for a in range(0, part.num_rows, ROWS)):
+            coded = [c + tail for c in encoder([t or "" for t in batch.column(text).to_pylist()])]
+            row, piece, start, length, checks = [], [], [], [], []
+            for i, ids in enumerate(coded):
+                n = len(ids) // 4
                 a, b, k = 0, n % capacity or capacity, 0
                 while a < n:
                     row.append(i)
                     piece.append(k)
                     start.append(a)
                     length.append(b - a)
-                    load.append(np.frombuffer(coded[4 * a : 4 * b], "<i4") if payload == "ids" else zlib.crc32(coded[4 * a : 4 * b]))
+                    if payload != "ids":
+                        checks.append(zlib.crc32(ids[4 * a : 4 * b]))
                     a, b, k = b, b + capacity, k + 1
+            # the pieces follow one another in the joined ids
+            load = int_list(np.frombuffer(b"".join(coded), "<i4"), np.append(0, np.cumsum(length))) if payload == "ids" else pa.array(checks, pa.int64())
             taken = [batch.column(c).take(pa.array(row, pa.int64())) for c in kept]
-            made = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                    pa.array(load, pa.list_(pa.int32()) if payload == "ids" else pa.int64())]
+            made = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), load]
             yield pa.RecordBatch.from_arrays([*taken, *made], names=target.names)
 
     return df.select(*kept, text).mapInArrow(cut, target)
