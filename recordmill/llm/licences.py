@@ -150,12 +150,11 @@ def train(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     positive = written(described(_constants(spark, _examples()), "text"), "positive")
     label = F.coalesce(*(F.when(F.col("family") == k, F.lit(float(i))) for i, k in enumerate(CLASSES)))
     rows = written(positive.select(label.alias("label"), "_grams").union(ordinary.filter("_part = 0").select(F.lit(0.0), "_grams")), "examples")
-    counter = CountVectorizer(inputCol="_grams", outputCol="vector", binary=True, vocabSize=1 << 17).fit(rows)
+    # n-grams of ordinary writing alone would only raise the ordinary class, where a sentence without n-grams is anyway
+    counter = CountVectorizer(inputCol="_grams", outputCol="vector", binary=True, vocabSize=1 << 17).fit(positive.select("_grams"))
     fitted = LogisticRegression(featuresCol="vector", labelCol="label", family="multinomial", regParam=1e-4, maxIter=60).fit(counter.transform(rows))
     matrix = fitted.coefficientMatrix.toArray()
-    known = {r["g"] for r in positive.select(F.explode("_grams").alias("g")).distinct().collect()}
-    # n-grams of ordinary writing alone only raise the ordinary class, where a sentence without n-grams already is
-    weights = {g: matrix[:, i].tolist() for i, g in enumerate(counter.vocabulary) if g in known}
+    weights = {g: matrix[:, i].tolist() for i, g in enumerate(counter.vocabulary)}
     intercepts = fitted.interceptVector.toArray().tolist()
     if not ordinary.filter("_part = 0").take(1):
         intercepts[0] = min(intercepts[1:])  # nothing is known of ordinary writing
