@@ -19,6 +19,7 @@ HEADLINE = [
     "word_count", "chunks", "embed_hashed", "search_topk", "search_topk_vectors", "retrieve_fanout", "relevant_context",
     "context_reduction", "vector_upsert", "cosine_score", "infer_replay", "prompts", "cost_for_provider",
     "batch_summary", "report_summary", "recommendations", "review_queue", "report_lines", "batch_csv", "stream_ingest",
+    "search_topk_filtered", "src_text_folder", "src_results_json", "sink_json", "latest_run",
 ]
 
 
@@ -28,7 +29,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
+        "spark.sql.shuffle.partitions": cpus, "spark.recordmill.inputTasks": cpus, "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
     })
     spark.sparkContext.setLogLevel("ERROR")
     # workers and the parquet reader start outside the clock

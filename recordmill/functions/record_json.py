@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from recordmill.functions.text import let_sql, quote, strip_sql
 from recordmill.schemas import NESTED, RECORDS, Field, record_type, spark_type
 
-_NUMBER_TEXT = quote(r"^\s*[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?\s*$")
-_SPECIAL_NUMBER = quote(r"(?i)^\s*[+-]?(nan|inf|infinity)\s*$")
-_INTEGER_TEXT = quote(r"^\s*[+-]?\d+(_\d+)*(\.0*)?\s*$")
-_BLANK_AND_UNDERSCORE = quote(r"^(?=.*\s)(?=.*_)")
+# texts of numbers, after the blanks around them are gone
+_NUMBER_TEXT = quote(r"^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$")
+_SPECIAL_NUMBER = quote(r"(?i)^[+-]?(nan|inf|infinity)$")
+_NAN_TEXT = quote(r"(?i)^[+-]?nan$")
+_INTEGER_TEXT = quote(r"^[+-]?\d+(_\d+)*(\.0*)?$")
 _FRACTION_ZEROS = quote(r"\.0*$")
 
 
@@ -55,21 +56,30 @@ def _coerced(value: str, name: str, kind: str) -> str:
         return f"if({name} = 'STRING', {_as(value, 'string')}, null)"
     numeric = f"(startswith({name}, 'DECIMAL') or {name} in ('BIGINT', 'DOUBLE', 'FLOAT', 'BOOLEAN'))"
 
-    def from_text(t: str) -> str:
-        tidy = f"replace(trim({t}), '_', '')"
-        allowed = f"not {t} rlike {_BLANK_AND_UNDERSCORE}"
-        if kind == "float":
-            return (f"if(({t} rlike {_NUMBER_TEXT} or {t} rlike {_SPECIAL_NUMBER}) and {allowed},"
-                    f" try_cast({tidy} as double), null)")
-        return (f"if({t} rlike {_INTEGER_TEXT} and {allowed},"
-                f" try_cast(regexp_replace({tidy}, {_FRACTION_ZEROS}, '') as bigint), null)")
+    def from_text(raw: str) -> str:
+        def bare(t: str) -> str:
+            tidy = f"replace({t}, '_', '')"
+            # blanks are forgiven around a plain number only
+            allowed = f"(length({t}) = length({raw}) or not contains({t}, '_'))"
+            if kind == "float":
+                return (f"case when {t} rlike {_NAN_TEXT} then double('nan') when ({t} rlike {_NUMBER_TEXT} or {t} rlike {_SPECIAL_NUMBER})"
+                        f" and {allowed} then try_cast({tidy} as double) end")
+            digits = f"regexp_replace({tidy}, {_FRACTION_ZEROS}, '')"
+            return f"if({t} rlike {_INTEGER_TEXT} and {allowed}, coalesce(try_cast({digits} as bigint), {_bound(digits + ' not like ' + quote('-%'))}), null)"
+
+        return let_sql(strip_sql(raw), bare)
 
     written = f"when {name} = 'STRING' then {let_sql(_as(value, 'string'), from_text)}"
     number = _as(value, "double")
     if kind == "float":
         return f"case when {numeric} then {number} {written} end"
-    whole = f"({name} in ('BIGINT', 'BOOLEAN') or ({numeric} and {number} = floor({number})))"
-    return f"case when {whole} then {_as(value, 'bigint')} {written} end"
+    whole = f"({name} in ('BIGINT', 'BOOLEAN') or ({numeric} and {number} = rint({number})))"
+    return f"case when {whole} then coalesce({_as(value, 'bigint')}, {_bound(number + ' > 0')}) {written} end"
+
+
+def _bound(positive: str) -> str:
+    """What an integer beyond 64 bits becomes: the nearest one that a record can hold."""
+    return f"if({positive}, 9223372036854775807L, -9223372036854775807L - 1L)"
 
 
 def _judged(value: str, fields: list[Field], fold) -> str:

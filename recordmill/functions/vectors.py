@@ -109,14 +109,18 @@ def norm(a: str) -> Column:
 
 
 def cosine(a: str, b: str) -> Column:
-    """Cosine similarity of two vector columns in doubles; null when either is zero."""
+    """Cosine similarity of two vector columns in doubles; null when either is zero or null."""
 
     def pairs(left: pa.Array, right: pa.Array) -> pa.Array:
-        x, y = matrix_of(left), matrix_of(right)
+        both = np.flatnonzero(left.is_valid().to_numpy(zero_copy_only=False) & right.is_valid().to_numpy(zero_copy_only=False))
+        scores = np.full(len(left), np.nan)
+        if not len(both):
+            return pa.array(scores, mask=np.isnan(scores))
+        x, y = (matrix_of(side.take(pa.array(both))) for side in (left, right))
         scale = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            scores = np.einsum("ij,ij->i", x, y) / scale
-        return pa.array(scores, mask=scale == 0)
+            scores[both] = np.where(scale > 0, np.einsum("ij,ij->i", x, y) / scale, np.nan)
+        return pa.array(scores, mask=np.isnan(scores))
 
     return F.arrow_udf(pairs, "double")(F.expr(a), F.expr(b))
 

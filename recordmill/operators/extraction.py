@@ -17,6 +17,10 @@ from recordmill.schemas import DOC_TYPES, RECORDS, type_label
 Model = Callable[[list[tuple[str, str]]], list[tuple[str, int, int]]]
 
 
+#: Single calls that fail in a row before the rest of a failed batch is given up, as in an outage.
+GIVE_UP = 3
+
+
 def schema_text(doc_type: str) -> str:
     return json.dumps({f.name: type_label(f) for f in RECORDS[doc_type]}, indent=2)
 
@@ -44,7 +48,8 @@ def infer(prompts: DataFrame, make_model: Callable[[], Model], batch: int = 64,
     """Call a model on every prompt: ``doc_id`` to output, tokens and ``call_error``.
 
     ``make_model`` runs once per task, so each task owns one client. A failing batch is
-    tried again row by row, so one bad prompt costs its own row only. Columns in
+    tried again row by row, so one bad prompt costs its own row only; after ``GIVE_UP`` rows
+    that fail one after the other, the rest of the batch fails without a call. Columns in
     ``carry`` pass through, which saves joining the answers back to their documents.
     """
     kept = ["doc_id", *carry]
@@ -60,9 +65,14 @@ def infer(prompts: DataFrame, make_model: Callable[[], Model], batch: int = 64,
                 raise ValueError("the model must answer every prompt of a batch")
             return [(*out, None) for out in answers]
         except Exception as failure:
+            failed = (None, 0, 0, str(failure) or type(failure).__name__)
             if len(texts) == 1:
-                return [(None, 0, 0, str(failure) or type(failure).__name__)]
-            return [row for t in texts for row in call(model, [t])]
+                return [failed]
+            rows: list[tuple] = []
+            for text in texts:
+                out = len(rows) >= GIVE_UP and all(r[3] is not None for r in rows[-GIVE_UP:])
+                rows += [failed] if out else call(model, [text])
+            return rows
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
@@ -76,11 +86,15 @@ def infer(prompts: DataFrame, make_model: Callable[[], Model], batch: int = 64,
     return prompts.select(*kept, "system_prompt", "user_prompt").mapInPandas(run, schema)
 
 
-def replay(docs: DataFrame, responses: DataFrame) -> DataFrame:
-    """Stored model responses instead of calls; a document without one is a failed call."""
-    found = responses.select(
-        "doc_id", "raw_output", "prompt_tokens", "completion_tokens", "call_error", F.lit(True).alias("_found")
-    )
+def replay(docs: DataFrame, responses: DataFrame, order: str | None = None) -> DataFrame:
+    """Stored model responses instead of calls; a document without one is a failed call.
+
+    Of several answers to one id the one with the greatest ``order`` counts, without an
+    order the greatest answer; they are combined before the exchange.
+    """
+    answer = F.struct("raw_output", "prompt_tokens", "completion_tokens", "call_error")
+    last = F.max(answer) if order is None else F.max_by(answer, F.struct(F.col(order), answer))
+    found = responses.groupBy("doc_id").agg(last.alias("_last")).select("doc_id", "_last.*", F.lit(True).alias("_found"))
     return docs.join(found, "doc_id", "left").withColumns({
         "call_error": F.when(F.col("_found").isNull(), F.lit("no response")).otherwise(F.col("call_error")),
         "prompt_tokens": F.coalesce("prompt_tokens", F.lit(0)).cast("bigint"),

@@ -16,14 +16,16 @@ from recordmill.fixed import (
 )
 from recordmill.functions.text import let_sql, quote, words_sql
 from recordmill.functions.vectors import (
-    RANK_DIGITS, bucket_counts_sql, cosine, cosine_matrix, embed_hashed, matrix_of, query_literal_sql,
+    RANK_DIGITS, bucket_counts_sql, cosine_matrix, embed_hashed, matrix_of, query_literal_sql,
     sparse_scores_sql, word_buckets_sql,
 )
 from recordmill.operators.chunking import chunk_total_sql, slice_sql
-from recordmill.session import scratch_path, small_table
+from recordmill.session import small_table
 
-# queries held by one task at a time: 1,024 x 384 doubles are 3 MB
-QUERY_BLOCK = 1024
+# rows of a block: 1,024 x 384 doubles are 3 MB
+BLOCK = 1024
+# queries a catalogue may hold; it travels with every task
+CATALOG_LIMIT = 1024
 
 Embedder = Callable[[Column], Column]
 
@@ -44,15 +46,19 @@ def query_catalog(spark: SparkSession, catalog: str = "run") -> DataFrame:
     return small_table(spark, ["catalog", "doc_type", "query_no", "query_text"], rows)
 
 
+def query_type(doc_type: str = "doc_type") -> Column:
+    """Whose queries a document gets: those of its type, or the ``unknown`` ones."""
+    known = [t for t in CATALOGS["run"] if t != "unknown"]
+    return F.when(F.col(doc_type).isin(known), F.col(doc_type)).otherwise(F.lit("unknown"))
+
+
 def resolve_queries(docs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Each document with the queries of its type, or the ``unknown`` ones.
 
     The catalogue is a local relation, so its size is known to the optimizer and
     it is broadcast only while that is small.
     """
-    known = [t for t in CATALOGS["run"] if t != "unknown"]
-    key = F.when(F.col("doc_type").isin(known), F.col("doc_type")).otherwise(F.lit("unknown"))
-    return docs.withColumn("_type", key).join(
+    return docs.withColumn("_type", query_type()).join(
         catalog.withColumnRenamed("doc_type", "_type"), "_type"
     ).drop("_type")
 
@@ -73,127 +79,120 @@ def _keep_top(scored: DataFrame, keys: list[str], k: int, tie: str) -> DataFrame
     )
 
 
-def _collect_queries(queries: DataFrame, block: int) -> list | None:
-    """The queries when there are at most ``block``, else None."""
-    rows = queries.limit(block + 1).collect()
-    return rows if len(rows) <= block else None
-
-
 def search_within(
     vectors: DataFrame, queries: DataFrame, k: int = CONTEXT_TOP_K, on: str = "filename",
-    embedder: Embedder | None = None, carry: tuple[str, ...] = ("text", "word_count"), block: int = QUERY_BLOCK,
+    embedder: Embedder | None = None, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Best ``k`` chunks per document and query of the document's type.
 
-    ``vectors``: ``filename, doc_type, chunk_id, chunk_index, embedding`` and ``carry``.
-    ``queries``: ``doc_type, query_no, query_text``. Up to ``block`` queries travel with
-    the tasks, which score a chunk against its type's queries at once; beyond that the
-    queries are joined on the type.
+    ``vectors``: ``filename, doc_type, chunk_id, chunk_index, embedding`` and ``carry``; chunks without a
+    vector are not found. ``queries`` is a catalogue (``doc_type, query_no, query_text``) of at most
+    ``CATALOG_LIMIT`` rows; it travels with the tasks, which score a chunk against its type's queries at
+    once. Hits are ranked by ids and scores alone: ``carry`` is repeated for each query, so texts are
+    better cut out of the source afterwards.
     """
-    asked = embed(queries, embedder, "query_text").select("doc_type", "query_no", "embedding")
-    kept = [on, "doc_type", "chunk_id", "chunk_index", *carry]
-    small = _collect_queries(asked, block)
-    if small is None:
-        pairs = vectors.join(asked.withColumnRenamed("embedding", "_query"), "doc_type")
-        scored = pairs.select(*kept, "query_no", cosine("embedding", "_query").alias("_score"))
-    else:
-        by_type: dict[str, tuple[list[int], np.ndarray]] = {}
-        for doc_type in {r["doc_type"] for r in small}:
-            own = [r for r in small if r["doc_type"] == doc_type]
-            by_type[doc_type] = (
-                [r["query_no"] for r in own], np.array([r["embedding"] for r in own], dtype=np.float64))
-
-        def score(embedding: pa.Array, doc_type: pa.Array) -> pa.Array:
-            matrix, types = matrix_of(embedding), np.array(doc_type.to_pylist(), dtype=object)
-            cells: list[list | None] = [None] * len(types)
-            for name, (numbers, wanted) in by_type.items():
-                at = np.flatnonzero(types == name)
-                for row, scores in zip(at, cosine_matrix(matrix[at], wanted).tolist()):
+    asked = embed(queries, embedder, "query_text").select("doc_type", "query_no", "embedding").limit(CATALOG_LIMIT + 1).collect()
+    if len(asked) > CATALOG_LIMIT:
+        raise ValueError(f"a catalogue has at most {CATALOG_LIMIT} queries; use search() for more")
+    by_type: dict[str, tuple[list[int], np.ndarray]] = {}
+    for doc_type in {r["doc_type"] for r in asked}:
+        own = [r for r in asked if r["doc_type"] == doc_type]
+        by_type[doc_type] = ([r["query_no"] for r in own], np.array([r["embedding"] for r in own], dtype=np.float64))
+
+    def score(embedding: pa.Array, doc_type: pa.Array) -> pa.Array:
+        types = np.array(doc_type.to_pylist(), dtype=object)
+        cells: list[list | None] = [None] * len(types)
+        valid = embedding.is_valid().to_numpy(zero_copy_only=False)
+        for name, (numbers, wanted) in by_type.items():
+            at = np.flatnonzero((types == name) & valid)
+            if len(at):
+                rows = matrix_of(embedding.take(pa.array(at)))
+                for row, scores in zip(at, cosine_matrix(rows, wanted).tolist()):
                     cells[row] = [{"query_no": n, "score": s} for n, s in zip(numbers, scores)]
-            return pa.array(cells, type=pa.list_(pa.struct([("query_no", pa.int64()), ("score", pa.float64())])))
+        return pa.array(cells, type=pa.list_(pa.struct([("query_no", pa.int64()), ("score", pa.float64())])))
 
-        scorer = F.arrow_udf(score, "array<struct<query_no: bigint, score: double>>")
-        hits = vectors.select(*kept, F.inline_outer(scorer("embedding", "doc_type")).alias("query_no", "_score"))
-        scored = hits.withColumn("_score", F.when(~F.isnan("_score"), F.col("_score")))
-    scored = scored.select(
+    scorer = F.arrow_udf(score, "array<struct<query_no: bigint, score: double>>")
+    kept = [on, "doc_type", "chunk_id", "chunk_index", *carry]
+    typed = vectors.withColumn("_type", query_type())
+    hits = typed.select(*kept, F.inline_outer(scorer("embedding", "_type")).alias("query_no", "_score"))
+    scored = hits.withColumn("_score", F.when(~F.isnan("_score"), F.col("_score"))).select(
         *kept, "query_no", F.round("_score", 4).alias("score"), _rank_key(F.col("_score")).alias("_key"),
     )
     return _keep_top(scored, [on, "query_no"], k, "chunk_index")
 
 
-def _best_in_task(ids: list, matrix: np.ndarray, k: int, id_column: str) -> Callable:
-    """Running best ``k`` per query over the Arrow batches of one task."""
+def _blocks(rows: DataFrame, id_column: str, block: int) -> DataFrame:
+    """Rows ``id_column, embedding`` as blocks: ids, and the vectors as the bytes of a matrix of doubles."""
+    kind = rows.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list] = [[] for _ in ids]
         for batch in batches:
-            column = batch.column("embedding")
-            if not len(column):
-                continue
-            scores = cosine_matrix(matrix_of(column), matrix)
-            keys = np.round(scores, RANK_DIGITS)
-            names = batch.column(id_column)
-            for q in range(len(ids)):
-                column_keys = keys[:, q]
-                valid = np.flatnonzero(~np.isnan(column_keys))
-                if len(best[q]) == k and len(valid):
-                    valid = valid[column_keys[valid] >= best[q][-1][0]]
-                if len(valid) > k:
-                    # everything tied with the k-th key stays until names decide
-                    kth = np.partition(column_keys[valid], -k)[-k]
-                    valid = valid[column_keys[valid] >= kth]
-                candidates = [(float(column_keys[i]), names[int(i)].as_py(), float(scores[i, q])) for i in valid]
-                best[q] = heapq.nsmallest(k, best[q] + candidates, key=lambda c: (-c[0], c[1]))
-        rows = [(ids[q], name, score, key) for q in range(len(ids)) for key, name, score in best[q]]
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows]) for i in range(4)],
-                names=["query_id", id_column, "_score", "_key"],
-            )
+            for start in range(0, batch.num_rows, block):
+                part = batch.slice(start, block)
+                matrix = matrix_of(part.column("embedding"))
+                ids = pa.array([part.column(id_column).to_pylist()], type=pa.list_(part.column(id_column).type))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array([matrix.shape[1]], pa.int32()), pa.array([matrix.tobytes()], pa.binary())], names=["ids", "width", "matrix"])
 
-    return run
+    present = rows.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(id_column, "embedding")
+    return present.mapInArrow(run, f"ids array<{kind}>, width int, matrix binary")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = CONTEXT_TOP_K,
-           id_column: str = "chunk_id", block: int = QUERY_BLOCK) -> DataFrame:
+           id_column: str = "chunk_id", block: int = BLOCK, parts: int = 32) -> DataFrame:
     """Exact best ``k`` rows of ``vectors`` (``id_column, embedding``) for every query.
 
-    ``queries``: ``query_id, embedding``. Each task multiplies its Arrow batches with
-    the query matrix and hands on at most ``k`` rows per query, so pairs never become
-    rows and the exchange does not grow with the table. Queries go to the tasks in
-    blocks of ``block``; more than one block means one scan per block, its result
-    written to the shared folder.
+    ``queries``: ``query_id, embedding``, any number of them; several vectors of one query compete
+    for its ``k`` places. Both sides become blocks. The blocks of vectors are dealt out over ``parts``,
+    the blocks of queries are sent to every part, and each task multiplies the blocks that meet and
+    keeps a running best ``k`` per query. So a table is read once, pairs never become rows, and what is
+    exchanged afterwards is ``k`` rows per query and task at most. Null vectors are not searched.
     """
-    spark = vectors.sparkSession
     id_type = vectors.schema[id_column].dataType.simpleString()
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {query_type}, {id_column} {id_type}, _score double, _key double"
-
-    def scan(rows: list) -> DataFrame:
-        matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        partial = vectors.select(id_column, "embedding").mapInArrow(
-            _best_in_task([r["query_id"] for r in rows], matrix, k, id_column), schema
-        )
-        return _keep_top(partial, ["query_id"], k, id_column).withColumn("score", F.round("_score", 4)).drop("_score")
-
-    wanted = queries.select("query_id", "embedding")
-    first = wanted.limit(block + 1).collect()
-    if not first:
-        return spark.createDataFrame(
-            [], f"query_id {query_type}, {id_column} {id_type}, rank bigint, score double"
-        )
-    if len(first) <= block:
-        return scan(first)
-    path = scratch_path(spark, "search")
-    rows: list = []
-    for row in wanted.toLocalIterator():
-        rows.append(row)
-        if len(rows) == block:
-            scan(rows).write.mode("append").parquet(path)
-            rows = []
-    if rows:
-        scan(rows).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    query_type_name = queries.schema["query_id"].dataType.simpleString()
+    stored = _blocks(vectors, id_column, block).withColumn("part", F.pmod(F.xxhash64("matrix"), F.lit(parts)).cast("int"))
+    asked = _blocks(queries, "query_id", block).select(
+        F.col("ids").alias("queries"), "width", F.col("matrix").alias("wanted"),
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                width = batch.column("width")[i].as_py()
+                names, asking = batch.column("ids")[i].as_py(), batch.column("queries")[i].as_py()
+                rows, wanted = (np.frombuffer(batch.column(c)[i].as_py()).reshape(-1, width) for c in ("matrix", "wanted"))
+                scores = cosine_matrix(rows, wanted)
+                keys = np.round(scores, RANK_DIGITS)
+                for q, name in enumerate(asking):
+                    own, column = best.get(name, []), keys[:, q]
+                    valid = np.flatnonzero(~np.isnan(column))
+                    if len(own) == k and len(valid):
+                        valid = valid[column[valid] >= own[-1][0]]
+                    if len(valid) > k:
+                        # everything tied with the k-th key stays until names decide
+                        valid = valid[column[valid] >= np.partition(column[valid], -k)[-k]]
+                    if len(valid):
+                        found = [(float(column[j]), names[j], float(scores[j, q])) for j in valid.tolist()]
+                        best[name] = heapq.nsmallest(k, own + found, key=lambda c: (-c[0], c[1]))
+        rows = [(name, hit, score, key) for name, hits in best.items() for key, hit, score in hits]
+        for start in range(0, len(rows), 1 << 16):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in zip(*rows[start:start + (1 << 16)])], names=["query_id", id_column, "_score", "_key"])
+
+    schema = f"query_id {query_type_name}, {id_column} {id_type}, _score double, _key double"
+    partial = stored.join(asked, ["part", "width"]).mapInArrow(run, schema)
+    return _keep_top(partial, ["query_id"], k, id_column).withColumn("score", F.round("_score", 4)).drop("_score")
+
+
+def with_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with the text of their chunks, looked up after the ranking. A chunk is known by document and number.
+
+    Chunks of one document are cut from one text, so a repeated one is the same.
+    """
+    wanted = hits.select("filename", "chunk_index").distinct()
+    texts = chunks.select("filename", "chunk_index", "text").join(wanted, ["filename", "chunk_index"], "left_semi").dropDuplicates(["filename", "chunk_index"])
+    return hits.join(texts, ["filename", "chunk_index"])
 
 
 def dedupe_hits(hits: DataFrame, on: str = "chunk_id") -> DataFrame:
@@ -216,11 +215,18 @@ def assemble_context(hits: DataFrame, separator: str = CONTEXT_SEPARATOR) -> Dat
 def relevant_context(
     vectors: DataFrame, catalog: str = "context", k: int = CONTEXT_TOP_K,
     dedupe_on: str = "chunk_id", separator: str = CONTEXT_SEPARATOR, embedder: Embedder | None = None,
+    docs: DataFrame | None = None,
 ) -> DataFrame:
-    """Context per document of a chunk vector table: fan out, top-k, dedupe, join."""
+    """Context per document of a chunk vector table: fan out, top-k, dedupe, join.
+
+    A document none of whose chunks is found has the empty context; ``docs`` (``filename``) also lists
+    those that have no chunks at all.
+    """
     queries = query_catalog(vectors.sparkSession, catalog)
-    hits = search_within(vectors, queries, k, embedder=embedder, carry=("text",))
-    return assemble_context(dedupe_hits(hits, dedupe_on), separator)
+    hits = with_texts(search_within(vectors, queries, k, embedder=embedder), vectors)
+    found = assemble_context(dedupe_hits(hits, dedupe_on), separator)
+    names = (vectors if docs is None else docs).select(F.coalesce("filename", F.lit("unknown")).alias("filename")).distinct()
+    return names.join(found, "filename", "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
 def context_of(

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from recordmill.fixed import CHUNK_OVERLAP, CHUNK_WORDS
+from recordmill.functions.text import word_count
+from recordmill.operators.chunking import chunk_total_sql
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, key: str = "filename") -> DataFrame:
@@ -11,71 +16,48 @@ def replace_by_key(old: DataFrame, new: DataFrame, key: str = "filename") -> Dat
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-class KeyedStore:
-    """A Parquet table in ``buckets`` folders by hash of ``key``.
+class LatestTable:
+    """A Parquet table that grows by batches; of each key the rows of the newest version count.
 
-    An upsert reads and rewrites only the folders its keys fall in. The merged rows
-    are written beside the table first, so the rewrite never reads what it replaces
-    and can be repeated from that copy.
+    A batch is a partition of its own, so writing touches nothing else and a batch that is
+    repeated replaces itself. The version of a row is its ``order``, then its batch, so
+    an older submission that arrives late changes nothing. Reading compares versions, combined
+    before the exchange; ``compact`` writes what counts to a new table now and then.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 64):
-        self.spark, self.key, self.buckets = spark, key, buckets
-        self._root = path.rstrip("/")
-        self.path = f"{self._root}/table"
-
-    def _bucket(self):
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+    def __init__(self, spark: SparkSession, path: str, key: str, order: str, schema: T.StructType):
+        if not {key, order} <= set(schema.names):
+            raise ValueError("key and order must be columns of the table")
+        self.spark, self.path, self.key, self.order, self.schema = spark, path.rstrip("/"), key, order, schema
+        # an empty batch, so that there is something to read from the start
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.path}/batch=-")
 
-    def exists(self) -> bool:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
+    def append(self, rows: DataFrame, batch: str) -> None:
+        """Write one batch. Batch names are compared as text."""
+        rows.select(*self.schema.names).write.mode("overwrite").option(
+            "partitionOverwriteMode", "static").parquet(f"{self.path}/batch={batch}")
 
-    def _write(self, rows: DataFrame, path: str) -> None:
-        # rebalancing splits a hot bucket over several tasks and joins small ones
-        (rows.hint("rebalance", "bucket").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    def history(self) -> DataFrame:
+        return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("batch", T.StringType())])).parquet(self.path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).drop("bucket")
-
-    def read_key(self, value: str) -> DataFrame:
-        """Rows of one key, from its folder only."""
-        bucket = self.spark.range(1).select(
-            F.pmod(F.xxhash64(F.lit(value)), F.lit(self.buckets)).cast("int").alias("b")
-        ).first()["b"]
-        rows = self.spark.read.parquet(self.path)
-        return rows.filter((F.col("bucket") == bucket) & (F.col(self.key) == value)).drop("bucket")
-
-    def upsert(self, new: DataFrame, batch: str) -> None:
-        """Replace the keys of ``new``. The same ``batch`` name may be repeated after a failure."""
-        incoming_path, merged_path = (f"{self._root}/staged/{batch}/{part}" for part in ("new", "merged"))
-        new.withColumn("bucket", self._bucket()).write.mode("overwrite").option(
-            "partitionOverwriteMode", "static").parquet(incoming_path)
-        incoming = self.spark.read.parquet(incoming_path)
-        # at most one value per folder
-        touched = [r["bucket"] for r in incoming.select("bucket").distinct().collect()]
-        if not touched:
-            if not self.exists():
-                self._write(incoming, self.path)
-            return
-        if self.exists():
-            old = self.spark.read.parquet(self.path).filter(F.col("bucket").isin(touched))
-            merged = replace_by_key(old, incoming, self.key)
-        else:
-            merged = incoming
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(merged_path)
-        self._write(self.spark.read.parquet(merged_path), self.path)
-
-
-def embed_summary(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunk count and status per document; no chunks means ``failed``."""
-    counts = chunks.groupBy("filename").agg(F.count(F.lit(1)).alias("_n"))
-    n = F.coalesce("_n", F.lit(0)).cast("bigint")
-    return docs.select("filename").join(counts, "filename", "left").select(
-        "filename", n.alias("chunks_count"),
-        F.when(n > 0, F.lit("success")).otherwise(F.lit("failed")).alias("status"),
-    )
+        rows = self.history().withColumn("_version", F.struct(self.order, "batch"))
+        newest = rows.groupBy(F.col(self.key).alias("_key")).agg(F.max("_version").alias("_newest"))
+        kept = rows.join(newest, F.col(self.key).eqNullSafe(F.col("_key")) & (F.col("_version") == F.col("_newest")), "left_semi")
+        return kept.select(*self.schema.names)
+
+    def compact(self, path: str) -> LatestTable:
+        """A table at ``path`` with the rows that count as its first batch."""
+        other = LatestTable(self.spark, path, self.key, self.order, self.schema)
+        other.append(self.read(), "0")
+        return other
+
+
+def embed_summary(docs: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """Chunk count and status per document, within its row; no chunks means ``failed``."""
+    n = F.expr(f"cast({chunk_total_sql('_words', size, overlap)} as bigint)")
+    return docs.withColumn("_words", F.coalesce(word_count("text"), F.lit(0))).select(
+        "filename", n.alias("chunks_count"), F.when(n > 0, F.lit("success")).otherwise(F.lit("failed")).alias("status"))
 
 
 def embed_totals(summary: DataFrame) -> DataFrame:

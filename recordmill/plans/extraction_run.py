@@ -17,7 +17,7 @@ from recordmill.operators.extraction import extraction_json, infer, replay, with
 from recordmill.operators.intake import REASON_TEXT, reject_reason
 from recordmill.operators.retrieval import Embedder, context_of, embed, relevant_context
 from recordmill.schemas import DOC_TYPES
-from recordmill.session import scratch_path
+from recordmill.session import named_path
 
 
 def with_context(docs: DataFrame, threshold: int = fixed.LONG_DOCUMENT_WORDS, override: bool | None = None,
@@ -25,55 +25,70 @@ def with_context(docs: DataFrame, threshold: int = fixed.LONG_DOCUMENT_WORDS, ov
     """Add ``word_count``, ``use_retrieval`` and ``context``: the whole text, or for long
     documents the chunks their type's queries find. ``docs`` needs ``doc_id, doc_type, text``.
     """
-    routed = route(docs, threshold, override)
+    routed = route(docs, threshold, override).withColumn("use_retrieval", F.coalesce("use_retrieval", F.lit(False)))
     if embedder is None:
         found = context_of("text", "doc_type")
         return routed.withColumn("context", F.when(F.col("use_retrieval"), found).otherwise(F.col("text")))
-    long = routed.filter("use_retrieval").select(F.col("doc_id").alias("filename"), "doc_type", "text")
+    # two documents may share an id, so a document is known by all it is made of
+    routed = routed.withColumn("_key", F.sha2(F.concat_ws("\n", "doc_id", "doc_type", "text"), 256))
+    long = routed.filter("use_retrieval").select(F.col("_key").alias("filename"), "doc_type", "text").dropDuplicates(["filename"])
     vectors = embed(chunk_documents(long, keep=("doc_type",)), embedder)
     contexts = relevant_context(
         vectors, "run", fixed.RUN_TOP_K, "text", fixed.RUN_SEPARATOR, embedder
-    ).withColumnRenamed("filename", "doc_id")
+    ).withColumnRenamed("filename", "_key")
     # only ids and short contexts of the long documents are exchanged, short texts stay in place
     short = routed.filter("not use_retrieval").withColumn("context", F.col("text"))
-    joined = routed.filter("use_retrieval").join(contexts, "doc_id", "left").withColumn(
+    joined = routed.filter("use_retrieval").join(contexts, "_key", "left").withColumn(
         "context", F.coalesce("context", F.lit(""))
     )
-    return short.unionByName(joined)
+    return short.unionByName(joined).drop("_key")
 
 
 def run(
     docs: DataFrame, run_id: str, timestamp: str, *, responses: DataFrame | None = None,
     make_model: Callable | None = None, provider: str = fixed.DEFAULT_PROVIDER,
-    threshold: int = fixed.LONG_DOCUMENT_WORDS, embedder: Embedder | None = None,
+    threshold: int = fixed.LONG_DOCUMENT_WORDS, embedder: Embedder | None = None, answers: str | None = None,
 ) -> DataFrame:
     """Result rows for ``docs`` (``doc_id, doc_type, filename, text``, optionally ``content``).
 
     Outputs come from stored ``responses`` or from ``make_model``. Rejected and failed
     documents stay as rows with an error. ``timestamp`` is a parameter, so a repeated
-    run gives the same rows.
+    run gives the same rows. Rejected documents are not cut, searched or sent to a model. Answers of a
+    model are kept under ``answers``, by default a folder named by the run: a run that starts again asks
+    only for documents whose answer is not there.
     """
     if (responses is None) == (make_model is None):
         raise ValueError("give either responses or make_model")
     content = F.col("content") if "content" in docs.columns else None
     taken = docs.withColumn(
         "_reason", reject_reason(F.col("filename"), "text", F.col("doc_type"), content)
-    )
+    ).withColumn("text", F.when(F.col("_reason").isNull(), F.col("text")))
     ready = with_context(taken, threshold, None, embedder).withColumn(
-        "context_words", F.when(F.col("use_retrieval"), word_count("context")).otherwise(F.col("word_count"))
+        "context_words", F.when(F.col("use_retrieval"), word_count("context")).otherwise(F.coalesce("word_count", F.lit(0)))
     )
     kept = ["doc_id", "doc_type", "filename", "_reason", "use_retrieval", "context_words"]
     if responses is not None:
         answered = replay(ready.select(*kept), responses)
     else:
-        prompts = with_prompts(ready.filter("_reason is null"))
-        # calls are dear: store the answers before anything reads them twice
-        path = scratch_path(docs.sparkSession, "answers")
-        infer(prompts, make_model, carry=tuple(kept[1:])).write.parquet(path)
+        prompts = with_prompts(ready.filter("_reason is null")).withColumn(
+            "prompt_key", F.sha2(F.concat_ws("\n", "doc_id", "user_prompt"), 256))
+        # calls are dear: answers are stored before anything reads them, and kept for a run that starts again
+        path = answers or named_path(docs.sparkSession, f"answers/{run_id}")
+        carried = ("prompt_key", *kept[1:])
+        spark = docs.sparkSession
+        schema = infer(prompts, make_model, carry=carried).schema
+        spark.createDataFrame([], schema).write.mode("append").parquet(path)
+        known = spark.read.schema(schema).parquet(path).select("prompt_key").distinct()
+        infer(prompts.dropDuplicates(["prompt_key"]).join(known, "prompt_key", "left_anti"), make_model,
+              carry=carried).write.mode("append").parquet(path)
+        # a document submitted twice asks once; its rows share the answer
+        answer = spark.read.schema(schema).parquet(path).groupBy("prompt_key").agg(F.max(F.struct(
+            "raw_output", "prompt_tokens", "completion_tokens", "call_error")).alias("_answer"))
+        asked = prompts.select(*kept, "prompt_key").join(answer, "prompt_key").select(*kept, "_answer.*")
         rejected = ready.filter("_reason is not null").select(
             *kept, F.lit(None).cast("string").alias("raw_output"), F.lit(0).cast("bigint").alias("prompt_tokens"),
             F.lit(0).cast("bigint").alias("completion_tokens"), F.lit("rejected").alias("call_error"))
-        answered = docs.sparkSession.read.parquet(path).unionByName(rejected)
+        answered = asked.unionByName(rejected)
     return envelope(with_outcome(answered), run_id, timestamp, provider)
 
 

@@ -151,7 +151,7 @@ def cost_compare(results: DataFrame) -> DataFrame:
     summary = batch_summary(results).select("successful", "prompt_tokens", "completion_tokens")
     paid = providers(results.sparkSession).filter((~F.col("free")) & (F.col("key") != fixed.FALLBACK_PROVIDER))
     # both sides are tiny by construction: a global aggregate and the price list
-    rows = paid.withColumn("_one", F.lit(1)).join(summary.withColumn("_one", F.lit(1)), "_one")
+    rows = paid.crossJoin(summary)
     run_cost = priced("prompt_tokens", "completion_tokens", "input", "output")
     return rows.withColumn("run_cost", run_cost).select(
         "position", "key", "name", "run_cost",

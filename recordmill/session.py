@@ -18,6 +18,8 @@ _RUNTIME_CONF = {
     # the JVM interprets methods above 8,000 bytes of code; wide expressions are faster
     # as many small compiled methods than fused into a stage that is too big to compile
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # rows may hold whole blocks of vectors
+    "spark.sql.execution.arrow.maxBytesPerBatch": "33554432",
     # only the partitions present in the written data are replaced
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
@@ -46,13 +48,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     fall back to a temporary folder; a cluster without the setting is an error,
     because executors could not see each other's files.
     """
+    return f"{named_path(spark, name)}-{uuid.uuid4().hex}"
+
+
+def named_path(spark: SparkSession, name: str) -> str:
+    """The path of a name under the shared folder, the same on every call."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="recordmill-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/recordmill/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/recordmill/{name}"
 
 
 def small_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
@@ -62,13 +69,3 @@ def small_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> Dat
     """
     columns = list(zip(*rows))
     return spark.createDataFrame(pa.table(dict(zip(names, map(list, columns)))))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a table that is read in far fewer tasks than there are cores.
-
-    A file with one row group is one task whatever its size. Tables with at least half
-    as many tasks as cores, as any large one has, are left alone and not exchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from recordmill.fixed import BATCH_CSV_COLUMNS
@@ -53,7 +53,16 @@ def write_text_folder(docs: DataFrame, path: str) -> None:
 
 def write_run(results: DataFrame, path: str) -> None:
     """Add a run to the results table. Earlier runs stay; repeating a run replaces only itself."""
-    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    seen = Observation()
+    results.observe(seen, F.collect_set("run_id").alias("ids")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    # one row per run written, so that nobody has to look through the runs for their names
+    ids = F.array(*map(F.lit, seen.get["ids"])).cast("array<string>")
+    results.sparkSession.range(1).select(F.explode(ids).alias("run_id")).write.mode("append").parquet(_names(path))
+
+
+def _names(path: str) -> str:
+    return f"{path.rstrip('/')}_names"
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -61,10 +70,10 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESULT_SCHEMA).parquet(path)
 
 
-def latest_run(results: DataFrame) -> DataFrame:
-    """Rows of the greatest ``run_id``; the subquery prunes the other run partitions."""
-    newest = results.select(F.max("run_id")).scalar()
-    return results.filter(F.col("run_id") == newest)
+def latest_run(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the greatest ``run_id``; only its partition of the table is listed and read."""
+    newest = spark.read.schema("run_id string").parquet(_names(path)).agg(F.max("run_id")).first()[0]
+    return read_runs(spark, path).filter(F.col("run_id") == F.lit(newest))
 
 
 def write_json(results: DataFrame, path: str) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from recordmill.operators.store import KeyedStore
+from recordmill.operators.store import LatestTable
 
 
 def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -18,18 +18,20 @@ def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def ingest(
-    stream: DataFrame, transform: Callable[[DataFrame], DataFrame], store: KeyedStore, checkpoint: str,
-    order: str | None = None, available_now: bool = True,
+    stream: DataFrame, transform: Callable[[DataFrame], DataFrame], store: LatestTable, checkpoint: str,
+    available_now: bool = True,
 ) -> StreamingQuery:
-    """Run ``transform`` on every micro-batch and upsert its rows by the store's key.
+    """Run ``transform`` on every micro-batch and append its rows to the store.
 
-    A batch repeated after a failure replaces its own rows. With ``order`` a key
-    submitted several times in one batch keeps its last submission.
+    The stream has the store's key and order. Of several submissions of a key in one batch the last
+    is transformed; between batches the store keeps the greatest order, whenever it arrives. A batch
+    repeated after a failure replaces its own rows.
     """
 
     def one_batch(batch: DataFrame, number: int) -> None:
-        rows = batch if order is None else last_per_key(batch, store.key, order)
-        store.upsert(transform(rows), f"batch-{number}")
+        rows = last_per_key(batch, store.key, store.order)
+        versions = rows.select(store.key, store.order)
+        store.append(transform(rows).drop(store.order).join(versions, store.key), f"{number:012d}")
 
     writer = stream.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     if available_now:

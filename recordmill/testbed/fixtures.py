@@ -13,16 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordmill.schemas import record_type
-from recordmill.session import spread
-
 RUNS = [
     ("20240101_000000", "2024-01-01 00:00:00", "openai_gpt4o_mini"),
     ("20240102_000000", "2024-01-02 00:00:00", "anthropic_haiku"),
 ]
 
 
+#: Names how many tasks share an input whose files have one row group each; unset, as for real tables, nothing is dealt out.
+INPUT_TASKS = "spark.recordmill.inputTasks"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    tasks = spark.conf.get(INPUT_TASKS, None)
+    return rows.repartition(int(tasks)) if tasks else rows
 
 
 def spark_layers(base: DataFrame, layers: list[list[str]]) -> DataFrame:
@@ -37,7 +41,8 @@ def duck_layers(table: str, layers: list[list[str]]) -> str:
 
 DOCUMENTS = [[
     "doc_id AS k", "CAST(doc_id AS STRING) AS doc_id", "'doc_' || CAST(doc_id AS STRING) AS filename",
-    "CASE doc_id % 3 WHEN 0 THEN 'invoice' WHEN 1 THEN 'resume' ELSE 'email' END AS doc_type", "text",
+    "CASE WHEN doc_id % 31 = 5 THEN 'memo' WHEN doc_id % 3 = 0 THEN 'invoice' WHEN doc_id % 3 = 1 THEN 'resume' ELSE 'email' END AS doc_type",
+    "CASE WHEN doc_id % 29 = 7 THEN ' ' ELSE text END AS text",
 ]]
 
 # every way to be turned away, and a type nobody knows
@@ -113,7 +118,7 @@ EMAILS = [
      "role", "text"],
     ["k", "doc_id", "text",
      "CASE WHEN k % 13 = 0 THEN '' ELSE role END AS sender_name", "'team' AS receiver_name",
-     "CASE WHEN k % 11 = 0 THEN ' ' ELSE substr(text, 1, 40) END AS subject",
+     "CASE WHEN k % 11 = 0 THEN ' ' ELSE role || ' ' || CAST(k AS STRING) END AS subject",
      "CASE WHEN k % 2 = 0 THEN NULL ELSE '2024-01-15' END AS date",
      "CASE WHEN k % 7 = 0 THEN NULL ELSE text END AS body", "k % 3 AS n_points", "k % 2 AS n_actions"],
 ]

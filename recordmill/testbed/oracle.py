@@ -8,7 +8,6 @@ rules and scores as plain CASE expressions.
 from __future__ import annotations
 
 from recordmill import fixed
-from recordmill.operators.extraction import schema_text
 from recordmill.plans import reports
 from recordmill.schemas import NESTED, RECORDS
 from recordmill.testbed import fixtures as fx
@@ -92,7 +91,7 @@ def _top(partition: str, tie: str, k: int) -> str:
                ORDER BY round(s, 9) DESC, {tie}) AS rank FROM scored) WHERE rank <= {k})"""
 
 
-_OWN_TYPE = "chunks.doc_type = cat.doc_type"
+_OWN_TYPE = "cat.doc_type = CASE WHEN chunks.doc_type IN ('invoice', 'resume', 'email') THEN chunks.doc_type ELSE 'unknown' END"
 
 
 def _run_context(source: str) -> str:
@@ -122,7 +121,7 @@ _WORDS = "len(regexp_extract_all({}, '\\S+'))"
 
 # --- sources -----------------------------------------------------------------------------
 
-ORACLE["src_text_folder"] = f"""SELECT doc_type, md5(text || chr(10)) AS text_md5, {_WORDS.format('text')} AS words FROM ({DOCS})"""
+ORACLE["src_text_folder"] = f"""SELECT doc_type, md5(text || chr(10)) AS text_md5, {_WORDS.format('text')} AS words FROM ({DOCS}) WHERE doc_type <> 'memo'"""
 ORACLE["src_utf8_gate"] = f"""SELECT k, readable AS accepted, CASE WHEN readable THEN length(text) END AS n_chars FROM ({SUBMITTED})"""
 ORACLE["input_gate"] = f"""
   SELECT k, reason = '' AS accepted, reason FROM (SELECT k, CASE
@@ -148,9 +147,9 @@ def _cost(prompt: str, completion: str, price_in: str, price_out: str) -> str:
 
 
 ORACLE["providers"] = f"""
-  SELECT position, key, name, model, input, output, free, key = 'openai_gpt4o_mini' AS active,
+  SELECT doc_type, position, key, name, model, input, output, free, key = 'openai_gpt4o_mini' AS active,
          {_cost('pt', 'ct', 'input', 'output')} AS cost_usd
-  FROM {_PRICES}, (SELECT sum(prompt_tokens)::BIGINT AS pt, sum(completion_tokens)::BIGINT AS ct FROM ({RESPONSES}))"""
+  FROM {_PRICES}, (SELECT doc_type, sum(prompt_tokens)::BIGINT AS pt, sum(completion_tokens)::BIGINT AS ct FROM ({RESPONSES}) GROUP BY doc_type)"""
 ORACLE["query_catalog"] = f"""
   SELECT k, d.doc_type, catalog, query_no, query_text FROM ({SUBMITTED}) d
   JOIN ({_catalog('run')} UNION ALL {_catalog('context')}) c
@@ -182,8 +181,20 @@ def _lines(text: str) -> str:
     return _sep(text)
 
 
-_SCHEMA_CASE = "CASE doc_type " + " ".join(
-    f"WHEN {_q(t)} THEN {_lines(schema_text(t))}" for t in RECORDS) + " END"
+_S, _F, _OS, _OF = "<class 'str'>", "<class 'float'>", "typing.Optional[str]", "typing.Optional[float]"
+# the field listings as a prompt shows them, written out
+_PROMPT_FIELDS = {
+    "invoice": [("invoice_number", _OS), ("date", _OS), ("sender_company", _S), ("receiver_company", _S), ("line_items", "list[LineItem]"),
+                ("subtotal", _OF), ("total_amount", _F), ("gstin_sender", _OS), ("gstin_receiver", _OS), ("gst", _OF), ("cgst", _OF),
+                ("sgst", _OF), ("igst", _OF), ("phone", _OS), ("email", _OS), ("address", _OS), ("due_date", _OS)],
+    "resume": [("name", _S), ("email", _OS), ("phone", _OS), ("address", _OS), ("linkedin", _OS), ("github", _OS),
+               ("technical_skills", "list[str]"), ("soft_skills", "list[str]"), ("tech_stack", "list[str]"),
+               ("work_experience", "list[WorkExperience]"), ("education", "list[Education]"), ("projects", "list[str]"), ("summary", _OS)],
+    "email": [("sender_name", _S), ("receiver_name", _S), ("subject", _S), ("date", _OS), ("body", _OS), ("key_points", "list[str]"),
+              ("action_items", "list[str]"), ("sender_email", _OS), ("receiver_email", _OS), ("tone", _OS), ("priority", _OS)],
+}
+_SCHEMA_TEXT = {t: "{\n" + ",\n".join(f'  "{n}": "{kind}"' for n, kind in own) + "\n}" for t, own in _PROMPT_FIELDS.items()}
+_SCHEMA_CASE = "CASE doc_type " + " ".join(f"WHEN {_q(t)} THEN {_lines(text)}" for t, text in _SCHEMA_TEXT.items()) + " END"
 ORACLE["prompts"] = f"""
   SELECT doc_id, doc_type, md5({_lines(fixed.SYSTEM_PROMPT)}) AS system_md5,
     {_lines(fixed.USER_PROMPT_HEAD)} || {_SCHEMA_CASE} || {_lines(fixed.USER_PROMPT_DOCUMENT)} || text
@@ -203,11 +214,15 @@ ORACLE["vector_upsert"] = f"""
   fresh AS ({_chunks('again')}), merged AS (
     SELECT * FROM fresh UNION ALL
     SELECT * FROM ({_chunks('docs')}) WHERE filename NOT IN (SELECT filename FROM fresh))
-  SELECT chunk_id, filename, chunk_index, total_chunks, word_count, md5(text) AS text_md5 FROM merged"""
+  SELECT chunk_id, filename, chunk_index, total_chunks, word_count, md5(text) AS text_md5, word_count AS words_in_vector FROM merged"""
+ORACLE["embed_model_hook"] = f"""
+  SELECT chunk_id, {', '.join(f"length(text) - length(replace(text, '{c}', '')) AS n_{c}" for c in 'etao')} FROM ({CHUNKS})"""
 ORACLE["embed_summary"] = f"""
   SELECT filename, n AS chunks_count, CASE WHEN n > 0 THEN 'success' ELSE 'failed' END AS status FROM (
     SELECT filename, CAST(CASE WHEN w = 0 THEN 0 WHEN w <= 200 THEN 1 ELSE ceil((w - 200) / 150.0) + 1 END AS BIGINT) AS n
     FROM (SELECT 'doc_' || CAST(k AS VARCHAR) AS filename, {_WORDS.format('text')} AS w FROM ({SUBMITTED})))"""
+ORACLE["embed_totals"] = f"""
+  SELECT count_if(status = 'success') AS successful, sum(chunks_count)::BIGINT AS total_chunks FROM ({ORACLE['embed_summary']})"""
 _CENTROIDS = """
   cells AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings),
   means AS (SELECT label, pos, sum(v::DECIMAL(20, 10))::DOUBLE / count(*) AS m FROM cells GROUP BY 1, 2),
@@ -224,6 +239,11 @@ ORACLE["search_topk_vectors"] = f"""
     FROM (SELECT label::BIGINT AS query_id, c FROM centroids), (SELECT vec_id, embedding AS e FROM embeddings)),
   {_top('query_id', 'vec_id', 5)}
   SELECT query_id, vec_id, rank, round(s, 4) AS score FROM top"""
+ORACLE["search_all_vectors"] = f"""
+  WITH scored AS (SELECT query_id, vec_id, {_COSINE} AS s
+    FROM (SELECT vec_id AS query_id, embedding::DOUBLE[] AS c FROM embeddings), (SELECT vec_id, embedding AS e FROM embeddings)),
+  {_top('query_id', 'vec_id', 3)}
+  SELECT query_id, vec_id, rank, round(s, 4) AS score FROM top"""
 ORACLE["search_topk_filtered"] = f"""
   WITH {_scored('context', _OWN_TYPE)}, {_top('filename, query_no', 'chunk_index', fixed.CONTEXT_TOP_K)}
   SELECT filename, query_no, rank, chunk_id, word_count, round(s, 4) AS score FROM top"""
@@ -235,11 +255,16 @@ ORACLE["dedupe_hits"] = f"""
 ORACLE["relevant_context"] = f"""
   WITH {_scored('context', _OWN_TYPE)}, {_top('filename, query_no', 'chunk_index', fixed.CONTEXT_TOP_K)},
   hits AS (SELECT DISTINCT filename, chunk_index, text FROM top)
-  SELECT filename, md5(ctx) AS context_md5, length(ctx) AS n_chars FROM (
-    SELECT filename, string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) AS ctx FROM hits GROUP BY filename)"""
+  SELECT filename, md5(coalesce(ctx, '')) AS context_md5, coalesce(length(ctx), 0) AS n_chars FROM ({DOCS}) LEFT JOIN (
+    SELECT filename, string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) AS ctx FROM hits GROUP BY filename) USING (filename)"""
 
 # --- model output ------------------------------------------------------------------------
 
+ORACLE["infer_model_hook"] = f"""
+  SELECT doc_id, CASE WHEN d[1] = '0' THEN '' ELSE d END AS raw_output, CASE WHEN d[1] = '0' THEN 0 ELSE n END::BIGINT AS prompt_tokens,
+    CASE WHEN d[1] = '0' THEN 0 ELSE 32 END::BIGINT AS completion_tokens, CASE WHEN d[1] = '0' THEN 'refused' ELSE '' END AS call_error
+  FROM (SELECT doc_id, md5(user_prompt) AS d, length(user_prompt) AS n FROM ({ORACLE['prompts']}) WHERE doc_type <> 'memo')"""
+
 ORACLE["infer_replay"] = f"""
   SELECT doc_id, doc_type, md5(coalesce(raw_output, '')) AS output_md5, prompt_tokens::BIGINT AS prompt_tokens,
          completion_tokens::BIGINT AS completion_tokens,
@@ -579,7 +604,7 @@ ORACLE["extraction_run"] = f"""
     coalesce({_pairs(_LOW)}, '') AS flagged, pt + ct AS total_tokens, cost_usd FROM full_run"""
 ORACLE["stream_ingest"] = f"""
   {_FULL} SELECT doc_id, status, use_retrieval, context_words, passed AS validation_passed, avg_confidence,
-    pt + ct AS total_tokens, cost_usd FROM full_run WHERE doc_type = 'resume'"""
+    pt + ct AS total_tokens, cost_usd FROM full_run"""
 ORACLE["batch_summary"] = f"""
   WITH {_TOTALS} SELECT total, successful, total - successful AS failed, validation_passed, needs_review,
     {_rounded('conf::DOUBLE / greatest(successful, 1)', 1)} AS avg_confidence, prompt_tokens, completion_tokens, total_tokens,

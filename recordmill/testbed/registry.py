@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import threading
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordmill import fixed
 from recordmill.functions import costs, record_json, rules, scoring, text, vectors
@@ -80,7 +83,7 @@ def all_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
-    return files.latest_run(all_runs(spark, sf))
+    return files.latest_run(spark, results_path(spark, sf))
 
 
 def pairs_text(map_column: str):
@@ -150,11 +153,11 @@ def _(spark, sf):
 
 @query("providers")
 def _(spark, sf):
-    used = fx.responses(spark, sf).agg(
+    used = fx.responses(spark, sf).groupBy("doc_type").agg(
         F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
-    listed = costs.providers(spark, "openai_gpt4o_mini").withColumn("_one", F.lit(1))
-    return listed.join(used.withColumn("_one", F.lit(1)), "_one").select(
-        "position", "key", "name", "model", "input", "output", "free", "active",
+    # bounded on both sides: one row per document type, ten prices
+    return used.crossJoin(costs.providers(spark, "openai_gpt4o_mini")).select(
+        "doc_type", "position", "key", "name", "model", "input", "output", "free", "active",
         costs.priced("prompt_tokens", "completion_tokens", "input", "output")
         .alias("cost_usd"))
 
@@ -234,15 +237,38 @@ def _(spark, sf):
     labelled = fx.read(spark, sf, "labels").select(F.col("doc_id").alias("k")).distinct()
     again = docs.join(labelled, "k", "left_semi").withColumn(
         "text", F.when(F.col("k") % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit("revised "), "text")))
-    merged = store.replace_by_key(chunking.chunk_documents(docs), chunking.chunk_documents(again))
-    return merged.select("chunk_id", "filename", "chunk_index", "total_chunks", "word_count",
-                         F.md5("text").alias("text_md5"))
+    first, second = (retrieval.embed(chunking.chunk_documents(d)).withColumn("version", F.lit(v)) for v, d in ((1, docs), (2, again)))
+    kept = store.LatestTable(spark, scratch_path(spark, "vectors"), "filename", "version", first.schema)
+    kept.append(second, "1")
+    kept.append(first, "2")  # arrives late and changes nothing that is newer
+    return kept.compact(scratch_path(spark, "vectors")).read().select(
+        "chunk_id", "filename", "chunk_index", "total_chunks", "word_count", F.md5("text").alias("text_md5"),
+        F.aggregate("embedding", F.lit(0).cast("bigint"), lambda acc, x: acc + x.cast("bigint")).alias("words_in_vector"))
 
 
 @query("embed_summary")
 def _(spark, sf):
-    docs = submitted(spark, sf).select(F.concat(F.lit("doc_"), "k").alias("filename"), "text")
-    return store.embed_summary(docs, chunking.chunk_documents(docs))
+    return store.embed_summary(submitted(spark, sf).select(F.concat(F.lit("doc_"), "k").alias("filename"), "text"))
+
+
+@query("embed_totals")
+def _(spark, sf):
+    return store.embed_totals(store.embed_summary(submitted(spark, sf).select(F.concat(F.lit("doc_"), "k").alias("filename"), "text")))
+
+
+def letters_embedder(column):
+    """An own model behind a scalar pandas UDF: how often each of four letters occurs."""
+    @F.pandas_udf("array<float>")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [float(t.count(c)) for c in "etao"])
+
+    return count(column)
+
+
+@query("embed_model_hook")
+def _(spark, sf):
+    rows = retrieval.embed(chunking.chunk_documents(documents(spark, sf)), letters_embedder)
+    return rows.select("chunk_id", *[F.col("embedding")[i].cast("bigint").alias(f"n_{c}") for i, c in enumerate("etao")])
 
 
 def label_centroids(spark, sf):
@@ -278,6 +304,12 @@ def _(spark, sf):
     return retrieval.search(rows, asked, k=5, id_column="vec_id")
 
 
+@query("search_all_vectors")
+def _(spark, sf):
+    rows = fx.read(spark, sf, "embeddings").select("vec_id", "embedding")
+    return retrieval.search(rows, rows.select(F.col("vec_id").alias("query_id"), "embedding"), k=3, id_column="vec_id")
+
+
 @query("search_topk_filtered")
 def _(spark, sf):
     hits = retrieval.search_within(chunk_vectors(spark, sf), retrieval.query_catalog(spark, "context"),
@@ -286,8 +318,9 @@ def _(spark, sf):
 
 
 def fanout(spark, sf):
-    return retrieval.search_within(chunk_vectors(spark, sf), retrieval.query_catalog(spark, "run"),
-                                   fixed.RUN_TOP_K, carry=("text",))
+    chunks = chunk_vectors(spark, sf)
+    return retrieval.with_texts(retrieval.search_within(
+        chunks, retrieval.query_catalog(spark, "run"), fixed.RUN_TOP_K), chunks)
 
 
 @query("retrieve_fanout")
@@ -304,7 +337,7 @@ def _(spark, sf):
 
 @query("relevant_context")
 def _(spark, sf):
-    return retrieval.relevant_context(chunk_vectors(spark, sf)).select(
+    return retrieval.relevant_context(chunk_vectors(spark, sf), docs=documents(spark, sf)).select(
         "filename", F.md5("context").alias("context_md5"), F.length("context").cast("bigint").alias("n_chars"))
 
 
@@ -320,6 +353,26 @@ def _(spark, sf):
         "completion_tokens", F.coalesce("call_error", F.lit("")).alias("call_error"))
 
 
+def echo_model():
+    """A model whose answer is the digest of its prompt; it refuses every prompt with a fixed digit."""
+    def model(prompts):
+        digests = [hashlib.md5(user.encode()).hexdigest() for _, user in prompts]
+        if any(d.startswith("0") for d in digests):
+            raise RuntimeError("refused")
+        return [(d, len(user), len(d)) for d, (_, user) in zip(digests, prompts)]
+
+    return model
+
+
+@query("infer_model_hook")
+def _(spark, sf):
+    docs = documents(spark, sf).filter("doc_type <> 'memo'").withColumn("context", F.col("text"))
+    # batches of one, so that a refusal concerns its own prompt only
+    return extraction.infer(extraction.with_prompts(docs), echo_model, batch=1).select(
+        "doc_id", F.coalesce("raw_output", F.lit("")).alias("raw_output"), "prompt_tokens", "completion_tokens",
+        F.coalesce("call_error", F.lit("")).alias("call_error"))
+
+
 @query("clean_output")
 def _(spark, sf):
     return fx.responses(spark, sf).select(
@@ -602,18 +655,21 @@ def _(spark, sf):
 
 @query("stream_ingest")
 def _(spark, sf):
-    source = fx.read(spark, sf, "documents").schema
-    stream = spark.readStream.schema(source).option("pathGlobFilter", "documents.parquet").option(
-        "maxFilesPerTrigger", 64).parquet(sf)
-    # answers as a stored table, documents as the stream
-    answers = fx.responses_of(spark, sf, "resume")
+    # submissions of all types, some of them again, and stale versions that arrive last
+    source = scratch_path(spark, "submissions")
+    current = fx.responses(spark, sf).select("k", "doc_id", "doc_type", "filename", "text", F.lit(2).alias("version"))
+    stale = current.filter("k % 7 = 0").withColumns({"text": F.lit("stale"), "version": F.lit(1)})
+    for rows in (current, current.filter("k % 5 = 0"), stale):
+        rows.write.mode("append").parquet(source)
+    stream = spark.readStream.schema(current.schema).option("maxFilesPerTrigger", 8).parquet(source)
+    answers = fx.responses(spark, sf)
     run_id, at, provider = fx.RUNS[0]
-    kept = store.KeyedStore(spark, scratch_path(spark, "ingest"), "doc_id", buckets=8)
 
     def transform(batch: DataFrame) -> DataFrame:
-        docs = fx.spark_layers(batch, fx.RESPONSES["resume"]).select("doc_id", "doc_type", "filename", "text")
-        return runs.run(docs, run_id, at, responses=answers, provider=provider)
+        return runs.run(batch.select("doc_id", "doc_type", "filename", "text"), run_id, at, responses=answers, provider=provider)
 
+    schema = T.StructType([*transform(current).schema.fields, T.StructField("version", T.IntegerType())])
+    kept = store.LatestTable(spark, scratch_path(spark, "ingest"), "doc_id", "version", schema)
     ingest(stream, transform, kept, scratch_path(spark, "checkpoint")).awaitTermination()
     return kept.read().select(
         "doc_id", "status", "use_retrieval", "context_words", F.col("validation.passed").alias("validation_passed"),

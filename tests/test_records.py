@@ -54,7 +54,7 @@ def test_required_null_and_type_errors_are_listed_in_order(spark):
 
 @pytest.mark.parametrize(("value", "expected"), [
     (5, 5.0), (12.25, 12.25), (True, 1.0), ("12.5", 12.5), (" 12.5 ", 12.5), ("1_000.5", 1000.5), ("1e3", 1000.0),
-    (".5", 0.5), ("5.", 5.0), ("1,200", None), ("12.5d", None), ("", None), (" 1_0 ", None), ([1], None), ("inf", float("inf")),
+    (".5", 0.5), ("5.", 5.0), ("\u00a012.5\u2003", 12.5), ("+inf", float("inf")), ("1,200", None), ("12.5d", None), ("", None), (" 1_0 ", None), ([1], None), ("inf", float("inf")),
 ])
 def test_float_coercion(spark, value, expected):
     record = gated(spark, [json.dumps({**INVOICE, "total_amount": value})])[0]["record"]
@@ -62,7 +62,7 @@ def test_float_coercion(spark, value, expected):
 
 
 @pytest.mark.parametrize(("value", "expected"), [
-    (3, 3), (3.0, 3), (3.5, None), ("3", 3), ("3.0", 3), ("3.5", None), (True, 1), (" 7 ", 7), ("1_000", 1000), ("x", None),
+    (3, 3), (3.0, 3), (3.5, None), ("3", 3), ("3.0", 3), ("3.5", None), (True, 1), (" 7 ", 7), ("\u00a07\x1c", 7), ("12345678901234567890", 2**63 - 1), (12345678901234567890, 2**63 - 1), (-12345678901234567890, -2**63), ("1_000", 1000), ("x", None),
 ])
 def test_int_coercion(spark, value, expected):
     record = gated(spark, [json.dumps({**INVOICE, "line_items": [{**LINE, "quantity": value}]})])[0]["record"]
@@ -125,3 +125,9 @@ def test_one_bad_prompt_costs_its_own_row(spark):
     assert len(got) == 10 and all(r["twice"] == 2 * int(d) for d, r in got.items())
     assert got["3"]["call_error"] == "refused" and got["3"]["prompt_tokens"] == 0
     assert all(r["raw_output"] == f"out {d}" and r["call_error"] is None for d, r in got.items() if d != "3")
+
+
+def test_signed_nan_is_a_number(spark):
+    for value in ("nan", "+nan", "-NaN"):
+        record = gated(spark, [json.dumps({**INVOICE, "total_amount": value})])[0]["record"]
+        assert record["total_amount"] != record["total_amount"]

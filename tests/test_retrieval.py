@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordmill.fixed import RUN_QUERIES, RUN_SEPARATOR
 from recordmill.functions.text import words_sql
@@ -57,13 +58,13 @@ def test_cosine_of_a_zero_vector_is_null(spark):
     assert got[0] == pytest.approx(1.0) and got[1] is None
 
 
-@pytest.mark.parametrize(("k", "block"), [(3, 1024), (3, 2), (1, 3), (7, 1024)])
-def test_search_is_exact_in_any_number_of_blocks(spark, vectors, k, block):
+@pytest.mark.parametrize(("k", "block", "parts"), [(3, 1024, 32), (3, 2, 1), (1, 3, 5)])
+def test_search_is_exact_in_any_number_of_blocks(spark, vectors, k, block, parts):
     rng = np.random.default_rng(k)
     queries = [(q, rng.random(384).tolist()) for q in range(5)]
     asked = spark.createDataFrame(queries, "query_id bigint, embedding array<double>")
     got = {}
-    for r in retrieval.search(vectors, asked, k, block=block).collect():
+    for r in retrieval.search(vectors, asked, k, block=block, parts=parts).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = r["chunk_id"]
     rows = [(r["chunk_id"], np.array(r["embedding"])) for r in vectors.collect()]
     want = brute(rows, [(q, np.array(v)) for q, v in queries], k, lambda key: key)
@@ -87,11 +88,21 @@ def test_ties_are_broken_by_id_over_all_tasks(spark):
     assert got == ["c00000", "c00001", "c00002", "c00003"]
 
 
-def test_search_within_joins_beyond_the_block(vectors, spark):
-    queries = retrieval.query_catalog(spark, "run")
-    carried = retrieval.search_within(vectors, queries, 2).select("filename", "query_no", "rank", "chunk_id", "score")
-    joined = retrieval.search_within(vectors, queries, 2, block=3).select(*carried.columns)
-    assert sorted(carried.collect()) == sorted(joined.collect())
+def test_vectors_of_one_query_compete_and_null_vectors_are_left_out(spark):
+    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 1.0]), ("d", None)], "chunk_id string, embedding array<double>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0]), ("q", [0.0, 1.0]), ("n", None)], "query_id string, embedding array<double>")
+    for block in (1, 1024):
+        got = retrieval.search(rows, asked, 2, block=block).sort("rank").collect()
+        assert [(r["query_id"], r["chunk_id"], r["score"]) for r in got] == [("q", "a", 1.0), ("q", "b", 1.0)]
+    none = rows.filter("embedding is null")
+    assert retrieval.search(none, asked, 2).count() == 0
+    assert none.select(cosine("embedding", "embedding").alias("c")).first()["c"] is None
+
+
+def test_a_catalogue_is_bounded(spark, vectors):
+    many = spark.range(1025).select(F.lit("email").alias("doc_type"), F.col("id").alias("query_no"), F.lit("x").alias("query_text"))
+    with pytest.raises(ValueError):
+        retrieval.search_within(vectors, many)
 
 
 def test_search_within_matches_brute_force(spark, vectors):
@@ -102,7 +113,7 @@ def test_search_within_matches_brute_force(spark, vectors):
     for r in vectors.collect():
         by_file.setdefault((r["filename"], r["doc_type"]), []).append((r["chunk_index"], np.array(r["embedding"])))
     for (filename, doc_type), rows in by_file.items():
-        texts = RUN_QUERIES[doc_type]
+        texts = RUN_QUERIES.get(doc_type, RUN_QUERIES["unknown"])
         queries = list(enumerate(hashed_matrix(texts, 384, {})))
         for number, want in brute(rows, queries, 2, lambda key: key).items():
             hits = got[filename, number]
@@ -113,8 +124,9 @@ def test_context_in_the_row_equals_context_from_the_table(documents, vectors):
     in_row = {r["filename"]: r["c"] for r in documents.select(
         "filename", retrieval.context_of("text", "doc_type").alias("c")).collect()}
     table = {r["filename"]: r["context"] for r in retrieval.relevant_context(
-        vectors, "run", 2, "text", RUN_SEPARATOR).collect()}
-    assert in_row == table
+        vectors, "run", 2, "text", RUN_SEPARATOR, docs=documents).collect()}
+    # documents of unknown type and blank ones are among them
+    assert in_row == table and "" in table.values() and documents.filter("doc_type = 'memo'").count() > 0
 
 
 def test_plan_of_search_within(spark, vectors):
@@ -140,32 +152,38 @@ def test_replace_by_key(spark):
     assert got == [("a", 9), ("b", 0), ("c", 0), ("d", 1)]
 
 
-def test_store_upserts_are_repeatable(spark, tmp_path):
-    kept = store.KeyedStore(spark, str(tmp_path / "s"), "filename", buckets=4)
-    frame = lambda rows: spark.createDataFrame(rows, "filename string, n int")
-    kept.upsert(frame([(f"f{i}", n) for i in range(20) for n in range(3)]), "one")
-    assert kept.read().count() == 60
-    for _ in range(2):
-        kept.upsert(frame([("f3", 7), ("new", 1)]), "two")
-    assert kept.read().count() == 59
-    assert [r["n"] for r in kept.read_key("f3").collect()] == [7]
-    # nothing new: nothing is replaced
-    kept.upsert(frame([]), "three")
-    assert kept.read().count() == 59
-    assert kept.read_key("nobody").count() == 0
+SCHEMA = T.StructType([T.StructField("filename", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("version", T.IntegerType())])
+
+
+def test_latest_table(spark, tmp_path):
+    kept = store.LatestTable(spark, str(tmp_path / "s"), "filename", "version", SCHEMA)
+    frame = lambda rows: spark.createDataFrame(rows, SCHEMA)
+    assert kept.read().count() == 0
+    kept.append(frame([]), "0")
+    assert kept.read().count() == 0
+    kept.append(frame([(f"f{i}", n, 1) for i in range(20) for n in range(3)] + [(None, 1, 1)]), "1")
+    for _ in range(2):  # a repeated batch replaces itself
+        kept.append(frame([("f3", 7, 2), ("new", 1, 2)]), "2")
+    kept.append(frame([("f3", 8, 1), ("f4", 9, 1), (None, 2, 2)]), "3")  # f3 is older than what is there
+    for table in (kept, kept.compact(str(tmp_path / "c"))):
+        rows = sorted((r["filename"] or "", r["n"]) for r in table.read().collect())
+        assert [n for f, n in rows if f == "f3"] == [7] and [n for f, n in rows if f == "f4"] == [9]
+        assert len(rows) == 18 * 3 + 4 and rows[0] == ("", 2)
+    with pytest.raises(ValueError):
+        store.LatestTable(spark, str(tmp_path / "x"), "filename", "nothing", SCHEMA)
 
 
 def test_hot_key_upsert(spark, tmp_path):
-    kept = store.KeyedStore(spark, str(tmp_path / "s"), "filename", buckets=4)
+    kept = store.LatestTable(spark, str(tmp_path / "s"), "filename", "version", SCHEMA)
     rows = spark.range(20000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(
-        F.col("id").cast("string")).alias("filename"), F.col("id").cast("int").alias("n"))
-    kept.upsert(rows, "one")
-    kept.upsert(spark.createDataFrame([("hot", 1)], "filename string, n int"), "two")
+        F.col("id").cast("string")).alias("filename"), F.col("id").cast("int").alias("n"), F.lit(1).alias("version"))
+    kept.append(rows, "1")
+    kept.append(spark.createDataFrame([("hot", 1, 2)], SCHEMA), "2")
     assert kept.read().count() == 20000 - 6667 + 1
 
 
 def test_embed_summary(spark):
     docs = spark.createDataFrame(pa.table({"filename": ["a", "b"], "text": ["x " * 201, "  "]}))
-    summary = store.embed_summary(docs, chunk_documents(docs))
+    summary = store.embed_summary(docs)
     assert sorted(tuple(r) for r in summary.collect()) == [("a", 2, "success"), ("b", 0, "failed")]
     assert tuple(store.embed_totals(summary).first()) == (1, 2)

@@ -9,10 +9,12 @@ import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordmill.functions.vectors import embed_hashed
 from recordmill.operators.intake import default_doc_id, discovery_count, reject_reason
-from recordmill.operators.store import KeyedStore
+from recordmill.operators.extraction import infer, replay
+from recordmill.operators.store import LatestTable
 from recordmill.plans import reports
 from recordmill.plans.extraction_run import reprice, run, with_context
 from recordmill.sources import files
@@ -49,8 +51,8 @@ def make_model():
 
 
 @pytest.fixture(scope="module")
-def results(docs):
-    return run(docs, "r1", AT, make_model=make_model, provider="openai_gpt4o_mini").cache()
+def results(docs, tmp_path_factory):
+    return run(docs, "r1", AT, make_model=make_model, provider="openai_gpt4o_mini", answers=str(tmp_path_factory.mktemp("answers") / "a")).cache()
 
 
 def test_run_keeps_every_document(results):
@@ -121,7 +123,7 @@ def test_written_files_come_back(results, spark, tmp_path):
     files.write_run(reprice(files.read_runs(spark, table).filter("run_id = 'r1'"), "r2", AT, "groq"), table)
     runs = files.read_runs(spark, table)
     assert {r["run_id"]: r["n"] for r in runs.groupBy("run_id").agg(F.count("*").alias("n")).collect()} == {"r1": 6, "r2": 6}
-    assert {r["provider"] for r in files.latest_run(runs).collect()} == {"groq"}
+    assert {r["provider"] for r in files.latest_run(spark, table).collect()} == {"groq"}
     files.write_json(results, str(tmp_path / "json"))
     back = files.read_json(spark, str(tmp_path / "json"))
     assert sorted(map(str, back.select("doc_id", "validation", "cost_usd", "extraction").collect())) == sorted(
@@ -138,8 +140,8 @@ def test_written_files_come_back(results, spark, tmp_path):
 def test_latest_run_reads_one_partition(results, spark, tmp_path):
     table = str(tmp_path / "runs")
     files.write_run(results, table)
-    plan = files.latest_run(files.read_runs(spark, table)).select("doc_id")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(run_id" in plan and "Subquery" in plan
+    plan = files.latest_run(spark, table).select("doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run_id" in plan and "(run_id" in plan and "= r1)" in plan and "Subquery" not in plan
 
 
 def test_text_folder(spark, tmp_path):
@@ -169,15 +171,16 @@ def test_discovery_counts_absent_types(spark):
 
 def test_stream_equals_batch_and_replaces(docs, results, spark, tmp_path):
     source = str(tmp_path / "in")
-    stored = KeyedStore(spark, str(tmp_path / "out"), "doc_id", buckets=4)
+    schema = T.StructType([*results.schema.fields, T.StructField("n", T.IntegerType())])
+    stored = LatestTable(spark, str(tmp_path / "out"), "doc_id", "n", schema)
 
     def transform(batch):
-        return run(batch.drop("n"), "r1", AT, make_model=make_model, provider="openai_gpt4o_mini")
+        return run(batch.drop("n"), "r1", AT, make_model=make_model, provider="openai_gpt4o_mini", answers=str(tmp_path / "answers"))
 
     def feed(rows):
         rows.coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(rows.schema).parquet(source)
-        ingest(stream, transform, stored, str(tmp_path / "cp"), order="n").awaitTermination()
+        ingest(stream, transform, stored, str(tmp_path / "cp")).awaitTermination()
 
     feed(docs.withColumn("n", F.lit(1)))
     columns = ["doc_id", "status", "error", "cost_usd", "validation", "context_words"]
@@ -188,6 +191,48 @@ def test_stream_equals_batch_and_replaces(docs, results, spark, tmp_path):
     feed(again)
     got = {r["doc_id"]: r["status"] for r in stored.read().collect()}
     assert got["e2"] == "success" and len(got) == 6
+    # an older submission in a later batch changes nothing
+    feed(docs.filter("doc_id = 'e2'").withColumn("n", F.lit(0)))
+    assert {r["doc_id"]: r["status"] for r in stored.read().collect()} == got
+
+
+def test_rejected_documents_are_not_processed(spark):
+    long = spark.createDataFrame([("a", "memo", "a.pdf", "word " * 2500)], "doc_id string, doc_type string, filename string, text string")
+    row = run(long, "rejected", AT, make_model=make_model).first()
+    assert (row["use_retrieval"], row["context_words"], row["status"]) == (False, 0, "failed")
+
+
+def test_one_answer_for_each_id(spark, docs):
+    stored = spark.createDataFrame([("e1", "old", 1, 1, None, 1), ("e1", "new", 2, 2, None, 2), ("e1", "older", 3, 3, None, 0)],
+                                   "doc_id string, raw_output string, prompt_tokens bigint, completion_tokens bigint, call_error string, n int")
+    rows = replay(docs.select("doc_id", "doc_type"), stored, "n").collect()
+    assert len(rows) == docs.count() and [r["raw_output"] for r in rows if r["doc_id"] == "e1"] == ["new"]
+    assert replay(docs.select("doc_id"), stored).count() == docs.count()
+
+
+def test_a_second_run_asks_nobody(spark, docs, results, tmp_path):
+    def no_model():
+        raise AssertionError("the answers are there")
+
+    path = str(tmp_path / "answers")
+    first = run(docs, "r1", AT, make_model=make_model, provider="openai_gpt4o_mini", answers=path)
+    again = run(docs, "r1", AT, make_model=no_model, provider="openai_gpt4o_mini", answers=path)
+    assert sorted(map(str, again.collect())) == sorted(map(str, first.collect())) == sorted(map(str, results.collect()))
+
+
+def test_an_outage_ends_a_batch_soon(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def broken():
+        def model(prompts):
+            calls.add(1)
+            raise RuntimeError("down")
+
+        return model
+
+    rows = spark.range(64).coalesce(1).select(F.col("id").cast("string").alias("doc_id"), F.lit("s").alias("system_prompt"), F.lit("u").alias("user_prompt"))
+    assert [r["call_error"] for r in infer(rows, broken).collect()] == ["down"] * 64
+    assert calls.value == 4
 
 
 def test_last_per_key_under_a_hot_key(spark):
