@@ -58,7 +58,9 @@ SUBMITTED = [[
 
 # --- records -------------------------------------------------------------------------
 
-ITEMS = range(1, 5)
+ITEMS = range(1, 13)
+# some items cost nothing, and some, also late ones, are negative
+_SIGNS = {1: "CASE WHEN k % 23 = 0 THEN -1 ELSE 1 END", 3: "CASE WHEN k % 27 = 4 THEN 0 ELSE 1 END", 7: "CASE WHEN k % 19 = 3 THEN -1 ELSE 1 END"}
 
 
 def _money(cents: str) -> str:
@@ -74,20 +76,21 @@ INVOICES = [
     [
         "o_orderkey AS k", "'inv_' || CAST(o_orderkey AS STRING) AS doc_id",
         "CAST(round(o_totalprice * 100) AS BIGINT) AS order_cents", "substr(CAST(o_orderdate AS STRING), 1, 10) AS day",
-        "'Customer#' || CAST(o_custkey AS STRING) AS party", "o_orderpriority AS address", "o_orderkey % 5 AS n_items",
+        "'Customer#' || CAST(o_custkey AS STRING) AS party", "o_orderpriority AS address", "o_orderkey % 13 AS n_items",
         *[f"(o_orderkey + {i}) % 9 + 1 AS q{i}" for i in ITEMS],
-        *[f"100 + (o_orderkey * 13 + {i * 37}) % 5000 AS u{i}" for i in ITEMS],
+        # prices and amounts are counted in halves, so that they have fractions and are exact
+        *[f"200 + 2 * ((o_orderkey * 13 + {i * 37}) % 5000) + CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE {i % 2} END AS u{i}" for i in ITEMS],
     ],
     ["*", *[
-        f"q{i} * u{i}" + (" * CASE WHEN k % 23 = 0 THEN -1 ELSE 1 END" if i == 1 else "") + f" AS a{i}" for i in ITEMS
+        f"q{i} * u{i}" + (f" * {_SIGNS[i]}" if i in _SIGNS else "") + f" AS a{i}" for i in ITEMS
     ]],
     ["*", f"CASE WHEN k % 11 = 0 OR n_items = 0 THEN NULL ELSE {_item_sums()} END AS sub",
-     f"n_items > 0 AND a1 < 0 AS bad_item"],
+     " OR ".join(f"(n_items >= {i} AND a{i} <= 0)" for i in _SIGNS) + " AS bad_item"],
     ["*",
-     "CASE WHEN k % 37 = 0 THEN NULL WHEN k % 4 <> 0 THEN sub * 18 END AS gst_cents",
-     "CASE WHEN k % 37 = 0 THEN NULL WHEN k % 4 = 0 THEN sub * 9 END AS half_cents",
+     "CASE WHEN k % 37 = 0 THEN NULL WHEN k % 4 <> 0 THEN sub * 9 END AS gst_cents",
+     "CASE WHEN k % 37 = 0 THEN NULL WHEN k % 4 = 0 THEN (sub // 2) * 9 END AS half_cents",
      "CASE WHEN k % 41 = 0 THEN 1234567850 + k * 100 WHEN k % 7 = 0 OR sub IS NULL THEN order_cents"
-     " WHEN k % 13 = 0 THEN -100 WHEN k % 29 = 0 THEN 0 ELSE sub * 118 END AS total_cents",
+     " WHEN k % 13 = 0 THEN -100 WHEN k % 29 = 0 THEN 0 ELSE sub * 59 END AS total_cents",
      "CASE WHEN k % 17 = 0 THEN NULL ELSE 'INV-' || CAST(k AS STRING) END AS invoice_number",
      "CASE WHEN k % 6 = 0 THEN NULL ELSE day END AS date", "CASE WHEN k % 2 = 0 THEN NULL ELSE day END AS due_date",
      "CASE WHEN k % 43 = 0 THEN '' ELSE 'Supplier ' || CAST(k % 97 AS STRING) END AS sender_company",
@@ -99,7 +102,7 @@ INVOICES = [
      "CASE WHEN k % 4 = 0 THEN NULL WHEN k % 9 = 0 THEN 'ab' ELSE '+91-' || CAST(k AS STRING) END AS phone",
      "CASE WHEN k % 4 = 0 THEN NULL WHEN k % 9 = 0 THEN 'ab' ELSE 'u' || CAST(k AS STRING) || '@example.com' END AS email",
      ],
-    ["*", "CAST(sub AS DOUBLE) AS subtotal", "CAST(total_cents AS DOUBLE) / 100 AS total_amount",
+    ["*", "CAST(sub AS DOUBLE) / 2 AS subtotal", "CAST(total_cents AS DOUBLE) / 100 AS total_amount",
      "CAST(gst_cents AS DOUBLE) / 100 AS gst", "CAST(half_cents AS DOUBLE) / 100 AS cgst",
      "CAST(half_cents AS DOUBLE) / 100 AS sgst", "CAST(NULL AS DOUBLE) AS igst"],
 ]
@@ -148,8 +151,8 @@ def records(spark: SparkSession, sf_dir: str, doc_type: str) -> DataFrame:
         built["line_items"] = _first([F.struct(
             F.lit(f"part {i}").alias("description"), F.col(f"q{i}").alias("quantity"),
             F.lit(None).cast("double").alias("unit_price") if i % 2 == 0
-            else F.col(f"u{i}").cast("double").alias("unit_price"),
-            F.col(f"a{i}").cast("double").alias("amount"),
+            else (F.col(f"u{i}") / F.lit(2.0)).alias("unit_price"),
+            (F.col(f"a{i}") / F.lit(2.0)).alias("amount"),
         ) for i in ITEMS], "n_items")
         built["gstin_receiver"] = null
     elif doc_type == "resume":
@@ -227,10 +230,10 @@ _INVOICE_JSON = _object([
     ("receiver_company", _string("receiver_company")),
     ("line_items", "CASE WHEN fault = 1 THEN 'null' ELSE " + _array([
         f"'{{\"description\":\"part {i}\",\"quantity\":' || CAST(q{i} AS STRING) || "
-        + (f"',\"unit_price\":' || CAST(u{i} AS STRING) || " if i % 2 else "',\"unit_price\":null' || ")
-        + f"',\"amount\":' || CAST(a{i} AS STRING) || '}}'" for i in ITEMS
+        + (f"',\"unit_price\":' || {_money(f'(u{i} * 50)')} || " if i % 2 else "',\"unit_price\":null' || ")
+        + f"',\"amount\":' || {_money(f'(a{i} * 50)')} || '}}'" for i in ITEMS
     ], "n_items") + " END"),
-    ("subtotal", "CASE WHEN sub IS NULL THEN 'null' ELSE CAST(sub AS STRING) END"),
+    ("subtotal", f"CASE WHEN sub IS NULL THEN 'null' ELSE {_money('(sub * 50)')} END"),
     ("(CASE WHEN fault = 0 THEN '\"total\":' ELSE '\"total_amount\":' END)",
      f"CASE WHEN fault = 2 THEN '\"12.5\"' WHEN fault = 3 THEN '\"1,200\"' ELSE {_money('total_cents')} END"),
     ("gstin_sender", _string("gstin_sender")),
