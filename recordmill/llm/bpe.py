@@ -32,7 +32,7 @@ PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: Pre-tokens of more bytes are streamed.
 STREAM_FROM = 96
 #: Chunks remembered by a worker; results do not depend on it.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 _NONE = 1 << 60
 #: Stands for a chunk still to be encoded; ids take four bytes each, so no encoding equals it.
 _OPEN = b"?"
@@ -351,7 +351,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
             out[decoded] = _texts(vocabulary, values, offsets, column.is_null().to_numpy(zero_copy_only=False))
         return out
 
-    return add_in_arrow(df, f"`{ids}` array<int>" + (f", `{decoded}` string" if decoded else ""), run)
+    return add_in_arrow(df, f"`{ids}` array<int>" + (f", `{decoded}` string" if decoded else ""), run, stateful=True)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -365,7 +365,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str
         values = np.array([i if i is not None and 0 <= i < top else -1 for r in rows for i in r or ()], np.int64)
         return {decoded: _texts(vocabulary, values, offsets, np.array([r is None for r in rows], bool))}
 
-    return add_in_arrow(df, f"`{decoded}` string", run)
+    return add_in_arrow(df, f"`{decoded}` string", run, stateful=True)
 
 
 def _texts(vocabulary: Vocabulary, values: np.ndarray, offsets: np.ndarray, missing: np.ndarray) -> pa.Array:

@@ -60,6 +60,11 @@ def worker_state(key: str, make: Callable[[], object]) -> object:
     return kept[key]
 
 
+def forget_state() -> None:
+    """Frees what a reused worker has kept for other operators."""
+    sys.modules.pop("_recordmill_worker", None)
+
+
 def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     """A batch with columns set or replaced by name."""
     names, arrays = list(batch.schema.names), list(batch.columns)
@@ -72,10 +77,11 @@ def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.Reco
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def add_in_arrow(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], dict[str, pa.Array]]) -> DataFrame:
+def add_in_arrow(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], dict[str, pa.Array]], stateful: bool = False) -> DataFrame:
     """Columns computed from Arrow batches; every other column of ``df`` goes through unchanged.
 
-    ``schema`` lists the new columns; one that ``df`` has already is replaced.
+    ``schema`` lists the new columns; one that ``df`` has already is replaced. Unless ``stateful``, the
+    worker first frees the state it has kept for other operators.
     """
     from pyspark.sql.types import StructType
 
@@ -85,6 +91,8 @@ def add_in_arrow(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], di
     names = target.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not stateful:
+            forget_state()
         for batch in batches:
             out = with_columns(batch, make(batch))
             yield out.select(names)

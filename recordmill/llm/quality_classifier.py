@@ -159,6 +159,18 @@ def score(df: DataFrame, model: Model | None, features: str = "features", out: s
     return add_in_arrow(df, f"`{out}` double", run)
 
 
+def score_texts(df: DataFrame, model: Model | None, text: str = "text", out: str = "score") -> DataFrame:
+    """The same from the texts, without keeping the statistics."""
+    if model is None:
+        return df.withColumn(out, F.lit(1.0))
+
+    def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        rows = [shape(t, rule_counts(t)) for t in (t or "" for t in batch.column(text).to_pylist())]
+        return {out: pa.array(model.score(np.array(rows).reshape(-1, len(SHAPE_NAMES))))}
+
+    return add_in_arrow(df, f"`{out}` double", run)
+
+
 def remainder(key: str = "doc_id") -> Column:
     """crc32 of an id as text, modulo 4: 2 is held out, 3 calibrates, 0 and 1 fit."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 4

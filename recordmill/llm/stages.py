@@ -32,7 +32,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     features = written(quality_classifier.featurize(docs.select("doc_id", "text")).drop("text"), "features")
     rows = written(quality_classifier.labelled(features, table(spark, sf_dir, "labels")), "labelled")
     model = quality_classifier.fit(rows)
-    scored = quality_classifier.score(quality_classifier.featurize(docs, out="_stage_features"), model, "_stage_features", "_stage_score")
+    scored = quality_classifier.score_texts(docs, model, out="_stage_score")
     return scored.filter(F.col("_stage_score") >= QUALITY).select(*docs.columns)
 
 
