@@ -1,12 +1,14 @@
-"""Licence scans: a trained n-gram classifier of sentences, an unknown class and templates.
+"""Licence scans: a trained n-gram classifier of paragraphs, an unknown class and templates.
 
-Sentences are described by the sets of their word pairs and triples. A multinomial logistic
+The unit is the paragraph, a run of non-blank lines; a paragraph may hold several notices, so its sentences, over
+line ends, and its lines are candidates too, and of those within each other the ones that say most are reported.
+Candidates are described by the sets of their word pairs and triples. A multinomial logistic
 regression over these (spark.ml) learns the families from the templates and their parts,
 and the class of ordinary writing from a bounded sample of the corpus itself; so the model
-is a small table of n-gram weights. Scoring is a join of every sentence's n-grams with that
-table. A sentence is taken for a licence notice if the probability of ordinary writing is
-lower than for nearly all sampled sentences that took no part in training. The predicted
-family stands if the sentence agrees with a template of the family; if it agrees with none
+is a small table of n-gram weights. Scoring is a join of every candidate's n-grams with that
+table. A candidate is taken for a licence notice if the probability of ordinary writing is
+lower than for nearly all sampled candidates that took no part in training. The predicted
+family stands if the candidate agrees with a template of the family; if it agrees with none
 or the prediction is not clear, the notice is of ``unknown`` family.
 
 Defined results: null and empty texts have no notices; repeated rows are treated alike; a
@@ -31,6 +33,10 @@ CONFIRMED, SUSPECT = 0.6, 0.3
 #: Least probability of a family among the families; share of ordinary sentences below the threshold.
 CLEAR, ORDINARY_SHARE = 0.5, 0.9995
 ORDINARY, UNKNOWN = "ordinary", "unknown"
+#: Blanks inside a line.
+BLANK = r"\x20\t\x0B\f\xA0"
+#: What names a candidate beside its text.
+PLACE = ("_paragraph", "_at", "_level", "_within")
 
 # Notices by which public licences are usually named.
 TEMPLATES = {
@@ -61,11 +67,26 @@ def _grams(tokens: str, n: int) -> str:
         f"array_distinct(zip_with(zip_with({shifted[0]}, {shifted[1]}, (a, b) -> concat(a, ' ', b)), {shifted[2]}, (a, b) -> concat(a, ' ', b)))"
 
 
-def sentences(df: DataFrame, text: str = "text") -> DataFrame:
-    """``_row``, the other columns of ``df``, and each sentence with its place; every text has at least one row."""
-    split = r"split(_t, r'(?<=[.!?])[\x20\t]+|[\r\n]+', -1)"
+def candidates(df: DataFrame, text: str = "text") -> DataFrame:
+    """``_row``, the other columns of ``df``, and all that may be a notice; every text has at least one row.
+
+    Blank lines end a paragraph. In it, blanks are collapsed and its sentences run on over line ends. ``_level`` is 2 for a
+    paragraph of several sentences, 1 for a sentence, 0 for a line of a sentence that runs over several. ``_paragraph``
+    numbers the paragraphs, ``_at`` the rows of one, ``_within`` the sentences of one.
+    """
+    lines = rf"regexp_replace(regexp_replace(_t, r'\r\n?', '\n'), r'[{BLANK}]+', ' ')"
+    paragraphs = rf"filter(transform(split({lines}, r'\n[\x20\n]*\n', -1), p -> trim(BOTH ' \n' FROM regexp_replace(p, r'\x20?\n\x20?', '\n'))), p -> p <> '')"
+    run_on = "translate(s, '\\n', ' ')"
+    one = "named_struct('_level', {}, '_within', {}, '_sentence', {})"
+    whole = "filter(array(" + one.format(2, -1, "translate(_p, '\\n', ' ')") + "), x -> size(_s) > 1)"
+    parts = "filter(transform(split(s, '\\n', -1), l -> " + one.format(0, "j", "l") + "), x -> instr(s, '\\n') > 0)"
+    found = f"concat({whole}, flatten(transform(_s, (s, j) -> concat(array({one.format(1, 'j', run_on)}), {parts}))))"
     out = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_t", F.coalesce(F.col(text), F.lit(""))).drop(text)
-    return out.select("*", F.posexplode_outer(F.expr(split)).alias("_place", "_sentence")).drop("_t")
+    kept = [c for c in out.columns if c != "_t"]
+    cut = out.select(*kept, F.posexplode_outer(F.expr(paragraphs)).alias("_paragraph", "_p"))
+    cut = cut.withColumn("_s", F.expr(r"split(coalesce(_p, ''), r'(?<=[.!?])[\x20\n]', -1)"))
+    cut = cut.select(*kept, F.coalesce("_paragraph", F.lit(0)).alias("_paragraph"), F.posexplode_outer(F.expr(found)).alias("_at", "_x"))
+    return cut.select(*kept, "_paragraph", "_at", "_x.*")
 
 
 def described(df: DataFrame, text: str = "_sentence") -> DataFrame:
@@ -110,21 +131,21 @@ class Model:
         return rows.select(F.col("x")[0].alias("_gram"), *(F.col("x")[i + 1].cast("double").alias(f"w{i}") for i in range(len(CLASSES))))
 
     def classify(self, cut: DataFrame, keys: list[str]) -> DataFrame:
-        """Rows of ``sentences`` that share an n-gram with the model, and the first of every text, with probabilities.
+        """Rows of ``candidates`` that share an n-gram with the model, and the first of every text, with probabilities.
 
         Adds ``p_notice``, one less the probability of ordinary writing, ``family`` and ``p_family`` among families.
         """
-        own = F.when(F.col("_place") == 0, F.concat("_grams", F.array(F.lit("")))).otherwise(F.col("_grams"))
-        exploded = cut.select(*keys, "_place", "_sentence", F.explode(own).alias("_gram"))
+        own = F.when((F.col("_paragraph") == 0) & (F.col("_at") == 0), F.concat("_grams", F.array(F.lit("")))).otherwise(F.col("_grams"))
+        exploded = cut.select(*keys, *PLACE, "_sentence", F.explode(own).alias("_gram"))
         # the weights are bounded by the size of the training sample
         met = exploded.join(F.broadcast(self.weight_table), "_gram")
-        logits = met.groupBy(*keys, "_place", "_sentence").agg(*(F.sum(f"w{i}").alias(f"w{i}") for i in range(len(CLASSES))))
+        logits = met.groupBy(*keys, *PLACE, "_sentence").agg(*(F.sum(f"w{i}").alias(f"w{i}") for i in range(len(CLASSES))))
         logits = logits.withColumns({f"w{i}": F.exp(F.col(f"w{i}") + F.lit(float(b))) for i, b in enumerate(self.intercepts)})
         families = [F.col(f"w{i}") for i in range(1, len(CLASSES))]
         total = sum(families[1:], families[0])
         best = F.greatest(*families)
         name = F.coalesce(*(F.when(c == best, F.lit(k)) for c, k in zip(families, CLASSES[1:])))
-        return logits.select(*keys, "_place", "_sentence", (total / (total + F.col("w0"))).alias("p_notice"), name.alias("family"), (best / total).alias("p_family"))
+        return logits.select(*keys, *PLACE, "_sentence", (total / (total + F.col("w0"))).alias("p_notice"), name.alias("family"), (best / total).alias("p_family"))
 
 
 def _nearest(pairs: str, templates: dict[str, list[list[str]]], family: str | None = None) -> Column:
@@ -135,16 +156,16 @@ def _nearest(pairs: str, templates: dict[str, list[list[str]]], family: str | No
 
 
 def train(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
-    """A model from the templates and at most ``sample`` sentences out of as many texts, those with the smallest hashes.
+    """A model from the templates and at most ``sample`` candidates out of as many texts, those with the smallest hashes.
 
-    Sentences that resemble a template are left out of the sample. Half of it trains, half calibrates.
+    Those that resemble a template are left out of the sample. Half of it trains, half calibrates.
     """
     spark = df.sparkSession
     templates: dict[str, list[list[str]]] = {}
     for row in described(_constants(spark, [(k, n) for k, own in TEMPLATES.items() for n in own]), "text").collect():
         templates.setdefault(row.family, []).append(row["_pairs"])
     texts = smallest_hashes(df.select(text).filter(F.length(text) > 0), sample, text)
-    chosen = smallest_hashes(written(sentences(texts, text).filter("_sentence rlike '[^ ]'").select("_sentence"), "sentences"), sample, "_sentence")
+    chosen = smallest_hashes(written(candidates(texts, text).filter("_sentence rlike '[^ ]'").select("_sentence"), "sentences"), sample, "_sentence")
     ordinary = described(chosen).filter(_nearest("_pairs", templates) < SUSPECT)
     ordinary = written(ordinary.withColumn("_part", F.pmod(F.xxhash64("_sentence", F.lit(1)), F.lit(2))), "ordinary")
     positive = written(described(_constants(spark, _examples()), "text"), "positive")
@@ -160,18 +181,43 @@ def train(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
         intercepts[0] = min(intercepts[1:])  # nothing is known of ordinary writing
     model = Model(weights, intercepts, templates)
     model.weight_table = written(model.table(spark), "weights")
-    held = ordinary.filter("_part = 1").dropDuplicates(["_sentence"]).select(F.xxhash64("_sentence").alias("_row"), F.lit(0).alias("_place"), "_sentence", "_grams")
+    held = ordinary.filter("_part = 1").dropDuplicates(["_sentence"]).select(F.xxhash64("_sentence").alias("_row"), *(F.lit(0).alias(c) for c in PLACE), "_sentence", "_grams")
     quantile = model.classify(held, ["_row"]).select(F.percentile_approx("p_notice", F.lit(ORDINARY_SHARE), F.lit(10000)).alias("q")).first()["q"]
     model.threshold = max(0.5, quantile or 0.0)
     return model
 
 
+def _settled(found: DataFrame, keys: list[str]) -> DataFrame:
+    """``notices`` of every text, each notice once: of candidates within each other those that say most.
+
+    A confirmed line stands. A sentence is reported in place of its unknown lines, unless a line already says
+    as much. So is a paragraph in place of unknown sentences that it explains, if it adds a family or is all there is.
+    """
+    known, rest = f"x.family <> '{UNKNOWN}'", f"x.family = '{UNKNOWN}'"
+    # lines of one sentence, sentences of one paragraph and paragraphs of one text are bounded by its length
+    of = found.groupBy(*keys, "_paragraph", "_within").agg(F.collect_list("_n").alias("_n"))
+    of = of.withColumn("_said", F.expr(f"array_distinct(transform(filter(_n, x -> x.level = 0 and {known}), x -> x.family))"))
+    of = of.withColumn("_longer", F.expr(f"filter(_n, x -> x.level = 2 or x.level = 1 and if({known}, not array_contains(_said, x.family), size(_said) = 0))"))
+    of = of.withColumn("_n", F.expr(f"concat(_longer, filter(_n, x -> x.level = 0 and ({known} or size(_longer) = 0)))"))
+    of = of.groupBy(*keys, "_paragraph").agg(F.flatten(F.collect_list("_n")).alias("_n"))
+    of = of.withColumn("_said", F.expr(f"array_distinct(transform(filter(_n, x -> x.level < 2 and {known}), x -> x.family))"))
+    of = of.withColumn("_parts", F.expr("filter(_n, x -> x.level < 2)"))
+    of = of.withColumn("_longer", F.expr(f"filter(_n, x -> x.level = 2 and if({known}, not array_contains(_said, x.family), size(_parts) = 0))"))
+    of = of.withColumn("_n", F.expr(f"concat(_longer, filter(_parts, x -> {known} or not exists(_longer, w -> w.family = x.guess)))"))
+    kept = "transform(array_sort(flatten(_n)), x -> named_struct('place', x.place, 'sentence', x.sentence, 'family', x.family, 'p_notice', x.p_notice, 'agreement', x.agreement))"
+    return of.groupBy(*keys).agg(F.collect_list("_n").alias("_n")).select(*keys, F.expr(kept).alias("notices"))
+
+
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``notices``: ``array<struct<place, sentence, family, p_notice, agreement>>`` of every text, in order."""
+    """``key`` and ``notices``: ``array<struct<place, sentence, family, p_notice, agreement>>`` of every text, in order.
+
+    ``place`` is the number of the paragraph; ``sentence`` is the notice, a paragraph or a part of one, on one line.
+    """
     model = train(df, text)
-    scored = model.classify(described(sentences(df.select(key, text), text)), ["_row", key])
+    scored = model.classify(described(candidates(df.select(key, text), text)), ["_row", key])
     judged = described(scored).withColumn("agreement", F.when(F.col("p_notice") > model.threshold, _nearest("_pairs", model.templates, "family")))
     family = F.when((F.col("p_family") >= CLEAR) & (F.col("agreement") >= CONFIRMED), F.col("family")).otherwise(F.lit(UNKNOWN))
-    notice = F.when(F.col("agreement").isNotNull(), F.struct(F.col("_place").alias("place"), F.col("_sentence").alias("sentence"), family.alias("family"), "p_notice", "agreement"))
-    # one text's notices, bounded by its length
-    return judged.groupBy("_row", key).agg(F.sort_array(F.collect_list(notice)).alias("notices")).drop("_row")
+    notice = F.when(F.col("agreement").isNotNull(), F.struct(
+        F.col("_paragraph").alias("place"), F.col("_at").alias("at"), F.col("_level").alias("level"), F.col("_sentence").alias("sentence"),
+        family.alias("family"), F.col("family").alias("guess"), "p_notice", "agreement"))
+    return _settled(judged.withColumn("_n", notice), ["_row", key]).drop("_row")

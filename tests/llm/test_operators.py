@@ -463,3 +463,19 @@ def test_licences_awkward(spark, awkward):
     found = {r.doc_id: [n.family for n in r.notices] for r in rows}
     assert "apache" in found[20] and "mit" in found[20] and found[22] == [] and found[5] == [] and found[21] in ([], ["unknown"])
     assert licences.scan(awkward.limit(0)).count() == 0
+
+
+GPL_HEADER = """{0}This program is free software; you can redistribute it and/or modify
+{0}it under the terms of the GNU General Public License as published by
+{0}the Free Software Foundation; either version 2 of the License, or
+{0}(at your option) any later version."""
+
+
+def test_licences_over_lines(spark):
+    texts = [GPL_HEADER.format(""), GPL_HEADER.format(" * ").replace("\n", "\r\n"), "The committee met on Monday.\n\n" + GPL_HEADER.format("") + "\n \nIt met again.",
+             "Licensed under the\nMIT license.\n\n\nAll rights reserved\nReleased under CC0 1.0", "Licensed under the MIT\n\nlicense and so on."]
+    rows = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    found = {r.doc_id: [(n.place, n.family) for n in r.notices] for r in rows}
+    assert found[0] == found[1] == [(0, "gpl")] and found[2] == [(1, "gpl")]
+    assert found[3] == [(0, "mit"), (1, "reserved"), (1, "cc0")]
+    assert all(n.sentence.count("\n") == 0 for r in rows for n in r.notices)
