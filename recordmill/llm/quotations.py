@@ -3,7 +3,8 @@
 A line's quote level is the number of ``>`` marks it begins with. The runs of non-blank
 lines of one level are passages; their normalised text (lower case, blanks collapsed) is
 hashed. A passage of level one or more is joined with the first message of the same
-conversation that holds it as its own text, as one of its passages or in whole. The parent
+conversation that holds it as its own text, as one of its passages or in whole; own passages
+are also those that remain when the quotes between their lines are left out. The parent
 of a message is the latest earlier message that its passages of the lowest linked level
 come from. Following parents gives the root and depth of every message; in the order of
 conversation, root, turn, replies follow what they answer, and a message's own text comes
@@ -39,7 +40,9 @@ def parse(df: DataFrame, text: str = "text") -> DataFrame:
     })
     # a blank line ends a passage, and so does a line of another level
     quoted = r"flatten(transform(quote_levels, v -> transform(split(array_join(transform(_lines, l -> if(l.level = v, l.line, '')), '\n'), r'\n[\x20\t]*\n', -1), p -> named_struct('level', v, 'passage', p))))"
-    own = r"transform(array_distinct(concat(split(own_text, r'\r?\n[\x20\t]*\r?\n', -1), array(own_text))), p -> named_struct('level', 0, 'passage', p))"
+    # own text is quoted with and without the quotes it answers, so both ways to cut it count
+    parts = r"if(size(quote_levels) > 0, split(array_join(transform(_lines, l -> if(l.level = 0, l.line, '')), '\n'), r'\n[\x20\t]*\n', -1), cast(array() as array<string>))"
+    own = rf"transform(array_distinct(concat({parts}, split(own_text, r'\r?\n[\x20\t]*\r?\n', -1), array(own_text))), p -> named_struct('level', 0, 'passage', p))"
     out = out.withColumn("_passages", F.expr(f"concat(if(size(quote_levels) > 0, {quoted}, cast(array() as array<struct<level: int, passage: string>>)), coalesce({own}, cast(array() as array<struct<level: int, passage: string>>)))"))
     tidy = rf"transform(_passages, p -> named_struct('level', p.level, 'passage', trim(lower(regexp_replace(p.passage, r'{BLANK}', ' ')))))"
     return out.withColumn("_passages", F.expr(f"transform(filter({tidy}, p -> p.passage <> ''), p -> named_struct('level', p.level, 'hash', md5(p.passage)))")).drop("_lines")

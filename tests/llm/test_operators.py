@@ -479,3 +479,11 @@ def test_licences_over_lines(spark):
     assert found[0] == found[1] == [(0, "gpl")] and found[2] == [(1, "gpl")]
     assert found[3] == [(0, "mit"), (1, "reserved"), (1, "cc0")]
     assert all(n.sentence.count("\n") == 0 for r in rows for n in r.notices)
+
+
+def test_inline_replies_are_linked(spark):
+    texts = ["First point.", "I agree.\n> First point.\nBut not this.", "> I agree.\n> > First point.\n> But not this.\nWhy?",
+             "> I agree.\n> But not this.\nTrue", ">> I agree.\r\n>>> First point.\r\n>> But not this.\r\n> Why?\r\nSo"]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id bigint, turn bigint, text string")
+    assert {r.turn: (r.parent_turn, r.root_turn, r.depth) for r in quotations.link(rows).collect()} == {
+        0: (None, 0, 0), 1: (0, 0, 1), 2: (1, 0, 2), 3: (1, 0, 2), 4: (2, 0, 3)}
