@@ -7,13 +7,15 @@ regression over these (spark.ml) learns the families from the templates and thei
 and the class of ordinary writing from a bounded sample of the corpus itself; so the model
 is a small table of n-gram weights. Scoring is a join of every candidate's n-grams with that
 table. A candidate is taken for a licence notice if the probability of ordinary writing is
-lower than for nearly all sampled candidates that took no part in training. The predicted
-family stands if the candidate agrees with a template of the family; if it agrees with none
-or the prediction is not clear, the notice is of ``unknown`` family.
+lower than for nearly all candidates of the corpus that resemble no template: their
+probabilities are counted in fixed steps over all texts, each distinct one once. One that resembles
+no template must be more likely a notice than not, besides. The predicted family stands, whatever
+the threshold, if ordinary writing is less likely and the candidate agrees with a template of the
+family; if it agrees with none or the prediction is not clear, the notice is of ``unknown`` family.
 
 Defined results: null and empty texts have no notices; repeated rows are treated alike; a
-notice that occurs several times in a text is counted each time; without any sampled
-sentence the threshold is one half. Texts are read whole. Only the named id column is
+notice that occurs several times in a text is counted each time; with few texts
+the threshold is near the second highest of ordinary writing. Texts are read whole. Only the named id column is
 kept beside the results.
 """
 
@@ -24,19 +26,21 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm.common import smallest_hashes, written
+from recordmill.llm.common import written
 
-#: Sentences of ordinary writing that train and calibrate, at most.
+#: Candidates of ordinary writing that train, at most. All of them calibrate.
 SAMPLE = 4000
 #: Share of a template's word pairs in a sentence that confirms it, and that keeps it out of the sample.
 CONFIRMED, SUSPECT = 0.6, 0.3
-#: Least probability of a family among the families; share of ordinary sentences below the threshold.
+#: Least probability of a family among the families; share of ordinary candidates below the threshold.
 CLEAR, ORDINARY_SHARE = 0.5, 0.9995
 ORDINARY, UNKNOWN = "ordinary", "unknown"
 #: Blanks inside a line.
 BLANK = r"\x20\t\x0B\f\xA0"
 #: What names a candidate beside its text.
 PLACE = ("_paragraph", "_at", "_level", "_within")
+#: Least probability of a notice, for candidates that resemble a template and for others; steps of its log-odds by unit.
+LEAST_LIKE, LEAST, STEPS = 0.01, 0.5, 20
 
 # Notices by which public licences are usually named.
 TEMPLATES = {
@@ -118,11 +122,10 @@ def _agreement(pairs: str, template: Column) -> Column:
 
 
 class Model:
-    """Weights of n-grams by class, pairs of the templates, and the calibrated threshold."""
+    """Weights of n-grams by class and pairs of the templates."""
 
     def __init__(self, weights: dict[str, list[float]], intercepts: list[float], templates: dict[str, list[list[str]]]):
         self.weights, self.intercepts, self.templates = weights, intercepts, templates
-        self.threshold = 0.5
 
     def table(self, spark: SparkSession) -> DataFrame:
         """One row per n-gram of the templates and their parts; the empty one stands for the row itself."""
@@ -140,7 +143,9 @@ class Model:
         # the weights are bounded by the size of the training sample
         met = exploded.join(F.broadcast(self.weight_table), "_gram")
         logits = met.groupBy(*keys, *PLACE, "_sentence").agg(*(F.sum(f"w{i}").alias(f"w{i}") for i in range(len(CLASSES))))
-        logits = logits.withColumns({f"w{i}": F.exp(F.col(f"w{i}") + F.lit(float(b))) for i, b in enumerate(self.intercepts)})
+        logits = logits.withColumns({f"w{i}": F.col(f"w{i}") + F.lit(float(b)) for i, b in enumerate(self.intercepts)})
+        logits = logits.withColumn("_most", F.greatest(*(F.col(f"w{i}") for i in range(len(CLASSES)))))
+        logits = logits.withColumns({f"w{i}": F.exp(F.col(f"w{i}") - F.col("_most")) for i in range(len(CLASSES))})
         families = [F.col(f"w{i}") for i in range(1, len(CLASSES))]
         total = sum(families[1:], families[0])
         best = F.greatest(*families)
@@ -155,17 +160,25 @@ def _nearest(pairs: str, templates: dict[str, list[list[str]]], family: str | No
     return F.coalesce(F.greatest(*found), F.lit(0.0))
 
 
+def _distinct_sample(df: DataFrame, most: int, column: str) -> DataFrame:
+    """The ``most`` distinct values with the smallest hashes; copies are combined before they are exchanged."""
+    different = df.select(F.approx_count_distinct(F.xxhash64(column)).alias("n")).first()["n"]
+    share = min(1.0, (2 * most + 1000) / max(different, 1))
+    near = df.select(column, F.xxhash64(column).alias("_hash")).filter(F.col("_hash") <= F.lit(min(int(-(2**63) + share * 2**64), 2**63 - 1)))
+    return near.dropDuplicates([column]).orderBy("_hash", column).limit(most).drop("_hash")
+
+
 def train(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     """A model from the templates and at most ``sample`` candidates out of as many texts, those with the smallest hashes.
 
-    Those that resemble a template are left out of the sample. Half of it trains, half calibrates.
+    Those that resemble a template are left out of the sample. Half of it trains, the rest is not seen.
     """
     spark = df.sparkSession
     templates: dict[str, list[list[str]]] = {}
     for row in described(_constants(spark, [(k, n) for k, own in TEMPLATES.items() for n in own]), "text").collect():
         templates.setdefault(row.family, []).append(row["_pairs"])
-    texts = smallest_hashes(df.select(text).filter(F.length(text) > 0), sample, text)
-    chosen = smallest_hashes(written(candidates(texts, text).filter("_sentence rlike '[^ ]'").select("_sentence"), "sentences"), sample, "_sentence")
+    texts = _distinct_sample(df.select(text).filter(F.length(text) > 0), sample, text)
+    chosen = _distinct_sample(written(candidates(texts, text).filter("_sentence rlike '[^ ]'").select("_sentence"), "sentences"), sample, "_sentence")
     ordinary = described(chosen).filter(_nearest("_pairs", templates) < SUSPECT)
     ordinary = written(ordinary.withColumn("_part", F.pmod(F.xxhash64("_sentence", F.lit(1)), F.lit(2))), "ordinary")
     positive = written(described(_constants(spark, _examples()), "text"), "positive")
@@ -181,9 +194,6 @@ def train(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
         intercepts[0] = min(intercepts[1:])  # nothing is known of ordinary writing
     model = Model(weights, intercepts, templates)
     model.weight_table = written(model.table(spark), "weights")
-    held = ordinary.filter("_part = 1").dropDuplicates(["_sentence"]).select(F.xxhash64("_sentence").alias("_row"), *(F.lit(0).alias(c) for c in PLACE), "_sentence", "_grams")
-    quantile = model.classify(held, ["_row"]).select(F.percentile_approx("p_notice", F.lit(ORDINARY_SHARE), F.lit(10000)).alias("q")).first()["q"]
-    model.threshold = max(0.5, quantile or 0.0)
     return model
 
 
@@ -193,7 +203,7 @@ def _settled(found: DataFrame, keys: list[str]) -> DataFrame:
     A confirmed line stands. A sentence is reported in place of its unknown lines, unless a line already says
     as much. So is a paragraph in place of unknown sentences that it explains, if it adds a family or is all there is.
     """
-    known, rest = f"x.family <> '{UNKNOWN}'", f"x.family = '{UNKNOWN}'"
+    known = f"x.family <> '{UNKNOWN}'"
     # lines of one sentence, sentences of one paragraph and paragraphs of one text are bounded by its length
     of = found.groupBy(*keys, "_paragraph", "_within").agg(F.collect_list("_n").alias("_n"))
     of = of.withColumn("_said", F.expr(f"array_distinct(transform(filter(_n, x -> x.level = 0 and {known}), x -> x.family))"))
@@ -208,15 +218,54 @@ def _settled(found: DataFrame, keys: list[str]) -> DataFrame:
     return of.groupBy(*keys).agg(F.collect_list("_n").alias("_n")).select(*keys, F.expr(kept).alias("notices"))
 
 
+def _step(p: str) -> Column:
+    """The step of a probability by its log-odds, as far as a double tells it from one."""
+    return F.floor(F.log(F.greatest(F.col(p), F.lit(1e-16)) / F.greatest(1.0 - F.col(p), F.lit(1e-16))) * STEPS).cast("int")
+
+
+def _limits(cut: DataFrame, likely: DataFrame) -> dict[bool, int]:
+    """The last step of ordinary writing, for paragraphs of several sentences (True) and for shorter candidates.
+
+    All distinct candidates count; those of ``likely`` that resemble a template are no ordinary writing. Of the
+    others at most one less ``ORDINARY_SHARE``, or a single one, lies above.
+    """
+    whole = (F.col("_level") == 2).alias("whole")
+    sizes = {r["whole"]: r["n"] for r in cut.groupBy(whole).agg(F.approx_count_distinct(F.xxhash64("_sentence")).alias("n")).collect()}
+    odd = likely.filter(F.col("_like") < SUSPECT).groupBy(whole, F.xxhash64("_sentence").alias("_hash")).agg(F.max("_step").alias("_step"))
+    limits = {}
+    # the steps between LEAST_LIKE and one are a few hundred
+    steps = sorted(((r["whole"], r["_step"], r["n"]) for r in odd.groupBy("whole", "_step").agg(F.count("*").alias("n")).collect()), reverse=True)
+    for kind in (True, False):
+        left = max(1, int((1 - ORDINARY_SHARE) * sizes.get(kind, 0)))
+        limits[kind] = -(10**6)
+        for step, n in ((step, n) for k, step, n in steps if k == kind):
+            left -= n
+            if left < 0:
+                limits[kind] = step
+                break
+    return limits
+
+
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``notices``: ``array<struct<place, sentence, family, p_notice, agreement>>`` of every text, in order.
 
     ``place`` is the number of the paragraph; ``sentence`` is the notice, a paragraph or a part of one, on one line.
     """
     model = train(df, text)
-    scored = model.classify(described(candidates(df.select(key, text), text)), ["_row", key])
-    judged = described(scored).withColumn("agreement", F.when(F.col("p_notice") > model.threshold, _nearest("_pairs", model.templates, "family")))
-    family = F.when((F.col("p_family") >= CLEAR) & (F.col("agreement") >= CONFIRMED), F.col("family")).otherwise(F.lit(UNKNOWN))
+    cut = candidates(df.select(key, text), text)
+    scored = model.classify(described(cut), ["_row", key])
+    likely = F.col("p_notice") > LEAST_LIKE
+    first = (F.col("_paragraph") == 0) & (F.col("_at") == 0)
+    kept = scored.filter(likely | first).withColumn("_sentence", F.when(likely, F.col("_sentence")))
+    kept = described(kept).select("_row", key, *PLACE, "_sentence", "p_notice", "family", "p_family", _step("p_notice").alias("_step"), *(
+        F.when(likely, c).alias(n) for c, n in ((_nearest("_pairs", model.templates, "family"), "agreement"), (_nearest("_pairs", model.templates), "_like"))))
+    stored = written(kept, "likely")
+    limits = _limits(cut, stored)
+    unlikely = F.col("_step") <= F.when(F.col("_level") == 2, F.lit(limits[True])).otherwise(F.lit(limits[False]))
+    likely = F.col("p_notice") > F.when(F.col("_like") >= SUSPECT, LEAST_LIKE).otherwise(LEAST)
+    confirmed = (F.col("p_notice") > LEAST) & (F.col("p_family") >= CLEAR) & (F.col("agreement") >= CONFIRMED)
+    family = F.when(confirmed, F.col("family")).otherwise(F.lit(UNKNOWN))
+    judged = stored.withColumn("agreement", F.when(confirmed | likely & ~unlikely, F.col("agreement")))
     notice = F.when(F.col("agreement").isNotNull(), F.struct(
         F.col("_paragraph").alias("place"), F.col("_at").alias("at"), F.col("_level").alias("level"), F.col("_sentence").alias("sentence"),
         family.alias("family"), F.col("family").alias("guess"), "p_notice", "agreement"))

@@ -487,3 +487,23 @@ def test_inline_replies_are_linked(spark):
     rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id bigint, turn bigint, text string")
     assert {r.turn: (r.parent_turn, r.root_turn, r.depth) for r in quotations.link(rows).collect()} == {
         0: (None, 0, 0), 1: (0, 0, 1), 2: (1, 0, 2), 3: (1, 0, 2), 4: (2, 0, 3)}
+
+
+def test_licences_calibrate_on_all_texts(spark):
+    words = [f"word{i}" for i in range(400)]
+    dice = random.Random(1)
+    plain = [" ".join(dice.choices(words, k=12)) + "." for _ in range(300)]
+    # one odd text in thousands of copies neither fills the sample nor hides a weaker notice
+    odd = "No part of the terms of the General Public software."
+    texts = plain + [odd] * 9000 + ["Licensed under the Purple Cow License, Version 7.0."]
+    assert licences._distinct_sample(spark.createDataFrame([(x,) for x in texts], "text string"), 4000, "text").count() == len(set(texts))
+    rows = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    found = {r.doc_id: [n.family for n in r.notices] for r in rows.collect()}
+    assert len(found) == len(texts) and found[len(texts) - 1] == ["unknown"]
+    assert sum(found[i] != [] for i in range(300)) <= 1
+
+
+def test_unknown_licence_among_few_texts(spark, awkward):
+    extra = spark.createDataFrame([(21, "Licensed under the Purple Cow License, Version 7.0."), (22, "The committee met on Monday.")], "doc_id bigint, text string")
+    found = {r.doc_id: [n.family for n in r.notices] for r in licences.scan(awkward.select("doc_id", "text").union(extra)).collect()}
+    assert found[21] == ["unknown"] and found[22] == [] and found[5] == []
