@@ -45,33 +45,34 @@ def with_prompts(docs: DataFrame) -> DataFrame:
 
 def infer(prompts: DataFrame, make_model: Callable[[], Model], batch: int = 64,
           carry: tuple[str, ...] = ()) -> DataFrame:
-    """Call a model on every prompt: ``doc_id`` to output, tokens and ``call_error``.
+    """Call a model on every prompt: ``doc_id`` to output, tokens, ``call_error`` and ``called``.
 
     ``make_model`` runs once per task, so each task owns one client. A failing batch is
     tried again row by row, so one bad prompt costs its own row only; after ``GIVE_UP`` rows
-    that fail one after the other, the rest of the batch fails without a call. Columns in
+    that fail one after the other, the rest of the batch fails without a call; ``called`` is
+    false for these, so that they can be asked later. Columns in
     ``carry`` pass through, which saves joining the answers back to their documents.
     """
     kept = ["doc_id", *carry]
-    answer = ["raw_output", "prompt_tokens", "completion_tokens", "call_error"]
+    answer = ["raw_output", "prompt_tokens", "completion_tokens", "call_error", "called"]
     types = dict(prompts.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in kept) + (
-        ", raw_output string, prompt_tokens bigint, completion_tokens bigint, call_error string")
+        ", raw_output string, prompt_tokens bigint, completion_tokens bigint, call_error string, called boolean")
 
     def call(model: Model, texts: list[tuple[str, str]]) -> list[tuple]:
         try:
             answers = model(texts)
             if len(answers) != len(texts):
                 raise ValueError("the model must answer every prompt of a batch")
-            return [(*out, None) for out in answers]
+            return [(*out, None, True) for out in answers]
         except Exception as failure:
-            failed = (None, 0, 0, str(failure) or type(failure).__name__)
+            failed = (None, 0, 0, str(failure) or type(failure).__name__, True)
             if len(texts) == 1:
                 return [failed]
             rows: list[tuple] = []
             for text in texts:
                 out = len(rows) >= GIVE_UP and all(r[3] is not None for r in rows[-GIVE_UP:])
-                rows += [failed] if out else call(model, [text])
+                rows += [(*failed[:-1], False)] if out else call(model, [text])
             return rows
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -19,6 +20,9 @@ from recordmill.operators.retrieval import Embedder, context_of, embed, relevant
 from recordmill.schemas import DOC_TYPES
 from recordmill.session import named_path
 
+#: Rounds in a row without any answer after which prompts that were not called stay failed until the run starts again.
+FRUITLESS = 3
+
 
 def with_context(docs: DataFrame, threshold: int = fixed.LONG_DOCUMENT_WORDS, override: bool | None = None,
                  embedder: Embedder | None = None) -> DataFrame:
@@ -55,7 +59,8 @@ def run(
     documents stay as rows with an error. ``timestamp`` is a parameter, so a repeated
     run gives the same rows. Rejected documents are not cut, searched or sent to a model. Answers of a
     model are kept under ``answers``, by default a folder named by the run: a run that starts again asks
-    only for documents whose answer is not there.
+    only for documents whose answer is not there. Prompts of a batch that was given up are asked again in
+    further rounds, until ``FRUITLESS`` rounds in a row bring no answer.
     """
     if (responses is None) == (make_model is None):
         raise ValueError("give either responses or make_model")
@@ -76,14 +81,27 @@ def run(
         path = answers or named_path(docs.sparkSession, f"answers/{run_id}")
         carried = ("prompt_key", *kept[1:])
         spark = docs.sparkSession
-        schema = infer(prompts, make_model, carry=carried).schema
+        schema = infer(prompts, make_model, carry=carried).schema.add("attempt", "string")
         spark.createDataFrame([], schema).write.mode("append").parquet(path)
-        known = spark.read.schema(schema).parquet(path).select("prompt_key").distinct()
-        infer(prompts.dropDuplicates(["prompt_key"]).join(known, "prompt_key", "left_anti"), make_model,
-              carry=carried).write.mode("append").parquet(path)
+        stored = spark.read.schema(schema).parquet(path)
+        # a failed call is no answer: a run that starts again repeats it
+        known = stored.filter("call_error is null").select("prompt_key").distinct()
+        waiting = prompts.dropDuplicates(["prompt_key"]).join(known, "prompt_key", "left_anti")
+        fruitless = 0
+        while fruitless < FRUITLESS:
+            attempt = uuid.uuid4().hex
+            infer(waiting, make_model, carry=carried).withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(path)
+            stored = spark.read.schema(schema).parquet(path)
+            own = stored.filter(F.col("attempt") == attempt)
+            left = own.filter("not called").select("prompt_key").distinct()
+            if not left.take(1):
+                break
+            fruitless = 0 if own.filter("call_error is null").take(1) else fruitless + 1
+            waiting = prompts.dropDuplicates(["prompt_key"]).join(left, "prompt_key", "left_semi")
         # a document submitted twice asks once; its rows share the answer
-        answer = spark.read.schema(schema).parquet(path).groupBy("prompt_key").agg(F.max(F.struct(
+        answer = stored.groupBy("prompt_key").agg(F.max(F.struct(F.col("call_error").isNull().alias("good"),
             "raw_output", "prompt_tokens", "completion_tokens", "call_error")).alias("_answer"))
+        answer = answer.withColumn("_answer", F.col("_answer").dropFields("good"))
         asked = prompts.select(*kept, "prompt_key").join(answer, "prompt_key").select(*kept, "_answer.*")
         rejected = ready.filter("_reason is not null").select(
             *kept, F.lit(None).cast("string").alias("raw_output"), F.lit(0).cast("bigint").alias("prompt_tokens"),

@@ -239,3 +239,21 @@ def test_last_per_key_under_a_hot_key(spark):
     rows = spark.range(30000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("key"), "id")
     got = last_per_key(rows, "key", "id")
     assert got.count() == 10001 and got.filter("key = 'hot'").first()["id"] == 29999
+
+
+def test_refused_prompts_cost_no_others(spark, tmp_path):
+    def picky():
+        def model(prompts):
+            if any("refuse me" in user for _, user in prompts):
+                raise RuntimeError("refused")
+            return [(json.dumps(GOOD), 1, 1) for _ in prompts]
+
+        return model
+
+    rows = spark.createDataFrame([(f"e{i}", "email", f"e{i}.txt", "refuse me" if i % 2 else "hello") for i in range(60)], "doc_id string, doc_type string, filename string, text string").coalesce(1)
+    path = str(tmp_path / "a")
+    got = {r["doc_id"]: r["status"] for r in run(rows, "r", AT, make_model=picky, provider="openai_gpt4o_mini", answers=path).collect()}
+    assert got == {f"e{i}": "failed" if i % 2 else "success" for i in range(60)}
+    # a failed call is repeated by a run that starts again
+    again = run(rows, "r", AT, make_model=make_model, provider="openai_gpt4o_mini", answers=path)
+    assert {r["status"] for r in again.collect()} == {"success"}
