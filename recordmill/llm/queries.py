@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import bpe, licences, packing, pivot_search, quality_classifier, quotations, rule_forest, secrets, simhash, suffix_dedup
+from recordmill.llm import (
+    bpe, collocations, lexical_search, licences, packing, pivot_search, quality_classifier, quotations, rule_forest, secrets, simhash,
+    suffix_dedup, token_counts,
+)
 from recordmill.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+#: Tokens a document may have before it counts as too long.
+TOKEN_LIMIT = 4096
 
 
 def query(fn: Query) -> Query:
@@ -167,3 +173,87 @@ select c.conv_id, c.turn, c.role, cast(coalesce(o.n_levels, 0) as integer) as n_
 from conversations c left join own o on o.conv_id is not distinct from c.conv_id and o.turn is not distinct from c.turn and o.text = c.text
 left join places p on p.conv_id = c.conv_id and p.turn = c.turn
 """
+
+
+@query
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    index = lexical_search.build(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+ORACLE["op11_lexical"] = r"""
+with terms as (
+    select r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from (select row_number() over () as r, doc_id, text from documents where text is not null)
+), sizes as (
+    select r, any_value(doc_id) as doc_id, cast(count(*) as bigint) as n from terms group by r
+), whole as (
+    select cast(count(*) as bigint) as docs, cast(sum(n) as bigint) as len from sizes
+), tf as (
+    select r, term, cast(count(*) as bigint) as tf from terms group by r, term
+), items as (
+    select item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from (select distinct item_id, text from benchmark where text is not null)
+), asked as (
+    select item_id, text, term, cast(count(*) as bigint) as times from items group by all
+), weights as (
+    select term, cast(floor(1000 * ln((2.0::double * docs + 2) / (2 * count(*) + 1))) as bigint) as w from tf, whole where term in (select term from asked) group by term, docs
+), scores as (
+    select a.item_id, a.text, r, any_value(s.doc_id) as doc_id,
+        cast(sum(a.times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // len)))) as bigint) as score
+    from asked a join weights using (term) join tf using (term) join sizes s using (r), whole group by a.item_id, a.text, r
+), ranked as (
+    select *, row_number() over (partition by item_id, text order by score desc, doc_id nulls last) as rank from scores where score > 0
+)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10
+"""
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return collocations.mine(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+ORACLE["op12_collocations"] = r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents where text is not null
+), words as (
+    select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') as w from pieces
+), grams as (
+    select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) as phrase
+    from words, (select unnest([1, 2, 3, 4]) as k) where len(w) >= k
+), f as (
+    select lang, phrase, k, cast(count(*) as bigint) as a from grams group by all having count(*) >= 30
+), totals as (
+    select lang, cast(sum(len(w)) as bigint) as n from words group by lang
+), held as (
+    select lang, phrase, max(a) as longer from (
+        select lang, a, unnest(flatten(list_transform(range(2, k), lambda j: list_transform(range(1, k - j + 2), lambda i: array_to_string(list_slice(string_split(phrase, ' '), i, i + j - 1), ' '))))) as phrase
+        from f where k > 2
+    ) group by all
+), alive as (
+    select f.* from f left join held using (lang, phrase) where f.k > 1 and (longer is null or 100 * longer < 80 * a)
+), cuts as (
+    select lang, phrase, a, c, array_to_string(list_slice(string_split(phrase, ' '), 1, c), ' ') as head, array_to_string(list_slice(string_split(phrase, ' '), c + 1, k), ' ') as tail
+    from (select *, unnest(range(1, k)) as c from alive)
+), scored as (
+    select c.*, x.a as l, y.a as r, cast((2000000::hugeint * c.a) // (x.a::hugeint + y.a) as bigint) as score
+    from cuts c join f x on x.lang = c.lang and x.phrase = c.head join f y on y.lang = c.lang and y.phrase = c.tail
+), weakest as (
+    select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1
+), ranked as (
+    select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from weakest
+)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
+
+@query
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counted = token_counts.count_tokens(docs, token_counts.PieceModel(spark, PIECES))
+    return counted.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
