@@ -41,13 +41,14 @@ from pyspark.sql import functions as F
 
 from recordmill.llm.common import forget_state, written
 from recordmill.llm.fields import cut, lower_ascii, quoted
+from recordmill.session import scratch_path
 
 #: Shards of a cycle.
-SHARDS = 3
+SHARDS = 2
 #: Slots of the table of phrases that have reached the threshold; a slot is a byte.
 SLOT_BITS = 24
 #: Bytes of text of a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 #: Lengths, threshold, share of a longer phrase that drops a shorter one, scale of scores, rows of a language.
 LONGEST, LEAST, DROP_SHARE, SCALE, KEPT = 4, 30, 80, 2_000_000, 2000
 NO_LANGUAGE = "und"
@@ -102,7 +103,14 @@ def blocks(docs: DataFrame, text: str = "text", lang: str = "lang", shards: int
             turn += 1
 
     given = docs.select(F.coalesce(F.col(quoted(lang)), F.lit(NO_LANGUAGE)).alias("lang"), F.col(quoted(text)).alias("text"))
-    return written(given.mapInArrow(run, schema), "phrase_blocks")
+    return _stored(given.mapInArrow(run, schema), "phrase_blocks")
+
+
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    """A written table, packed more tightly than the default: it is read often or holds many strings."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 # --- one scan --------------------------------------------------------------------------------
@@ -118,6 +126,11 @@ def slots(hashes: np.ndarray, bits: int) -> np.ndarray:
     return ((hashes ^ hashes >> np.uint64(29)) * _GOLD >> np.uint64(64 - bits)).astype(np.int32)
 
 
+def packed(slot: np.ndarray, since: np.ndarray, k: int) -> np.ndarray:
+    """What follows from a phrase, in one number: its slot, the step that made it active, its words."""
+    return slot.astype(np.int64) << 16 | since.astype(np.int64) << 8 | k
+
+
 def _ranked(codes: list[np.ndarray], size: int) -> np.ndarray:
     """One number below 2^62 for each tuple of word numbers, the same for equal tuples only."""
     joint = codes[0]
@@ -132,7 +145,7 @@ def _ranked(codes: list[np.ndarray], size: int) -> np.ndarray:
 
 
 def phrases(words: pa.Array, hashes: np.ndarray, codes: np.ndarray, reached: np.ndarray, step: int, shards: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of a block that are active at a step: ``phrase, k, slot, since, n``."""
+    """Counts of the phrases of a block that are active at a step: ``phrase, state, n`` (see :func:`packed`)."""
     bits = len(reached).bit_length() - 1
     begins = codes < 0
     code = np.where(begins, ~codes, codes).astype(np.int64)
@@ -143,9 +156,7 @@ def phrases(words: pa.Array, hashes: np.ndarray, codes: np.ndarray, reached: np.
         _, first, n = np.unique(_ranked([code[at + i] for i in range(k)], size), return_index=True, return_counts=True)
         parts = [words.take(pa.array(code[at[first] + i])) for i in range(k)]
         joined = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, " ")
-        return pa.RecordBatch.from_arrays([
-            joined, pa.array(np.full(len(n), k, np.int32)), pa.array(slot[first]), pa.array(since[first].astype(np.int32)), pa.array(n.astype(np.int64))],
-            names=["phrase", "k", "slot", "since", "n"])
+        return pa.RecordBatch.from_arrays([joined, pa.array(packed(slot[first], since[first], k)), pa.array(n.astype(np.int64))], names=["phrase", "state", "n"])
 
     place = np.arange(len(code))
     own = slots(hashes, bits)
@@ -180,29 +191,31 @@ def phrases(words: pa.Array, hashes: np.ndarray, codes: np.ndarray, reached: np.
 
 
 def _scan(shard: DataFrame, table: Broadcast, step: int, shards: int, longest: int) -> DataFrame:
-    names = ["lang", "phrase", "k", "slot", "since", "n"]
+    """``phrase, state, n``; the phrase has its language and a line break in front, as no word holds one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_state()
         reached = np.frombuffer(table.value, np.uint8)
         for batch in batches:
             for i in range(batch.num_rows):
                 words = batch.column("words")[i].values
                 hashes, codes = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("hashes", "<u8"), ("codes", "<i4")))
                 for found in phrases(words, hashes, codes, reached, step, shards, longest):
-                    lang = pa.array([batch.column("lang")[i].as_py()]).take(pa.array(np.zeros(found.num_rows, np.int8)))
-                    rows = pa.RecordBatch.from_arrays([lang, *found.columns], names=names)
+                    keys = pc.binary_join_element_wise(batch.column("lang")[i], found.column(0), "\n")
+                    rows = pa.RecordBatch.from_arrays([keys, *found.columns[1:]], names=["phrase", "state", "n"])
                     for start in range(0, rows.num_rows, 1 << 16):
                         yield rows.slice(start, 1 << 16)
 
-    return shard.select("lang", "words", "hashes", "codes").mapInArrow(run, "lang string, phrase string, k int, slot int, since int, n bigint")
+    return shard.select("lang", "words", "hashes", "codes").mapInArrow(run, "phrase string, state bigint, n bigint")
 
 
 def frequent(stored: DataFrame, least: int = LEAST, shards: int = SHARDS, longest: int = LONGEST, bits: int = SLOT_BITS) -> DataFrame:
     """``lang, phrase, k, n`` of all phrases of up to ``longest`` words that occur ``least`` times or more in blocks ``stored``."""
-    if 4 * shards >= _NEVER:
+    if longest * shards >= _NEVER:
         raise ValueError("steps are kept in a byte")
     context = stored.sparkSession.sparkContext
     reached = np.zeros(1 << bits, np.uint8)
+    k, since, slot = (F.expr(e).cast("int") for e in ("state & 255", "(state >> 8) & 255", "state >> 16"))
     open_rows = result = None
     step = 0
     while True:
@@ -211,17 +224,18 @@ def frequent(stored: DataFrame, least: int = LEAST, shards: int = SHARDS, longes
         found = _scan(stored.filter(F.col("shard") == (step - 1) % shards), table, step, shards, longest)
         if open_rows is not None:
             found = found.unionByName(open_rows)
-        total = found.groupBy("lang", "phrase", "k", "slot", "since").agg(F.sum("n").alias("n"))
-        settled = F.col("since") + shards <= step
-        rows = written(total.withColumn("settled", settled).filter((F.col("n") >= least) | ~F.col("settled")), "phrase_counts")
+        total = found.groupBy("phrase", "state").agg(F.sum("n").alias("n"))
+        rows = _stored(total.filter((F.col("n") >= least) | (since + shards > step)), "phrase_counts")
         table.destroy()
         # at most one number per slot
-        new = rows.filter((F.col("n") >= least) & (F.col("k") < longest)).select("slot").distinct().toArrow().column(0).to_numpy()
+        new = rows.filter((F.col("n") >= least) & (k < longest)).select(slot.alias("slot")).distinct().toArrow().column(0).to_numpy()
         new = new[reached[new] == 0]
         reached[new] = step
-        done = rows.filter("settled").select("lang", "phrase", "k", "n")
+        done = rows.filter(since + shards <= step).select(
+            F.expr("left(phrase, length(phrase) - length(substring_index(phrase, '\\n', -1)) - 1)").alias("lang"),
+            F.expr("substring_index(phrase, '\\n', -1)").alias("phrase"), k.alias("k"), "n")
         result = done if result is None else result.unionByName(done)
-        open_rows = rows.filter("not settled").drop("settled")
+        open_rows = rows.filter(since + shards > step)
         # words are open through the first cycle, phrases for a cycle after the step that made them active
         if step >= shards and int(reached.max()) + shards <= step:
             return result

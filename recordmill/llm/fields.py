@@ -65,11 +65,13 @@ def cut(texts: pa.Array, kind: np.ndarray, fold: np.ndarray | None = None) -> Wo
     begins = inside.copy()
     begins[1:] &= ~inside[:-1] | opens[1:]
     starts = np.flatnonzero(begins)
-    ends = np.cumsum((kinds == 2) | opens, dtype=np.int32)
-    # a byte that both opens a text and ends a piece needs one step only
-    piece = ends[starts]
+    closes = inside.copy()
+    closes[:-1] &= ~inside[1:] | opens[1:]
+    lengths = np.flatnonzero(closes) - starts + 1
+    breaks = np.flatnonzero((kinds == 2) | opens)
+    piece = np.searchsorted(breaks, starts, side="right").astype(np.int32)
     letters = raw[inside] if fold is None else fold[raw[inside]]
-    bounds = np.append((np.cumsum(inside, dtype=np.int64) - 1)[starts], len(letters)).astype(np.int64)
-    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.tobytes()), pa.py_buffer(letters.tobytes()))
+    bounds = np.append(0, np.cumsum(lengths)).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(letters))
     row = (np.searchsorted(offsets, starts, side="right") - 1).astype(np.int32)
     return Words(words, row, piece)
