@@ -42,7 +42,7 @@ from recordmill.llm.fields import Words, cut, lower_ascii, quoted
 #: Postings of a block.
 BLOCK = 128
 #: Bytes of text and documents of a shard; a shard is closed after the batch that passes either.
-SHARD_BYTES, SHARD_DOCUMENTS = 24 << 20, 1 << 16
+SHARD_BYTES, SHARD_DOCUMENTS = 8 << 20, 1 << 15
 #: Documents scored at a time, and queries that share a task.
 RANGE, QUERIES = 4096, 256
 #: The length normalisation in percent, and the scale of impacts.
@@ -104,11 +104,10 @@ def _postings_of(shard: int, parts: list[tuple[Words, pa.Array]], documents: int
     """The rows of one shard."""
     ids = pa.concat_arrays([i for _, i in parts])
     bases = np.cumsum([0, *(len(i) for _, i in parts)])
-    doc = np.concatenate([w.row + base for (w, _), base in zip(parts, bases)]).astype(np.int64)
+    doc = np.concatenate([w.row + np.int32(base) for (w, _), base in zip(parts, bases)])
     if not len(doc):
         return None
     coded = pa.chunked_array([w.words.dictionary_encode() for w, _ in parts]).unify_dictionaries()
-    code = np.concatenate([c.indices.to_numpy() for c in coded.chunks]).astype(np.int64)
     vocabulary = coded.chunk(0).dictionary
     # documents in the order of their ids, those without a term left out
     sizes = np.bincount(doc, minlength=len(ids))
@@ -120,8 +119,14 @@ def _postings_of(shard: int, parts: list[tuple[Words, pa.Array]], documents: int
     number[order] = np.arange(len(order))
     m = 100 - NORM + NORM * sizes[order] * documents // length
 
-    key, tf = np.unique(code * len(order) + number[doc], return_counts=True)
-    code, doc = np.divmod(key, len(order))
+    key = np.concatenate([c.indices.to_numpy() for c in coded.chunks]).astype(np.int64)
+    key *= len(order)
+    key += number[doc]
+    key.sort()
+    runs = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    tf = np.diff(np.append(runs, len(key)))
+    code, doc = np.divmod(key[runs], len(order))
+    del key, coded
     first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
     df = np.diff(np.append(first, len(code)))
     at = np.arange(len(code)) - np.repeat(first, df)
@@ -140,7 +145,7 @@ def _postings_of(shard: int, parts: list[tuple[Words, pa.Array]], documents: int
     def column(values: np.ndarray, extra: bytes) -> pa.Array:
         """Numbers of each list's blocks, and at the end what the row of the documents holds."""
         offsets = np.append(np.append(0, np.cumsum(per_term)) * 4, 4 * len(values) + len(extra)).astype(np.int64)
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.astype("<i4").tobytes() + extra)])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values.astype("<i4").tobytes() + extra)])
 
     n = len(first) + 1
     relative = block_ends - np.repeat(list_begins[:-1], per_term)
@@ -150,7 +155,7 @@ def _postings_of(shard: int, parts: list[tuple[Words, pa.Array]], documents: int
         pa.array(np.full(n, shard)), pa.concat_arrays([vocabulary.take(pa.array(code[first])), pa.nulls(1, vocabulary.type)]),
         pa.array(np.append(df, len(order))), column(lasts, values[order].astype("<i8").tobytes()),
         column(tops, missing[order].tobytes()), column(relative, b""),
-        pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes() + tail)]),
+        pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(data.tobytes() + tail)]),
     ]
     return pa.RecordBatch.from_arrays([a.cast(t) for a, t in zip(arrays, _TYPES)], names=_NAMES)
 
