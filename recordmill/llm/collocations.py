@@ -187,7 +187,9 @@ def phrases(words: pa.Array, hashes: np.ndarray, codes: np.ndarray, reached: np.
         if len(due):
             yield counted(place[due], k, slot[due], joint[due])
         since = reached[slot].astype(np.int32)
-        since[(since == 0) | (since >= step)] = _NEVER
+        never = (since == 0) | (since >= step)
+        # a slot may be set by another phrase before this one is active; what builds on it waits for both
+        since = np.where(never, _NEVER, np.maximum(since, joint))
 
 
 def _scan(shard: DataFrame, table: Broadcast, step: int, shards: int, longest: int) -> DataFrame:
