@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordmill import fixed
@@ -19,6 +19,8 @@ Model = Callable[[list[tuple[str, str]]], list[tuple[str, int, int]]]
 
 #: Single calls that fail in a row before the rest of a failed batch is given up, as in an outage.
 GIVE_UP = 3
+#: Error of a row without a prompt.
+NO_PROMPT = "no prompt"
 
 
 def schema_text(doc_type: str) -> str:
@@ -50,7 +52,8 @@ def infer(prompts: DataFrame, make_model: Callable[[], Model], batch: int = 64,
     ``make_model`` runs once per task, so each task owns one client. A failing batch is
     tried again row by row, so one bad prompt costs its own row only; after ``GIVE_UP`` rows
     that fail one after the other, the rest of the batch fails without a call; ``called`` is
-    false for these, so that they can be asked later. Columns in
+    false for these, so that they can be asked later. A null prompt, as for a type without a schema, is
+    no call and fails with ``NO_PROMPT``. Columns in
     ``carry`` pass through, which saves joining the answers back to their documents.
     """
     kept = ["doc_id", *carry]
@@ -81,21 +84,26 @@ def infer(prompts: DataFrame, make_model: Callable[[], Model], batch: int = 64,
             model = model or make_model()
             for start in range(0, len(frame), batch):
                 part = frame.iloc[start:start + batch].reset_index(drop=True)
-                rows = call(model, list(zip(part["system_prompt"], part["user_prompt"])))
+                asked = part["user_prompt"].notna()
+                answers = iter(call(model, list(zip(part["system_prompt"][asked], part["user_prompt"][asked]))) if asked.any() else ())
+                rows = [next(answers) if a else (None, 0, 0, NO_PROMPT, True) for a in asked]
                 yield pd.concat([part[kept], pd.DataFrame(rows, columns=answer)], axis=1)
 
     return prompts.select(*kept, "system_prompt", "user_prompt").mapInPandas(run, schema)
 
 
-def replay(docs: DataFrame, responses: DataFrame, order: str | None = None) -> DataFrame:
+def replay(docs: DataFrame, responses: DataFrame | KeyedAnswers, order: str | None = None) -> DataFrame:
     """Stored model responses instead of calls; a document without one is a failed call.
 
     Of several answers to one id the one with the greatest ``order`` counts, without an
-    order the greatest answer; they are combined before the exchange.
+    order the greatest answer; they are combined before the exchange. Of answers laid out by key
+    only those to the ids of ``docs`` are read.
     """
-    answer = F.struct("raw_output", "prompt_tokens", "completion_tokens", "call_error")
-    last = F.max(answer) if order is None else F.max_by(answer, F.struct(F.col(order), answer))
-    found = responses.groupBy("doc_id").agg(last.alias("_last")).select("doc_id", "_last.*", F.lit(True).alias("_found"))
+    if isinstance(responses, KeyedAnswers):
+        last = responses.of(docs)
+    else:
+        last = _newest_answers(responses, order)
+    found = last.withColumn("_found", F.lit(True))
     return docs.join(found, "doc_id", "left").withColumns({
         "call_error": F.when(F.col("_found").isNull(), F.lit("no response")).otherwise(F.col("call_error")),
         "prompt_tokens": F.coalesce("prompt_tokens", F.lit(0)).cast("bigint"),
@@ -103,6 +111,47 @@ def replay(docs: DataFrame, responses: DataFrame, order: str | None = None) -> D
     }).drop("_found")
 
 
+class KeyedAnswers:
+    """Stored answers laid out by key: a table in ``parts`` folders by the hash of the id, one answer per id, sorted.
+
+    A reader that asks for the ids of a small batch lists the folders those ids hash to and reads no others, so what
+    a micro-batch costs depends on its own size. ``parts`` is chosen so that a folder holds some ten thousand answers.
+    """
+
+    ANSWER = ("raw_output string", "prompt_tokens bigint", "completion_tokens bigint", "call_error string")
+
+    def __init__(self, spark: SparkSession, path: str, parts: int = 64, key_type: str = "string"):
+        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
+        self.schema = f"doc_id {key_type}, {', '.join(self.ANSWER)}, part int"
+
+    def _part(self, key: str = "doc_id") -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.parts)).cast("int")
+
+    def write(self, responses: DataFrame, order: str | None = None) -> KeyedAnswers:
+        """Store ``responses``, the newest of each id by ``order``; ids are not null."""
+        newest = _newest_answers(responses.filter("doc_id is not null"), order).withColumn("part", self._part())
+        newest.repartition(self.parts, "part").sortWithinPartitions("part", "doc_id").write.mode("overwrite").option(
+            "partitionOverwriteMode", "static").partitionBy("part").parquet(self.path)
+        return self
+
+    def of(self, docs: DataFrame) -> DataFrame:
+        """The answers to the ids of ``docs``: of the folders they hash to, and only rows that are asked for.
+
+        ``docs`` is read twice, so it should be a written table. At most ``parts`` numbers come to the driver.
+        """
+        asked = docs.select("doc_id").filter("doc_id is not null").distinct()
+        parts = [r[0] for r in asked.select(self._part().alias("part")).distinct().collect()]
+        stored = self.spark.read.schema(self.schema).parquet(self.path).filter(F.col("part").isin(parts) if parts else F.lit(False))
+        return stored.drop("part").join(asked, "doc_id", "left_semi")
+
+
+def _newest_answers(responses: DataFrame, order: str | None) -> DataFrame:
+    """``doc_id`` and the answer with the greatest ``order`` (without an order the greatest answer), combined before the exchange."""
+    answer = F.struct("raw_output", "prompt_tokens", "completion_tokens", "call_error")
+    last = F.max(answer) if order is None else F.max_by(answer, F.struct(F.col(order), answer))
+    return responses.groupBy("doc_id").agg(last.alias("_last")).select("doc_id", "_last.*")
+
+
 def with_outcome(responses: DataFrame) -> DataFrame:
     """Parse and gate ``raw_output`` by ``doc_type``.
 

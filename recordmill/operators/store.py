@@ -21,7 +21,8 @@ class LatestTable:
 
     A batch is a partition of its own, so writing touches nothing else and a batch that is
     repeated replaces itself. The version of a row is its ``order``, then its batch, so
-    an older submission that arrives late changes nothing. Reading compares versions, combined
+    an older submission that arrives late changes nothing; a row without an order is older than any other.
+    Rows without a key stand for themselves and all count. Reading compares versions, combined
     before the exchange; ``compact`` writes what counts to a new table now and then.
     """
 
@@ -42,9 +43,9 @@ class LatestTable:
 
     def read(self) -> DataFrame:
         rows = self.history().withColumn("_version", F.struct(self.order, "batch"))
-        newest = rows.groupBy(F.col(self.key).alias("_key")).agg(F.max("_version").alias("_newest"))
-        kept = rows.join(newest, F.col(self.key).eqNullSafe(F.col("_key")) & (F.col("_version") == F.col("_newest")), "left_semi")
-        return kept.select(*self.schema.names)
+        newest = rows.filter(F.col(self.key).isNotNull()).groupBy(F.col(self.key).alias("_key")).agg(F.max("_version").alias("_newest"))
+        kept = rows.join(newest, (F.col(self.key) == F.col("_key")) & F.col("_version").eqNullSafe(F.col("_newest")), "left_semi")
+        return kept.unionByName(rows.filter(F.col(self.key).isNull())).select(*self.schema.names)
 
     def compact(self, path: str) -> LatestTable:
         """A table at ``path`` with the rows that count as its first batch."""

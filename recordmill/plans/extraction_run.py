@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -14,14 +13,13 @@ from recordmill.functions.rules import validate_any
 from recordmill.functions.scoring import score_any
 from recordmill.functions.text import word_count
 from recordmill.operators.chunking import chunk_documents, route
-from recordmill.operators.extraction import extraction_json, infer, replay, with_outcome, with_prompts
+from recordmill.operators.extraction import KeyedAnswers, extraction_json, replay, with_outcome, with_prompts
 from recordmill.operators.intake import REASON_TEXT, reject_reason
 from recordmill.operators.retrieval import Embedder, context_of, embed, relevant_context
 from recordmill.schemas import DOC_TYPES
-from recordmill.session import named_path
+from recordmill.session import named_path, scratch_path
+from recordmill.streaming.inference import ask
 
-#: Rounds in a row without any answer after which prompts that were not called stay failed until the run starts again.
-FRUITLESS = 3
 
 
 def with_context(docs: DataFrame, threshold: int = fixed.LONG_DOCUMENT_WORDS, override: bool | None = None,
@@ -49,18 +47,19 @@ def with_context(docs: DataFrame, threshold: int = fixed.LONG_DOCUMENT_WORDS, ov
 
 
 def run(
-    docs: DataFrame, run_id: str, timestamp: str, *, responses: DataFrame | None = None,
+    docs: DataFrame, run_id: str, timestamp: str, *, responses: DataFrame | KeyedAnswers | None = None,
     make_model: Callable | None = None, provider: str = fixed.DEFAULT_PROVIDER,
     threshold: int = fixed.LONG_DOCUMENT_WORDS, embedder: Embedder | None = None, answers: str | None = None,
+    batch: int = 64, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Result rows for ``docs`` (``doc_id, doc_type, filename, text``, optionally ``content``).
 
-    Outputs come from stored ``responses`` or from ``make_model``. Rejected and failed
-    documents stay as rows with an error. ``timestamp`` is a parameter, so a repeated
-    run gives the same rows. Rejected documents are not cut, searched or sent to a model. Answers of a
-    model are kept under ``answers``, by default a folder named by the run: a run that starts again asks
-    only for documents whose answer is not there. Prompts of a batch that was given up are asked again in
-    further rounds, until ``FRUITLESS`` rounds in a row bring no answer.
+    Outputs come from stored ``responses`` (a table, or answers laid out by key) or from ``make_model``. Rejected
+    and failed documents stay as rows with an error. ``timestamp`` is a parameter, so a repeated
+    run gives the same rows. Rejected documents are not cut, searched or sent to a model. Prompts are written once and
+    asked by :func:`recordmill.streaming.inference.ask`, ``batch`` in a call: answers are kept under ``answers``, by
+    default a folder named by the run, and a run that starts again asks only for documents without a good answer. The
+    columns in ``carry`` pass through to the results.
     """
     if (responses is None) == (make_model is None):
         raise ValueError("give either responses or make_model")
@@ -71,46 +70,30 @@ def run(
     ready = with_context(taken, threshold, None, embedder).withColumn(
         "context_words", F.when(F.col("use_retrieval"), word_count("context")).otherwise(F.coalesce("word_count", F.lit(0)))
     )
-    kept = ["doc_id", "doc_type", "filename", "_reason", "use_retrieval", "context_words"]
+    kept = ["doc_id", "doc_type", "filename", "_reason", "use_retrieval", "context_words", *carry]
     if responses is not None:
         answered = replay(ready.select(*kept), responses)
     else:
-        prompts = with_prompts(ready.filter("_reason is null")).withColumn(
-            "prompt_key", F.sha2(F.concat_ws("\n", "doc_id", "user_prompt"), 256))
+        # contexts are computed once: everything that follows reads this table
+        spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "prompts")
+        prompts = with_prompts(ready).withColumn("user_prompt", F.when(F.col("_reason").isNull(), F.col("user_prompt"))).withColumn(
+            "prompt_key", F.when(F.col("_reason").isNull(), F.sha2(F.concat_ws("\n", "doc_id", "user_prompt"), 256))
+        ).select(*kept, "prompt_key", "system_prompt", "user_prompt")
+        prompts.write.parquet(path)
+        prompts = spark.read.schema(prompts.schema).parquet(path)
         # calls are dear: answers are stored before anything reads them, and kept for a run that starts again
-        path = answers or named_path(docs.sparkSession, f"answers/{run_id}")
-        carried = ("prompt_key", *kept[1:])
-        spark = docs.sparkSession
-        schema = infer(prompts, make_model, carry=carried).schema.add("attempt", "string")
-        spark.createDataFrame([], schema).write.mode("append").parquet(path)
-        stored = spark.read.schema(schema).parquet(path)
-        # a failed call is no answer: a run that starts again repeats it
-        known = stored.filter("call_error is null").select("prompt_key").distinct()
-        waiting = prompts.dropDuplicates(["prompt_key"]).join(known, "prompt_key", "left_anti")
-        fruitless = 0
-        while fruitless < FRUITLESS:
-            attempt = uuid.uuid4().hex
-            infer(waiting, make_model, carry=carried).withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(path)
-            stored = spark.read.schema(schema).parquet(path)
-            own = stored.filter(F.col("attempt") == attempt)
-            left = own.filter("not called").select("prompt_key").distinct()
-            if not left.take(1):
-                break
-            fruitless = 0 if own.filter("call_error is null").take(1) else fruitless + 1
-            waiting = prompts.dropDuplicates(["prompt_key"]).join(left, "prompt_key", "left_semi")
-        # a document submitted twice asks once; its rows share the answer
-        answer = stored.groupBy("prompt_key").agg(F.max(F.struct(F.col("call_error").isNull().alias("good"),
-            "raw_output", "prompt_tokens", "completion_tokens", "call_error")).alias("_answer"))
-        answer = answer.withColumn("_answer", F.col("_answer").dropFields("good"))
-        asked = prompts.select(*kept, "prompt_key").join(answer, "prompt_key").select(*kept, "_answer.*")
-        rejected = ready.filter("_reason is not null").select(
-            *kept, F.lit(None).cast("string").alias("raw_output"), F.lit(0).cast("bigint").alias("prompt_tokens"),
-            F.lit(0).cast("bigint").alias("completion_tokens"), F.lit("rejected").alias("call_error"))
-        answered = asked.unionByName(rejected)
-    return envelope(with_outcome(answered), run_id, timestamp, provider)
+        found = ask(prompts.filter("_reason is null").select("prompt_key", "system_prompt", "user_prompt"), make_model,
+                    answers or named_path(spark, f"answers/{run_id}"), batch)
+        # a document submitted twice asks once; its rows share the answer. What was rejected has no key and no answer
+        answered = prompts.select(*kept, "prompt_key").join(found, "prompt_key", "left").drop("prompt_key").withColumns({
+            "call_error": F.when(F.col("_reason").isNotNull(), F.lit("rejected")).otherwise(F.col("call_error")),
+            "prompt_tokens": F.coalesce("prompt_tokens", F.lit(0)).cast("bigint"),
+            "completion_tokens": F.coalesce("completion_tokens", F.lit(0)).cast("bigint")})
+    return envelope(with_outcome(answered), run_id, timestamp, provider, carry)
 
 
-def envelope(judged: DataFrame, run_id: str, timestamp: str, provider: str = fixed.DEFAULT_PROVIDER) -> DataFrame:
+def envelope(judged: DataFrame, run_id: str, timestamp: str, provider: str = fixed.DEFAULT_PROVIDER,
+             carry: tuple[str, ...] = ()) -> DataFrame:
     """Validate, score and price gated rows and lay them out as results."""
     ok = (F.col("outcome") == "ok") & F.col("_reason").isNull()
     records = {t: t for t in DOC_TYPES}
@@ -132,7 +115,7 @@ def envelope(judged: DataFrame, run_id: str, timestamp: str, provider: str = fix
         F.when(ok, score_any("doc_type", records)).alias("confidence"),
         "token_usage",
         cost("token_usage.prompt_tokens", "token_usage.completion_tokens", provider).alias("cost_usd"),
-        "use_retrieval", "context_words", F.lit(run_id).alias("run_id"),
+        "use_retrieval", "context_words", F.lit(run_id).alias("run_id"), *carry,
     )
 
 

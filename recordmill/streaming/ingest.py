@@ -2,38 +2,105 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from recordmill.operators.store import LatestTable
+from recordmill.session import scratch_path
+
+#: Groups that the versions of keys are kept in; fixed for the life of a checkpoint.
+BUCKETS = 256
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The row with the greatest ``order`` for each key, combined before the exchange."""
-    packed = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.col(order)).alias("_row"))
-    return packed.select("_row.*")
+    """The row with the greatest ``order`` for each key, combined before the exchange.
+
+    A null order comes before all others. Ties go to the greatest row by its plain columns, so results
+    do not depend on the order of tasks. Rows without a key stand for themselves and all stay.
+    """
+    plain = [f.name for f in rows.schema.fields if f.dataType.simpleString() not in ("variant",) and not f.dataType.simpleString().startswith(("map", "struct", "array"))]
+    keyed = rows.filter(F.col(key).isNotNull())
+    packed = keyed.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(order, *plain)).alias("_row"))
+    return packed.select("_row.*").unionByName(rows.filter(F.col(key).isNull()))
+
+
+class _Newest(StatefulProcessor):
+    """Lets a submission pass unless a newer one of its key has passed; the state holds versions only."""
+
+    def __init__(self, key: str, order: str, key_type: str, order_type: str):
+        self.key, self.order, self.types = key, order, (f"key {key_type}", f"version {order_type}")
+
+    def init(self, handle) -> None:
+        self.versions = handle.getMapState("versions", *self.types)
+
+    def handleInputRows(self, bucket, rows: Iterator[Row], timers) -> Iterator[Row]:
+        met: dict = {}
+        changed = set()
+        for row in rows:
+            key, version = row[self.key], row[self.order]
+            if key is None:
+                yield row
+                continue
+            if key not in met:
+                stored = self.versions.getValue((key,))
+                met[key] = (stored is not None, stored[0] if stored is not None else None)
+            seen, newest = met[key]
+            if not seen or newest is None or (version is not None and version >= newest):
+                met[key] = (True, version)
+                changed.add(key)
+                yield row
+        for key in changed:
+            self.versions.updateValue((key,), (met[key][1],))
+
+    def close(self) -> None:
+        pass
+
+
+def newest_only(stream: DataFrame, key: str, order: str, buckets: int = BUCKETS) -> DataFrame:
+    """The submissions of a stream that are not older than what came before them.
+
+    The newest version of each key is kept in Spark's state store (a map in each of ``buckets`` groups), so an old
+    submission that arrives late is dropped before anything is computed for it. Texts are not kept. A null version is older
+    than any other; rows without a key are dealt out by their content and pass.
+    """
+    stream.sparkSession.conf.set(_PROVIDER, _ROCKSDB)
+    types = dict(stream.dtypes)
+    dealt = F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(*stream.columns))
+    grouped = stream.withColumn("_bucket", F.pmod(dealt, F.lit(buckets)).cast("int")).groupBy("_bucket")
+    return grouped.transformWithState(
+        statefulProcessor=_Newest(key, order, types[key], types[order]), outputStructType=stream.schema, outputMode="Update", timeMode="None")
 
 
 def ingest(
     stream: DataFrame, transform: Callable[[DataFrame], DataFrame], store: LatestTable, checkpoint: str,
-    available_now: bool = True,
+    available_now: bool = True, buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Run ``transform`` on every micro-batch and append its rows to the store.
 
-    The stream has the store's key and order. Of several submissions of a key in one batch the last
-    is transformed; between batches the store keeps the greatest order, whenever it arrives. A batch
-    repeated after a failure replaces its own rows.
+    The stream has the store's key and order, and ``transform`` carries both to its results. Submissions older than
+    one that came before are dropped first (:func:`newest_only`); of several of one key in a batch the last is
+    transformed. Rows without a key stand for themselves: each is transformed and kept. What a batch lets pass is written
+    once, so ``transform`` may read it as often as it likes. A batch repeated after a failure replaces its own rows.
     """
+    spark: SparkSession = stream.sparkSession
 
     def one_batch(batch: DataFrame, number: int) -> None:
-        rows = last_per_key(batch, store.key, store.order)
-        versions = rows.select(store.key, store.order)
-        store.append(transform(rows).drop(store.order).join(versions, store.key), f"{number:012d}")
+        path = scratch_path(spark, "microbatch")
+        batch.write.parquet(path)
+        rows = last_per_key(spark.read.schema(batch.schema).parquet(path), store.key, store.order)
+        results = transform(rows)
+        missing = {store.key, store.order} - set(results.columns)
+        if missing:
+            raise ValueError(f"transform has to carry {sorted(missing)}")
+        store.append(results, f"{number:012d}")
 
-    writer = stream.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
+    fresh = newest_only(stream, store.key, store.order, buckets)
+    writer = fresh.writeStream.outputMode("update").foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

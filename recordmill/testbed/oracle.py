@@ -263,7 +263,8 @@ ORACLE["relevant_context"] = f"""
 ORACLE["infer_model_hook"] = f"""
   SELECT doc_id, CASE WHEN d[1] = '0' THEN '' ELSE d END AS raw_output, CASE WHEN d[1] = '0' THEN 0 ELSE n END::BIGINT AS prompt_tokens,
     CASE WHEN d[1] = '0' THEN 0 ELSE 32 END::BIGINT AS completion_tokens, CASE WHEN d[1] = '0' THEN 'refused' ELSE '' END AS call_error
-  FROM (SELECT doc_id, md5(user_prompt) AS d, length(user_prompt) AS n FROM ({ORACLE['prompts']}) WHERE doc_type <> 'memo')"""
+  FROM (SELECT doc_id, md5(user_prompt) AS d, length(user_prompt) AS n FROM ({ORACLE['prompts']}) WHERE doc_type <> 'memo')
+  UNION ALL SELECT doc_id, '', 0, 0, 'no prompt' FROM ({ORACLE['prompts']}) WHERE doc_type = 'memo'"""
 
 ORACLE["infer_replay"] = f"""
   SELECT doc_id, doc_type, md5(coalesce(raw_output, '')) AS output_md5, prompt_tokens::BIGINT AS prompt_tokens,
@@ -604,7 +605,8 @@ ORACLE["extraction_run"] = f"""
     coalesce({_pairs(_LOW)}, '') AS flagged, pt + ct AS total_tokens, cost_usd FROM full_run"""
 ORACLE["stream_ingest"] = f"""
   {_FULL} SELECT doc_id, status, use_retrieval, context_words, passed AS validation_passed, avg_confidence,
-    pt + ct AS total_tokens, cost_usd FROM full_run"""
+    pt + ct AS total_tokens, cost_usd FROM full_run
+  UNION ALL SELECT NULL, 'failed', false, 4, NULL, NULL, 0, 0 FROM ({RESPONSES}) WHERE k % 17 = 3"""
 ORACLE["batch_summary"] = f"""
   WITH {_TOTALS} SELECT total, successful, total - successful AS failed, validation_passed, needs_review,
     {_rounded('conf::DOUBLE / greatest(successful, 1)', 1)} AS avg_confidence, prompt_tokens, completion_tokens, total_tokens,

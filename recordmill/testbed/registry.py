@@ -9,7 +9,6 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from recordmill import fixed
 from recordmill.functions import costs, record_json, rules, scoring, text, vectors
@@ -18,6 +17,7 @@ from recordmill.plans import extraction_run as runs
 from recordmill.plans import reports
 from recordmill.session import configure, scratch_path
 from recordmill.sources import files
+from recordmill.streaming import inference
 from recordmill.streaming.ingest import ingest
 from recordmill.testbed import fixtures as fx
 
@@ -366,9 +366,13 @@ def echo_model():
 
 @query("infer_model_hook")
 def _(spark, sf):
-    docs = documents(spark, sf).filter("doc_type <> 'memo'").withColumn("context", F.col("text"))
-    # batches of one, so that a refusal concerns its own prompt only
-    return extraction.infer(extraction.with_prompts(docs), echo_model, batch=1).select(
+    # whole batches; a type without a schema has no prompt
+    docs = documents(spark, sf).withColumn("context", F.col("text"))
+    path = scratch_path(spark, "prompts")
+    extraction.with_prompts(docs).select("doc_id", "system_prompt", "user_prompt").withColumn("prompt_key", F.col("doc_id")).write.parquet(path)
+    prompts = spark.read.parquet(path)
+    answers = inference.ask(prompts, echo_model, scratch_path(spark, "answers"))
+    return prompts.select("doc_id", "prompt_key").join(answers, "prompt_key").select(
         "doc_id", F.coalesce("raw_output", F.lit("")).alias("raw_output"), "prompt_tokens", "completion_tokens",
         F.coalesce("call_error", F.lit("")).alias("call_error"))
 
@@ -655,21 +659,22 @@ def _(spark, sf):
 
 @query("stream_ingest")
 def _(spark, sf):
-    # submissions of all types, some of them again, and stale versions that arrive last
+    # submissions of all types, some of them again, some without a version or an id, and stale versions that arrive last
     source = scratch_path(spark, "submissions")
-    current = fx.responses(spark, sf).select("k", "doc_id", "doc_type", "filename", "text", F.lit(2).alias("version"))
-    stale = current.filter("k % 7 = 0").withColumns({"text": F.lit("stale"), "version": F.lit(1)})
-    for rows in (current, current.filter("k % 5 = 0"), stale):
+    current = fx.responses(spark, sf).select("k", "doc_id", "doc_type", "filename", "text", F.when(F.col("k") % 13 != 5, 2).alias("version"))
+    stale = current.filter("k % 7 = 0 and version is not null").withColumns({"text": F.lit("stale"), "version": F.lit(1)})
+    nameless = current.filter("k % 17 = 3").withColumns({"doc_id": F.lit(None).cast("string"), "text": F.lit("submitted without an id")})
+    for rows in (current, current.filter("k % 5 = 0").unionByName(nameless), stale):
         rows.write.mode("append").parquet(source)
-    stream = spark.readStream.schema(current.schema).option("maxFilesPerTrigger", 8).parquet(source)
-    answers = fx.responses(spark, sf)
+    stream = spark.readStream.schema(current.schema).option("maxFilesPerTrigger", 32).parquet(source)
+    answers = extraction.KeyedAnswers(spark, scratch_path(spark, "answers")).write(fx.responses(spark, sf))
     run_id, at, provider = fx.RUNS[0]
 
     def transform(batch: DataFrame) -> DataFrame:
-        return runs.run(batch.select("doc_id", "doc_type", "filename", "text"), run_id, at, responses=answers, provider=provider)
+        return runs.run(batch.select("doc_id", "doc_type", "filename", "text", "version"), run_id, at, responses=answers,
+                        provider=provider, carry=("version",))
 
-    schema = T.StructType([*transform(current).schema.fields, T.StructField("version", T.IntegerType())])
-    kept = store.LatestTable(spark, scratch_path(spark, "ingest"), "doc_id", "version", schema)
+    kept = store.LatestTable(spark, scratch_path(spark, "ingest"), "doc_id", "version", transform(current.limit(0)).schema)
     ingest(stream, transform, kept, scratch_path(spark, "checkpoint")).awaitTermination()
     return kept.read().select(
         "doc_id", "status", "use_retrieval", "context_words", F.col("validation.passed").alias("validation_passed"),

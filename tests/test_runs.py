@@ -13,11 +13,12 @@ from pyspark.sql import types as T
 
 from recordmill.functions.vectors import embed_hashed
 from recordmill.operators.intake import default_doc_id, discovery_count, reject_reason
-from recordmill.operators.extraction import infer, replay
+from recordmill.operators.extraction import KeyedAnswers, infer, replay
 from recordmill.operators.store import LatestTable
 from recordmill.plans import reports
 from recordmill.plans.extraction_run import reprice, run, with_context
 from recordmill.sources import files
+from recordmill.streaming.inference import ask
 from recordmill.streaming.ingest import ingest, last_per_key
 
 # the model below runs in the workers, which cannot import this module
@@ -175,7 +176,7 @@ def test_stream_equals_batch_and_replaces(docs, results, spark, tmp_path):
     stored = LatestTable(spark, str(tmp_path / "out"), "doc_id", "n", schema)
 
     def transform(batch):
-        return run(batch.drop("n"), "r1", AT, make_model=make_model, provider="openai_gpt4o_mini", answers=str(tmp_path / "answers"))
+        return run(batch, "r1", AT, make_model=make_model, provider="openai_gpt4o_mini", answers=str(tmp_path / "answers"), carry=("n",))
 
     def feed(rows):
         rows.coalesce(1).write.mode("append").parquet(source)
@@ -257,3 +258,116 @@ def test_refused_prompts_cost_no_others(spark, tmp_path):
     # a failed call is repeated by a run that starts again
     again = run(rows, "r", AT, make_model=make_model, provider="openai_gpt4o_mini", answers=path)
     assert {r["status"] for r in again.collect()} == {"success"}
+
+
+def test_stream_keeps_what_has_no_key_or_version(spark, tmp_path):
+    schema = "id string, n int, text string"
+    store = LatestTable(spark, str(tmp_path / "out"), "id", "n", spark.createDataFrame([], schema).schema)
+    seen = []
+
+    def transform(batch):
+        seen.append(sorted(map(tuple, batch.collect()), key=str))
+        return batch
+
+    waves = [
+        [(None, None, "a"), (None, None, "b"), (None, 3, "a"), ("x", None, "first"), ("y", 5, "new"), ("y", None, "unversioned"), ("z", 1, "z1")],
+        [("x", None, "second"), ("y", 4, "late"), ("y", None, "late"), ("z", 2, "z2"), (None, None, "a")],
+        [("x", 1, "third"), ("z", 2, "z2 again"), ("z", 1, "late")],
+        [("x", None, "late"), ("y", 4, "late")],
+    ]
+    for rows in waves:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        ingest(stream, transform, store, str(tmp_path / "cp"), buckets=3).awaitTermination()
+    assert sorted(map(tuple, store.read().collect()), key=str) == sorted([
+        (None, None, "a"), (None, None, "b"), (None, 3, "a"), (None, None, "a"), ("x", 1, "third"), ("y", 5, "new"), ("z", 2, "z2 again")], key=str)
+    # late submissions were dropped before the run, and only the last of a key in a batch was transformed
+    assert seen == [
+        sorted([(None, None, "a"), (None, None, "b"), (None, 3, "a"), ("x", None, "first"), ("y", 5, "new"), ("z", 1, "z1")], key=str),
+        sorted([("x", None, "second"), ("z", 2, "z2"), (None, None, "a")], key=str), [("x", 1, "third"), ("z", 2, "z2 again")], []]
+
+
+def test_a_batch_without_the_key_is_an_error(spark, tmp_path):
+    spark.createDataFrame([("a", 1)], "id string, n int").write.parquet(str(tmp_path / "in"))
+    store = LatestTable(spark, str(tmp_path / "out"), "id", "n", spark.createDataFrame([], "id string, n int").schema)
+    stream = spark.readStream.schema("id string, n int").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="carry"):
+        ingest(stream, lambda batch: batch.drop("n"), store, str(tmp_path / "cp"), buckets=1).awaitTermination()
+
+
+def test_answers_by_key_read_only_their_folders(spark, tmp_path):
+    rows = spark.range(2000).select(F.format_string("d%d", F.col("id") % 1000).alias("doc_id"), F.col("id").cast("string").alias("raw_output"),
+                                    F.col("id").alias("prompt_tokens"), F.col("id").alias("completion_tokens"), F.lit(None).cast("string").alias("call_error"), "id")
+    answers = KeyedAnswers(spark, str(tmp_path / "answers"), parts=16).write(rows, "id")
+    asked = spark.createDataFrame([("d5",), ("d5",), ("d7",), (None,), ("missing",)], "doc_id string")
+    needed = {r[0] for r in asked.filter("doc_id is not null").select(answers._part()).distinct().collect()}
+    for part in set(range(16)) - needed:
+        folder = tmp_path / "answers" / f"part={part}"
+        for file in folder.iterdir():
+            # nobody can read this
+            file.write_bytes(b"")
+    got = sorted((r.doc_id or "", r.raw_output, r.call_error) for r in replay(asked, answers).collect())
+    assert got == [("", None, "no response"), ("d5", "1005", None), ("d5", "1005", None), ("d7", "1007", None), ("missing", None, "no response")]
+    assert replay(asked.limit(0), answers).count() == 0
+
+
+def test_a_task_that_dies_repeats_one_wave(spark, tmp_path):
+    """The first life of a task dies after some calls; the second goes on behind what was answered."""
+    calls, fuse = str(tmp_path / "calls"), tmp_path / "fuse"
+    fuse.write_text("")
+
+    def noted():
+        import os
+
+        def model(prompts):
+            with open(calls, "a") as f:
+                f.writelines(f"{user}\n" for _, user in prompts)
+            if any(user == "prompt 333" for _, user in prompts) and os.path.exists(fuse):
+                os.remove(fuse)
+                os._exit(1)
+            return [("answer to " + user, 1, 1) for _, user in prompts]
+
+        return model
+
+    prompts = spark.range(640).select(F.format_string("k%d", "id").alias("prompt_key"), F.lit("s").alias("system_prompt"),
+                                      F.format_string("prompt %d", "id").alias("user_prompt")).coalesce(1)
+    path = str(tmp_path / "asked")
+
+    def run_all():
+        return ask(prompts, noted, path, batch=8, file_prompts=32, wave_files=4)
+
+    with pytest.raises(Exception):
+        run_all()
+    got = {r.prompt_key: r.raw_output for r in run_all().collect()}
+    assert got == {f"k{i}": f"answer to prompt {i}" for i in range(640)}
+    made = (tmp_path / "calls").read_text().splitlines()
+    assert len(set(made)) == 640 and len(made) <= 640 + 4 * 32
+    # a third run asks nobody
+    run_all()
+    assert (tmp_path / "calls").read_text().splitlines() == made
+
+
+def test_prompts_given_up_are_asked_again(spark, tmp_path):
+    """A model that is down for a while: what was not called is asked in a later drain."""
+
+    def shaky():
+        def model(prompts):
+            if any("5" in user for _, user in prompts):
+                raise RuntimeError("refused")
+            return [(user, 1, 1) for _, user in prompts]
+
+        return model
+
+    prompts = spark.range(60).select(F.col("id").cast("string").alias("prompt_key"), F.lit("s").alias("system_prompt"),
+                                     F.when(F.col("id") != 33, F.col("id").cast("string")).alias("user_prompt")).coalesce(1)
+    got = {r.prompt_key: (r.raw_output, r.call_error) for r in ask(prompts, shaky, str(tmp_path / "a"), batch=20, file_prompts=20).collect()}
+    assert got == {str(i): (None, "no prompt") if i == 33 else (None, "refused") if "5" in str(i) else (str(i), None) for i in range(60)}
+
+    def broken():
+        def model(prompts):
+            raise RuntimeError("down")
+
+        return model
+
+    failed = ask(prompts.filter("user_prompt is not null"), broken, str(tmp_path / "b"), batch=20, file_prompts=20).collect()
+    assert len(failed) == 59 and all(r.call_error == "down" for r in failed)
