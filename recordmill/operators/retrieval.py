@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +20,16 @@ from recordmill.functions.vectors import (
     sparse_scores_sql, word_buckets_sql,
 )
 from recordmill.operators.chunking import chunk_total_sql, slice_sql
-from recordmill.session import small_table
+from recordmill.session import scratch_path, small_table
 
 # rows of a block: 1,024 x 384 doubles are 3 MB
 BLOCK = 1024
 # queries a catalogue may hold; it travels with every task
 CATALOG_LIMIT = 1024
+# queries of a block: 4,096 x 384 floats are 6 MB; blocks of vectors in a part of the grid; parts merged at a time
+QUERY_BLOCK, CELL_BLOCKS, MERGE = 4096, 64, 64
+# the most that a block of queries may have to be sent to every task
+SENT_BYTES = 32 << 20
 
 Embedder = Callable[[Column], Column]
 
@@ -68,15 +72,21 @@ def _rank_key(score: Column) -> Column:
     return F.round(score, RANK_DIGITS)
 
 
-def _keep_top(scored: DataFrame, keys: list[str], k: int, tie: str) -> DataFrame:
+def _top(scored: DataFrame, keys: list[str], k: int, tie: str) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(F.col("_key").desc(), F.col(tie))
     # the rank filter also prunes inside each task before the exchange
-    return (
-        scored.filter(F.col("_key").isNotNull())
-        .withColumn("rank", F.row_number().over(order).cast("bigint"))
-        .filter(F.col("rank") <= k)
-        .drop("_key")
-    )
+    return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+
+
+def _keep_top(scored: DataFrame, keys: list[str], k: int, tie: str) -> DataFrame:
+    return _top(scored.filter(F.col("_key").isNotNull()), keys, k, tie).drop("_key")
+
+
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder, so that rows are computed once and their size is known."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def search_within(
@@ -121,68 +131,141 @@ def search_within(
     return _keep_top(scored, [on, "query_no"], k, "chunk_index")
 
 
-def _blocks(rows: DataFrame, id_column: str, block: int) -> DataFrame:
-    """Rows ``id_column, embedding`` as blocks: ids, and the vectors as the bytes of a matrix of doubles."""
+def _blocks(rows: DataFrame, id_column: str, block: int | None) -> DataFrame:
+    """Rows ``id_column, embedding`` as blocks: ids, and the vectors as the bytes of a matrix in the type they have.
+
+    Vectors of one width make a block, of at most ``block`` rows; without a bound there is one for each width and task.
+    Rows without a vector are left out here and not by a filter, which would compute the vectors twice.
+    """
     kind = rows.schema[id_column].dataType.simpleString()
+    number = "<f4" if rows.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
+
+    def sent(width: int, parts: list[tuple[pa.Array, np.ndarray]]) -> pa.RecordBatch:
+        ids = pa.concat_arrays([ids for ids, _ in parts])
+        lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        matrix = b"".join(values.tobytes() for _, values in parts)
+        return pa.RecordBatch.from_arrays([lists, pa.array([width], pa.int32()), pa.array([matrix], pa.binary())], names=["ids", "width", "matrix"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, list[tuple[pa.Array, np.ndarray]]] = {}
+        size: dict[int, int] = {}
         for batch in batches:
-            for start in range(0, batch.num_rows, block):
-                part = batch.slice(start, block)
-                matrix = matrix_of(part.column("embedding"))
-                ids = pa.array([part.column(id_column).to_pylist()], type=pa.list_(part.column(id_column).type))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([matrix.shape[1]], pa.int32()), pa.array([matrix.tobytes()], pa.binary())], names=["ids", "width", "matrix"])
-
-    present = rows.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(id_column, "embedding")
-    return present.mapInArrow(run, f"ids array<{kind}>, width int, matrix binary")
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = CONTEXT_TOP_K,
-           id_column: str = "chunk_id", block: int = BLOCK, parts: int = 32) -> DataFrame:
+            vectors, ids = batch.column("embedding"), batch.column("id")
+            widths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+            for width in np.unique(widths[widths > 0]).tolist():
+                at = np.flatnonzero(widths == width)
+                step = block or len(at)
+                for start in range(0, len(at), step):
+                    own = pa.array(at[start : start + step])
+                    part = (ids.take(own), vectors.take(own).flatten().to_numpy(zero_copy_only=False).astype(number))
+                    if block and size.get(width, 0) + len(own) > block:
+                        yield sent(width, kept.pop(width))
+                        size[width] = 0
+                    kept.setdefault(width, []).append(part)
+                    size[width] = size.get(width, 0) + len(own)
+        for width, parts in kept.items():
+            yield sent(width, parts)
+
+    chosen = rows.select(F.col(id_column).alias("id"), "embedding")
+    return chosen.mapInArrow(run, f"ids array<{kind}>, width int, matrix binary")
+
+
+class _Heaps:
+    """The best ``k`` rows of every query of one block; what is held grows with the queries of the block alone."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.worst = k, np.full(queries, -np.inf)
+        self.kept: list[pa.Table] = []
+        self.size = 0
+
+    def add(self, scores: np.ndarray, ids: pa.Array) -> None:
+        """``scores``: a row for each id, a column for each query."""
+        keys = np.round(scores, RANK_DIGITS)
+        keys[np.isnan(keys)] = -np.inf
+        least = self.worst
+        if len(keys) > self.k:
+            # everything tied with the k-th key stays until ids decide
+            least = np.maximum(least, np.partition(keys, -self.k, axis=0)[-self.k])
+        query, row = np.nonzero(((keys >= least) & (keys > -np.inf)).T)
+        if len(query):
+            self.kept.append(pa.table({"query": query, "key": keys[row, query], "id": ids.take(pa.array(row)), "score": scores[row, query]}))
+            self.size += len(query)
+            if self.size > 4 * self.k * len(self.worst):
+                self.settle()
+
+    def settle(self) -> pa.Table | None:
+        if not self.kept:
+            return None
+        rows = pa.concat_tables(self.kept)
+        rows = rows.take(pc.sort_indices(rows, [("query", "ascending"), ("key", "descending"), ("id", "ascending")]))
+        query = rows.column("query").to_numpy()
+        first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        rows = rows.filter(pa.array(place < self.k))
+        last = np.flatnonzero((place == self.k - 1))
+        self.worst[query[last]] = rows.column("key").to_numpy()[np.flatnonzero(place[place < self.k] == self.k - 1)]
+        self.kept, self.size = [rows], rows.num_rows
+        return rows
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = CONTEXT_TOP_K, id_column: str = "chunk_id", block: int = BLOCK,
+           query_block: int = QUERY_BLOCK, cell: int = CELL_BLOCKS) -> DataFrame:
     """Exact best ``k`` rows of ``vectors`` (``id_column, embedding``) for every query.
 
     ``queries``: ``query_id, embedding``, any number of them; several vectors of one query compete
-    for its ``k`` places. Both sides become blocks. The blocks of vectors are dealt out over ``parts``,
-    the blocks of queries are sent to every part, and each task multiplies the blocks that meet and
-    keeps a running best ``k`` per query. So a table is read once, pairs never become rows, and what is
-    exchanged afterwards is ``k`` rows per query and task at most. Null vectors are not searched.
+    for its ``k`` places. Null and empty vectors are not searched, and vectors of different widths do not meet.
+
+    Both sides become blocks of bytes in the type of their vectors. Queries of one block, of a checked size, travel to the
+    vectors, which are then neither stored nor exchanged. More queries make a grid: blocks of vectors are dealt out over parts of ``cell`` blocks, counted in the input, and a cell of the
+    grid is one part of vectors and one block of queries. A task holds one block of queries and ``k`` hits for each; the hits of
+    the cells are merged in steps of ``MERGE`` parts. Pairs never become rows.
     """
     id_type = vectors.schema[id_column].dataType.simpleString()
-    query_type_name = queries.schema["query_id"].dataType.simpleString()
-    stored = _blocks(vectors, id_column, block).withColumn("part", F.pmod(F.xxhash64("matrix"), F.lit(parts)).cast("int"))
-    asked = _blocks(queries, "query_id", block).select(
-        F.col("ids").alias("queries"), "width", F.col("matrix").alias("wanted"),
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    asked = _written(queries.select("query_id", "embedding"), "queries")
+    blocks = max(1, -(-asked.count() // query_block))
+    wanted = _written(_blocks(asked.repartition(blocks), "query_id", None).withColumn("query_part", F.spark_partition_id()), "query_blocks").select(
+        F.col("ids").alias("queries"), "width", F.col("matrix").alias("wanted"), "query_part")
+    stored = _blocks(vectors, id_column, block)
+    parts = 1
+    if blocks == 1 and (wanted.agg(F.sum(F.octet_length("wanted"))).first()[0] or 0) <= SENT_BYTES:
+        met = stored.withColumn("part", F.lit(0)).join(F.broadcast(wanted), "width")
+    else:
+        stored = _written(stored, "vector_blocks")
+        parts = max(1, -(-stored.count() // cell))
+        dealt = stored.withColumn("part", F.pmod(F.xxhash64("matrix"), F.lit(parts)).cast("int")).withColumn(
+            "query_part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = dealt.join(wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["part", "query_part", "width"])
+    number = {c: "<f4" if df.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8" for c, df in (("matrix", vectors), ("wanted", queries))}
+    names = ["part", "query_id", id_column, "_score", "_key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict = {}
+        at, heaps, asking = None, None, None
+
+        def hits() -> Iterator[pa.RecordBatch]:
+            rows = heaps.settle() if heaps is not None else None
+            if rows is not None:
+                cells = [pa.array(np.full(rows.num_rows, at[0], np.int32)), asking.take(rows.column("query").combine_chunks()), *(rows.column(c).combine_chunks() for c in ("id", "score", "key"))]
+                yield pa.RecordBatch.from_arrays(cells, names=names)
+
         for batch in batches:
             for i in range(batch.num_rows):
                 width = batch.column("width")[i].as_py()
-                names, asking = batch.column("ids")[i].as_py(), batch.column("queries")[i].as_py()
-                rows, wanted = (np.frombuffer(batch.column(c)[i].as_py()).reshape(-1, width) for c in ("matrix", "wanted"))
-                scores = cosine_matrix(rows, wanted)
-                keys = np.round(scores, RANK_DIGITS)
-                for q, name in enumerate(asking):
-                    own, column = best.get(name, []), keys[:, q]
-                    valid = np.flatnonzero(~np.isnan(column))
-                    if len(own) == k and len(valid):
-                        valid = valid[column[valid] >= own[-1][0]]
-                    if len(valid) > k:
-                        # everything tied with the k-th key stays until names decide
-                        valid = valid[column[valid] >= np.partition(column[valid], -k)[-k]]
-                    if len(valid):
-                        found = [(float(column[j]), names[j], float(scores[j, q])) for j in valid.tolist()]
-                        best[name] = heapq.nsmallest(k, own + found, key=lambda c: (-c[0], c[1]))
-        rows = [(name, hit, score, key) for name, hits in best.items() for key, hit, score in hits]
-        for start in range(0, len(rows), 1 << 16):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in zip(*rows[start:start + (1 << 16)])], names=["query_id", id_column, "_score", "_key"])
-
-    schema = f"query_id {query_type_name}, {id_column} {id_type}, _score double, _key double"
-    partial = stored.join(asked, ["part", "width"]).mapInArrow(run, schema)
-    return _keep_top(partial, ["query_id"], k, id_column).withColumn("score", F.round("_score", 4)).drop("_score")
+                where = (batch.column("part")[i].as_py(), batch.column("query_part")[i].as_py(), width)
+                if where != at:
+                    yield from hits()
+                    at, asking = where, batch.column("queries")[i].values
+                    against = np.frombuffer(batch.column("wanted")[i].as_buffer(), number["wanted"]).reshape(-1, width).astype(np.float64)
+                    heaps = _Heaps(len(asking), k)
+                rows = np.frombuffer(batch.column("matrix")[i].as_buffer(), number["matrix"]).reshape(-1, width).astype(np.float64)
+                heaps.add(cosine_matrix(rows, against), batch.column("ids")[i].values)
+        yield from hits()
+
+    schema = f"part int, query_id {queries.schema['query_id'].dataType.simpleString()}, {id_column} {id_type}, _score double, _key double"
+    best = met.select("part", "query_part", "width", "queries", "wanted", "ids", "matrix").mapInArrow(run, schema)
+    while parts > MERGE:
+        parts = -(-parts // MERGE)
+        best = _top(best.withColumn("part", F.expr(f"part div {MERGE}").cast("int")), ["query_id", "part"], k, id_column).drop("rank")
+    return _keep_top(best.drop("part"), ["query_id"], k, id_column).withColumn("score", F.round("_score", 4)).drop("_score")
 
 
 def with_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:

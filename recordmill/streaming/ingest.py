@@ -41,13 +41,15 @@ class _Newest(StatefulProcessor):
     def handleInputRows(self, bucket, rows: Iterator[Row], timers) -> Iterator[Row]:
         met: dict = {}
         changed = set()
+        # nothing has passed through this group, so there is nothing to look up
+        blank = not self.versions.exists()
         for row in rows:
             key, version = row[self.key], row[self.order]
             if key is None:
                 yield row
                 continue
             if key not in met:
-                stored = self.versions.getValue((key,))
+                stored = None if blank else self.versions.getValue((key,))
                 met[key] = (stored is not None, stored[0] if stored is not None else None)
             seen, newest = met[key]
             if not seen or newest is None or (version is not None and version >= newest):

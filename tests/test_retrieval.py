@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from recordmill.fixed import RUN_QUERIES, RUN_SEPARATOR
 from recordmill.functions.text import words_sql
-from recordmill.functions.vectors import bucket_counts_sql, cosine, hashed_matrix, word_buckets_sql
+from recordmill.functions.vectors import RANK_DIGITS, bucket_counts_sql, cosine, hashed_matrix, word_buckets_sql
 from recordmill.operators import retrieval, store
 from recordmill.operators.chunking import chunk_documents
 from recordmill.testbed import fixtures as fx
@@ -58,19 +58,54 @@ def test_cosine_of_a_zero_vector_is_null(spark):
     assert got[0] == pytest.approx(1.0) and got[1] is None
 
 
-@pytest.mark.parametrize(("k", "block", "parts"), [(3, 1024, 32), (3, 2, 1), (1, 3, 5)])
-def test_search_is_exact_in_any_number_of_blocks(spark, vectors, k, block, parts):
+@pytest.mark.parametrize(("k", "block", "query_block", "cell"), [(3, 1024, 4096, 64), (3, 2, 2, 1), (1, 3, 1, 2)])
+def test_search_is_exact_in_any_number_of_blocks(spark, vectors, k, block, query_block, cell):
     rng = np.random.default_rng(k)
     queries = [(q, rng.random(384).tolist()) for q in range(5)]
     asked = spark.createDataFrame(queries, "query_id bigint, embedding array<double>")
     got = {}
-    for r in retrieval.search(vectors, asked, k, block=block, parts=parts).collect():
+    for r in retrieval.search(vectors, asked, k, block=block, query_block=query_block, cell=cell).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = r["chunk_id"]
     rows = [(r["chunk_id"], np.array(r["embedding"])) for r in vectors.collect()]
     want = brute(rows, [(q, np.array(v)) for q, v in queries], k, lambda key: key)
     assert {q: [hits[i] for i in sorted(hits)] for q, hits in got.items()} == want
 
 
+@pytest.mark.parametrize(("query_block", "cell", "merge"), [(4096, 64, 64), (7, 3, 2), (3, 1, 3)])
+def test_search_with_ties_nulls_and_several_widths(spark, monkeypatch, query_block, cell, merge):
+    """Both ways, and a grid whose cells are merged in several steps; ids are texts, many scores are the same."""
+    monkeypatch.setattr(retrieval, "MERGE", merge)
+    pick = np.random.default_rng(7)
+    rows = [(f"v{i}", pick.integers(0, 3, size=4 if i % 5 else 2).astype(float).tolist()) for i in range(160)]
+    rows += [("null", None), ("empty", []), ("zero", [0.0] * 4), ("nan", [float("nan")] + [1.0] * 3), ("v1", [1.0, 1.0, 1.0, 1.0])]
+    queries = [(q, pick.integers(0, 3, size=4 if q % 3 else 2).astype(float).tolist()) for q in range(20)] + [(3, [0.0, 1.0, 0.0, 1.0]), (99, None), (98, [0.0] * 4), (97, [1.0])]
+    stored = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame(queries, "query_id int, embedding array<double>").repartition(4)
+    found = {}
+    for r in retrieval.search(stored, asked, 6, block=5, query_block=query_block, cell=cell).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = (r["chunk_id"], r["score"])
+    want = {}
+    for q, v in queries:
+        for name, w in rows:
+            if v and w and len(v) == len(w) and any(v) and any(w) and not np.isnan(w).any():
+                score = float(np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w)))
+                want.setdefault(q, []).append((-round(score, RANK_DIGITS), name))
+    want = {q: [(name, pytest.approx(-key, abs=1e-4)) for key, name in sorted(hits)[:6]] for q, hits in want.items()}
+    assert {q: [hits[i] for i in sorted(hits)] for q, hits in found.items()} == want
+
+
+def test_a_catalogue_meets_vectors_where_they_are(spark, vectors):
+    """One embedding, one pass over the vectors; what is exchanged is hits."""
+    texts = spark.createDataFrame([(f"c{i}", f"word{i} same") for i in range(50)], "chunk_id string, text string").repartition(2)
+    asked = spark.createDataFrame([("q", "same"), ("r", "word3")], "query_id string, text string")
+    found = retrieval.search(retrieval.embed(texts), retrieval.embed(asked), 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Generate" not in plan
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning(query_id") == 1 and "hashpartitioning(width" not in physical
+    assert {r["query_id"]: r["chunk_id"] for r in found.collect() if r["rank"] == 1}["r"] == "c3"
+
+
 def test_search_small_and_empty_stores(spark, vectors):
     one = vectors.limit(1).cache()
     asked = one.select(F.lit("q").alias("query_id"), "embedding")
@@ -168,7 +203,8 @@ def test_latest_table(spark, tmp_path):
     for table in (kept, kept.compact(str(tmp_path / "c"))):
         rows = sorted((r["filename"] or "", r["n"]) for r in table.read().collect())
         assert [n for f, n in rows if f == "f3"] == [7] and [n for f, n in rows if f == "f4"] == [9]
-        assert len(rows) == 18 * 3 + 4 and rows[0] == ("", 2)
+        # rows without a key replace nothing and are not replaced
+        assert len(rows) == 18 * 3 + 5 and rows[:2] == [("", 1), ("", 2)]
     with pytest.raises(ValueError):
         store.LatestTable(spark, str(tmp_path / "x"), "filename", "nothing", SCHEMA)
 
