@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordmill.fixed import (
     CATALOGS, CHUNK_OVERLAP, CHUNK_WORDS, CONTEXT_SEPARATOR, CONTEXT_TOP_K, EMBEDDING_DIM,
@@ -20,6 +22,7 @@ from recordmill.functions.vectors import (
     sparse_scores_sql, word_buckets_sql,
 )
 from recordmill.operators.chunking import chunk_total_sql, slice_sql
+from recordmill.operators.in_row import TextModel
 from recordmill.session import scratch_path, small_table
 
 # rows of a block: 1,024 x 384 doubles are 3 MB
@@ -41,6 +44,20 @@ def embed(rows: DataFrame, embedder: Embedder | None = None, text: str = "text",
     return rows.withColumn("embedding", vector)
 
 
+def model_embedder(make_model: Callable[[], TextModel], batch: int = 256) -> Embedder:
+    """An own model as an embedder: served by ``predict_batch_udf``, made once per Python worker, given ``batch`` texts at a time.
+
+    A null text is embedded as an empty one.
+    """
+
+    def make_predict() -> Callable[[np.ndarray], np.ndarray]:
+        model = make_model()
+        return lambda texts: np.asarray(model([t if isinstance(t, str) else "" for t in texts.tolist()]), np.float32)
+
+    predict = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch)
+    return lambda text: predict(F.coalesce(text, F.lit("")))
+
+
 def query_catalog(spark: SparkSession, catalog: str = "run") -> DataFrame:
     rows = [
         (catalog, doc_type, number, text)

@@ -14,6 +14,7 @@ from recordmill.functions.scoring import score_any
 from recordmill.functions.text import word_count
 from recordmill.operators.chunking import chunk_documents, route
 from recordmill.operators.extraction import KeyedAnswers, extraction_json, replay, with_outcome, with_prompts
+from recordmill.operators.in_row import TextModel, contexts
 from recordmill.operators.intake import REASON_TEXT, reject_reason
 from recordmill.operators.retrieval import Embedder, context_of, embed, relevant_context
 from recordmill.schemas import DOC_TYPES
@@ -23,11 +24,18 @@ from recordmill.streaming.inference import ask
 
 
 def with_context(docs: DataFrame, threshold: int = fixed.LONG_DOCUMENT_WORDS, override: bool | None = None,
-                 embedder: Embedder | None = None) -> DataFrame:
+                 embedder: Embedder | None = None, make_text_model: Callable[[], TextModel] | None = None) -> DataFrame:
     """Add ``word_count``, ``use_retrieval`` and ``context``: the whole text, or for long
-    documents the chunks their type's queries find. ``docs`` needs ``doc_id, doc_type, text``.
+    documents the chunks their type's queries find. ``docs`` needs ``doc_id, doc_type, text``. An own model is
+    either ``make_text_model``, a function of texts made once per task, which ranks in the row; or ``embedder``, a function of a
+    column, for which chunks become rows.
     """
     routed = route(docs, threshold, override).withColumn("use_retrieval", F.coalesce("use_retrieval", F.lit(False)))
+    if make_text_model is not None:
+        # short texts are not cut or embedded
+        cut = routed.withColumn("_long", F.when(F.col("use_retrieval"), F.col("text")))
+        found = contexts(cut, "run", fixed.RUN_TOP_K, "text", fixed.RUN_SEPARATOR, make_text_model, text="_long")
+        return found.withColumn("context", F.when(F.col("use_retrieval"), F.col("context")).otherwise(F.col("text"))).drop("_long")
     if embedder is None:
         found = context_of("text", "doc_type")
         return routed.withColumn("context", F.when(F.col("use_retrieval"), found).otherwise(F.col("text")))
@@ -35,12 +43,12 @@ def with_context(docs: DataFrame, threshold: int = fixed.LONG_DOCUMENT_WORDS, ov
     routed = routed.withColumn("_key", F.sha2(F.concat_ws("\n", "doc_id", "doc_type", "text"), 256))
     long = routed.filter("use_retrieval").select(F.col("_key").alias("filename"), "doc_type", "text").dropDuplicates(["filename"])
     vectors = embed(chunk_documents(long, keep=("doc_type",)), embedder)
-    contexts = relevant_context(
+    picked = relevant_context(
         vectors, "run", fixed.RUN_TOP_K, "text", fixed.RUN_SEPARATOR, embedder
     ).withColumnRenamed("filename", "_key")
     # only ids and short contexts of the long documents are exchanged, short texts stay in place
     short = routed.filter("not use_retrieval").withColumn("context", F.col("text"))
-    joined = routed.filter("use_retrieval").join(contexts, "_key", "left").withColumn(
+    joined = routed.filter("use_retrieval").join(picked, "_key", "left").withColumn(
         "context", F.coalesce("context", F.lit(""))
     )
     return short.unionByName(joined).drop("_key")
@@ -50,7 +58,7 @@ def run(
     docs: DataFrame, run_id: str, timestamp: str, *, responses: DataFrame | KeyedAnswers | None = None,
     make_model: Callable | None = None, provider: str = fixed.DEFAULT_PROVIDER,
     threshold: int = fixed.LONG_DOCUMENT_WORDS, embedder: Embedder | None = None, answers: str | None = None,
-    batch: int = 64, carry: tuple[str, ...] = (),
+    batch: int = 64, carry: tuple[str, ...] = (), make_text_model: Callable[[], TextModel] | None = None,
 ) -> DataFrame:
     """Result rows for ``docs`` (``doc_id, doc_type, filename, text``, optionally ``content``).
 
@@ -67,7 +75,7 @@ def run(
     taken = docs.withColumn(
         "_reason", reject_reason(F.col("filename"), "text", F.col("doc_type"), content)
     ).withColumn("text", F.when(F.col("_reason").isNull(), F.col("text")))
-    ready = with_context(taken, threshold, None, embedder).withColumn(
+    ready = with_context(taken, threshold, None, embedder, make_text_model).withColumn(
         "context_words", F.when(F.col("use_retrieval"), word_count("context")).otherwise(F.coalesce("word_count", F.lit(0)))
     )
     kept = ["doc_id", "doc_type", "filename", "_reason", "use_retrieval", "context_words", *carry]

@@ -6,13 +6,12 @@ import hashlib
 import threading
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordmill import fixed
 from recordmill.functions import costs, record_json, rules, scoring, text, vectors
-from recordmill.operators import chunking, extraction, intake, retrieval, store
+from recordmill.operators import chunking, extraction, in_row, intake, retrieval, store
 from recordmill.plans import extraction_run as runs
 from recordmill.plans import reports
 from recordmill.session import configure, scratch_path
@@ -256,18 +255,14 @@ def _(spark, sf):
     return store.embed_totals(store.embed_summary(submitted(spark, sf).select(F.concat(F.lit("doc_"), "k").alias("filename"), "text")))
 
 
-def letters_embedder(column):
-    """An own model behind a scalar pandas UDF: how often each of four letters occurs."""
-    @F.pandas_udf("array<float>")
-    def count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [float(t.count(c)) for c in "etao"])
-
-    return count(column)
+def letters_model():
+    """An own model: how often each of four letters occurs."""
+    return lambda texts: [[t.count(c) for c in "etao"] for t in texts]
 
 
 @query("embed_model_hook")
 def _(spark, sf):
-    rows = retrieval.embed(chunking.chunk_documents(documents(spark, sf)), letters_embedder)
+    rows = retrieval.embed(chunking.chunk_documents(documents(spark, sf)), retrieval.model_embedder(letters_model, batch=512))
     return rows.select("chunk_id", *[F.col("embedding")[i].cast("bigint").alias(f"n_{c}") for i, c in enumerate("etao")])
 
 
@@ -318,9 +313,7 @@ def _(spark, sf):
 
 
 def fanout(spark, sf):
-    chunks = chunk_vectors(spark, sf)
-    return retrieval.with_texts(retrieval.search_within(
-        chunks, retrieval.query_catalog(spark, "run"), fixed.RUN_TOP_K), chunks)
+    return in_row.fan_out(documents(spark, sf), "run", fixed.RUN_TOP_K)
 
 
 @query("retrieve_fanout")
@@ -337,7 +330,7 @@ def _(spark, sf):
 
 @query("relevant_context")
 def _(spark, sf):
-    return retrieval.relevant_context(chunk_vectors(spark, sf), docs=documents(spark, sf)).select(
+    return in_row.contexts(documents(spark, sf)).select(
         "filename", F.md5("context").alias("context_md5"), F.length("context").cast("bigint").alias("n_chars"))
 
 
