@@ -239,19 +239,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = CONTEXT_TOP_K, id_co
     """
     id_type = vectors.schema[id_column].dataType.simpleString()
     asked = _written(queries.select("query_id", "embedding"), "queries")
-    blocks = max(1, -(-asked.count() // query_block))
-    wanted = _written(_blocks(asked.repartition(blocks), "query_id", None).withColumn("query_part", F.spark_partition_id()), "query_blocks").select(
-        F.col("ids").alias("queries"), "width", F.col("matrix").alias("wanted"), "query_part")
-    stored = _blocks(vectors, id_column, block)
-    parts = 1
-    if blocks == 1 and (wanted.agg(F.sum(F.octet_length("wanted"))).first()[0] or 0) <= SENT_BYTES:
+    rows, numbers = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
+    blocks = max(1, -(-rows // query_block))
+    named = {"ids": "queries", "matrix": "wanted"}
+    stored, parts = _blocks(vectors, id_column, block), 1
+    if blocks == 1 and 8 * numbers <= SENT_BYTES:
+        wanted = _blocks(asked.coalesce(1), "query_id", None).withColumnsRenamed(named).withColumn("query_part", F.lit(0))
         met = stored.withColumn("part", F.lit(0)).join(F.broadcast(wanted), "width")
     else:
+        wanted = _blocks(asked.repartition(blocks), "query_id", None).withColumnsRenamed(named).withColumn("query_part", F.spark_partition_id())
         stored = _written(stored, "vector_blocks")
         parts = max(1, -(-stored.count() // cell))
         dealt = stored.withColumn("part", F.pmod(F.xxhash64("matrix"), F.lit(parts)).cast("int")).withColumn(
             "query_part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        met = dealt.join(wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["part", "query_part", "width"])
+        met = dealt.join(_written(wanted, "query_blocks").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["part", "query_part", "width"])
     number = {c: "<f4" if df.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8" for c, df in (("matrix", vectors), ("wanted", queries))}
     names = ["part", "query_id", id_column, "_score", "_key"]
 
