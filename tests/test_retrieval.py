@@ -223,3 +223,32 @@ def test_embed_summary(spark):
     summary = store.embed_summary(docs)
     assert sorted(tuple(r) for r in summary.collect()) == [("a", 2, "success"), ("b", 0, "failed")]
     assert tuple(store.embed_totals(summary).first()) == (1, 2)
+
+
+def test_stored_rows_are_not_exchanged(spark, tmp_path):
+    kept = store.LatestTable(spark, str(tmp_path / "s"), "filename", "version", SCHEMA, buckets=8)
+    for batch in range(3):
+        kept.append(spark.range(200).select(F.format_string("f%d", F.col("id") + 50 * batch).alias("filename"), F.col("id").cast("int").alias("n"), F.lit(batch).alias("version")).select(*SCHEMA.names), str(batch))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = kept.read()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+        few = kept.lookup(["f60", "f249", "nobody"])
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SelectedBucketsCount: " in plan and "SelectedBucketsCount: 8 out of 8" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r.filename, r.version) for r in few.collect()} == {("f60", 1), ("f249", 2)}
+    assert kept.read().count() == 300
+
+
+def test_a_batch_that_comes_out_empty_takes_its_rows_away(spark, tmp_path):
+    kept = store.LatestTable(spark, str(tmp_path / "s"), "filename", "version", SCHEMA)
+    kept.append(spark.createDataFrame([("a", 1, 1)], SCHEMA), "1")
+    kept.append(spark.createDataFrame([("a", 2, 2), ("b", 2, 2)], SCHEMA), "2")
+    kept.append(spark.createDataFrame([], SCHEMA), "2")
+    assert [tuple(r) for r in kept.read().collect()] == [("a", 1, 1)]
+    # a new session finds the table by its path
+    spark.sql(f"DROP TABLE {kept.name}")
+    again = store.LatestTable(spark, str(tmp_path / "s"), "filename", "version", SCHEMA)
+    assert [tuple(r) for r in again.read().collect()] == [("a", 1, 1)]
