@@ -119,3 +119,35 @@ BATCH_CSV_COLUMNS = [
     "total_checks", "avg_confidence", "needs_human_review", "flagged_fields", "prompt_tokens",
     "completion_tokens", "total_tokens", "cost_usd", "timestamp",
 ]
+
+# Headings, labels and closing words of the text report.
+REPORT_TITLE = ["INTELLIGENT DOCUMENT PROCESSOR", "   Batch Processing Report"]
+REPORT_SECTIONS = {
+    1: "OVERALL STATISTICS", 2: "PER-DOCUMENT BREAKDOWN", 3: "FIELD-LEVEL CONFIDENCE SCORES",
+    4: "FIELDS FLAGGED FOR HUMAN REVIEW", 5: "RECOMMENDATIONS", 6: "COST ANALYSIS",
+}
+REPORT_TABLE_HEAD = [("File", 25), ("Type", 10), ("Valid", 8), ("Conf", 8), ("Review", 0)]
+REPORT_COST_NOTE = ["  NOTE: Groq is free tier. Figures above show", "  production cost reference using OpenAI pricing."]
+REPORT_CLOSING = "Report complete."
+
+# Recommendations, without the document's name in front of them.
+ADVICE_INVOICE_NUMBER = ": No invoice number found. Ask sender to include invoice number for tracking."
+ADVICE_DATE = ": No date found. Date is important for payment tracking and compliance."
+ADVICE_BODY = ": Email body not extracted. Consider improving extraction prompt for emails."
+
+# Scored fields in declared order, with the kind of test.
+SCORED: dict[str, list[tuple[str, str]]] = {
+    "invoice": [
+        ("invoice_number", "str"), ("date", "str"), ("sender_company", "str"), ("receiver_company", "str"),
+        ("line_items", "list"), ("subtotal", "float"), ("total_amount", "float"), ("gstin_sender", "gstin"),
+        ("phone", "str"), ("email", "str"), ("due_date", "str"),
+    ],
+    "resume": [
+        ("name", "str"), ("email", "str"), ("phone", "str"), ("technical_skills", "list"),
+        ("work_experience", "list"), ("education", "list"), ("projects", "list"),
+    ],
+    "email": [
+        ("sender_name", "str"), ("receiver_name", "str"), ("subject", "str"), ("date", "str"), ("body", "str"),
+        ("key_points", "list"), ("action_items", "list"),
+    ],
+}

@@ -5,26 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recordmill.fixed import REVIEW_BELOW
+from recordmill.fixed import REVIEW_BELOW, SCORED
 from recordmill.functions.text import let_sql, strip_sql
 
-# scored fields in declared order, with the kind of test
-SCORED: dict[str, list[tuple[str, str]]] = {
-    "invoice": [
-        ("invoice_number", "str"), ("date", "str"), ("sender_company", "str"), ("receiver_company", "str"),
-        ("line_items", "list"), ("subtotal", "float"), ("total_amount", "float"), ("gstin_sender", "gstin"),
-        ("phone", "str"), ("email", "str"), ("due_date", "str"),
-    ],
-    "resume": [
-        ("name", "str"), ("email", "str"), ("phone", "str"), ("technical_skills", "list"),
-        ("work_experience", "list"), ("education", "list"), ("projects", "list"),
-    ],
-    "email": [
-        ("sender_name", "str"), ("receiver_name", "str"), ("subject", "str"), ("date", "str"), ("body", "str"),
-        ("key_points", "list"), ("action_items", "list"),
-    ],
-}
-
 
 def score_field_sql(value: str, kind: str) -> str:
     """0 to 95 by kind: ``str``, ``float``, ``int``, ``list``, ``gstin``; other kinds score 50."""

@@ -10,6 +10,7 @@ from recordmill.functions.costs import priced, providers
 from recordmill.functions.rules import failed_check_names, failed_check_names_sql
 from recordmill.functions.scoring import bar, bar_sql
 from recordmill.functions.text import py_float, py_float_sql, py_round, quote
+from recordmill.session import scratch_path
 
 # averages have one decimal and costs six: whole tenths and micros add up to the
 # same total in every task order
@@ -126,14 +127,14 @@ def _advice_sql() -> str:
     mean = "confidence.avg_confidence"
     rules = [
         (f"doc_type = 'invoice' and {flagged('invoice_number')}",
-         "'[WARN] ', filename, ': No invoice number found. Ask sender to include invoice number for tracking.'"),
-        (flagged("date"), "'[WARN] ', filename, ': No date found. Date is important for payment tracking and compliance.'"),
+         f"'[WARN] ', filename, {quote(fixed.ADVICE_INVOICE_NUMBER)}"),
+        (flagged("date"), f"'[WARN] ', filename, {quote(fixed.ADVICE_DATE)}"),
         (f"{mean} < 60",
          f"'[CRIT] ', filename, ': Low confidence (', {py_float_sql(mean)}, '%). Manual review strongly recommended.'"),
         ("not validation.passed",
          f"'[FIX] ', filename, ': Validation failed on: ', {failed_check_names_sql('validation')}"),
         (f"doc_type = 'email' and {flagged('body')}",
-         "'[FIX] ', filename, ': Email body not extracted. Consider improving extraction prompt for emails.'"),
+         f"'[FIX] ', filename, {quote(fixed.ADVICE_BODY)}"),
     ]
     return "array_compact(array(" + ", ".join(f"if({test}, concat({text}), null)" for test, text in rules) + "))"
 
@@ -181,17 +182,16 @@ def cost_flat_estimate(results: DataFrame) -> DataFrame:
 
 _RULE = "─" * 65
 _LINE = "struct<section:int,line_no:int,line:string>"
-SECTIONS = {
-    1: "OVERALL STATISTICS", 2: "PER-DOCUMENT BREAKDOWN", 3: "FIELD-LEVEL CONFIDENCE SCORES",
-    4: "FIELDS FLAGGED FOR HUMAN REVIEW", 5: "RECOMMENDATIONS", 6: "COST ANALYSIS",
-}
+#: Lines up to which a report is one file.
+ONE_FILE_LINES = 1_000_000
 
 
 def report_lines(results: DataFrame) -> DataFrame:
     """The text report as ``section, filename, line_no, line``.
 
     All lines of a document come from one pass over its row. Sorting by the first
-    three columns gives the report; headings have an empty ``filename``.
+    three columns gives the report, from the title (section 0) to the closing words (section 7); headings have an
+    empty ``filename``. The time of the report is that of its newest row.
     """
     mean = "confidence.avg_confidence"
     mark = lambda c: f"if(coalesce({c}, false), 'Yes', 'No')"
@@ -208,7 +208,8 @@ def report_lines(results: DataFrame) -> DataFrame:
     scored = "confidence is not null"
     parts = [
         f"array({line(2, 1, row)})",
-        only_if(scored, f"array({line(3, 1, "concat(filename, ' (', doc_type, ')')")})"),
+        only_if(scored, f"array({line(3, 1, "concat(filename, ' (', doc_type, ')', if(status = 'success', '', ' [validation failed]'))")})"),
+        only_if(f"{scored} and size(confidence.field_scores) = 0", f"array({line(3, 2, quote('   No field scores available'))})"),
         only_if(scored, numbered("map_entries(confidence.field_scores)", 3, 2, score)),
         only_if(f"{scored} and size(confidence.flagged_fields) > 0", "array(" + line(4, 1, "concat(filename, ':')") + ")"),
         only_if(scored, numbered("map_entries(confidence.flagged_fields)", 4, 2, flag)),
@@ -220,8 +221,13 @@ def report_lines(results: DataFrame) -> DataFrame:
 
     facts = _report_facts(results)
     fact = lambda label, value: f"concat('  {label:<26}: ', {value})"
-    heads = [line(s, n, quote(t)) for s, title in SECTIONS.items()
+    heads = [line(s, n, quote(t)) for s, title in fixed.REPORT_SECTIONS.items()
              for n, t in ((-9, _RULE), (-8, title), (-7, _RULE))]
+    table = " ".join(label.ljust(width) for label, width in fixed.REPORT_TABLE_HEAD)
+    heads += [line(2, -6, quote(table)), line(2, -5, quote(_RULE))]
+    heads += [line(0, n, quote(t)) for n, t in enumerate(["=" * 65, *fixed.REPORT_TITLE])]
+    heads += [line(0, 3, "concat('   Generated: ', coalesce(date_format(_ts, 'yyyy-MM-dd HH:mm:ss'), ''))"), line(0, 4, quote("=" * 65))]
+    heads += [line(7, n, quote(t)) for n, t in enumerate(["=" * 65, fixed.REPORT_CLOSING, "=" * 65])]
     stats = [
         line(1, 1, fact("Total documents processed", "total")),
         line(1, 2, fact("Successfully extracted", "successful")),
@@ -233,7 +239,9 @@ def report_lines(results: DataFrame) -> DataFrame:
         f"if(_advised = 0, {line(5, 0, quote('  No recommendations — all documents processed cleanly!'))}, null)",
         line(6, 1, fact("Documents processed", "documents")),
         line(6, 2, fact("Estimated tokens used", "'~', format_number(estimated_tokens, 0)")),
-        line(6, 3, fact("Estimated cost", "'$', format_string('%.4f', estimated_cost)")),
+        line(6, 3, fact("Estimated cost (OpenAI)", "'$', format_string('%.4f', estimated_cost)")),
+        line(6, 4, fact("Actual cost (Groq)", "'$0.0000 (free tier)'")),
+        *[line(6, 5 + n, quote(t)) for n, t in enumerate(fixed.REPORT_COST_NOTE)],
     ]
     frame = facts.select(F.inline(F.expr(f"array_compact(array({', '.join(heads + stats)}))"))).select(
         "section", F.lit("").alias("filename"), "line_no", "line")
@@ -248,7 +256,7 @@ def _report_facts(results: DataFrame) -> DataFrame:
         F.count_if(F.col("confidence.needs_human_review")).alias("_review"),
         _total_tenths().alias("_tenths"), F.count("confidence.avg_confidence").alias("documents"),
         F.count_if(F.size("confidence.flagged_fields") > 0).alias("_flagged"),
-        F.count_if(F.expr(f"confidence is not null and size({_advice_sql()}) > 0")).alias("_advised"),
+        F.count_if(F.expr(f"confidence is not null and size({_advice_sql()}) > 0")).alias("_advised"), F.max("ts").alias("_ts"),
     )
     ratio = lambda c: F.concat(F.col(c).cast("string"), F.lit("/"), F.col("total").cast("string"))
     tokens = F.col("documents") * fixed.ESTIMATE_TOKENS_PER_DOCUMENT
@@ -258,10 +266,19 @@ def _report_facts(results: DataFrame) -> DataFrame:
         ratio("_valid").alias("validation_ratio"), ratio("_review").alias("review_ratio"),
         mean.alias("avg_confidence"), "documents", tokens.alias("estimated_tokens"),
         ((tokens / F.lit(_MILLION)) * F.lit(fixed.ESTIMATE_USD_PER_MILLION)).alias("estimated_cost"),
-        "_flagged", "_advised",
+        "_flagged", "_advised", "_ts",
     )
 
 
-def write_report(results: DataFrame, path: str) -> None:
-    """The report as text files in order; the sort is a range exchange, not one task."""
-    report_lines(results).orderBy("section", "filename", "line_no").select("line").write.mode("overwrite").text(path)
+def write_report(results: DataFrame, path: str, one_file: int = ONE_FILE_LINES) -> None:
+    """The report as text in order: one file up to ``one_file`` lines, else files whose names are in order.
+
+    The sort is a range exchange, so no task holds the report; a single file is written by a task that reads the sorted
+    parts one after the other. Files appear when the whole write is committed, with the marker ``_SUCCESS``.
+    """
+    stored = scratch_path(results.sparkSession, "report")
+    lines = report_lines(results)
+    lines.write.parquet(stored)
+    lines = results.sparkSession.read.schema(lines.schema).parquet(stored)
+    ordered = lines.orderBy("section", "filename", "line_no").select("line")
+    (ordered.coalesce(1) if lines.count() <= one_file else ordered).write.mode("overwrite").text(path)

@@ -8,7 +8,6 @@ rules and scores as plain CASE expressions.
 from __future__ import annotations
 
 from recordmill import fixed
-from recordmill.plans import reports
 from recordmill.schemas import NESTED, RECORDS
 from recordmill.testbed import fixtures as fx
 
@@ -657,8 +656,19 @@ ORACLE["run_history"] = f"""
     sum(cost_usd::DECIMAL(18, 6))::DOUBLE AS total_cost FROM res GROUP BY 1, 2"""
 
 # the report line by line; headings have an empty filename
-_HEADINGS = ", ".join(
-    f"({s}, {n}, {_q(t)})" for s, title in reports.SECTIONS.items() for n, t in ((-9, "─" * 65), (-8, title), (-7, "─" * 65)))
+_THIN, _THICK = "─" * 65, "=" * 65
+_HEADINGS = ", ".join(f"({s}, {n}, {_q(t)})" for s, n, t in [
+    (0, 0, _THICK), (0, 1, "INTELLIGENT DOCUMENT PROCESSOR"), (0, 2, "   Batch Processing Report"), (0, 4, _THICK),
+    (1, -9, _THIN), (1, -8, "OVERALL STATISTICS"), (1, -7, _THIN),
+    (2, -9, _THIN), (2, -8, "PER-DOCUMENT BREAKDOWN"), (2, -7, _THIN),
+    (2, -6, "File                      Type       Valid    Conf     Review"), (2, -5, _THIN),
+    (3, -9, _THIN), (3, -8, "FIELD-LEVEL CONFIDENCE SCORES"), (3, -7, _THIN),
+    (4, -9, _THIN), (4, -8, "FIELDS FLAGGED FOR HUMAN REVIEW"), (4, -7, _THIN),
+    (5, -9, _THIN), (5, -8, "RECOMMENDATIONS"), (5, -7, _THIN),
+    (6, -9, _THIN), (6, -8, "COST ANALYSIS"), (6, -7, _THIN), (6, 4, "  Actual cost (Groq)        : $0.0000 (free tier)"),
+    (6, 5, "  NOTE: Groq is free tier. Figures above show"), (6, 6, "  production cost reference using OpenAI pricing."),
+    (7, 0, _THICK), (7, 1, "Report complete."), (7, 2, _THICK),
+])
 
 
 def _fact(section: int, n: int, label: str, value: str) -> str:
@@ -672,7 +682,8 @@ _FACTS = " UNION ALL ".join([
     _fact(1, 5, "Flagged for human review", "needs_review || '/' || total"), _fact(1, 6, "Average confidence", _AVERAGE),
     _fact(6, 1, "Documents processed", "scored"),
     _fact(6, 2, "Estimated tokens used", "'~' || format('{:,}', scored * 800)"),
-    _fact(6, 3, "Estimated cost", "'$' || format('{:.4f}', ((scored * 800)::DOUBLE / 1000000.0::DOUBLE) * 0.15::DOUBLE)"),
+    _fact(6, 3, "Estimated cost (OpenAI)", "'$' || format('{:.4f}', ((scored * 800)::DOUBLE / 1000000.0::DOUBLE) * 0.15::DOUBLE)"),
+    "SELECT 0, 3, '   Generated: ' || replace(substr(CAST(max(ts) AS VARCHAR), 1, 19), 'T', ' ') FROM latest",
     "SELECT 4, 0, '   No fields flagged for review!' FROM totals WHERE needs_review = 0",
     "SELECT 5, 0, '  No recommendations — all documents processed cleanly!' FROM totals"
     f" WHERE NOT EXISTS (SELECT 1 FROM latest WHERE ok AND len({_ADVICE}) > 0)",

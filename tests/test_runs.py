@@ -132,10 +132,29 @@ def test_written_files_come_back(results, spark, tmp_path):
     files.write_csv(results, str(tmp_path / "csv"))
     rows = {r["filename"]: r for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()}
     assert rows["e1.txt"]["validation_passed"] == "True" and rows["e2.txt"]["avg_confidence"] == "N/A"
-    reports.write_report(results, str(tmp_path / "report"))
-    parts = sorted((tmp_path / "report").glob("part-*"))
-    lines = [line for p in parts for line in p.read_text(encoding="utf-8").splitlines()]
-    assert lines[1] == "OVERALL STATISTICS" and lines.index("COST ANALYSIS") > lines.index("RECOMMENDATIONS")
+
+
+def test_report_is_in_order_in_one_file_or_many(results, spark, tmp_path):
+    def written(name, one_file):
+        reports.write_report(results, str(tmp_path / name), one_file)
+        parts = sorted((tmp_path / name).glob("part-*"))
+        assert (tmp_path / name / "_SUCCESS").exists()
+        return len(parts), [line for p in parts for line in p.read_text(encoding="utf-8").splitlines()]
+
+    (one, lines), (many, same) = written("one", 10**6), written("many", 0)
+    assert one == 1 and many >= 1 and lines == same
+    assert lines == [r["line"] for r in reports.report_lines(results).orderBy("section", "filename", "line_no").collect()]
+    assert lines[:5] == ["=" * 65, "INTELLIGENT DOCUMENT PROCESSOR", "   Batch Processing Report", f"   Generated: {AT}", "=" * 65]
+    assert lines[-3:] == ["=" * 65, "Report complete.", "=" * 65]
+    table = lines.index("PER-DOCUMENT BREAKDOWN")
+    assert lines[table + 2].split() == ["File", "Type", "Valid", "Conf", "Review"] and set(lines[table + 3]) == {"─"}
+    assert [w for w in map(lines.index, ("OVERALL STATISTICS", "RECOMMENDATIONS", "COST ANALYSIS", "  Actual cost (Groq)        : $0.0000 (free tier)"))] == sorted(
+        map(lines.index, ("OVERALL STATISTICS", "RECOMMENDATIONS", "COST ANALYSIS", "  Actual cost (Groq)        : $0.0000 (free tier)")))
+    # a scored document that is not a success, and one without scored fields
+    odd = results.filter("confidence is not null").withColumns({"status": F.lit("failed"), "confidence": F.col("confidence").withField(
+        "field_scores", F.expr("cast(map() as map<string,int>)"))})
+    found = [r["line"] for r in reports.report_lines(odd).filter("section = 3").collect()]
+    assert any(line.endswith(" [validation failed]") for line in found) and "   No field scores available" in found
 
 
 def test_latest_run_reads_one_partition(results, spark, tmp_path):
