@@ -102,16 +102,20 @@ _NUL = bytes.maketrans(b"\x00\xff", b"\xff\x00")
 
 
 def repeated_in_shards(pieces: DataFrame, match: int = MATCH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``(key, content, starts)`` of the distinct fragments ``(key, content, piece)``: ranges of starts that repeat."""
+    """Ranges of starts that repeat in the distinct fragments ``(key, content, piece)``: ``(key, content, low, high)``.
+
+    Fragments marked ``many`` repeat as a whole: they take part in the order, but their own ranges are not given.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory(prefix="shard-") as folder:
-            keys, contents, ends = [], [], [np.zeros(1, np.int64)]
+            keys, contents, marks, ends = [], [], [], [np.zeros(1, np.int64)]
             path = Path(folder) / "text"
             with path.open("wb") as file:
                 for batch in batches:
                     own = batch.column("piece").to_pylist()
                     keys.append(np.asarray(batch.column("key")))
                     contents.append(np.asarray(batch.column("content")))
+                    marks.append(batch.column("many").to_numpy(zero_copy_only=False) if "many" in batch.schema.names else np.zeros(batch.num_rows, bool))
                     ends.append(np.cumsum([len(p) + 1 for p in own]) + ends[-1][-1])
                     file.write(b"".join(p.translate(_NUL) + b"\x00" for p in own))
             if not keys:
@@ -124,6 +128,8 @@ def repeated_in_shards(pieces: DataFrame, match: int = MATCH, shard_bytes: int =
         first = np.flatnonzero(again & ~np.append(False, again[:-1]))
         last = np.flatnonzero(again & ~np.append(again[1:], False))
         owner = np.searchsorted(bounds, first, "right") - 1
+        own = ~np.concatenate(marks).astype(bool)[owner]
+        first, last, owner = first[own], last[own], owner[own]
         for a in range(0, len(first), 1 << 16):
             o = owner[a : a + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
@@ -147,11 +153,12 @@ def repeats(df: DataFrame, match: int = MATCH) -> DataFrame:
     found = written(found.join(keys, "key"), "candidates")
     mixed = found.filter("mixed")
     distinct = written(mixed.groupBy("key", "content").agg(F.count("*").alias("c"), F.min(F.struct("_a", "_b", "at", "n")).alias("r")), "distinct")
-    wanted = distinct.groupBy("r._a", "r._b").agg(F.collect_list(F.struct("r.at", "r.n", "key", "content")).alias("wanted"))  # bounded by a text's length
+    wanted = distinct.groupBy("r._a", "r._b").agg(F.collect_list(F.struct("r.at", "r.n", "key", "content", (F.col("c") > 1).alias("many"))).alias("wanted"))  # bounded by a text's length
     pieces = df.join(wanted, ["_a", "_b"]).select(F.encode("_t", "utf-8").alias("_t"), F.explode("wanted").alias("w")).select(
-        "w.key", "w.content", F.expr(f"substring(_t, w.at + 1, w.n + {match - 1})").alias("piece"))
+        "w.key", "w.content", "w.many", F.expr(f"substring(_t, w.at + 1, w.n + {match - 1})").alias("piece"))
     # copies of a text give the same pieces again
-    pieces = written(pieces.groupBy("key", "content").agg(F.min("piece").alias("piece")), "pieces")
+    pieces = written(pieces.groupBy("key", "content").agg(F.min("piece").alias("piece"), F.max("many").alias("many")), "pieces")
+    # a fragment that occurs more than once repeats at every start, so only the others need their ranges
     inner = repeated_in_shards(pieces, match)
     whole = distinct.filter("c > 1").select("key", "content", F.lit(0).alias("low"), (F.col("r.n") - 1).alias("high"))
     spans = mixed.join(inner.union(whole), ["key", "content"]).select("_a", "_b", F.expr("struct(at + low as start, at + high + {0} as end)".format(match)).alias("s"))
