@@ -74,7 +74,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = written(quality_classifier.featurize(docs).drop("text"), "features")
     rows = written(quality_classifier.labelled(features, table(spark, sf_dir, "labels")), "labelled")
     scored = quality_classifier.score(features, quality_classifier.fit(rows))
-    return scored.select("doc_id", (quality_classifier.remainder() == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    # a document without an id is in no part; it cannot be labelled either
+    held_out = F.coalesce(quality_classifier.remainder() == 2, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 @query

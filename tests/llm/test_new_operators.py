@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 from collections import Counter
 from fractions import Fraction
 
@@ -281,3 +282,13 @@ def test_tokens_awkward(spark, awkward, model):
     assert token_counts.count_tokens(awkward.limit(0), token_counts.PieceModel(spark, PIECES)).count() == 0
     with pytest.raises(ValueError):
         token_counts.count_tokens(awkward, token_counts.PieceModel(spark, PIECES), window=10, overlap=6)
+
+
+def test_a_document_without_an_id_is_not_held_out(spark, tmp_path):
+    rows = [(i if i else None, f"some words of text {i} " * (i % 7 + 1)) for i in range(60)] + [(None, None), (7, "some words again")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(1, 60)] + [(None, 1)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = QUERIES["op5_quality"](spark, str(tmp_path)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r.held_out is (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
