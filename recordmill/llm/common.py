@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spares(*names: str, at: int = 0) -> Callable:
+    """Columns of the table at argument ``at`` that are named like an operator's own step aside and come back in its result.
+
+    Names are compared whatever the case of their letters, as Spark does. Without such columns nothing is done.
+    """
+    own = {n.lower() for n in names}
+
+    def around(operator: Callable) -> Callable:
+        @wraps(operator)
+        def run(*args, **options):
+            args = list(args)
+            taken = {c.lower() for c in args[at].columns} | own
+            aside: dict[str, str] = {}
+            for column in args[at].columns:
+                if column.lower() in own:
+                    name = column + "_"
+                    while name.lower() in taken:
+                        name += "_"
+                    taken.add(name.lower())
+                    aside[column] = name
+            if not aside:
+                return operator(*args, **options)
+            args[at] = args[at].withColumnsRenamed(aside)
+            # an argument may name such a column
+            args = [aside.get(a, a) if isinstance(a, str) else a for a in args]
+            options = {k: aside.get(a, a) if isinstance(a, str) else a for k, a in options.items()}
+            return operator(*args, **options).withColumnsRenamed({new: old for old, new in aside.items()})
+
+        return run
+
+    return around
+
+
 def smallest_hashes(df: DataFrame, most: int, *columns: str) -> DataFrame:
     """The ``most`` rows with the smallest hashes of ``columns``: a sample that does not depend on the order of rows.
 
@@ -80,13 +114,14 @@ def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.Reco
 def add_in_arrow(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], dict[str, pa.Array]], stateful: bool = False) -> DataFrame:
     """Columns computed from Arrow batches; every other column of ``df`` goes through unchanged.
 
-    ``schema`` lists the new columns; one that ``df`` has already is replaced. Unless ``stateful``, the
+    ``schema`` lists the new columns; one that ``df`` has already, whatever the case of its letters, is replaced. Unless ``stateful``, the
     worker first frees the state it has kept for other operators.
     """
     from pyspark.sql.types import StructType
 
     new = StructType.fromDDL(schema)
-    kept = [f for f in df.schema.fields if f.name not in new.names]
+    gone = {n.lower() for n in new.names}
+    kept = [f for f in df.schema.fields if f.name.lower() not in gone]
     target = StructType([*kept, *new.fields])
     names = target.names
 

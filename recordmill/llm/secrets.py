@@ -1,7 +1,9 @@
 """Secret scans in DataFrame operations: fixed patterns and a battery of randomness tests.
 
-Spans of three fixed kinds are found by patterns. Beside them, every token of ``TOKEN``
-characters gets an encoding (the smallest alphabet that holds it) and three tests of the
+Spans of three fixed kinds are found by patterns. What they cover is blanked, and so are
+the characters that part a token which mixes two alphabets (``+`` and ``/`` with ``_`` and
+``-``, as in a path): those of the alphabet whose tokens would be shorter. Beside the
+fixed spans, every token of ``TOKEN`` characters that is left gets an encoding (the smallest alphabet that holds it) and three tests of the
 hypothesis that its symbols are drawn at random: chi-squared uniformity over the alphabet,
 runs above and below the middle, and serial correlation. A token is reported as ``random``
 if the battery does not reject randomness and if ordinary writing would hardly look as
@@ -11,8 +13,8 @@ short tokens, which carry little evidence, have to be rarer to be believed.
 
 Defined results: a null text counts as empty and has no spans; a text is read whole;
 overlapping tokens of several kinds are all reported, except that ``random`` yields to the
-fixed kinds; repeated rows are treated alike; all other columns pass through, and those
-named ``spans`` are replaced.
+fixed kinds; repeated rows are treated alike; all other columns pass through, whatever
+their names, and one named ``spans`` is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordmill.llm.common import written
+from recordmill.llm.common import spares, written
 
 # The patterns of the base kinds, written for both Java's and DuckDB's syntax. Letters of
 # keywords are given in both cases, since case folding would also admit letters beyond A to Z.
@@ -84,15 +86,35 @@ def _both_sides(z: str) -> str:
     return f"transform(array(abs({z})), z -> 2 * {_upper_tail('z')})[0]"
 
 
+def _blanked(text: str, gaps: str, found: str, blank: str) -> str:
+    """The text with each match ``m``, the ``i``-th, replaced by something of its length."""
+    return f"if(size({found}) = 0, {text}, array_join(zip_with({gaps}, concat(transform({found}, (m, i) -> {blank}), array('')), (g, m) -> concat(g, m)), ''))"
+
+
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``_base``, the spans of the fixed kinds in order, and ``_tokens`` with their p-values."""
     out = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": f"[A-Za-z0-9+/_-]{{{TOKEN},}}"}
+    none = "cast(array() as array<string>)"
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
     out = out.withColumns({f"_f_{k}": F.expr(f"regexp_extract_all(_t, r'{p}', 0)") for k, p in patterns.items()})
     out = out.withColumns({
-        f"_g_{k}": F.expr(f"if(size(_f_{k}) = 0, cast(array() as array<string>), split(_t, r'{p}', -1))") for k, p in patterns.items()
-    } | {"_values": F.expr(f"if(size(_f_assign) = 0, cast(array() as array<string>), regexp_extract_all(_t, r'{ASSIGN}', 2))")})
-    out = out.withColumns({f"_s_{k}": F.expr(_starts(f"_g_{k}", f"_f_{k}")) for k in patterns})
+        f"_g_{k}": F.expr(f"if(size(_f_{k}) = 0, {none}, split(_t, r'{p}', -1))") for k, p in patterns.items()
+    } | {"_values": F.expr(f"if(size(_f_assign) = 0, {none}, regexp_extract_all(_t, r'{ASSIGN}', 2))")})
+    # blanks keep the length, so places in _m are places in the text
+    out = out.withColumn("_m", F.expr(_blanked("_t", "_g_assign", "_f_assign", "if(length(_values[i]) >= 12, repeat(' ', length(m)), m)")))
+    fixed = f"{ACCESS}|{HEX}"
+    out = out.withColumn("_f_fixed", F.expr(f"if(size(_f_access) + size(_f_hex) = 0, {none}, regexp_extract_all(_m, r'{fixed}', 0))"))
+    out = out.withColumn("_g_fixed", F.expr(f"if(size(_f_fixed) = 0, {none}, split(_m, r'{fixed}', -1))"))
+    out = out.withColumn("_m", F.expr(_blanked("_m", "_g_fixed", "_f_fixed", "repeat(' ', length(m))")))
+    token = f"[A-Za-z0-9+/_-]{{{TOKEN},}}"
+    mixed = "m rlike '[+/]' and m rlike '[_-]'"
+    longest = "array_max(transform(split(m, '{}'), x -> length(x)))".format
+    parted = f"case when not ({mixed}) then m when {longest('[_-]')} > {longest('[+/]')} then translate(m, '_-', '  ') else translate(m, '+/', '  ') end"
+    out = out.withColumn("_f_random", F.expr(f"regexp_extract_all(_m, r'{token}', 0)"))
+    out = out.withColumn("_m", F.expr(f"if(exists(_f_random, m -> {mixed}), {_blanked('_m', f"split(_m, r'{token}', -1)", '_f_random', parted)}, _m)"))
+    out = out.withColumn("_f_random", F.expr(f"if(size(_f_random) = 0, {none}, regexp_extract_all(_m, r'{token}', 0))"))
+    out = out.withColumn("_g_random", F.expr(f"if(size(_f_random) = 0, {none}, split(_m, r'{token}', -1))"))
+    out = out.withColumns({f"_s_{k}": F.expr(_starts(f"_g_{k}", f"_f_{k}")) for k in (*patterns, "random")})
     span = "transform(_f_{k}, (m, i) -> named_struct('start', _s_{k}[i], 'end', _s_{k}[i] + length(m), 'rank', {r}))"
     spans = [span.format(k=k, r=r) for r, k in enumerate(KINDS[:3])]
     spans[0] = f"filter({spans[0]}, (x, i) -> length(_values[i]) >= 12)"
@@ -102,7 +124,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
                            "_tokens": F.expr(named)})
     out = out.withColumn("_tokens", F.expr(_measured("_tokens")))
     out = out.withColumn("_tokens", F.expr(_tested("_tokens")))
-    return out.drop("_t", "_values", *(f"_{a}_{k}" for a in "fgs" for k in patterns))
+    return out.drop("_t", "_m", "_values", *(f"_{a}_{k}" for a in "fgs" for k in (*KINDS, "fixed")))
 
 
 def _measured(tokens: str) -> str:
@@ -153,6 +175,7 @@ def thresholds(scanned: DataFrame, share: float = FALSE_DISCOVERIES) -> dict[int
     return found
 
 
+@spares("_t", "_m", "_base", "_tokens", "_values", *(f"_{a}_{k}" for a in "fgs" for k in (*KINDS, "fixed")))
 def find(df: DataFrame, text: str = "text", share: float = FALSE_DISCOVERIES, keep_text: bool = True) -> DataFrame:
     """Adds ``spans``: ``array<struct<start, end, rank>>``, code points with exclusive ends, ``rank`` into ``KINDS``.
 

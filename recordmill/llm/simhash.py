@@ -10,7 +10,8 @@ tiles reports a spanning forest of its links, never the pairs of a group.
 Defined results: a null or wordless text has fingerprint zero and links like any other;
 fewer words than a shingle are one shingle; repeated rows and ids share a component; rows
 with a null id get a component but never name one unless all ids in it are null; an empty
-table gives an empty result. Texts of any length are read whole.
+table gives an empty result. Texts of any length are read whole. A column named
+like a result, whatever the case of its letters, is replaced; all others pass through.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordmill.llm.common import add_in_arrow, written
+from recordmill.llm.common import add_in_arrow, spares, written
 from recordmill.llm.components import components
 from recordmill.session import small_table
 
@@ -161,6 +162,7 @@ def links(prints: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
     return tiles.join(visits, "id").select("prints", "guests").mapInArrow(run, "a bigint, b bigint")
 
 
+@spares("_print")
 def group(df: DataFrame, key: str, prints: str = "simhash", bits: int = BITS, out: str = "component_id") -> DataFrame:
     """Adds the smallest ``key`` (nulls last) that is reachable over links from a row's fingerprint.
 

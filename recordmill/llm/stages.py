@@ -1,8 +1,8 @@
 """Stages of the corpus pipeline: ``(spark, docs, sf_dir)`` to a DataFrame.
 
 Every stage but the last returns the columns of ``docs``. Null ids, null texts, repeated
-rows and further columns are handled as the operators say; columns that a stage needs for
-itself begin with ``_stage`` and are dropped again. Where a text changes, ``n_chars``
+rows are handled as the operators say; further columns pass through as they are, whatever
+their names. Where a text changes, ``n_chars``
 follows it if there is such a column.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordmill.llm import bpe, packing, quality_classifier, secrets, simhash, suffix_dedup
-from recordmill.llm.common import prepared, table, written
+from recordmill.llm.common import prepared, spares, table, written
 from recordmill.llm.queries import VOCABULARY
 
 #: Documents with a lower calibrated score go.
@@ -26,6 +26,7 @@ def _changed(docs: DataFrame, text: DataFrame) -> DataFrame:
     return text.select(*docs.columns)
 
 
+@spares("_stage_score", at=1)
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated score is at least ``QUALITY``; the model learns from the labelled ones among them."""
     prepared(spark)
@@ -36,6 +37,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.filter(F.col("_stage_score") >= QUALITY).select(*docs.columns)
 
 
+@spares("_stage_print", "_stage_row", "_stage_key", "_stage_first", at=1)
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
     prepared(spark)
@@ -46,6 +48,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return stored.join(first, "_stage_row", "left_semi").select(*docs.columns)
 
 
+@spares("_stage_text", "kept", "removed", at=1)
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that repeat; a document goes if nothing but blanks is left of it."""
     prepared(spark)
@@ -55,6 +58,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _changed(docs, left.withColumn("text", text))
 
 
+@spares("spans", at=1)
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every secret replaced by a mark."""
     prepared(spark)

@@ -11,7 +11,7 @@ array with common prefixes (``induced_sort``) tells which starts repeat.
 Defined results: a null text counts as empty and keeps nothing; matches never cross texts;
 equal texts get equal results, and wholly repeated texts of ``MATCH`` bytes or more keep
 nothing; texts below that length stay; an empty table gives an empty result. Columns named
-like a result are replaced, others pass through.
+like a result, whatever the case of their letters, are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordmill.llm import induced_sort
-from recordmill.llm.common import add_in_arrow, written
+from recordmill.llm.common import add_in_arrow, spares, written
 
 MATCH, KMER = 200, 32
 #: Bytes of fragments in a shard, on average.
@@ -166,6 +166,7 @@ def repeats(df: DataFrame, match: int = MATCH) -> DataFrame:
     return spans.groupBy("_a", "_b").agg(F.collect_set("s").alias("_spans"))  # bounded by a text's length
 
 
+@spares("_t", "_a", "_b", "_spans")
 def remove(df: DataFrame, text: str = "text", match: int = MATCH, decoded: str | None = None) -> DataFrame:
     """Adds ``kept``, the bytes that remain, and ``removed``, the maximal byte ranges that went.
 
