@@ -15,8 +15,9 @@ index holds every vector. Queries travel in tiles, a hot pivot's annuli in block
 Defined results: components are ``floor(1024 x)``, held within 64 bits, and products wrap
 beyond them as Spark's own do; vectors that are null, empty or hold a null or non-finite
 component take no part, nor do rows without id; vectors of different lengths don't meet;
-of rows with one id the one with the smallest vector counts; fewer candidates than ``k``
-give fewer rows; an empty table gives an empty result.
+rows with one id are vectors of their own: a query's candidates are all rows but its own, and each
+row that is asked for has ranks of its own; fewer candidates than ``k`` give fewer rows; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ BLOCK, TILE = 1024, 256
 
 
 def whole(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
-    """``(id, dim, v, square)``: whole-numbered vectors as bytes, and their squared lengths."""
+    """``(row, id, dim, v, square)``: whole-numbered vectors as bytes, their squared lengths, and a number for each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = batch.column(key).to_pylist(), batch.column(embedding)
@@ -52,14 +53,14 @@ def whole(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.float64()))], names=["id", "dim", "v", "square"])
 
     made = vectors.select(F.col(key).cast("long").alias(key), embedding).mapInArrow(run, "id bigint, dim int, v binary, square double")
-    return made.groupBy("id").agg(F.min(F.struct("dim", "v", "square")).alias("s")).select("id", "s.*")
+    return made.select(F.monotonically_increasing_id().alias("row"), "*")
 
 
 class Space:
     """Pivots, first candidates and the common length of the vectors of one dimension."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, top: float, pivots: int = PIVOTS):
-        self.ids, self.rows, self.top = ids, rows, top
+    def __init__(self, own: np.ndarray, rows: np.ndarray, top: float, pivots: int = PIVOTS):
+        self.own, self.rows, self.top = own, rows, top
         self.pivots = self.lifted(rows[:pivots])
 
     def lifted(self, rows: np.ndarray) -> np.ndarray:
@@ -92,12 +93,12 @@ def best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
 def spaces(stored: DataFrame, sample: int = SAMPLE) -> dict[int, Space]:
     """From one row per dimension and the sample."""
     tops = {r.dim: r.top for r in stored.groupBy("dim").agg(F.max("square").alias("top")).collect()}
-    rows = smallest_hashes(stored, sample, "id").collect()
+    rows = smallest_hashes(stored, sample, "id", "row").collect()
     found = {}
     for dim, top in tops.items():
         own = [r for r in rows if r.dim == dim]
         matrix = np.frombuffer(b"".join(r.v for r in own), np.int64).reshape(-1, dim)
-        found[dim] = Space(np.array([r.id for r in own], np.int64), matrix, top)
+        found[dim] = Space(np.array([r.row for r in own], np.int64), matrix, top)
     return found
 
 
@@ -106,7 +107,7 @@ def _matrix(batch: pa.RecordBatch, rows: np.ndarray, dim: int, column: str = "v"
 
 
 def index(stored: DataFrame, known: dict[int, Space], block: int = BLOCK) -> DataFrame:
-    """The annuli: ``(cell, low, high, ids, rows)`` with at most ``block`` vectors in order of distance."""
+    """The annuli: ``(cell, low, high, own, ids, rows)`` with at most ``block`` vectors in order of distance."""
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = np.asarray(batch.column("dim"))
@@ -117,27 +118,28 @@ def index(stored: DataFrame, known: dict[int, Space], block: int = BLOCK) -> Dat
                     far = space.from_pivots(space.lifted(_matrix(batch, on, dim)))
                     cell[on], distance[on] = far.argmin(1), far.min(1)
                 cell[on] += dim * PIVOTS
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "dim", "v")), pa.array(cell), pa.array(distance)], names=["id", "dim", "v", "cell", "distance"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "v")), pa.array(cell), pa.array(distance)], names=["row", "id", "v", "cell", "distance"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            row = (held[0][0], held[0][1], held[-1][1], np.array([h[2] for h in held], np.int64).tobytes(), b"".join(h[3] for h in held))
+            own, ids = (np.array([h[c] for h in held], np.int64).tobytes() for c in (2, 3))
+            row = (held[0][0], held[0][1], held[-1][1], own, ids, b"".join(h[4] for h in held))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["cell", "low", "high", "ids", "rows"])
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["cell", "low", "high", "own", "ids", "rows"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "distance", "id", "v"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "distance", "row", "id", "v"))):
                 if held and (row[0] != held[0][0] or len(held) >= block):
                     yield out()
                 held.append(row)
         if held:
             yield out()
 
-    keys = stored.select("id", "dim", "v").mapInArrow(keyed, "id bigint, dim int, v binary, cell bigint, distance double")
-    ordered = keys.repartitionByRange("cell", "distance", "id").sortWithinPartitions("cell", "distance", "id")
-    return ordered.mapInArrow(blocks, "cell bigint, low double, high double, ids binary, rows binary")
+    keys = stored.select("row", "id", "dim", "v").mapInArrow(keyed, "row bigint, id bigint, v binary, cell bigint, distance double")
+    ordered = keys.repartitionByRange("cell", "distance", "row").sortWithinPartitions("cell", "distance", "row")
+    return ordered.mapInArrow(blocks, "cell bigint, low double, high double, own binary, ids binary, rows binary")
 
 
 def tiles(queries: DataFrame, known: dict[int, Space], k: int, tile: int = TILE) -> DataFrame:
@@ -152,20 +154,20 @@ def tiles(queries: DataFrame, known: dict[int, Space], k: int, tile: int = TILE)
                 all_rows, space = np.flatnonzero(dims == dim), known[dim]
                 for a in range(0, len(all_rows), tile):
                     on = all_rows[a : a + tile]
-                    ids, rows = np.asarray(batch.column("id"))[on], _matrix(batch, on, dim)
+                    own, ids, rows = np.asarray(batch.column("row"))[on], np.asarray(batch.column("id"))[on], _matrix(batch, on, dim)
                     limits = np.full(len(on), -np.inf)
                     if len(space.rows) > k:
                         scores = products(rows, space.rows).astype(np.float64)
-                        scores[ids[:, None] == space.ids[None, :]] = -np.inf
+                        scores[own[:, None] == space.own[None, :]] = -np.inf
                         limits = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
                     middle, reach, _ = _reach(space, rows, limits)
                     for pivot in range(max(1, len(space.pivots))):
                         near, far = (middle[:, pivot] - reach).min(), (middle[:, pivot] + reach).max()
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([x]) for x in (dim * PIVOTS + pivot, float(near), float(far), float(middle[:, pivot].mean()), dim, ids.tobytes(), rows.tobytes(), limits.tobytes())],
-                            names=["cell", "near", "far", "middle", "dim", "queries", "query_rows", "limits"])
+                            [pa.array([x]) for x in (dim * PIVOTS + pivot, float(near), float(far), float(middle[:, pivot].mean()), dim, own.tobytes(), ids.tobytes(), rows.tobytes(), limits.tobytes())],
+                            names=["cell", "near", "far", "middle", "dim", "queries", "query_ids", "query_rows", "limits"])
 
-    return queries.mapInArrow(run, "cell bigint, near double, far double, middle double, dim bigint, queries binary, query_rows binary, limits binary")
+    return queries.mapInArrow(run, "cell bigint, near double, far double, middle double, dim bigint, queries binary, query_ids binary, query_rows binary, limits binary")
 
 
 def _reach(space: Space, rows: np.ndarray, limits: np.ndarray):
@@ -189,6 +191,7 @@ def search(vectors: DataFrame, is_query: str, key: str = "vec_id", embedding: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit: dict[int, float] = {}
+        named: dict[int, int] = {}
         pool = [np.zeros(0, np.int64)] * 3
 
         def reduced(pool):
@@ -201,8 +204,10 @@ def search(vectors: DataFrame, is_query: str, key: str = "vec_id", embedding: st
 
         for batch in batches:
             for i in range(batch.num_rows):
-                cell, low, high, dim, ids, rows, queries, query_rows, limits = (batch.column(c)[i].as_py() for c in ("cell", "low", "high", "dim", "ids", "rows", "queries", "query_rows", "limits"))
-                ids, queries, limits = np.frombuffer(ids, np.int64), np.frombuffer(queries, np.int64), np.frombuffer(limits)
+                cell, low, high, dim, rows, query_rows, limits = (batch.column(c)[i].as_py() for c in ("cell", "low", "high", "dim", "rows", "query_rows", "limits"))
+                own, ids, queries, query_ids = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in ("own", "ids", "queries", "query_ids"))
+                limits = np.frombuffer(limits)
+                named.update(zip(queries.tolist(), query_ids.tolist()))
                 rows, query_rows = (np.frombuffer(x, np.int64).reshape(-1, dim) for x in (rows, query_rows))
                 limits = np.maximum(limits, [limit.get(q, -np.inf) for q in queries.tolist()])
                 middle, reach, _ = _reach(known[dim], query_rows, limits)
@@ -211,13 +216,14 @@ def search(vectors: DataFrame, is_query: str, key: str = "vec_id", embedding: st
                 if not len(on):
                     continue
                 scores = products(query_rows[on], rows)
-                q, v = np.nonzero((scores >= limits[on, None]) & (ids[None, :] != queries[on, None]))
+                q, v = np.nonzero((scores >= limits[on, None]) & (own[None, :] != queries[on, None]))
                 pool = [np.concatenate(x) for x in zip(pool, (queries[on[q]], ids[v], scores[q, v]))]
                 pool = reduced(pool)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in pool], names=["query_id", "vec_id", "score"])
+        ids = np.array([named[q] for q in pool[0].tolist()], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pool[0], ids, *pool[1:])], names=["row", "query_id", "vec_id", "score"])
 
     met = annuli.join(asked, "cell").filter("high >= near and low <= far")
     outward = met.sortWithinPartitions(F.greatest(F.col("low") - F.col("middle"), F.col("middle") - F.col("high"), F.lit(0.0)))
-    found = outward.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = outward.mapInArrow(run, "row bigint, query_id bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

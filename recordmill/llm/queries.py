@@ -105,13 +105,13 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op3_topk"] = """
 with v as (
-    select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
+    select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
     where vec_id is not null and embedding is not null and len(embedding) > 0
         and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-    select q.vec_id as query_id, v.vec_id, cast(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) as bigint) as score
-    from v q join v on q.vec_id <> v.vec_id and len(q.e) = len(v.e) where q.vec_id % 100 = 0
-), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+    select q.r as asked, q.vec_id as query_id, v.vec_id, cast(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) as bigint) as score
+    from v q join v on q.r <> v.r and len(q.e) = len(v.e) where q.vec_id % 100 = 0
+), r as (select *, row_number() over (partition by asked order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10
 """
 
