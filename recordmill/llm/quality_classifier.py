@@ -10,7 +10,9 @@ these counts turns raw scores into shares of good documents.
 Defined results: null and empty texts are scored like any other (all statistics zero);
 rows with no id are scored but never learned from; several labels of one id are averaged;
 repeated rows get equal scores; without labelled rows every score is 1, as nothing speaks
-against a document. Columns named ``features`` or ``score`` are replaced, others kept.
+against a document; if no labelled row is set aside for calibration, half of the distinct rows
+are, and if they are too few even for that, every score is the mean label. Columns named
+``features`` or ``score``, whatever the case of their letters, are replaced, others kept.
 """
 
 from __future__ import annotations
@@ -100,10 +102,13 @@ def fit(rows: DataFrame, target: str = "target", part: str = "part", features: s
     ``rows`` is read three times and should be a stored table without texts.
     """
     width = len(SHAPE_NAMES)
+    held = {r[0]: r[1] for r in rows.groupBy(part).count().collect()}
+    if held and len(held) < 2:
+        rows = rows.withColumn(part, (F.xxhash64(features) % 2 != 0).cast("int"))
     fitting = rows.filter(F.col(part) == 0)
     moments = fitting.select(F.count("*"), *(f(F.col(features)[i]) for i in range(width) for f in (F.avg, F.stddev_pop))).first()
     if not moments[0]:
-        return None
+        return _even(rows, target) if held else None
     mean, scale = (np.array(moments[k::2], float) for k in (1, 2))
     model = Model(mean, np.where(scale > 1e-9, scale, 1.0))
 
@@ -128,8 +133,18 @@ def fit(rows: DataFrame, target: str = "target", part: str = "part", features: s
 
     counted = add_in_arrow(rows.filter(F.col(part) == 1).select(features, target), "step bigint", steps)
     counts = counted.groupBy("step").agg(F.count("*").alias("n"), F.sum(target).alias("good")).collect()  # at most STEPS rows
-    if counts:
-        model.levels = isotonic({r.step: (r.n, r.good) for r in counts})
+    if not counts:
+        return _even(rows, target)
+    model.levels = isotonic({r.step: (r.n, r.good) for r in counts})
+    return model
+
+
+def _even(rows: DataFrame, target: str) -> Model:
+    """Gives every text the mean label."""
+    width = len(SHAPE_NAMES)
+    model = Model(np.zeros(width), np.ones(width))
+    model.weights = np.zeros(1 + width + len(model.phases))
+    model.levels = np.full(STEPS, rows.agg(F.avg(target)).first()[0])
     return model
 
 
