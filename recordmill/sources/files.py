@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,12 +49,41 @@ def read_text_folder(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_text_folder(docs: DataFrame, path: str) -> None:
-    """One ``.txt`` file per row of ``doc_type, text`` under its plural folder."""
+    """One ``.txt`` file per row of ``doc_type, text`` under its plural folder; earlier files stay.
+
+    On a folder of the local file system, mounted alike on every machine, tasks write their files themselves: there Hadoop's client
+    starts a process for the permissions of every file and its checksum, and the driver moves the files one by one in the end.
+    """
     folder = F.lit(None).cast("string")
     for name, doc_type in FOLDER_TYPES.items():
         folder = F.when(F.col("doc_type") == doc_type, F.lit(name)).otherwise(folder)
-    docs.select(folder.alias("folder"), "text").filter("folder is not null").write.partitionBy("folder").option(
-        "maxRecordsPerFile", 1).mode("append").text(path)
+    rows = docs.select(folder.alias("folder"), "text").filter("folder is not null")
+    spark = docs.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = store.makeQualified(target).toUri()
+    if uri.getScheme() != "file":
+        rows.write.partitionBy("folder").option("maxRecordsPerFile", 1).mode("append").text(path)
+        return
+    root, write = uri.getPath(), uuid.uuid4().hex
+    store.mkdirs(target)
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get(), 0
+        for folder in FOLDER_TYPES:
+            os.makedirs(f"{root}/folder={folder}", exist_ok=True)
+        for batch in batches:
+            for folder, text in zip(batch.column("folder").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                # a repeated task writes the same names, and nobody sees half a file
+                name = f"part-{task.partitionId():05d}-{write}-{number:08d}.txt"
+                hidden = f"{root}/folder={folder}/.{name}.{task.taskAttemptId()}"
+                with open(hidden, "wb") as out:
+                    out.write((text or b"") + b"\n")
+                os.replace(hidden, f"{root}/folder={folder}/{name}")
+                number += 1
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64())], names=["files"])
+
+    rows.mapInArrow(save, "files bigint").write.format("noop").mode("overwrite").save()
 
 
 def write_run(results: DataFrame, path: str) -> None:

@@ -173,6 +173,19 @@ def test_text_folder(spark, tmp_path):
     assert got == {"b.txt": ("invoice", True, "one\ntwo"), "a b.txt": ("invoice", True, "é"), "c.txt": ("email", False, None)}
 
 
+def test_text_folder_is_written_file_by_file_without_checksums(spark, tmp_path):
+    docs = spark.createDataFrame(pa.table({"doc_type": ["invoice", "invoice", "email", "memo", "resume"], "text": ["é\r\nb", None, "", "x", "y"]}))
+    path = str(tmp_path / "folder")
+    files.write_text_folder(docs.filter("false"), path)
+    assert files.read_text_folder(spark, path).count() == 0
+    files.write_text_folder(docs, path)
+    files.write_text_folder(docs.filter("doc_type = 'email'"), f"file:{path}")
+    got = sorted((r["doc_type"], r["text"]) for r in files.read_text_folder(spark, path).collect())
+    assert got == [("email", "\n"), ("email", "\n"), ("invoice", "\n"), ("invoice", "é\nb\n"), ("resume", "y\n")]
+    # a checksum file beside each text shows Hadoop's local client, which starts processes for every file
+    assert not [p for p in (tmp_path / "folder").rglob(".*.txt*")] and len(list((tmp_path / "folder").rglob("*.txt"))) == 5
+
+
 def test_gate_order_and_ids(spark):
     rows = spark.createDataFrame(pa.table({
         "filename": ["a.pdf", "a.txt", "a.txt", None, None], "text": ["", "x", " ", "x", "x"],
