@@ -96,7 +96,7 @@ def replay(docs: DataFrame, responses: DataFrame | KeyedAnswers, order: str | No
     """Stored model responses instead of calls; a document without one is a failed call.
 
     Of several answers to one id the one with the greatest ``order`` counts, without an
-    order the greatest answer; they are combined before the exchange. Of answers laid out by key
+    order the greatest answer. Of answers laid out by key
     only those to the ids of ``docs`` are read.
     """
     if isinstance(responses, KeyedAnswers):
@@ -124,14 +124,14 @@ class KeyedAnswers:
         self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
         self.schema = f"doc_id {key_type}, {', '.join(self.ANSWER)}, part int"
 
-    def _part(self, key: str = "doc_id") -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.parts)).cast("int")
+    def _part(self) -> Column:
+        return part_of(self.parts)
 
     def write(self, responses: DataFrame, order: str | None = None) -> KeyedAnswers:
         """Store ``responses``, the newest of each id by ``order``; ids are not null."""
-        newest = _newest_answers(responses.filter("doc_id is not null"), order).withColumn("part", self._part())
-        newest.repartition(self.parts, "part").sortWithinPartitions("part", "doc_id").write.mode("overwrite").option(
-            "partitionOverwriteMode", "static").partitionBy("part").parquet(self.path)
+        newest = _newest_answers(responses, order, self.parts)
+        newest.sortWithinPartitions("part", "doc_id").write.mode("overwrite").options(
+            partitionOverwriteMode="static", compression="zstd").partitionBy("part").parquet(self.path)
         return self
 
     def of(self, docs: DataFrame) -> DataFrame:
@@ -145,11 +145,24 @@ class KeyedAnswers:
         return stored.drop("part").join(asked, "doc_id", "left_semi")
 
 
-def _newest_answers(responses: DataFrame, order: str | None) -> DataFrame:
-    """``doc_id`` and the answer with the greatest ``order`` (without an order the greatest answer), combined before the exchange."""
+def part_of(parts: int) -> Column:
+    """The folder of an id, of ``parts`` folders."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+
+
+def _newest_answers(responses: DataFrame, order: str | None, parts: int | None = None) -> DataFrame:
+    """``doc_id`` and the answer with the greatest ``order`` (without an order the greatest answer); answers to no id are left out.
+
+    Answers are texts, which are compared in sorted order. So they are dealt out by id first and sorted once, in parts of an
+    exchange's size, instead of in the parts the input happens to have, where they would be sorted and spilled again.
+    """
     answer = F.struct("raw_output", "prompt_tokens", "completion_tokens", "call_error")
     last = F.max(answer) if order is None else F.max_by(answer, F.struct(F.col(order), answer))
-    return responses.groupBy("doc_id").agg(last.alias("_last")).select("doc_id", "_last.*")
+    known = responses.filter("doc_id is not null")
+    if parts is None:
+        return known.repartition("doc_id").groupBy("doc_id").agg(last.alias("_last")).select("doc_id", "_last.*")
+    dealt = known.withColumn("part", part_of(parts)).repartition(parts, "part")
+    return dealt.groupBy("part", "doc_id").agg(last.alias("_last")).select("doc_id", "_last.*", "part")
 
 
 def with_outcome(responses: DataFrame) -> DataFrame:

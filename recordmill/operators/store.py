@@ -31,9 +31,9 @@ class LatestTable:
     an older submission that arrives late changes nothing; a row without an order is older than any other.
     Rows without a key stand for themselves and all count.
 
-    The files of every batch are bucketed and sorted by the key (``buckets`` is fixed when a table is made). Only new rows are
-    exchanged, when they are written: versions are compared, and keys looked up, where the rows are. ``compact``
-    writes what counts to a new table now and then. The table is known to the session's catalogue under a name made of its path; a
+    The files of every batch are bucketed and sorted by the key (``buckets`` is fixed when a table is made). New rows go
+    to the buckets from where they were made, without an exchange, so a task writes a file for each bucket that it has rows of; versions
+    are compared, and keys looked up, where the rows are. ``compact`` writes what counts to a new table now and then, a file for each bucket. The table is known to the session's catalogue under a name made of its path; a
     new session declares it again over the same files.
     """
 
@@ -45,7 +45,7 @@ class LatestTable:
         columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
         if spark.catalog.tableExists(self.name):
             return
-        spark.sql(f"CREATE TABLE {self.name} ({columns}, batch string) USING parquet PARTITIONED BY (batch)"
+        spark.sql(f"CREATE TABLE {self.name} ({columns}, batch string) USING parquet OPTIONS (compression 'zstd') PARTITIONED BY (batch)"
                   f" CLUSTERED BY ({quoted(key)}) SORTED BY ({quoted(key)}) INTO {buckets} BUCKETS LOCATION {quote(self.path)}")
         # files of an earlier session; the folder has to be there to be searched
         files, folder = self._folder()
@@ -56,7 +56,7 @@ class LatestTable:
         """Write one batch; one that is there already is replaced. Batch names are compared as text."""
         if not re.fullmatch(r"[\w.-]+", batch):
             raise ValueError("a batch is named by letters, digits, points, hyphens and underscores")
-        new = rows.select(*map(quoted, self.schema.names), F.lit(batch).alias("batch")).repartition(self.buckets, quoted(self.key))
+        new = rows.select(*map(quoted, self.schema.names), F.lit(batch).alias("batch"))
         # overwriting by partitions replaces nothing if there are no new rows, so a batch that comes again empty is taken away
         again = not self.spark.sql(f"SHOW PARTITIONS {self.name} PARTITION (batch = {quote(batch)})").isEmpty()
         if again and new.isEmpty():
@@ -92,7 +92,7 @@ class LatestTable:
     def compact(self, path: str) -> LatestTable:
         """A table at ``path`` with the rows that count as its first batch."""
         other = LatestTable(self.spark, path, self.key, self.order, self.schema, self.buckets)
-        other.append(self.read(), "0")
+        other.append(self.read().repartition(self.buckets, quoted(self.key)), "0")
         return other
 
 

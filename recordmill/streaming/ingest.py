@@ -86,20 +86,22 @@ def ingest(
 
     The stream has the store's key and order, and ``transform`` carries both to its results. Submissions older than
     one that came before are dropped first (:func:`newest_only`); of several of one key in a batch the last is
-    transformed. Rows without a key stand for themselves: each is transformed and kept. What a batch lets pass is written
-    once, so ``transform`` may read it as often as it likes. A batch repeated after a failure replaces its own rows.
+    transformed. Rows without a key stand for themselves: each is transformed and kept. What is left of a batch is written
+    once, so ``transform`` may read it as often as it likes, and deleted when its results are stored. A batch repeated after a failure replaces its own rows.
     """
     spark: SparkSession = stream.sparkSession
 
     def one_batch(batch: DataFrame, number: int) -> None:
         path = scratch_path(spark, "microbatch")
-        batch.write.parquet(path)
-        rows = last_per_key(spark.read.schema(batch.schema).parquet(path), store.key, store.order)
-        results = transform(rows)
+        last_per_key(batch, store.key, store.order).write.option("compression", "zstd").parquet(path)
+        results = transform(spark.read.schema(batch.schema).parquet(path))
         missing = {store.key, store.order} - set(results.columns)
         if missing:
             raise ValueError(f"transform has to carry {sorted(missing)}")
         store.append(results, f"{number:012d}")
+        # the batch is in the store; a stream must not leave a copy of all that went through it
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     fresh = newest_only(stream, store.key, store.order, buckets)
     writer = fresh.writeStream.outputMode("update").foreachBatch(one_batch).option("checkpointLocation", checkpoint)

@@ -658,7 +658,7 @@ def _(spark, sf):
     stale = current.filter("k % 7 = 0 and version is not null").withColumns({"text": F.lit("stale"), "version": F.lit(1)})
     nameless = current.filter("k % 17 = 3").withColumns({"doc_id": F.lit(None).cast("string"), "text": F.lit("submitted without an id")})
     for rows in (current, current.filter("k % 5 = 0").unionByName(nameless), stale):
-        rows.write.mode("append").parquet(source)
+        rows.write.mode("append").option("compression", "zstd").parquet(source)
     stream = spark.readStream.schema(current.schema).option("maxFilesPerTrigger", 32).parquet(source)
     answers = extraction.KeyedAnswers(spark, scratch_path(spark, "answers")).write(fx.responses(spark, sf))
     run_id, at, provider = fx.RUNS[0]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import sys
+from pathlib import Path
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pytest
@@ -292,6 +294,35 @@ def test_refused_prompts_cost_no_others(spark, tmp_path):
     assert {r["status"] for r in again.collect()} == {"success"}
 
 
+def test_a_stream_leaves_no_copies_and_its_results_are_not_exchanged_again(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i % 40), i, "t" * 50) for i in range(80)], "id string, n int, text string")
+    store = LatestTable(spark, str(tmp_path / "out"), "id", "n", rows.schema)
+    rows.write.parquet(str(tmp_path / "in"))
+    left = []
+
+    def transform(batch):
+        left.extend(f for f in batch.inputFiles())
+        return batch
+
+    ingest(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), transform, store, str(tmp_path / "cp"), buckets=3).awaitTermination()
+    assert left and not [f for f in left if Path(unquote(f.removeprefix("file:"))).exists()]
+    assert sorted(map(tuple, store.read().collect())) == sorted((str(i % 40), i, "t" * 50) for i in range(40, 80))
+    # several tasks write to their buckets, and these are still read without an exchange
+    store.append(rows.repartition(4), "later")
+    plan = store.read()._jdf.queryExecution().executedPlan().toString()
+    assert len(list((tmp_path / "out" / "batch=later").glob("*.parquet"))) > store.buckets and "Exchange hashpartitioning" not in plan
+
+
+def test_stored_answers_are_exchanged_and_sorted_once(spark):
+    rows = spark.createDataFrame([("a", "x", 1, 1, None), ("a", "y", 1, 1, None), (None, "z", 1, 1, None)],
+                                 "doc_id string, raw_output string, prompt_tokens bigint, completion_tokens bigint, call_error string")
+    got = replay(spark.createDataFrame([("a",), ("b",), (None,)], "doc_id string"), rows)
+    assert sorted(((r["doc_id"], r["raw_output"], r["call_error"]) for r in got.collect()), key=str) == [
+        ("a", "y", None), ("b", None, "no response"), (None, None, "no response")]
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Aggregate") < plan.index("RepartitionByExpression" if "RepartitionByExpression" in plan else "REPARTITION")
+
+
 def test_stream_keeps_what_has_no_key_or_version(spark, tmp_path):
     schema = "id string, n int, text string"
     store = LatestTable(spark, str(tmp_path / "out"), "id", "n", spark.createDataFrame([], schema).schema)
