@@ -27,6 +27,9 @@ RESULT_SCHEMA = """
     cost_usd double, use_retrieval boolean, context_words bigint, run_id string
 """
 
+# text files are packed, quickly; readers unpack them by their names
+_PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+
 
 def read_text_folder(spark: SparkSession, root: str) -> DataFrame:
     """One row per ``*.txt`` file in the known type folders of ``root``.
@@ -90,7 +93,8 @@ def write_run(results: DataFrame, path: str) -> None:
     """Add a run to the results table. Earlier runs stay; repeating a run replaces only itself."""
     seen = Observation()
     results.observe(seen, F.collect_set("run_id").alias("ids")).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+        "partitionOverwriteMode", "dynamic").option(
+        "compression", "zstd").partitionBy("run_id").parquet(path)
     # one row per run written, so that nobody has to look through the runs for their names
     ids = F.array(*map(F.lit, seen.get["ids"])).cast("array<string>")
     results.sparkSession.range(1).select(F.explode(ids).alias("run_id")).write.mode("append").parquet(_names(path))
@@ -112,14 +116,14 @@ def latest_run(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json(results: DataFrame, path: str) -> None:
-    """Result documents as JSON lines by run, nulls written out."""
-    results.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("run_id").json(path)
+    """Result documents as JSON lines by run, nulls written out, in files packed by gzip: names and messages repeat in every line."""
+    results.write.mode("overwrite").option("ignoreNullFields", "false").options(**_PACKED).partitionBy("run_id").json(path)
 
 
 def read_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Result documents from JSON lines, or from one document per file with ``multi_line``."""
+    """Result documents from JSON lines, plain or packed by gzip, or from one document per file with ``multi_line``."""
     return spark.read.schema(RESULT_SCHEMA).option("multiLine", multi_line).option(
-        "pathGlobFilter", "*.json").json(path)
+        "pathGlobFilter", "*.json{,.gz}").json(path)
 
 
 def batch_csv(results: DataFrame) -> DataFrame:
@@ -145,4 +149,4 @@ def batch_csv(results: DataFrame) -> DataFrame:
 
 
 def write_csv(results: DataFrame, path: str) -> None:
-    batch_csv(results).write.mode("overwrite").option("header", True).csv(path)
+    batch_csv(results).write.mode("overwrite").option("header", True).options(**_PACKED).csv(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import sys
 from pathlib import Path
@@ -136,6 +137,24 @@ def test_written_files_come_back(results, spark, tmp_path):
     assert rows["e1.txt"]["validation_passed"] == "True" and rows["e2.txt"]["avg_confidence"] == "N/A"
 
 
+def test_result_texts_are_packed_and_plain_ones_are_read(results, spark, tmp_path):
+    path = tmp_path / "json"
+    files.write_json(results, str(path))
+    files.write_csv(results, str(tmp_path / "csv"))
+    files.write_run(results, str(tmp_path / "runs"))
+    written = [f.name for d in ("json", "csv") for f in (tmp_path / d).rglob("part-*")]
+    assert written and all(n.endswith((".json.gz", ".csv.gz")) for n in written)
+    assert all(".zstd." in f.name for f in (tmp_path / "runs").rglob("part-*"))
+    # rows go to the files of their run without being sorted first
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "16"
+    one = next(path.rglob("part-*.json.gz"))
+    one.with_suffix("").write_bytes(gzip.decompress(one.read_bytes()))
+    one.unlink()
+    (one.parent / "notes.jsonx").write_text("x")
+    assert sorted(r[0] for r in files.read_json(spark, str(path)).select("doc_id").collect()) == sorted(
+        r[0] for r in results.select("doc_id").collect())
+
+
 def test_report_is_in_order_in_one_file_or_many(results, spark, tmp_path):
     def written(name, one_file):
         reports.write_report(results, str(tmp_path / name), one_file)
