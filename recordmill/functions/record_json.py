@@ -45,6 +45,11 @@ def _kind(value: str) -> str:
     return f"coalesce(schema_of_variant({value}), 'MISSING')"
 
 
+def _list_kind(value: str) -> str:
+    """MISSING, VOID or OTHER: naming the type of a list would merge the types of all its elements."""
+    return f"case when {value} is null then 'MISSING' when is_variant_null({value}) then 'VOID' else 'OTHER' end"
+
+
 def _as(value: str, type_name: str) -> str:
     return f"try_variant_get({value}, '$', '{type_name}')"
 
@@ -102,7 +107,7 @@ def _judged(value: str, fields: list[Field], fold) -> str:
 
     children = struct([f"try_variant_get({value}, '$.{f.name}', 'variant')" for f in fields])
     return let_sql(children, lambda c: let_sql(
-        struct([_kind(f"{c}.{f.name}") for f in fields]),
+        struct([(_list_kind if f.kind.startswith("list<") else _kind)(f"{c}.{f.name}") for f in fields]),
         lambda k: let_sql(struct([coerced(f, c, k) for f in fields]), lambda x: fold(k, x))))
 
 
@@ -122,6 +127,9 @@ def _element(value: str, inner: str) -> str:
         return let_sql(_kind(value), lambda k: _coerced(value, k, inner))
     fields = NESTED[inner]
     members = _judged(value, fields, lambda k, x: f"if({_all_fit(fields, k, x)}, {x}, null)")
+    if any(f.presence == "req" for f in fields):
+        # only an object has members, and without the required ones nothing fits
+        return members
     return f"if({is_object_sql(value)}, {members}, null)"
 
 

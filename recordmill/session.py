@@ -20,6 +20,8 @@ _RUNTIME_CONF = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # rows may hold whole blocks of vectors
     "spark.sql.execution.arrow.maxBytesPerBatch": "33554432",
+    # rows for a few partitions go to a few open files; without this every wide row is sorted by its partition first
+    "spark.sql.maxConcurrentOutputFileWriters": "16",
     # only the partitions present in the written data are replaced
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 import pytest
@@ -131,3 +132,14 @@ def test_signed_nan_is_a_number(spark):
     for value in ("nan", "+nan", "-NaN"):
         record = gated(spark, [json.dumps({**INVOICE, "total_amount": value})])[0]["record"]
         assert record["total_amount"] != record["total_amount"]
+
+
+def test_lists_are_judged_without_naming_the_types_of_their_elements(spark):
+    assert ".line_items)" not in re.sub(r"is_variant_null\([^)]*\)|try_variant_get\([^)]*\)", "", rj.gate_sql("j", "invoice"))
+    lists = [[LINE], [], [5], [[LINE]], ["x"], [None], [{}], 5, None, {}, "x"]
+    found = gated(spark, [json.dumps({**INVOICE, "line_items": v}) for v in lists])
+    assert [g["record"] is not None for g in found] == [True, True] + [False] * 9
+    assert [[(e["field"], e["error"]) for e in g["errors"]] for g in found] == [[], []] + [
+        [("line_items", "null" if v is None else "type")] for v in lists[2:]]
+    resumes = gated(spark, [json.dumps({"name": "n", "education": v}) for v in ([{}], [5], [None], ["x"], None)] + ['{"name":"n"}'], "resume")
+    assert [g["record"] is not None for g in resumes] == [True, False, False, False, False, True]
