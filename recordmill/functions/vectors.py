@@ -22,8 +22,8 @@ from recordmill.functions.text import let_sql
 # scores closer than this many digits count as tied, so that units in the last
 # place never decide an order
 RANK_DIGITS = 9
-# words whose buckets a task remembers before it starts over
-_KNOWN_WORDS = 1_000_000
+# words whose buckets a task remembers before it starts over; every core of an executor holds so many, about 100 bytes each
+_KNOWN_WORDS = 100_000
 
 
 def word_buckets_sql(words: str, dim: int = EMBEDDING_DIM) -> str:
