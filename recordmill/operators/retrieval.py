@@ -197,17 +197,27 @@ class _Heaps:
 
     def add(self, scores: np.ndarray, ids: pa.Array) -> None:
         """``scores``: a row for each id, a column for each query."""
-        keys = np.round(scores, RANK_DIGITS)
-        keys[np.isnan(keys)] = -np.inf
-        least = self.worst
-        if len(keys) > self.k:
-            # everything tied with the k-th key stays until ids decide
-            least = np.maximum(least, np.partition(keys, -self.k, axis=0)[-self.k])
-        query, row = np.nonzero(((keys >= least) & (keys > -np.inf)).T)
+        # once limits are known few scores come near them; only these are rounded and kept
+        row, query = np.nonzero(scores >= self.worst - 10.0 ** -RANK_DIGITS) if np.isfinite(self.worst).any() else (None, None)
+        if row is not None and len(row) <= self.k * len(self.worst):
+            keys = np.round(scores[row, query], RANK_DIGITS)
+            kept = keys >= self.worst[query]
+            row, query, keys = row[kept], query[kept], keys[kept]
+            full = False
+        else:
+            rounded = np.round(scores, RANK_DIGITS)
+            rounded[np.isnan(rounded)] = -np.inf
+            least = self.worst
+            if len(rounded) > self.k:
+                # everything tied with the k-th key stays until ids decide
+                least = np.maximum(least, np.partition(rounded, -self.k, axis=0)[-self.k])
+            query, row = np.nonzero(((rounded >= least) & (rounded > -np.inf)).T)
+            keys = rounded[row, query]
+            full = True
         if len(query):
-            self.kept.append(pa.table({"query": query, "key": keys[row, query], "id": ids.take(pa.array(row)), "score": scores[row, query]}))
+            self.kept.append(pa.table({"query": query, "key": keys, "id": ids.take(pa.array(row)), "score": scores[row, query]}))
             self.size += len(query)
-            if self.size > 4 * self.k * len(self.worst):
+            if full or self.size > 4 * self.k * len(self.worst):
                 self.settle()
 
     def settle(self) -> pa.Table | None:

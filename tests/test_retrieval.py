@@ -252,3 +252,25 @@ def test_a_batch_that_comes_out_empty_takes_its_rows_away(spark, tmp_path):
     spark.sql(f"DROP TABLE {kept.name}")
     again = store.LatestTable(spark, str(tmp_path / "s"), "filename", "version", SCHEMA)
     assert [tuple(r) for r in again.read().collect()] == [("a", 1, 1)]
+
+
+def test_few_scores_are_sorted_once_limits_are_known(monkeypatch):
+    rng = np.random.default_rng(5)
+    scores = np.round(rng.random((40 * 50, 8)), 2)
+    scores[:, 7] = np.nan
+    partitions = []
+    whole = np.partition
+    monkeypatch.setattr(retrieval.np, "partition", lambda *a, **k: partitions.append(1) or whole(*a, **k))
+    heaps = retrieval._Heaps(8, 3)
+    for start in range(0, len(scores), 50):
+        heaps.add(scores[start:start + 50], pa.array(range(start, start + 50)))
+    found = heaps.settle().to_pydict()
+    wanted = [(q, float(scores[i, q]), i) for q in range(7) for i in sorted(range(len(scores)), key=lambda i: (-scores[i, q], i))[:3]]
+    assert list(zip(found["query"], found["score"], found["id"])) == wanted
+    assert len(partitions) < 20
+
+
+def test_a_task_remembers_few_words():
+    known: dict = {}
+    hashed_matrix([" ".join(f"w{i}" for i in range(start, start + 50_000)) for start in range(0, 300_000, 50_000)], 8, known)
+    assert len(known) <= 100_000
