@@ -259,10 +259,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = CONTEXT_TOP_K, id_co
     else:
         wanted = _blocks(asked.repartition(blocks), "query_id", None).withColumnsRenamed(named).withColumn("query_part", F.spark_partition_id())
         stored = _written(stored, "vector_blocks")
-        parts = max(1, -(-stored.count() // cell))
+        # a cell is much work on few bytes, so cells are tasks by number; small tables are cut finer, to give every core some
+        held = stored.count()
+        parts = max(1, -(-held // cell), min(held, -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // blocks)))
+        keys = ["part", "query_part", "width"]
         dealt = stored.withColumn("part", F.pmod(F.xxhash64("matrix"), F.lit(parts)).cast("int")).withColumn(
-            "query_part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        met = dealt.join(_written(wanted, "query_blocks").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["part", "query_part", "width"])
+            "query_part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(parts * blocks, *keys).sortWithinPartitions(*keys)
+        met = dealt.join(_written(wanted, "query_blocks").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts * blocks, *keys), keys)
     number = {c: "<f4" if df.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8" for c, df in (("matrix", vectors), ("wanted", queries))}
     names = ["part", "query_id", id_column, "_score", "_key"]
 

@@ -274,3 +274,14 @@ def test_a_task_remembers_few_words():
     known: dict = {}
     hashed_matrix([" ".join(f"w{i}" for i in range(start, start + 50_000)) for start in range(0, 300_000, 50_000)], 8, known)
     assert len(known) <= 100_000
+
+
+def test_cells_of_the_grid_are_tasks_by_number(spark):
+    rows = spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    asked = rows.withColumnRenamed("vec_id", "query_id")
+    grid = retrieval.search(rows, asked, k=3, id_column="vec_id", block=16, query_block=100, cell=4)
+    one = retrieval.search(rows, asked, k=3, id_column="vec_id")
+    order = ["query_id", "rank"]
+    assert grid.sort(*order).collect() == one.select(grid.columns).sort(*order).collect()
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
