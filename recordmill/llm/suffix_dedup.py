@@ -102,43 +102,43 @@ _NUL = bytes.maketrans(b"\x00\xff", b"\xff\x00")
 
 
 def repeated_in_shards(pieces: DataFrame, match: int = MATCH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Ranges of starts that repeat in the distinct fragments ``(key, content, piece)``: ``(key, content, low, high)``.
+    """Spans that repeat in the distinct fragments ``(key, piece, many)`` of the texts ``_a, _b`` at ``at``: ``(_a, _b, s)``.
 
-    Fragments marked ``many`` repeat as a whole: they take part in the order, but their own ranges are not given.
+    Fragments marked ``many`` repeat as a whole: they take part in the order, but their own spans are not given.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory(prefix="shard-") as folder:
-            keys, contents, marks, ends = [], [], [], [np.zeros(1, np.int64)]
+            first, second, starts, marks, ends = [], [], [], [], [np.zeros(1, np.int64)]
             path = Path(folder) / "text"
             with path.open("wb") as file:
                 for batch in batches:
                     own = batch.column("piece").to_pylist()
-                    keys.append(np.asarray(batch.column("key")))
-                    contents.append(np.asarray(batch.column("content")))
-                    marks.append(batch.column("many").to_numpy(zero_copy_only=False) if "many" in batch.schema.names else np.zeros(batch.num_rows, bool))
+                    for column, parts in (("_a", first), ("_b", second), ("at", starts)):
+                        parts.append(np.asarray(batch.column(column)))
+                    marks.append(batch.column("many").to_numpy(zero_copy_only=False))
                     ends.append(np.cumsum([len(p) + 1 for p in own]) + ends[-1][-1])
                     file.write(b"".join(p.translate(_NUL) + b"\x00" for p in own))
-            if not keys:
+            if not marks:
                 return
-            key, content, bounds = np.concatenate(keys), np.concatenate(contents), np.concatenate(ends)
+            text_a, text_b, at, bounds = (np.concatenate(parts) for parts in (first, second, starts, ends))
             text = np.memmap(path, np.uint8, "r") if bounds[-1] > induced_sort.IN_MEMORY else np.fromfile(path, np.uint8)
             again = induced_sort.repeated_starts(text, match)
             for a in range(1, len(bounds), 4096):  # what would reach over the end of a fragment
                 again[(bounds[a : a + 4096, None] - np.arange(1, match + 1)).ravel()] = False
-        first = np.flatnonzero(again & ~np.append(False, again[:-1]))
-        last = np.flatnonzero(again & ~np.append(again[1:], False))
-        owner = np.searchsorted(bounds, first, "right") - 1
+        low = np.flatnonzero(again & ~np.append(False, again[:-1]))
+        high = np.flatnonzero(again & ~np.append(again[1:], False))
+        owner = np.searchsorted(bounds, low, "right") - 1
         own = ~np.concatenate(marks).astype(bool)[owner]
-        first, last, owner = first[own], last[own], owner[own]
-        for a in range(0, len(first), 1 << 16):
+        low, high, owner = low[own], high[own], owner[own]
+        for a in range(0, len(low), 1 << 16):
             o = owner[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                key[o], content[o], (first[a : a + (1 << 16)] - bounds[o]).astype(np.int32), (last[a : a + (1 << 16)] - bounds[o]).astype(np.int32))],
-                names=["key", "content", "low", "high"])
+            inside = at[o] - bounds[o]
+            spans = [pa.array((x + inside).astype(np.int32)) for x in (low[a : a + (1 << 16)], high[a : a + (1 << 16)] + match)]
+            yield pa.RecordBatch.from_arrays([pa.array(text_a[o]), pa.array(text_b[o]), pa.StructArray.from_arrays(spans, ["start", "end"])], names=["_a", "_b", "s"])
 
     total = pieces.select(F.sum(F.length("piece"))).first()[0] or 0
     shards = max(12, -(-total // shard_bytes))
-    return pieces.repartition(shards, "key").mapInArrow(run, "key bigint, content bigint, low int, high int")
+    return pieces.repartition(shards, "key").mapInArrow(run, "_a bigint, _b int, s struct<start: int, end: int>")
 
 
 def repeats(df: DataFrame, match: int = MATCH) -> DataFrame:
@@ -154,15 +154,18 @@ def repeats(df: DataFrame, match: int = MATCH) -> DataFrame:
     mixed = found.filter("mixed")
     distinct = written(mixed.groupBy("key", "content").agg(F.count("*").alias("c"), F.min(F.struct("_a", "_b", "at", "n")).alias("r")), "distinct")
     wanted = distinct.groupBy("r._a", "r._b").agg(F.collect_list(F.struct("r.at", "r.n", "key", "content", (F.col("c") > 1).alias("many"))).alias("wanted"))  # bounded by a text's length
-    pieces = df.join(wanted, ["_a", "_b"]).select(F.encode("_t", "utf-8").alias("_t"), F.explode("wanted").alias("w")).select(
-        "w.key", "w.content", "w.many", F.expr(f"substring(_t, w.at + 1, w.n + {match - 1})").alias("piece"))
+    place = F.struct("_a", "_b", F.col("w.at").alias("at")).alias("place")
+    pieces = df.join(wanted, ["_a", "_b"]).select(F.encode("_t", "utf-8").alias("_t"), "_a", "_b", F.explode("wanted").alias("w")).select(
+        "w.key", "w.content", "w.many", place, F.expr(f"substring(_t, w.at + 1, w.n + {match - 1})").alias("piece"))
     # copies of a text give the same pieces again
-    pieces = written(pieces.groupBy("key", "content").agg(F.min("piece").alias("piece"), F.max("many").alias("many")), "pieces")
-    # a fragment that occurs more than once repeats at every start, so only the others need their ranges
+    pieces = pieces.groupBy("key", "content").agg(F.min("piece").alias("piece"), F.max("many").alias("many"), F.min("place").alias("place"))
+    pieces = written(pieces.select("key", "place.*", "many", "piece"), "pieces")
+    # a fragment that occurs once is known by its place; of the others every start repeats, and each occurrence meets one row at most
     inner = repeated_in_shards(pieces, match)
-    whole = distinct.filter("c > 1").select("key", "content", F.lit(0).alias("low"), (F.col("r.n") - 1).alias("high"))
-    spans = mixed.join(inner.union(whole), ["key", "content"]).select("_a", "_b", F.expr("struct(at + low as start, at + high + {0} as end)".format(match)).alias("s"))
-    spans = spans.union(found.filter("not mixed").select("_a", "_b", F.expr(f"struct(at as start, at + n + {match - 1} as end)")))
+    whole = distinct.filter("c > 1").select("key", "content", F.lit(True).alias("whole"))
+    span = F.expr(f"struct(at as start, at + n + {match - 1} as end)")
+    spans = mixed.join(whole, ["key", "content"], "left").select("_a", "_b", F.when(F.col("whole"), span).alias("s"))
+    spans = spans.union(inner).union(found.filter("not mixed").select("_a", "_b", span.alias("s")))
     return spans.groupBy("_a", "_b").agg(F.collect_set("s").alias("_spans"))  # bounded by a text's length
 
 

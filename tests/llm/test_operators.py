@@ -467,6 +467,18 @@ def test_repeats_of_planted_passages(spark):
         assert (sum(s.end - s.start for s in r.removed), len(r.removed), hashlib.sha256(r.kept).hexdigest()) == (gone, spans, digest), i
 
 
+def test_occurrences_of_a_fragment_meet_one_row(spark):
+    pick = random.Random(9)
+    passage = "".join(pick.choices("abcdefgh ", k=700))
+    texts = ["".join(pick.choices("abcdefgh ", k=300)) + passage + "".join(pick.choices("abcdefgh ", k=300)) for _ in range(60)]
+    rows = spark.createDataFrame([(x,) for x in texts], "_t string").withColumns({"_a": F.xxhash64("_t"), "_b": F.hash("_t")})
+    found = suffix_dedup.repeats(rows)
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "content" in x]
+    assert joins and all("LeftOuter" in x for x in joins)
+    expected = {tuple(x) for x in _without_repeats([t.encode() for t in texts])}
+    assert {(len(t), r.n) for t, r in zip(texts, found.select(F.expr("array_max(_spans.end) - array_min(_spans.start)").alias("n")).collect())} == {x[:2] for x in expected}
+
+
 def test_repeats_awkward(awkward):
     rows = suffix_dedup.remove(awkward, decoded="left").collect()
     assert len(rows) == len(AWKWARD) and all(r.source == "source" for r in rows)
