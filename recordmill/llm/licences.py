@@ -5,8 +5,8 @@ line ends, and its lines are candidates too, and of those within each other the
 Candidates are described by the sets of their word pairs and triples. A multinomial logistic
 regression over these (spark.ml) learns the families from the templates and their parts,
 and the class of ordinary writing from a bounded sample of the corpus itself; so the model
-is a small table of n-gram weights. Scoring is a join of every candidate's n-grams with that
-table. A candidate is taken for a licence notice if the probability of ordinary writing is
+is a small table of n-gram weights. Scoring is a join of a candidate's n-grams with that
+table; a candidate without any word that the weights of a notice need cannot be likely and is not described. A candidate is taken for a licence notice if the probability of ordinary writing is
 lower than for nearly all candidates of the corpus that resemble no template: their
 probabilities are counted in fixed steps over all texts, each distinct one once. One that resembles
 no template must be more likely a notice than not, besides. The predicted family stands, whatever
@@ -21,9 +21,11 @@ kept beside the results.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from recordmill.llm.common import written
@@ -78,8 +80,10 @@ def candidates(df: DataFrame, text: str = "text") -> DataFrame:
     paragraph of several sentences, 1 for a sentence, 0 for a line of a sentence that runs over several. ``_paragraph``
     numbers the paragraphs, ``_at`` the rows of one, ``_within`` the sentences of one.
     """
-    lines = rf"regexp_replace(regexp_replace(_t, r'\r\n?', '\n'), r'[{BLANK}]+', ' ')"
-    paragraphs = rf"filter(transform(split({lines}, r'\n[\x20\n]*\n', -1), p -> trim(BOTH ' \n' FROM regexp_replace(p, r'\x20?\n\x20?', '\n'))), p -> p <> '')"
+    # a lone space stays as it is; once blanks are collapsed, at most one stands on either side of a line's end
+    lines = rf"regexp_replace(regexp_replace(_t, r'\r\n?', '\n'), r'\x20[{BLANK}]+|[\t\x0B\f\xA0][{BLANK}]*', ' ')"
+    lines = rf"replace(replace({lines}, ' \n', '\n'), '\n ', '\n')"
+    paragraphs = rf"filter(transform(split({lines}, r'\n\n+', -1), p -> trim(BOTH ' \n' FROM p)), p -> p <> '')"
     run_on = "translate(s, '\\n', ' ')"
     one = "named_struct('_level', {}, '_within', {}, '_sentence', {})"
     whole = "filter(array(" + one.format(2, -1, "translate(_p, '\\n', ' ')") + "), x -> size(_s) > 1)"
@@ -88,7 +92,7 @@ def candidates(df: DataFrame, text: str = "text") -> DataFrame:
     out = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_t", F.coalesce(F.col(text), F.lit(""))).drop(text)
     kept = [c for c in out.columns if c != "_t"]
     cut = out.select(*kept, F.posexplode_outer(F.expr(paragraphs)).alias("_paragraph", "_p"))
-    cut = cut.withColumn("_s", F.expr(r"split(coalesce(_p, ''), r'(?<=[.!?])[\x20\n]', -1)"))
+    cut = cut.withColumn("_s", F.expr(r"split(coalesce(_p, ''), r'[\x20\n](?<=[.!?][\x20\n])', -1)"))
     cut = cut.select(*kept, F.coalesce("_paragraph", F.lit(0)).alias("_paragraph"), F.posexplode_outer(F.expr(found)).alias("_at", "_x"))
     return cut.select(*kept, "_paragraph", "_at", "_x.*")
 
@@ -126,6 +130,27 @@ class Model:
 
     def __init__(self, weights: dict[str, list[float]], intercepts: list[float], templates: dict[str, list[list[str]]]):
         self.weights, self.intercepts, self.templates = weights, intercepts, templates
+        self.words: list[str] | None = None
+
+    def telling(self, common: list[str]) -> list[str] | None:
+        """Words one of which is in every candidate that may be more than ``LEAST_LIKE`` likely; None if there are no such.
+
+        An n-gram adds to the log-odds of a notice at most what it gives the best family over ordinary writing. Words of
+        ``common`` are left out, in order, as long as all n-grams that have no other words cannot reach the limit together.
+        """
+        families = sum(math.exp(b - max(self.intercepts)) for b in self.intercepts[1:])
+        room = math.log(LEAST_LIKE / (1 - LEAST_LIKE)) - (math.log(families) + max(self.intercepts) - self.intercepts[0]) - 1e-6
+        gain = {frozenset(g.split(" ")) - {"^", "$"}: 0.0 for g in self.weights}
+        for g, w in self.weights.items():
+            gain[frozenset(g.split(" ")) - {"^", "$"}] += max(0.0, max(w[1:]) - w[0])
+        left: set[str] = set()
+        for word in [None, *common]:
+            more = left | ({word} if word else set())
+            if sum(x for words, x in gain.items() if words <= more) <= room:
+                left = more
+            elif word is None:
+                return None
+        return sorted(set().union(*gain) - left)
 
     def table(self, spark: SparkSession) -> DataFrame:
         """One row per n-gram of the templates and their parts; the empty one stands for the row itself."""
@@ -136,9 +161,16 @@ class Model:
     def classify(self, cut: DataFrame, keys: list[str]) -> DataFrame:
         """Rows of ``candidates`` that share an n-gram with the model, and the first of every text, with probabilities.
 
-        Adds ``p_notice``, one less the probability of ordinary writing, ``family`` and ``p_family`` among families.
+        Adds ``p_notice``, one less the probability of ordinary writing, ``family`` and ``p_family`` among families. Rows
+        without a telling word, which are not likely, are left out, and of the first of a text the sentence.
         """
-        own = F.when((F.col("_paragraph") == 0) & (F.col("_at") == 0), F.concat("_grams", F.array(F.lit("")))).otherwise(F.col("_grams"))
+        first = (F.col("_paragraph") == 0) & (F.col("_at") == 0)
+        if self.words is not None:
+            cut = cut.withColumn("_sentence", F.when(_holds("_sentence", self.words), F.col("_sentence")))
+            cut = cut.filter(first | F.col("_sentence").isNotNull())
+        cut = described(cut)
+        grams = F.coalesce("_grams", F.array().cast("array<string>"))
+        own = F.when(first, F.concat(grams, F.array(F.lit("")))).otherwise(grams)
         exploded = cut.select(*keys, *PLACE, "_sentence", F.explode(own).alias("_gram"))
         # the weights are bounded by the size of the training sample
         met = exploded.join(F.broadcast(self.weight_table), "_gram")
@@ -153,6 +185,15 @@ class Model:
         return logits.select(*keys, *PLACE, "_sentence", (total / (total + F.col("w0"))).alias("p_notice"), name.alias("family"), (best / total).alias("p_family"))
 
 
+def _holds(sentence: str, words: list[str]) -> Column:
+    """Whether one of the words, by their first letters, stands between other marks than letters and digits."""
+    by: dict[str, list[str]] = {}
+    for word in words:
+        by.setdefault(word[0], []).append("".join("\\" + c if c in ".+-" else c for c in word[1:]))
+    listed = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items()) or "(?!)"
+    return F.lower(sentence).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{listed})(?![\p{{L}}\p{{N}}])")
+
+
 def _nearest(pairs: str, templates: dict[str, list[list[str]]], family: str | None = None) -> Column:
     """Greatest agreement with any template, or with those of the family named by a column."""
     found = [_agreement(pairs, F.array(*map(F.lit, t))) if family is None else F.when(F.col(family) == k, _agreement(pairs, F.array(*map(F.lit, t))))
@@ -193,6 +234,10 @@ def train(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     if not ordinary.filter("_part = 0").take(1):
         intercepts[0] = min(intercepts[1:])  # nothing is known of ordinary writing
     model = Model(weights, intercepts, templates)
+    # words of the sample, the commonest first; they only decide how many candidates have to be described
+    known = {w for g in weights for w in g.split(" ")} - {"^", "$"}
+    seen = ordinary.select(F.explode(F.expr("array_distinct(flatten(transform(_pairs, p -> split(p, ' ', -1))))")).alias("w")).filter(F.col("w").isin(*known))
+    model.words = model.telling([r["w"] for r in seen.groupBy("w").count().orderBy(F.desc("count"), "w").collect()])
     model.weight_table = written(model.table(spark), "weights")
     return model
 
@@ -223,14 +268,20 @@ def _step(p: str) -> Column:
     return F.floor(F.log(F.greatest(F.col(p), F.lit(1e-16)) / F.greatest(1.0 - F.col(p), F.lit(1e-16))) * STEPS).cast("int")
 
 
-def _limits(cut: DataFrame, likely: DataFrame) -> dict[bool, int]:
+def _sizes(cut: DataFrame) -> tuple[DataFrame, Observation]:
+    """``cut``, and the number of its distinct candidates by kind, which is known once it was read."""
+    seen = Observation()
+    whole, hashed = F.col("_level") == 2, F.xxhash64("_sentence")
+    return cut.observe(seen, *(F.approx_count_distinct(F.when(kind, hashed)).alias(name) for kind, name in ((whole, "whole"), (~whole, "parts")))), seen
+
+
+def _limits(sizes: dict[bool, int], likely: DataFrame) -> dict[bool, int]:
     """The last step of ordinary writing, for paragraphs of several sentences (True) and for shorter candidates.
 
-    All distinct candidates count; those of ``likely`` that resemble a template are no ordinary writing. Of the
-    others at most one less ``ORDINARY_SHARE``, or a single one, lies above.
+    All distinct candidates count, ``sizes`` of either kind; those of ``likely`` that resemble a template are no ordinary
+    writing. Of the others at most one less ``ORDINARY_SHARE``, or a single one, lies above.
     """
     whole = (F.col("_level") == 2).alias("whole")
-    sizes = {r["whole"]: r["n"] for r in cut.groupBy(whole).agg(F.approx_count_distinct(F.xxhash64("_sentence")).alias("n")).collect()}
     odd = likely.filter(F.col("_like") < SUSPECT).groupBy(whole, F.xxhash64("_sentence").alias("_hash")).agg(F.max("_step").alias("_step"))
     limits = {}
     # the steps between LEAST_LIKE and one are a few hundred
@@ -252,15 +303,16 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     ``place`` is the number of the paragraph; ``sentence`` is the notice, a paragraph or a part of one, on one line.
     """
     model = train(df, text)
-    cut = candidates(df.select(key, text), text)
-    scored = model.classify(described(cut), ["_row", key])
+    cut, seen = _sizes(candidates(df.select(key, text), text))
+    scored = model.classify(cut, ["_row", key])
     likely = F.col("p_notice") > LEAST_LIKE
     first = (F.col("_paragraph") == 0) & (F.col("_at") == 0)
     kept = scored.filter(likely | first).withColumn("_sentence", F.when(likely, F.col("_sentence")))
     kept = described(kept).select("_row", key, *PLACE, "_sentence", "p_notice", "family", "p_family", _step("p_notice").alias("_step"), *(
         F.when(likely, c).alias(n) for c, n in ((_nearest("_pairs", model.templates, "family"), "agreement"), (_nearest("_pairs", model.templates), "_like"))))
     stored = written(kept, "likely")
-    limits = _limits(cut, stored)
+    sizes = seen.get
+    limits = _limits({True: sizes["whole"], False: sizes["parts"]}, stored)
     unlikely = F.col("_step") <= F.when(F.col("_level") == 2, F.lit(limits[True])).otherwise(F.lit(limits[False]))
     likely = F.col("p_notice") > F.when(F.col("_like") >= SUSPECT, LEAST_LIKE).otherwise(LEAST)
     confirmed = (F.col("p_notice") > LEAST) & (F.col("p_family") >= CLEAR) & (F.col("agreement") >= CONFIRMED)

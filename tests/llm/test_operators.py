@@ -559,6 +559,39 @@ def test_inline_replies_are_linked(spark):
         0: (None, 0, 0), 1: (0, 0, 1), 2: (1, 0, 2), 3: (1, 0, 2), 4: (2, 0, 3)}
 
 
+def test_licences_describe_only_what_may_be_likely(spark):
+    zero = [0.0] * len(licences.CLASSES)
+
+    def gain(x):
+        return [0.0, x, *zero[2:]]
+
+    model = licences.Model({"^ the": gain(0.5), "of the": gain(0.5), "gnu gpl": gain(9.0), "the gnu": gain(2.0)}, [10.0, *zero[1:]], {})
+    assert model.telling(["the", "of", "gnu"]) == ["gnu", "gpl"] and model.telling([]) == ["gnu", "gpl", "of", "the"]
+    assert licences.Model({}, zero, {}).telling([]) is None
+    model.words, model.weight_table = ["c++", "gnu"], model.table(spark)
+    texts = ["Of the gnus.", "The GNU tools.", "We met. Of the GNU gpl, we said.", "", "Of the c++."]
+    rows = model.classify(licences.candidates(spark.createDataFrame(list(enumerate(texts)), "k int, text string")), ["k"]).collect()
+    assert sorted((r.k, r._at, r._sentence) for r in rows if r._sentence) == [
+        (1, 0, "The GNU tools."), (2, 0, "We met. Of the GNU gpl, we said."), (2, 2, "Of the GNU gpl, we said."), (4, 0, "Of the c++.")]
+    assert sorted(r.k for r in rows if r._at == 0) == [0, 1, 2, 3, 4]
+
+
+def test_licences_cut_texts_as_before(spark):
+    dice = random.Random(4)
+    texts = ["".join(dice.choices(["a", "b.", "c?", " ", "  ", "\t", "\n", "\r\n", "\r", "\xa0", "\f", "\n \n"], k=dice.randrange(30))) for _ in range(400)]
+    expected = []
+    for k, text in enumerate(texts):
+        lines = re.sub("[ \t\x0b\f\xa0]+", " ", re.sub("\r\n?", "\n", text))
+        paragraphs = [p for p in (re.sub(" ?\n ?", "\n", p).strip(" \n") for p in re.split("\n[ \n]*\n", lines)) if p] or [""]
+        for i, p in enumerate(paragraphs):
+            parts = re.split("(?<=[.!?])[ \n]", p)
+            whole = [(2, p)] if len(parts) > 1 else []
+            for level, x in [*whole, *(y for q in parts for y in [(1, q), *((0, z) for z in q.split("\n") if "\n" in q)])]:
+                expected.append((k, i, level, x.replace("\n", " ")))
+    found = licences.candidates(spark.createDataFrame(list(enumerate(texts)), "k int, text string")).orderBy("k", "_paragraph", "_at").collect()
+    assert [(r.k, r._paragraph, r._level, r._sentence) for r in found] == expected
+
+
 def test_licences_calibrate_on_all_texts(spark):
     words = [f"word{i}" for i in range(400)]
     dice = random.Random(1)
