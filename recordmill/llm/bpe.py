@@ -18,10 +18,11 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import islice, repeat
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -34,8 +35,6 @@ STREAM_FROM = 96
 #: Chunks remembered by a worker; results do not depend on it.
 REMEMBERED = 250_000
 _NONE = 1 << 60
-#: Stands for a chunk still to be encoded; ids take four bytes each, so no encoding equals it.
-_OPEN = b"?"
 
 
 def byte_letters() -> dict[str, int]:
@@ -226,57 +225,48 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Texts are cut into chunks; all chunks not met before are then encoded together."""
-        plans: list[list] = []
-        open_words: dict[str, list] = {}
-        open_pieces: dict[str, list] = {}
-        for text in texts:
-            plan: list = []
+        """Texts are cut into chunks; each distinct one is looked up once, and all not met before are encoded together."""
+        heads: list[list] = []  # pre-tokens of every text, or of its first chunk; ids of special strings
+        plain: list[int] = []  # texts cut at single spaces
+        for i, text in enumerate(texts):
             if self.special is not None and any(s in text for s in self.merges.special):
-                for i, part in enumerate(self.special.split(text)):
-                    if i % 2:
-                        plan.append(array("I", [self.merges.special[part]]).tobytes())
-                    elif part:
-                        self._plain(part, plan, open_words, open_pieces)
+                parts = self.special.split(text)
+                heads.append([x for k, part in enumerate(parts) for x in ([array("I", [self.merges.special[part]]).tobytes()] if k % 2 else self.pretokens.findall(part))])
+            elif self.unsafe.search(text):
+                heads.append(self.pretokens.findall(text))
             else:
-                self._plain(text, plan, open_words, open_pieces)
-            plans.append(plan)
-        words = {word: self._pretokens(" " + word) for word in open_words}
-        self._settle({p for parts in words.values() for p in parts} | open_pieces.keys())
-        for word, parts in words.items():
-            found = b"".join(map(self.pieces.__getitem__, parts))
-            if len(word) <= STREAM_FROM:
-                self.words[word] = found
-            for plan, i in open_words[word]:
-                plan[i] = found
-        for piece, places in open_pieces.items():
-            for plan, i in places:
-                plan[i] = self.pieces[piece]
-        done = [b"".join(plan) for plan in plans]
-        for memory in (self.words, self.pieces):
-            if len(memory) > REMEMBERED:  # what came first is what is common
-                for key in list(islice(reversed(memory), len(memory) - REMEMBERED * 3 // 4)):
-                    del memory[key]
+                plain.append(i)
+                heads.append(self.pretokens.findall(text.partition(" ")[0]))
+        cut = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        ends = cut.offsets.to_numpy()
+        later = np.ones(len(cut.values), bool)
+        later[ends[:-1]] = False
+        coded = cut.values.filter(pa.array(later)).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = [*map(self.words.get, words)]
+        open_words = [k for k, x in enumerate(found) if x is None]
+        single = [words[k].isalpha() for k in open_words]
+        parts = [" " + words[k] if one else self._pretokens(" " + words[k]) for k, one in zip(open_words, single)]
+        wanted = {p for p, one in zip(parts, single) if one}
+        wanted.update(p for own, one in zip(parts, single) if not one for p in own)
+        wanted.update(p for own in heads for p in own if isinstance(p, str))
+        pieces = self._settled(wanted)
+        for k, own, one in zip(open_words, parts, single):
+            found[k] = pieces[own] if one else b"".join(map(pieces.__getitem__, own))
+        for k in open_words[: max(0, REMEMBERED - len(self.words))]:  # what comes first is what is common
+            if len(words[k]) <= STREAM_FROM:
+                self.words[words[k]] = found[k]
+        # the ids of all chunks, one after the other
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        lists = pa.LargeListArray.from_arrays(np.append(0, np.cumsum(sizes)), pa.array(np.frombuffer(b"".join(found), "<u4")))
+        taken = lists.take(coded.indices)
+        upto, ids = taken.offsets.to_numpy(), taken.values.to_numpy()
+        done = [b"".join(x if isinstance(x, bytes) else pieces[x] for x in head) for head in heads]
+        bounds = upto[ends - np.arange(len(ends))].tolist()
+        for i, a, b in zip(plain, bounds, bounds[1:]):
+            done[i] += ids[a:b].tobytes()
         return done
 
-    def _plain(self, text: str, plan: list, open_words: dict, open_pieces: dict) -> None:
-        """Appends what is known of a text to its plan, and notes what is still open."""
-        if self.unsafe.search(text):
-            head, rest = self.pretokens.findall(text), ()
-        else:
-            first, *rest = text.split(" ")
-            head = self.pretokens.findall(first)
-        for known, wanted, still in ((self.pieces, head, open_pieces), (self.words, rest, open_words)):
-            base = len(plan)
-            plan += map(known.get, wanted, repeat(_OPEN))
-            at = base - 1
-            try:
-                while True:
-                    at = plan.index(_OPEN, at + 1)
-                    still.setdefault(wanted[at - base], []).append((plan, at))
-            except ValueError:
-                pass
-
     def _pretokens(self, chunk: str) -> list[str]:
         if chunk[1:].isalpha():
             return [chunk]
@@ -284,18 +274,22 @@ class Encoder:
             return [chunk[:-1], chunk[-1]]
         return self.pretokens.findall(chunk)
 
-    def _settle(self, pieces) -> None:
-        """Encodes the pre-tokens that are not remembered."""
-        short: list[str] = []
+    def _settled(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pre-tokens; those that are not remembered are encoded together."""
+        out, short = {}, []
         for piece in pieces:
-            if piece not in self.pieces:
-                data = piece.encode()
-                if len(data) > STREAM_FROM:
-                    blocks = (data[i : i + 1024] for i in range(0, len(data), 1024))
-                    self.pieces[piece] = array("I", self.merges.stream(blocks)).tobytes()
-                else:
-                    short.append(piece)
-        self.pieces.update(zip(short, self.merges.merge_many([p.encode() for p in short])))
+            if (known := self.pieces.get(piece)) is not None:
+                out[piece] = known
+            else:
+                short.append(piece)
+        data = [piece.encode() for piece in short]
+        for piece, long in [(p, d) for p, d in zip(short, data) if len(d) > STREAM_FROM]:
+            blocks = (long[i : i + 1024] for i in range(0, len(long), 1024))
+            out[piece] = array("I", self.merges.stream(blocks)).tobytes()
+        short = [p for p, d in zip(short, data) if len(d) <= STREAM_FROM]
+        new = dict(zip(short, self.merges.merge_many([d for d in data if len(d) <= STREAM_FROM])))
+        self.pieces.update(islice(new.items(), max(0, REMEMBERED - len(self.pieces))))
+        return out | new
 
 
 class Decoder:

@@ -81,6 +81,26 @@ def test_decoder_replaces_what_is_no_utf8(spark, vocabulary):
     assert [r.decoded for r in bpe.decode(rows, vocabulary).collect()] == ["��", "", None, "a"]
 
 
+def test_bpe_looks_up_each_chunk_once_and_keeps_the_first():
+    merges = bpe.Merges(Path(VOCABULARY).read_text())
+    library = tokenizers.Tokenizer.from_file(VOCABULARY)
+    asked = []
+
+    class Noted(dict):
+        def get(self, key, *other):
+            asked.append(key)
+            return super().get(key, *other)
+
+    encode = bpe.Encoder(merges)
+    encode.words = Noted()
+    texts = ["a word and a word, " * 50 + "end", "word  two", "", "a word", *merges.special]
+    for _ in range(2):
+        asked.clear()
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert sorted(asked) == ["a", "and", "end", "word", "word,"]
+    assert set(encode.words) == {"a", "and", "end", "word", "word,"} and encode([]) == []
+
+
 def test_bpe_query(spark, documents):
     library = tokenizers.Tokenizer.from_file(VOCABULARY)
     found = {r.doc_id: r for r in QUERIES["op8_bpe"](spark, SF_DIR).collect()}
