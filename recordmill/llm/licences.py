@@ -6,7 +6,7 @@ Candidates are described by the sets of their word pairs and triples. A multinom
 regression over these (spark.ml) learns the families from the templates and their parts,
 and the class of ordinary writing from a bounded sample of the corpus itself; so the model
 is a small table of n-gram weights. Scoring is a join of a candidate's n-grams with that
-table; a candidate without any word that the weights of a notice need cannot be likely and is not described. A candidate is taken for a licence notice if the probability of ordinary writing is
+table; a candidate without any word pair that the weights of a notice need cannot be likely and is not described. A candidate is taken for a licence notice if the probability of ordinary writing is
 lower than for nearly all candidates of the corpus that resemble no template: their
 probabilities are counted in fixed steps over all texts, each distinct one once. One that resembles
 no template must be more likely a notice than not, besides. The predicted family stands, whatever
@@ -22,6 +22,8 @@ kept beside the results.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from itertools import batched, pairwise
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -80,18 +82,26 @@ def candidates(df: DataFrame, text: str = "text") -> DataFrame:
     paragraph of several sentences, 1 for a sentence, 0 for a line of a sentence that runs over several. ``_paragraph``
     numbers the paragraphs, ``_at`` the rows of one, ``_within`` the sentences of one.
     """
-    # a lone space stays as it is; once blanks are collapsed, at most one stands on either side of a line's end
-    lines = rf"regexp_replace(regexp_replace(_t, r'\r\n?', '\n'), r'\x20[{BLANK}]+|[\t\x0B\f\xA0][{BLANK}]*', ' ')"
-    lines = rf"replace(replace({lines}, ' \n', '\n'), '\n ', '\n')"
-    paragraphs = rf"filter(transform(split({lines}, r'\n\n+', -1), p -> trim(BOTH ' \n' FROM p)), p -> p <> '')"
-    run_on = "translate(s, '\\n', ' ')"
+    run_on = r"replace({}, '\n', ' ')"
     one = "named_struct('_level', {}, '_within', {}, '_sentence', {})"
-    whole = "filter(array(" + one.format(2, -1, "translate(_p, '\\n', ' ')") + "), x -> size(_s) > 1)"
-    parts = "filter(transform(split(s, '\\n', -1), l -> " + one.format(0, "j", "l") + "), x -> instr(s, '\\n') > 0)"
-    found = f"concat({whole}, flatten(transform(_s, (s, j) -> concat(array({one.format(1, 'j', run_on)}), {parts}))))"
+    whole = f"if(size(_s) > 1, array({one.format(2, -1, run_on.format('_p'))}), array())"
+    parts = f"transform(split(s, '\\n', -1), l -> {one.format(0, 'j', 'l')})"
+    sentence = f"if(instr(s, '\\n') = 0, array({one.format(1, 'j', 's')}), concat(array({one.format(1, 'j', run_on.format('s'))}), {parts}))"
+    found = f"concat({whole}, flatten(transform(_s, (s, j) -> {sentence})))"
     out = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_t", F.coalesce(F.col(text), F.lit(""))).drop(text)
     kept = [c for c in out.columns if c != "_t"]
-    cut = out.select(*kept, F.posexplode_outer(F.expr(paragraphs)).alias("_paragraph", "_p"))
+    # a pattern is run only over texts that have what it replaces; as columns of their own, the steps are computed once
+    t = F.col("_t")
+    out = out.withColumn("_t", F.when(t.contains("\r"), F.regexp_replace(t, r"\r\n?", "\n")).otherwise(t))
+    # a lone space stays as it is; once blanks are collapsed, at most one stands on either side of a line's end
+    blanks = reduce(Column.__or__, (t.contains(b) for b in ("\x20\x20", "\t", "\x0B", "\f", "\xA0")))
+    out = out.withColumn("_t", F.when(blanks, F.regexp_replace(t, rf"\x20[{BLANK}]+|[\t\x0B\f\xA0][{BLANK}]*", " ")).otherwise(t))
+    out = out.withColumn("_t", F.expr(r"replace(replace(_t, ' \n', '\n'), '\n ', '\n')"))
+    # no paragraph but the first begins, and none but the last ends with such a mark
+    edges = reduce(Column.__or__, (end(F.lit(b)) for end in (t.startswith, t.endswith) for b in ("\x20", "\n")))
+    out = out.withColumn("_t", F.when(edges, F.expr(r"trim(BOTH ' \n' FROM _t)")).otherwise(t))
+    paragraphs = F.when(t.contains("\n\n"), F.split(t, r"\n\n+", -1)).when(t != "", F.array(t))
+    cut = out.select(*kept, F.posexplode_outer(paragraphs).alias("_paragraph", "_p"))
     cut = cut.withColumn("_s", F.expr(r"split(coalesce(_p, ''), r'[\x20\n](?<=[.!?][\x20\n])', -1)"))
     cut = cut.select(*kept, F.coalesce("_paragraph", F.lit(0)).alias("_paragraph"), F.posexplode_outer(F.expr(found)).alias("_at", "_x"))
     return cut.select(*kept, "_paragraph", "_at", "_x.*")
@@ -132,23 +142,25 @@ class Model:
         self.weights, self.intercepts, self.templates = weights, intercepts, templates
         self.words: list[str] | None = None
 
-    def telling(self, common: list[str]) -> list[str] | None:
-        """Words one of which is in every candidate that may be more than ``LEAST_LIKE`` likely; None if there are no such.
+    def telling(self, common: list[str], by: int = 1) -> list[str] | None:
+        """Words (``by`` 1) or word pairs (2) one of which is in every candidate that may be more than ``LEAST_LIKE`` likely; None if there are no such.
 
-        An n-gram adds to the log-odds of a notice at most what it gives the best family over ordinary writing. Words of
-        ``common`` are left out, in order, as long as all n-grams that have no other words cannot reach the limit together.
+        An n-gram adds to the log-odds of a notice at most what it gives the best family over ordinary writing. Those of
+        ``common`` are left out, in order, as long as all n-grams that consist of no others cannot reach the limit together.
         """
         families = sum(math.exp(b - max(self.intercepts)) for b in self.intercepts[1:])
         room = math.log(LEAST_LIKE / (1 - LEAST_LIKE)) - (math.log(families) + max(self.intercepts) - self.intercepts[0]) - 1e-6
-        gain = {frozenset(g.split(" ")) - {"^", "$"}: 0.0 for g in self.weights}
+        gain: dict[frozenset[str], float] = {}
         for g, w in self.weights.items():
-            gain[frozenset(g.split(" ")) - {"^", "$"}] += max(0.0, max(w[1:]) - w[0])
+            words = g.split(" ")
+            own = frozenset(words) - {"^", "$"} if by == 1 else frozenset(map(" ".join, pairwise(words)))
+            gain[own] = gain.get(own, 0.0) + max(0.0, max(w[1:]) - w[0])
         left: set[str] = set()
-        for word in [None, *common]:
-            more = left | ({word} if word else set())
-            if sum(x for words, x in gain.items() if words <= more) <= room:
+        for unit in [None, *common]:
+            more = left | ({unit} if unit else set())
+            if sum(x for units, x in gain.items() if units <= more) <= room:
                 left = more
-            elif word is None:
+            elif unit is None:
                 return None
         return sorted(set().union(*gain) - left)
 
@@ -162,7 +174,7 @@ class Model:
         """Rows of ``candidates`` that share an n-gram with the model, and the first of every text, with probabilities.
 
         Adds ``p_notice``, one less the probability of ordinary writing, ``family`` and ``p_family`` among families. Rows
-        without a telling word, which are not likely, are left out, and of the first of a text the sentence.
+        without a telling word or pair, which are not likely, are left out, and of the first of a text the sentence.
         """
         first = (F.col("_paragraph") == 0) & (F.col("_at") == 0)
         if self.words is not None:
@@ -185,13 +197,31 @@ class Model:
         return logits.select(*keys, *PLACE, "_sentence", (total / (total + F.col("w0"))).alias("p_notice"), name.alias("family"), (best / total).alias("p_family"))
 
 
-def _holds(sentence: str, words: list[str]) -> Column:
-    """Whether one of the words, by their first letters, stands between other marks than letters and digits."""
-    by: dict[str, list[str]] = {}
-    for word in words:
-        by.setdefault(word[0], []).append("".join("\\" + c if c in ".+-" else c for c in word[1:]))
-    listed = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items()) or "(?!)"
-    return F.lower(sentence).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{listed})(?![\p{{L}}\p{{N}}])")
+def _holds(sentence: str, units: list[str]) -> Column:
+    """Whether one of the words or word pairs, by their first letters, stands between other marks than letters and digits.
+
+    Of a pair, ``^`` is the beginning and ``$`` the end of a sentence. May hold of more, as an inner dot parts words here.
+    """
+    mark, end = r"[^a-z\p{L}\p{N}]", r"(?![a-z\p{L}\p{N}])"
+
+    def any_of(words: dict[str, str]) -> str:
+        by: dict[str, list[str]] = {}
+        for word, then in words.items():
+            by.setdefault(word[0], []).append("".join("\\" + c if c in ".+-" else c for c in word[1:]) + then)
+        # alternatives are tried one after the other, so first letters are told apart by groups of a few
+        groups = batched(sorted(by), 6)
+        return "|".join(f"(?=[{''.join(g)}])(?:" + "|".join(f"{first}(?:{'|'.join(by[first])})" for first in g) + ")" for g in groups) or "(?!)"
+
+    after: dict[str, list[str]] = {}
+    for unit in units:
+        word, _, then = unit.partition(" ")
+        after.setdefault(word, []).append(then)
+    begins = any_of(dict.fromkeys(after.pop("^", []), end))
+    tails = {}
+    for word, then in after.items():
+        pairs = any_of(dict.fromkeys([x for x in then if x not in ("", "$")], end))
+        tails[word] = end if "" in then else f"(?:{mark}+(?:{pairs})" + (rf"|{mark}*\z)" if "$" in then else ")")
+    return F.concat(F.lit(" "), F.lower(sentence)).rlike(f"{mark}(?:{any_of(tails)})|^{mark}+(?:{begins})")
 
 
 def _nearest(pairs: str, templates: dict[str, list[list[str]]], family: str | None = None) -> Column:
@@ -202,11 +232,14 @@ def _nearest(pairs: str, templates: dict[str, list[list[str]]], family: str | No
 
 
 def _distinct_sample(df: DataFrame, most: int, column: str) -> DataFrame:
-    """The ``most`` distinct values with the smallest hashes; copies are combined before they are exchanged."""
+    """The ``most`` distinct values with the smallest hashes, written; copies are combined before they are exchanged.
+
+    Were it not written, what is computed next would move below the limit, and all rows be sorted by ranges instead, with values as samples on the driver.
+    """
     different = df.select(F.approx_count_distinct(F.xxhash64(column)).alias("n")).first()["n"]
     share = min(1.0, (2 * most + 1000) / max(different, 1))
     near = df.select(column, F.xxhash64(column).alias("_hash")).filter(F.col("_hash") <= F.lit(min(int(-(2**63) + share * 2**64), 2**63 - 1)))
-    return near.dropDuplicates([column]).orderBy("_hash", column).limit(most).drop("_hash")
+    return written(near.dropDuplicates([column]).orderBy("_hash", column).limit(most).drop("_hash"), "sample")
 
 
 def train(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
@@ -234,10 +267,10 @@ def train(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     if not ordinary.filter("_part = 0").take(1):
         intercepts[0] = min(intercepts[1:])  # nothing is known of ordinary writing
     model = Model(weights, intercepts, templates)
-    # words of the sample, the commonest first; they only decide how many candidates have to be described
-    known = {w for g in weights for w in g.split(" ")} - {"^", "$"}
-    seen = ordinary.select(F.explode(F.expr("array_distinct(flatten(transform(_pairs, p -> split(p, ' ', -1))))")).alias("w")).filter(F.col("w").isin(*known))
-    model.words = model.telling([r["w"] for r in seen.groupBy("w").count().orderBy(F.desc("count"), "w").collect()])
+    # word pairs of the sample, the commonest first; they only decide how many candidates have to be described
+    known = {" ".join(p) for g in weights for p in pairwise(g.split(" "))}
+    seen = ordinary.select(F.explode("_pairs").alias("p")).filter(F.col("p").isin(*known))
+    model.words = model.telling([r["p"] for r in seen.groupBy("p").count().orderBy(F.desc("count"), "p").collect()], 2)
     model.weight_table = written(model.table(spark), "weights")
     return model
 
@@ -311,7 +344,8 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     kept = described(kept).select("_row", key, *PLACE, "_sentence", "p_notice", "family", "p_family", _step("p_notice").alias("_step"), *(
         F.when(likely, c).alias(n) for c, n in ((_nearest("_pairs", model.templates, "family"), "agreement"), (_nearest("_pairs", model.templates), "_like"))))
     stored = written(kept, "likely")
-    sizes = seen.get
+    # every text has a row; if there is none, Spark may leave out the count, and there is nothing to judge
+    sizes = seen.get if stored.take(1) else {"whole": 0, "parts": 0}
     limits = _limits({True: sizes["whole"], False: sizes["parts"]}, stored)
     unlikely = F.col("_step") <= F.when(F.col("_level") == 2, F.lit(limits[True])).otherwise(F.lit(limits[False]))
     likely = F.col("p_notice") > F.when(F.col("_like") >= SUSPECT, LEAST_LIKE).otherwise(LEAST)

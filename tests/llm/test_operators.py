@@ -596,6 +596,30 @@ def test_licences_describe_only_what_may_be_likely(spark):
     assert sorted(r.k for r in rows if r._at == 0) == [0, 1, 2, 3, 4]
 
 
+def test_licences_describe_only_what_has_a_telling_pair(spark):
+    zero = [0.0] * len(licences.CLASSES)
+    gains = {"^ the": 0.5, "of the": 0.5, "the gnu": 2.0, "of the gnu": 1.0, "gnu gpl": 9.0, "gpl $": 9.0, "^ v": 3.0, "v 2.0": 4.0, "cc by-nc": 7.0, "by-nc $": 1.0}
+    model = licences.Model({g: [0.0, x, *zero[2:]] for g, x in gains.items()}, [10.0, *zero[1:]], {})
+    # a triple has both of its pairs
+    assert model.telling(["of the", "^ the", "the gnu", "by-nc $"], 2) == ["^ v", "cc by-nc", "gnu gpl", "gpl $", "the gnu", "v 2.0"]
+    assert licences.Model({}, zero, {}).telling([], 2) is None
+    dice = random.Random(7)
+    words = ["the", "The", "of", "GNU", "gnu", "gpl", "v", "V", "2.0", "2", "cc", "CC", "by-nc", "by", "nc", "\u00e9t\u00e9", "gnu-x", "c++", "\U0001d400"]
+    texts = ["".join(dice.choice(words) + dice.choice([" ", " ", " ", ", ", ". ", "\n", "/", "-", ".", "\n\n"]) for _ in range(dice.randrange(12))) for _ in range(500)]
+    texts += ["The gpl of gnu tools, a cc of 2.0 the v.", "Gpl is of the 2.0 v"]
+    model.weight_table = model.table(spark)
+    cut = licences.candidates(spark.createDataFrame(list(enumerate(texts)), "k int, text string")).drop("_row")
+    found = []
+    for model.words in (None, model.telling(["of the", "^ the"], 2)):
+        rows = model.classify(cut, ["k"]).collect()
+        found.append(rows)
+        assert sorted({r.k for r in rows}) == list(range(len(texts)))
+    likely = [sorted((r.k, r._paragraph, r._at, r._sentence, round(r.p_notice, 9)) for r in rows if r.p_notice > licences.LEAST_LIKE) for rows in found]
+    assert likely[0] == likely[1] and len(likely[0]) > 50
+    # words of notices alone, not next to each other, are no reason to describe a candidate
+    assert [r._sentence for r in found[1] if r.k >= len(texts) - 2] == [None, None]
+
+
 def test_licences_cut_texts_as_before(spark):
     dice = random.Random(4)
     texts = ["".join(dice.choices(["a", "b.", "c?", " ", "  ", "\t", "\n", "\r\n", "\r", "\xa0", "\f", "\n \n"], k=dice.randrange(30))) for _ in range(400)]
