@@ -32,14 +32,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Shuffle files of an execution go with its end instead of with the driver's next garbage collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends here and nothing is computed twice.
 
-    The schema is given on reading, so an empty table can be read too.
+    The schema is given on reading, so an empty table can be read too. Nothing executes the
+    write again, so what it exchanged is deleted at once. ``paths`` gets the table's folder, for ``dropped``.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    if paths is not None:
+        paths.append(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spares(*names: str, at: int = 0) -> Callable:

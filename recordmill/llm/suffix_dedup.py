@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordmill.llm import induced_sort
-from recordmill.llm.common import add_in_arrow, spares, written
+from recordmill.llm.common import add_in_arrow, dropped, spares, written
 
 MATCH, KMER = 200, 32
 #: Bytes of fragments in a shard, on average.
@@ -141,25 +141,27 @@ def repeated_in_shards(pieces: DataFrame, match: int = MATCH, shard_bytes: int =
     return pieces.repartition(shards, "key").mapInArrow(run, "_a bigint, _b int, s struct<start: int, end: int>")
 
 
-def repeats(df: DataFrame, match: int = MATCH) -> DataFrame:
+def repeats(df: DataFrame, match: int = MATCH, paths: list[str] | None = None) -> DataFrame:
     """Byte ranges to remove of every text that has any: ``(_a, _b, _spans)`` by the text's two hashes.
 
-    ``df`` has ``_t``, ``_a`` and ``_b`` and is read twice.
+    ``df`` has ``_t``, ``_a`` and ``_b`` and is read twice. ``paths`` gets the folders of the tables that the result reads.
     """
-    found = written(fragments(df, match), "fragments")
+    passing: list[str] = []
+    found = written(fragments(df, match), "fragments", passing)
     keys = found.groupBy("key").agg(F.count("*").alias("c"), F.min("content").alias("x"), F.max("content").alias("y"))
     # stored, as a join can split the rows of a hot key only if no aggregate shares its exchange
-    keys = written(keys.filter("c > 1").select("key", (F.col("x") != F.col("y")).alias("mixed")), "keys")
-    found = written(found.join(keys, "key"), "candidates")
+    keys = written(keys.filter("c > 1").select("key", (F.col("x") != F.col("y")).alias("mixed")), "keys", passing)
+    found = written(found.join(keys, "key"), "candidates", paths)
+    dropped(df.sparkSession, passing)
     mixed = found.filter("mixed")
-    distinct = written(mixed.groupBy("key", "content").agg(F.count("*").alias("c"), F.min(F.struct("_a", "_b", "at", "n")).alias("r")), "distinct")
+    distinct = written(mixed.groupBy("key", "content").agg(F.count("*").alias("c"), F.min(F.struct("_a", "_b", "at", "n")).alias("r")), "distinct", paths)
     wanted = distinct.groupBy("r._a", "r._b").agg(F.collect_list(F.struct("r.at", "r.n", "key", "content", (F.col("c") > 1).alias("many"))).alias("wanted"))  # bounded by a text's length
     place = F.struct("_a", "_b", F.col("w.at").alias("at")).alias("place")
     pieces = df.join(wanted, ["_a", "_b"]).select(F.encode("_t", "utf-8").alias("_t"), "_a", "_b", F.explode("wanted").alias("w")).select(
         "w.key", "w.content", "w.many", place, F.expr(f"substring(_t, w.at + 1, w.n + {match - 1})").alias("piece"))
     # copies of a text give the same pieces again
     pieces = pieces.groupBy("key", "content").agg(F.min("piece").alias("piece"), F.max("many").alias("many"), F.min("place").alias("place"))
-    pieces = written(pieces.select("key", "place.*", "many", "piece"), "pieces")
+    pieces = written(pieces.select("key", "place.*", "many", "piece"), "pieces", paths)
     # a fragment that occurs once is known by its place; of the others every start repeats, and each occurrence meets one row at most
     inner = repeated_in_shards(pieces, match)
     whole = distinct.filter("c > 1").select("key", "content", F.lit(True).alias("whole"))
@@ -175,8 +177,12 @@ def remove(df: DataFrame, text: str = "text", match: int = MATCH, decoded: str |
 
     ``decoded`` names a column for the remaining text without characters that a cut has split.
     """
-    keyed = df.drop("kept", "removed").withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumns({"_a": F.xxhash64("_t"), "_b": F.hash("_t")})
-    spans = repeats(keyed.select("_t", "_a", "_b"), match)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    keyed = df.drop("kept", "removed").withColumn("_t", whole).withColumns({"_a": F.xxhash64("_t"), "_b": F.hash("_t")})
+    # stored, so that the tables behind the ranges are gone before the texts are exchanged
+    paths: list[str] = []
+    spans = written(repeats(keyed.select("_t", "_a", "_b"), match, paths), "ranges")
+    dropped(df.sparkSession, paths)
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         kept, removed = [], []
@@ -197,6 +203,7 @@ def remove(df: DataFrame, text: str = "text", match: int = MATCH, decoded: str |
         out = {"kept": pa.array(kept, pa.binary()), "removed": pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
         return out | ({decoded: pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())} if decoded else {})
 
-    joined = keyed.join(spans, ["_a", "_b"], "left").drop("_a", "_b")
+    # a text is exchanged once, and only then handed on under both names
+    joined = keyed.drop("_t").join(spans, ["_a", "_b"], "left").drop("_a", "_b").withColumn("_t", whole)
     schema = "kept binary, removed array<struct<start: int, end: int>>" + (f", `{decoded}` string" if decoded else "")
     return add_in_arrow(joined, schema, run).drop("_t", "_spans")

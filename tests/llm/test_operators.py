@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -23,9 +24,11 @@ from recordmill.llm import (
     bpe, induced_sort, licences, packing, pivot_search, quality_classifier, quotations, rule_forest, secrets, simhash,
     suffix_dedup,
 )
+from recordmill.llm.common import written
 from recordmill.llm.components import components
 from recordmill.llm.queries import ORACLE, QUERIES, VOCABULARY
 from recordmill.llm.text_stats import rule_counts
+from recordmill.session import named_path
 
 LONG = "a very long text of many words " * 4000
 AWKWARD = [
@@ -499,6 +502,36 @@ def test_occurrences_of_a_fragment_meet_one_row(spark):
     assert {(len(t), r.n) for t, r in zip(texts, found.select(F.expr("array_max(_spans.end) - array_min(_spans.start)").alias("n")).collect())} == {x[:2] for x in expected}
 
 
+def test_repeats_leave_only_their_ranges(spark):
+    pick = random.Random(10)
+    shared = "".join(pick.choices("abcdefgh ", k=500))
+    texts = ["".join(pick.choices("abcdefgh ", k=300)) + shared[: 250 + 10 * i] for i in range(20)]
+    folder = Path(named_path(spark, "any")).parent
+    before = set(folder.iterdir()) if folder.exists() else set()
+    cut = suffix_dedup.remove(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    assert {x.name.split("-")[0] for x in set(folder.iterdir()) - before} == {"ranges"}
+    found = {r.doc_id: hashlib.sha256(r.kept).hexdigest() for r in cut.collect()}
+    assert found == {i: x[3] for i, x in enumerate(_without_repeats([t.encode() for t in texts]))}
+
+
+def test_exchanges_of_written_tables_go(spark):
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        return {x for x in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+
+    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    was, before = spark.conf.get(option), files()
+    table = written(rows, "counts")
+    for _ in range(50):  # deleted on the side
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(option) == was
+    assert table.count() == rows.count() == 7
+
+
 def test_repeats_awkward(awkward):
     rows = suffix_dedup.remove(awkward, decoded="left").collect()
     assert len(rows) == len(AWKWARD) and all(r.source == "source" for r in rows)
