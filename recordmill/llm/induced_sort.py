@@ -5,8 +5,9 @@ scanning the sorted suffixes, each one tells the place of its left neighbour, wh
 the queue of its first symbol. The queues together form a priority queue by first symbol
 and order of arrival; they hold suffix tuples (position, length of the prefix shared with
 the tuple before) and move to disk when they outgrow the memory they may take. The
-leftmost S-type suffixes are named by their substrings, and the string of names is sorted
-the same way, recursively, or by prefix doubling once it is small.
+leftmost S-type suffixes are named by their substrings, and the string of names, which has
+too many symbols for queues, is sorted by prefix doubling: names and their order are in files
+once they are large, and only what is still tied is sorted again, a piece at a time.
 
 Plain numpy for use inside a Spark task; ``suffix_dedup`` deals out the shards.
 """
@@ -21,7 +22,7 @@ import numpy as np
 
 #: Tuples kept in memory by all queues of a level, and handed on at once.
 IN_MEMORY, BLOCK = 1 << 22, 1 << 20
-#: Strings of names up to this length are sorted in memory.
+#: Names sorted together in memory; equal names are, however many.
 SMALL = 1 << 21
 _TUPLE = np.dtype([("at", "<i8"), ("lcp", "u1")])
 
@@ -108,7 +109,7 @@ def room(folder: Path | None, size: int, kind) -> np.ndarray:
     if folder is None or size <= IN_MEMORY:
         return np.zeros(size, kind)
     with tempfile.NamedTemporaryFile(dir=folder) as file:  # the mapping outlives the name
-        return np.memmap(file, kind, "w+", shape=(size,))
+        return np.asarray(np.memmap(file, kind, "w+", shape=(size,)))
 
 
 def s_types(text: np.ndarray, folder: Path | None = None) -> np.ndarray:
@@ -170,7 +171,7 @@ class _Scan:
         on = np.flatnonzero((left >= 0) & (self.small[left] == self.want_small))
         if len(on):
             left = left[on]
-            symbol = np.asarray(self.text[left]).astype(np.int64)
+            symbol = self.text[left]  # sorted fastest as bytes
             order = np.argsort(symbol, kind="stable")
             symbol, left, on = symbol[order], left[order], on[order]
             cuts = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
@@ -263,14 +264,15 @@ def _seam(text: np.ndarray, a: int | None, b: int, most: int) -> int:
 
 
 def _by_symbol(text: np.ndarray, at: np.ndarray, lcp: np.ndarray | None) -> dict[int, np.ndarray]:
-    symbol = np.asarray(text[at]).astype(np.int64)
+    symbol = text[at]
     order = np.argsort(symbol, kind="stable")
-    cuts = np.flatnonzero(np.append(True, symbol[order][1:] != symbol[order][:-1])) if len(at) else np.zeros(0, np.int64)
+    symbol = symbol[order]
+    cuts = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1])) if len(at) else np.zeros(0, np.int64)
     tuples = np.zeros(len(at), _TUPLE)
     tuples["at"] = at[order]
     if lcp is not None:
         tuples["lcp"] = lcp[order]
-    return {int(symbol[order][a]): tuples[a:b] for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(at)).tolist())}
+    return {int(symbol[a]): tuples[a:b] for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(at)).tolist())}
 
 
 def _sorted_seeds(text: np.ndarray, small: np.ndarray, folder: Path, name: str, depth: int, limit: int) -> np.ndarray:
@@ -286,36 +288,87 @@ def _sorted_seeds(text: np.ndarray, small: np.ndarray, folder: Path, name: str,
     until = np.append(seed[1:] + 1, len(text))
     length = room(folder, len(text), np.int64)
     length[seed] = until - seed
-    a, b = order[:-1], order[1:]
-    same = (length[a] == length[b]) & (b != seed[-1]) & (a != seed[-1])
-    pairs = np.flatnonzero(same)
-    width = length[a[pairs]]
-    equal = np.zeros(len(a), bool)
-    reach = int(width.max(initial=0))
-    equal[pairs] = shared(text, a[pairs], b[pairs], reach) >= width
-    length[order] = np.append(0, np.cumsum(~equal)) + 1  # now the names
-    string = length[seed]
-    if int(string.max()) == len(string):
+    names = room(folder, len(order), np.int64)
+    name = 1
+    for at in range(0, len(order), BLOCK):
+        b = order[at : at + BLOCK]
+        a = order[max(at - 1, 0) : at + len(b) - 1]
+        b = b[len(b) - len(a) :]  # the first of all has none before it
+        pairs = np.flatnonzero((length[a] == length[b]) & (b != seed[-1]) & (a != seed[-1]))
+        width = length[a[pairs]]
+        differs = np.ones(len(a), np.int64)
+        differs[pairs] = shared(text, a[pairs], b[pairs], int(width.max(initial=0))) < width
+        own = name + np.cumsum(differs)
+        names[at : at + BLOCK] = own if at else np.append(name, own)
+        name = int(names[min(at + BLOCK, len(order)) - 1])
+    if name == len(order):
         return order
-    if len(string) <= limit:
-        rank = _doubled(string, depth)
-        return seed[rank]
-    return seed[np.concatenate(list(p["at"] for p in sorted_suffixes(string, folder, 0, f"{name}-r", depth, limit)))]
-
-
-def _doubled(string: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of a small string in order of at least their first ``depth`` symbols, by prefix doubling."""
-    rank, n, h = string.astype(np.int64), len(string), 1
-    while True:
-        key = rank << 32
-        key[: n - h] |= rank[h:]
-        order = np.argsort(key, kind="stable")
-        new = np.append(True, key[order][1:] != key[order][:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
+    length[order] = names
+    return seed[_doubled(length[seed], depth, limit, folder)]
+
+
+def _by_name(string: np.ndarray, folder: Path | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a string of names from 1 on in order of their names, and how many names at all are smaller than each, plus one."""
+    n = len(string)
+    first = np.append(0, np.cumsum(np.bincount(string)))[:-1]
+    rank, order, filled = room(folder, n, np.int64), room(folder, n, np.int64), first.copy()
+    for start in range(0, n, BLOCK):
+        own = string[start : start + BLOCK]
+        rank[start : start + BLOCK] = first[own] + 1
+        at = np.argsort(own, kind="stable")
+        own = own[at]
+        cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        many = np.diff(np.append(cuts, len(own)))
+        order[filled[own] + np.arange(len(own)) - np.repeat(cuts, many)] = at + start
+        filled[own[cuts]] += many
+    return order, rank
+
+
+def _doubled(string: np.ndarray, depth: int, limit: int = SMALL, folder: Path | None = None) -> np.ndarray:
+    """Suffixes of a string of names in order of at least their first ``depth`` names, by prefix doubling.
+
+    A suffix has the rank of the first it is tied with. Ties that are broken count at once, also for what is sorted later in the
+    same round: ranks only get finer. ``limit`` names are sorted at a time, or a larger tie.
+    """
+    n, h = len(string), 1
+    order, rank = _by_name(string, folder)
+    tied = np.ones(-(-n // limit), bool)  # pieces of the order with ties that begin there
+    while h < min(depth, n) and tied.any():
+        for piece in np.flatnonzero(tied).tolist():
+            # ties that begin in the piece, to the end of the last one
+            a, b = piece * limit, min((piece + 1) * limit, n)
+            own = rank[order[a:b]]
+            a += int(np.searchsorted(own, a + 1))
+            if a >= b:
+                tied[piece] = False
+                continue
+            last = own[-1]
+            step = limit
+            while b < n and rank[order[b]] == last:
+                more = rank[order[b : b + step]]
+                b += int(np.searchsorted(more, last, "right"))
+                step *= 2
+            at = order[a:b]
+            own = rank[at]
+            fresh = np.append(True, own[1:] != own[:-1])
+            live = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+            if not len(live):
+                tied[piece] = False
+                continue
+            tied[piece : -(-b // limit)] = True  # a tie that is broken leaves others, which begin further on
+            at, own = at[live], own[live]
+            key = np.zeros(len(at), np.int64)
+            inside = at + h < n
+            key[inside] = rank[at[inside] + h]
+            key |= own << 32
+            turn = np.argsort(key)
+            at, key = at[turn], key[turn]
+            fresh = np.append(True, key[1:] != key[:-1])
+            order[a + live] = at
+            # the place in the order of the first that is tied
+            rank[at] = np.maximum.accumulate(np.where(fresh, a + live + 1, 0))
         h *= 2
-        if h >= min(depth, n) or new.all():
-            return order
+    return order
 
 
 def sorted_suffixes(text: np.ndarray, folder: Path, most: int, name: str = "t", depth: int = 1 << 40, limit: int = SMALL) -> Iterator[np.ndarray]:
@@ -328,8 +381,9 @@ def sorted_suffixes(text: np.ndarray, folder: Path, most: int, name: str = "t",
     small = s_types(text, folder)
     seeds = _sorted_seeds(text, small, folder, name, depth, limit)
     lcp = np.zeros(len(seeds), np.uint8)
-    if most and len(seeds) > 1:
-        lcp[1:] = shared(text, seeds[:-1], seeds[1:], most)
+    for at in range(1, len(seeds) if most else 0, BLOCK):
+        own = seeds[at : at + BLOCK]
+        lcp[at : at + BLOCK] = shared(text, seeds[at - 1 : at - 1 + len(own)], own, most)
     symbols, large, less = _induce(text, small, _by_symbol(text, seeds, lcp), folder, name, most)
     for c in symbols:
         last = None

@@ -121,7 +121,7 @@ def repeated_in_shards(pieces: DataFrame, match: int = MATCH, shard_bytes: int =
             if not marks:
                 return
             text_a, text_b, at, bounds = (np.concatenate(parts) for parts in (first, second, starts, ends))
-            text = np.memmap(path, np.uint8, "r") if bounds[-1] > induced_sort.IN_MEMORY else np.fromfile(path, np.uint8)
+            text = np.asarray(np.memmap(path, np.uint8, "r")) if bounds[-1] > induced_sort.IN_MEMORY else np.fromfile(path, np.uint8)
             again = induced_sort.repeated_starts(text, match)
             for a in range(1, len(bounds), 4096):  # what would reach over the end of a fragment
                 again[(bounds[a : a + 4096, None] - np.arange(1, match + 1)).ravel()] = False

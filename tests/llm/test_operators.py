@@ -455,6 +455,25 @@ def test_induced_sorting_with_spills(tmp_path, monkeypatch):
             assert n == lcp
 
 
+def test_many_names_are_sorted_in_time(tmp_path):
+    # names by the hundred thousand, sorted a few at a time: time grows with the text, not with names times text
+    text = np.random.default_rng(11).integers(97, 123, 1_000_000).astype(np.uint8)
+    began = time.process_time()
+    order = np.concatenate([b["at"] for b in induced_sort.sorted_suffixes(text, tmp_path, 20, limit=1 << 14)])
+    assert time.process_time() - began < 20
+    data = text.tobytes()
+    assert len(np.unique(order)) == len(data)
+    assert all(data[a:a + 50] < data[b:b + 50] for a, b in zip(order.tolist(), order[1:].tolist()))
+
+
+@pytest.mark.parametrize("limit", [1, 16, 1 << 20])
+def test_ties_longer_than_a_piece(tmp_path, limit):
+    noise = np.random.default_rng(12).integers(97, 100, 400).astype(np.uint8).tobytes()
+    data = b"ab" * 700 + noise + b"ab" * 300 + noise + b"acb" * 200
+    order = np.concatenate([b["at"] for b in induced_sort.sorted_suffixes(np.frombuffer(data, np.uint8), tmp_path, 20, limit=limit)])
+    assert order.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+
+
 def _without_repeats(texts: list[bytes], match: int = 200) -> list[tuple]:
     starts = Counter(t[i:i + match] for t in texts for i in range(len(t) - match + 1))
     out = []
