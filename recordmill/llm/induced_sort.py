@@ -304,6 +304,7 @@ def _sorted_seeds(text: np.ndarray, small: np.ndarray, folder: Path, name: str,
     if name == len(order):
         return order
     length[order] = names
+    del order, names, a, b, pairs, width, differs, own
     return seed[_doubled(length[seed], depth, limit, folder)]
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -15,6 +17,7 @@ from recordmill.fixed import BATCH_CSV_COLUMNS
 from recordmill.functions.text import py_bool, py_float
 from recordmill.operators.intake import canonical_type, decode, valid_utf8
 from recordmill.schemas import FOLDER_TYPES
+from recordmill.session import small_table
 
 RESULT_SCHEMA = """
     doc_id string, filename string, doc_type string, ts timestamp, model string, provider string,
@@ -27,6 +30,8 @@ RESULT_SCHEMA = """
     cost_usd double, use_retrieval boolean, context_words bigint, run_id string
 """
 
+#: File names listed, and bytes of files read, before they are handed on.
+_LISTED, _READ_BYTES = 10_000, 4 << 20
 # text files are packed, quickly; readers unpack them by their names
 _PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 
@@ -37,9 +42,11 @@ def read_text_folder(spark: SparkSession, root: str) -> DataFrame:
     ``text`` is null and ``readable`` false where the bytes are not UTF-8. Line ends
     are unified. A folder may also be named ``column=invoices``. Files come in no
     particular order; sort by ``doc_type, filename`` where order is shown.
+
+    On a folder of the local file system, mounted alike on every machine, tasks list and read the files: Spark's reader
+    holds the status of every file on the driver. New files are seen by every run, new folders are not.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option(
-        "recursiveFileLookup", "true").load(root).select("path", "content")
+    files = _text_files(spark, root)
     parts = F.split("path", "/")
     folder = F.regexp_extract(F.element_at(parts, -2), r"([^=]+)$", 1)
     return files.filter(folder.isin(*FOLDER_TYPES)).select(
@@ -51,6 +58,58 @@ def read_text_folder(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _hidden(name: str) -> bool:
+    """Whether Spark's readers pass over a file or folder of this name."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def _local(spark: SparkSession, path: str) -> str | None:
+    """``path`` without its scheme if it is in the local file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def _text_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path, content`` of every ``*.txt`` file under ``root``, without empty ones, as Spark's reader gives them."""
+    local = None if re.search(r"[*?{}\[\]\\]", root) else _local(spark, root)
+    if local is None or not os.path.isdir(local):
+        return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option(
+            "recursiveFileLookup", "true").load(root).select("path", "content")
+    folders = [local]
+    for folder in folders:  # grows meanwhile; files are passed over and not kept
+        with os.scandir(folder) as entries:
+            folders.extend(e.path for e in entries if not _hidden(e.name) and e.is_dir())
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                with os.scandir(folder) as entries:
+                    found = (e.path for e in entries if e.name.endswith(".txt") and not _hidden(e.name) and e.is_file())
+                    while some := list(islice(found, _LISTED)):
+                        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["file"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, contents, size = [], [], 0
+        for batch in batches:
+            for file in batch.column("file").to_pylist():
+                with open(file, "rb") as opened:
+                    content = opened.read()
+                if content:
+                    paths.append(f"file:{file}")
+                    contents.append(content)
+                    size += len(content)
+                if size >= _READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+                    paths, contents, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    files = small_table(spark, ["folder"], [(f,) for f in folders]).mapInArrow(listed, "file string")
+    # dealt out by number: the names are few bytes, the files are not
+    return files.repartition(tasks, "file").mapInArrow(read, "path string, content binary")
+
+
 def write_text_folder(docs: DataFrame, path: str) -> None:
     """One ``.txt`` file per row of ``doc_type, text`` under its plural folder; earlier files stay.
 
@@ -62,14 +121,12 @@ def write_text_folder(docs: DataFrame, path: str) -> None:
         folder = F.when(F.col("doc_type") == doc_type, F.lit(name)).otherwise(folder)
     rows = docs.select(folder.alias("folder"), "text").filter("folder is not null")
     spark = docs.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    uri = store.makeQualified(target).toUri()
-    if uri.getScheme() != "file":
+    root, write = _local(spark, path), uuid.uuid4().hex
+    if root is None:
         rows.write.partitionBy("folder").option("maxRecordsPerFile", 1).mode("append").text(path)
         return
-    root, write = uri.getPath(), uuid.uuid4().hex
-    store.mkdirs(target)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get(), 0

@@ -207,6 +207,21 @@ def test_text_folder_is_written_file_by_file_without_checksums(spark, tmp_path):
     assert not [p for p in (tmp_path / "folder").rglob(".*.txt*")] and len(list((tmp_path / "folder").rglob("*.txt"))) == 5
 
 
+def test_text_folder_is_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    for folder in ("invoices", "deep/x y/folder=emails", "_off/resumes", ".off/emails", "a=b/_c=d/resumes", "notes"):
+        (tmp_path / folder).mkdir(parents=True)
+        for name, data in (("a b.txt", b"x\r\ny"), ("\u00e9.txt", b"\xff"), ("_u.txt", b"u"), ("_u=1.txt", b"v"), (".d.txt", b"w"), ("empty.txt", b""), ("x.md", b"z")):
+            (tmp_path / folder / name).write_bytes(data)
+    (tmp_path / "deep" / "resumes").symlink_to(tmp_path / "invoices")
+    ours = files.read_text_folder(spark, f"file:{tmp_path}")
+    # the driver knows no file
+    assert ours.inputFiles() == []
+    found = sorted(map(str, ours.collect()))
+    monkeypatch.setattr(files, "_local", lambda *_: None)
+    theirs = files.read_text_folder(spark, f"file:{tmp_path}")
+    assert len(theirs.inputFiles()) > 0 and len(found) == 12 and found == sorted(map(str, theirs.collect()))
+
+
 def test_gate_order_and_ids(spark):
     rows = spark.createDataFrame(pa.table({
         "filename": ["a.pdf", "a.txt", "a.txt", None, None], "text": ["", "x", " ", "x", "x"],
