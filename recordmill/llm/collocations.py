@@ -103,13 +103,18 @@ def blocks(docs: DataFrame, text: str = "text", lang: str = "lang", shards: int
             turn += 1
 
     given = docs.select(F.coalesce(F.col(quoted(lang)), F.lit(NO_LANGUAGE)).alias("lang"), F.col(quoted(text)).alias("text"))
-    return _stored(given.mapInArrow(run, schema), "phrase_blocks")
+    # a block is megabytes in one row. Parquet looks at sizes every hundred rows, keeps the least and the greatest value of each row
+    # group until the file ends, and is read by up to 4,096 rows of a row group at once: all blocks of a task would be in memory together
+    alone = {"parquet.block.row.count.limit": "1"}
+    for column in ("hashes", "codes"):
+        alone |= {f"parquet.column.statistics.enabled#{column}": "false", f"parquet.enable.dictionary#{column}": "false"}
+    return _stored(given.mapInArrow(run, schema), "phrase_blocks", alone)
 
 
-def _stored(rows: DataFrame, name: str) -> DataFrame:
+def _stored(rows: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """A written table, packed more tightly than the default: it is read often or holds many strings."""
     path = scratch_path(rows.sparkSession, name)
-    rows.write.option("compression", "zstd").parquet(path)
+    rows.write.option("compression", "zstd").options(**options or {}).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

@@ -292,3 +292,24 @@ def test_a_document_without_an_id_is_not_held_out(spark, tmp_path):
     assert len(found) == len(rows)
     for r in found:
         assert r.held_out is (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
+
+
+def test_blocks_are_written_and_read_one_at_a_time(spark, monkeypatch, tmp_path):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(collocations, "BLOCK_BYTES", 100)
+    rows = spark.createDataFrame([(f"some words of text number {i}", "en") for i in range(200)], "text string, lang string").coalesce(1)
+    with monkeypatch.context() as m:
+        m.setattr(collocations, "scratch_path", lambda *_: f"file:{tmp_path}/blocks")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+        try:
+            stored = collocations.blocks(rows)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert stored.selectExpr("sum(n_words)").first()[0] == 1200
+    for file in (tmp_path / "blocks").glob("*.parquet"):
+        found = pq.ParquetFile(file).metadata
+        assert found.num_rows > 10 and found.num_row_groups == found.num_rows
+        columns = {found.row_group(0).column(i).path_in_schema: found.row_group(0).column(i) for i in range(found.num_columns)}
+        # values of megabytes are neither kept as limits of a row group nor in a dictionary
+        assert all(not columns[c].is_stats_set and not columns[c].has_dictionary_page for c in ("hashes", "codes")) and columns["shard"].is_stats_set
