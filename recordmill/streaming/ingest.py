@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -13,6 +15,8 @@ from recordmill.session import scratch_path
 
 #: Groups that the versions of keys are kept in; fixed for the life of a checkpoint.
 BUCKETS = 256
+#: Keys in a slot of a group's state on average, at most, and slots of a group held in memory.
+SLOT_KEYS, HELD_SLOTS = 256, 4096
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -30,34 +34,74 @@ def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 class _Newest(StatefulProcessor):
-    """Lets a submission pass unless a newer one of its key has passed; the state holds versions only."""
+    """Lets a submission pass unless a newer one of its key has passed; the state holds versions only.
 
-    def __init__(self, key: str, order: str, key_type: str, order_type: str):
-        self.key, self.order, self.types = key, order, (f"key {key_type}", f"version {order_type}")
+    A call to the state costs more than a row, so the keys of a group are dealt out to slots of ``SLOT_KEYS`` or fewer on average, and a slot
+    is read and written as a whole. Slots are split as keys become more, so what a micro-batch costs depends on its own rows.
+    """
+
+    def __init__(self, key: str, order: str):
+        self.key, self.order = key, order
 
     def init(self, handle) -> None:
-        self.versions = handle.getMapState("versions", *self.types)
+        self.size = handle.getValueState("size", "bits int, keys bigint")
+        self.slots = handle.getMapState("slots", "slot int", "versions binary")
+
+    @staticmethod
+    def slot(key, bits: int) -> int:
+        # the same in every process, unlike Python's own hash of a text
+        return zlib.crc32(repr(key).encode("utf-8", "surrogatepass")) & ((1 << bits) - 1)
+
+    def _load(self, slot: int) -> dict:
+        stored = self.slots.getValue((slot,))
+        return {} if stored is None else pickle.loads(bytes(stored[0]))
+
+    def _store(self, slot: int, versions: dict) -> None:
+        self.slots.updateValue((slot,), (pickle.dumps(versions),))
 
     def handleInputRows(self, bucket, rows: Iterator[Row], timers) -> Iterator[Row]:
-        met: dict = {}
-        changed = set()
-        # nothing has passed through this group, so there is nothing to look up
-        blank = not self.versions.exists()
+        bits, keys = self.size.get() if self.size.exists() else (0, 0)
+        had = keys
+        held: dict[int, dict] = {}
+        changed: set[int] = set()
         for row in rows:
             key, version = row[self.key], row[self.order]
             if key is None:
                 yield row
                 continue
-            if key not in met:
-                stored = None if blank else self.versions.getValue((key,))
-                met[key] = (stored is not None, stored[0] if stored is not None else None)
-            seen, newest = met[key]
-            if not seen or newest is None or (version is not None and version >= newest):
-                met[key] = (True, version)
-                changed.add(key)
+            slot = self.slot(key, bits)
+            if slot not in held:
+                if len(held) >= HELD_SLOTS:
+                    for other in changed:
+                        self._store(other, held[other])
+                    held.clear()
+                    changed.clear()
+                # nothing has passed through a new group, so there is nothing to look up
+                held[slot] = self._load(slot) if had else {}
+            versions = held[slot]
+            newest = versions.get(key)
+            if newest is None or (version is not None and version >= newest):
+                keys += key not in versions
+                versions[key] = version
+                changed.add(slot)
                 yield row
-        for key in changed:
-            self.versions.updateValue((key,), (met[key][1],))
+        if not changed and keys == had:
+            return
+        more = bits
+        while keys > SLOT_KEYS << more:
+            more += 1
+        for slot in changed if more == bits else range(1 << bits):
+            versions = held.pop(slot) if slot in held else self._load(slot)
+            if more > bits:
+                parts: dict[int, dict] = {slot: {}}
+                for key, version in versions.items():
+                    parts.setdefault(self.slot(key, more), {})[key] = version
+                for part, own in parts.items():
+                    self._store(part, own)
+            else:
+                self._store(slot, versions)
+        if (more, keys) != (bits, had):
+            self.size.update((more, keys))
 
     def close(self) -> None:
         pass
@@ -66,16 +110,15 @@ class _Newest(StatefulProcessor):
 def newest_only(stream: DataFrame, key: str, order: str, buckets: int = BUCKETS) -> DataFrame:
     """The submissions of a stream that are not older than what came before them.
 
-    The newest version of each key is kept in Spark's state store (a map in each of ``buckets`` groups), so an old
+    The newest version of each key is kept in Spark's state store (a map of slots in each of ``buckets`` groups), so an old
     submission that arrives late is dropped before anything is computed for it. Texts are not kept. A null version is older
     than any other; rows without a key are dealt out by their content and pass.
     """
     stream.sparkSession.conf.set(_PROVIDER, _ROCKSDB)
-    types = dict(stream.dtypes)
     dealt = F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(*stream.columns))
     grouped = stream.withColumn("_bucket", F.pmod(dealt, F.lit(buckets)).cast("int")).groupBy("_bucket")
     return grouped.transformWithState(
-        statefulProcessor=_Newest(key, order, types[key], types[order]), outputStructType=stream.schema, outputMode="Update", timeMode="None")
+        statefulProcessor=_Newest(key, order), outputStructType=stream.schema, outputMode="Update", timeMode="None")
 
 
 def ingest(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gzip
 import json
+import pickle
+import random
 import sys
 from pathlib import Path
 from urllib.parse import unquote
@@ -21,6 +23,7 @@ from recordmill.operators.store import LatestTable
 from recordmill.plans import reports
 from recordmill.plans.extraction_run import reprice, run, with_context
 from recordmill.sources import files
+from recordmill.streaming import ingest as ingest_module
 from recordmill.streaming.inference import ask
 from recordmill.streaming.ingest import ingest, last_per_key
 
@@ -238,6 +241,61 @@ def test_discovery_counts_absent_types(spark):
     assert {tuple(r) for r in discovery_count(rows).collect()} == {("invoice", 0), ("resume", 0), ("email", 2)}
 
 
+class _State:
+    """A group's state in memory, which counts calls."""
+
+    def __init__(self):
+        self.value, self.entries, self.calls = None, {}, 0
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.entries.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.entries[key] = value
+
+
+def test_versions_are_kept_in_slots(monkeypatch):
+    monkeypatch.setattr(ingest_module, "HELD_SLOTS", 5)
+    state, newest, pick = _State(), ingest_module._Newest("k", "v"), random.Random(3)
+    newest.init(state)
+    known: dict = {}
+    for size in (3000, 40, 0, 2000, 5, 6000):
+        rows = [{"k": pick.choice([None, f"key {pick.randrange(9000)}"]) if i % 50 == 0 else f"key {pick.randrange(9000)}", "v": pick.choice([None, 1, 2, 3])} for i in range(size)]
+        expected = []
+        for row in rows:
+            before = known.get(row["k"])
+            if row["k"] is None or before is None or (row["v"] is not None and row["v"] >= before):
+                known[row["k"]] = row["v"]
+                expected.append(row)
+        known.pop(None, None)
+        state.calls = 0
+        assert list(newest.handleInputRows(0, iter(rows), None)) == expected
+        if size == 3000:
+            assert state.calls < 100  # a call for each key is what takes the time
+    bits, keys = state.value
+    assert keys == len(known) and keys <= ingest_module.SLOT_KEYS << bits
+    slots = {k[0]: pickle.loads(v[0]) for k, v in state.entries.items()}
+    assert {k: v for own in slots.values() for k, v in own.items()} == known
+    assert all(newest.slot(k, bits) == slot for slot, own in slots.items() for k in own)
+
+
 def test_stream_equals_batch_and_replaces(docs, results, spark, tmp_path):
     source = str(tmp_path / "in")
     schema = T.StructType([*results.schema.fields, T.StructField("n", T.IntegerType())])
